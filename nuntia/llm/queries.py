@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from nuntia.llm.chat import op1_chat
 from nuntia.llm.language import op4_language
+from nuntia.llm.mixing import ORACLE as OP9
+from nuntia.llm.mixing import op9_mix
 from nuntia.llm.quality import op7_quality
+from nuntia.llm.secrets import op3_secrets
 from nuntia.llm.toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_language, op7_quality, op8_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat, op3_secrets, op4_language, op7_quality, op8_toxicity, op9_mix)}
+ORACLES: dict[str, str] = {"op9_mix": OP9}
