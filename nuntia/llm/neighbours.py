@@ -128,7 +128,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     dim = F.size("v").alias("dim")
     data = rows.select(dim, F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(0).alias("kind"), "id", "v")
     asks = rows.where("asks").select("id", "v").distinct()
-    asks = asks.select(dim, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("kind"), "id", "v")
+    asks = asks.select(dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("kind"), "id", "v")
     dealt = data.unionByName(asks).repartition("dim", "shard", "grp").sortWithinPartitions("dim", "shard", "grp", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
