@@ -105,17 +105,21 @@ def seeded_bin(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, 3), 16, 10).cast("int")
 
 
+def word_count(text_column: str) -> Column:
+    return F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", sources: Column | None = None, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """Each document's id, sources (array), size and taken, the words of it that the mix takes (repeats counted).
+    """(row, sources, size, taken) of each document: all its columns, its sources, its words, and how many of them the
+    mix takes (repeats counted).
 
     sources: an array column of the sources a document belongs to; by default its column `source` alone.
     Attributes of the result: source_sizes, source_targets and flow, plain dicts by source and pattern.
     """
     spark = documents.sparkSession
     sources = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
-    size = F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(documents.select(F.col(id_column), sources.alias("sources"), size.alias("size"), seeded_bin(id_column, seed).alias("bin")), "mix")
-    bins = sized.groupBy("sources", "bin").agg(F.sum("size").alias("words"))
+    sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), sources.alias("sources"), word_count(text_column).alias("size"), seeded_bin(id_column, seed).alias("bin"))
+    bins = written(sized.groupBy("sources", "bin").agg(F.sum("size").alias("words")), "bins")
     capacity = {tuple(r["sources"] or ()): int(r["words"]) for r in bins.groupBy("sources").agg(F.sum("words").alias("words")).collect()}
     sizes: dict[str | None, int] = {}
     for pattern, words in capacity.items():
@@ -134,24 +138,27 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     ends = ends.where((F.col("up_to") > F.col("rest")) & (F.col("up_to") - F.col("words") <= F.col("rest"))).select("sources", F.col("bin").alias("last"), (F.col("rest") - F.col("up_to") + F.col("words")).alias("part"), "words")
     cut = plan.join(ends, "sources", "left")
     taken = F.col("copies") * F.col("size") + F.when(F.col("bin") < F.col("last"), F.col("size")).when(F.col("bin") == F.col("last"), F.floor(F.col("size") * F.col("part") / F.col("words"))).otherwise(0)
-    out = sized.join(F.broadcast(cut), "sources", "left").select(id_column, "sources", "size", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    out = sized.join(F.broadcast(cut), "sources", "left").select("row", "sources", "size", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
     out.source_sizes, out.source_targets, out.flow = sizes, wanted, flow
     return out
 
 
 def mixed_by_source(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document, each in its one source."""
+    """All columns of documents, each document in its one source, with size, source_size, target and taken.
+
+    Columns of the input that have one of these four names are replaced.
+    """
     mixed = mix(documents)
-    if not mixed.source_sizes:
-        return mixed.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), "taken")
     rows = [(s, n, mixed.source_targets[s]) for s, n in mixed.source_sizes.items()]
     facts = documents.sparkSession.createDataFrame(rows, "name string, source_size long, target double")
-    return mixed.join(F.broadcast(facts), F.element_at("sources", 1).eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "taken")
+    added = ["size", "source_size", "target", "taken"]
+    own = [F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in added]
+    return mixed.join(F.broadcast(facts), F.element_at("sources", 1).eqNullSafe(F.col("name"))).select(*own, *added)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed with weights 5, 2, 1, repeating over the sources."""
-    return mixed_by_source(table(spark, sf_dir, "documents"))
+    return mixed_by_source(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
 
 
 ORACLE = r"""

@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nuntia.llm.common import fold, labelled_sample, platt, prior_shift, sigmoid, table
 
@@ -100,26 +101,27 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dicti
     return QualityModel(parts[0], parts[1], slope, intercept + prior_shift(hold, counts), prior)
 
 
-def score_quality(documents: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id_column and score, one row per row of documents; one pass without a shuffle."""
+def score_quality(documents: DataFrame, model: QualityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:
+    """All columns of documents and the score, one row per row; one pass without a shuffle."""
+    at = documents.columns.index(text_column)
+    names = [*documents.columns, score_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = model.coders()
         for batch in batches:
-            scores = model.scores((x.as_py() for x in batch.column(1)), coders)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_column, "score"])
+            scores = model.scores((x.as_py() for x in batch.column(at)), coders)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-    kind = documents.schema[id_column].dataType.simpleString()
-    return documents.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, score double")
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(score_column, T.DoubleType())]))
 
 
-def fitted(spark: SparkSession, sf_dir: str, per_class: int = 3000, max_chars: int = 20_000) -> QualityModel:
+def fitted(documents: DataFrame, labels: DataFrame, per_class: int = 3000, max_chars: int = 20_000) -> QualityModel:
     """A model of labels.quality from the rows whose crc32(doc_id) mod 3 is not 1 (bounded sample, see labelled_sample)."""
-    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return fit(*labelled_sample(documents, labels, "quality", fold("doc_id", 3) == 1, per_class, 7, max_chars))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    scored = score_quality(table(spark, sf_dir, "documents"), fitted(spark, sf_dir))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(documents, fitted(documents, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

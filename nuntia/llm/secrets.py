@@ -118,36 +118,58 @@ def battery(core: Column) -> Column:
     return F.element_at(F.transform(F.transform(values, counted), judged), 1)
 
 
+def base_spans(text: Column) -> Column:
+    return F.array_sort(F.concat(placed(text, ASSIGN, 0, 2, 12), placed(text, ACCESS, 1), placed(text, HEX, 2)))
+
+
+def tested(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """keep, and runs: (span, test) of each run of key characters in the column text that is not all digits."""
+    tokens = F.when(F.col(text).rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = df.select(*keep, placed(F.col(text), CANDIDATE, 3).alias("spans"), tokens.alias("tokens"))
+    lettered = F.filter(F.arrays_zip("spans", "tokens"), lambda v: ~v["tokens"].rlike("^[0-9]+$"))
+    return found.select(*keep, F.transform(lettered, lambda v: F.struct(v["spans"].alias("span"), battery(F.rtrim(v["tokens"], F.lit("="))).alias("test"))).alias("runs"))
+
+
+def band(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double"))).cast("int")
+
+
+def discovered(runs: str, base: str, limits: dict[int, float]) -> Column:
+    """Spans of the runs that pass their band's limit and that no base span covers."""
+
+    def passes(v: Column) -> Column:
+        return v["test"]["random"] & reduce(or_, [(band(v["test"]["n"]) == b) & (v["test"]["evidence"] >= least) for b, least in limits.items()], F.lit(False))
+
+    spans = F.transform(F.filter(runs, passes), lambda v: v["span"])
+    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
+
+
 def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id_column, base and added: arrays of (start, kind, end) spans, kinds numbered as in KINDS, base ones sorted."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    found = documents.select(F.col(id_column), text.alias("text")).select(
-        id_column,
-        F.array_sort(F.concat(placed(F.col("text"), ASSIGN, 0, 2, 12), placed(F.col("text"), ACCESS, 1), placed(F.col("text"), HEX, 2))).alias("base"),
-        placed(F.col("text"), CANDIDATE, 3).alias("runs"),
-        F.when(F.col("text").rlike(CANDIDATE), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("tokens"),
-    )
-    lettered = F.filter(F.arrays_zip("runs", "tokens"), lambda v: ~v["tokens"].rlike("^[0-9]+$"))
-    judged = F.transform(lettered, lambda v: F.struct(v["runs"].alias("span"), battery(F.rtrim(v["tokens"], F.lit("="))).alias("test")))
-    found = written(found.select(id_column, "base", F.filter(judged, lambda v: v["test"]["random"]).alias("likely"), F.transform(judged, lambda v: v["test"]["n"]).alias("lengths")), "secrets")
-    limits = discoveries(found)
-    band = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
+    text = documents.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    found = written(tested(text.select(id_column, "text", base_spans(F.col("text")).alias("base")), "text", [id_column, "base"]), "secrets")
+    return found.select(id_column, "base", discovered("runs", "base", discoveries(found)).alias("added"))
 
-    def passes(v: Column) -> Column:
-        return reduce(or_, [(band(v["test"]["n"]) == b) & (v["test"]["evidence"] >= least) for b, least in limits.items()], F.lit(False))
 
-    kept = F.filter("likely", passes)
-    spans = F.transform(kept, lambda v: v["span"])
-    new = F.filter(spans, lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    return found.select(id_column, "base", new.alias("added"))
+def redact(documents: DataFrame, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """documents with the mark in place of every secret; a null text stays null. Two passes, as the first one sets
+    the limits for all texts; nothing but the results of tests is written or shuffled."""
+    names = documents.columns
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    limits = discoveries(written(tested(packed, "text", []), "secrets"))
+    found = tested(packed.select("row", "text", base_spans(F.col("text")).alias("base")), "text", ["row", "text", "base"])
+    spans = found.select("row", "text", F.concat("base", discovered("runs", "base", limits)).alias("spans"))
+    clean = F.when(F.col(f"row.`{text_column}`").isNotNull(), redacted(F.col("text"), F.col("spans"), mark))
+    return spans.select(*[(clean if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def discoveries(found: DataFrame) -> dict[int, float]:
     """By length band, the evidence from which runs count as secrets under FALSE_RATE false discoveries."""
-    tests = found.select(F.explode("lengths").alias("n")).groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("band")).agg(F.count("*").alias("m"))
-    bins = found.select(F.explode("likely").alias("v")).select("v.test.*").groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("band"), F.least(F.floor(F.col("evidence") / BIN), F.lit(MOST_BINS)).alias("bin")).agg(F.count("*").alias("k"))
-    above = F.sum("k").over(Window.partitionBy("band").orderBy(F.desc("bin")))
-    passing = bins.withColumn("above", above).join(F.broadcast(tests), "band").where(-F.col("bin") * BIN <= F.log10(FALSE_RATE * F.col("above") / F.col("m")))
+    each = found.select(F.explode("runs").alias("v")).select("v.test.*").withColumn("band", band(F.col("n")))
+    bins = each.groupBy("band", F.least(F.floor(F.col("evidence") / BIN), F.lit(MOST_BINS)).alias("bin")).agg(F.count("*").alias("all"), F.count_if("random").alias("k"))
+    own = Window.partitionBy("band")
+    counted = bins.withColumn("m", F.sum("all").over(own)).withColumn("above", F.sum("k").over(own.orderBy(F.desc("bin"))))
+    passing = counted.where((F.col("above") > 0) & (-F.col("bin") * BIN <= F.log10(FALSE_RATE * F.col("above") / F.col("m"))))
     return {r["band"]: r["bin"] * BIN for r in passing.groupBy("band").agg(F.min("bin").alias("bin")).collect()}
 
 
