@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -101,7 +102,7 @@ def tree(markup: str) -> Node:
 def html_text(c: Column, separator: str = "\n") -> Column:
     """All text of a piece of HTML, its strings joined by the separator."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def joined(s: pd.Series) -> pd.Series:
         return s.map(lambda t: tree(t).text(separator), na_action="ignore")
 

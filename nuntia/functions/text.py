@@ -11,6 +11,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What ends a line, and what counts as white space at the ends of a text.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -54,7 +55,7 @@ def filled(c: Column | str, *others: Column | str) -> Column:
 # Unicode normal forms ---------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -146,13 +147,13 @@ def tag_blocks(c: Column | str, tag: str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(rf"(?is)<{tag}>(.*?)</{tag}>"), F.lit(1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """All HTML entities decoded."""
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """href relative to base, by RFC 3986."""
     return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(base, href, strict=True)], dtype=object)

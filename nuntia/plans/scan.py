@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nuntia.operators import match, select
@@ -34,8 +34,6 @@ class ScanOptions:
 def pages_of(spark: SparkSession, source: str, path: str | list[str], options: ScanOptions = ScanOptions()) -> DataFrame:
     """Pages of a source's files, in the common schema."""
     day = F.lit(options.as_of) if options.as_of else None
-    # boards compare with a day in any case; this one closes nothing
-    board_day: Column = day if day is not None else F.lit(date(1, 1, 1))
     if source == "BOP":
         if options.extract_pdf is None:
             raise ValueError("reading PDF files needs ScanOptions.extract_pdf")
@@ -46,9 +44,9 @@ def pages_of(spark: SparkSession, source: str, path: str | list[str], options: S
     if source == "BOE":
         return boe.pages(boe.read_candidates(spark, path))
     if source == "AENA":
-        return aena.pages(aena.read_listings(spark, path, board_day, options.lexicon))
+        return aena.pages(aena.read_listings(spark, path, day, options.lexicon))
     if source == "SAGULPA":
-        return sagulpa.pages(sagulpa.read_listings(spark, path, board_day))
+        return sagulpa.pages(sagulpa.read_listings(spark, path, day))
     if source == "EPSO":
         return epso.pages(epso.read_rows(spark, path), day)
     if source == "EURES":

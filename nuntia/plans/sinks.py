@@ -13,6 +13,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nuntia.functions.text import escape_html, escape_markup, strip, truncated
 from nuntia.operators.select import source_rank
@@ -39,7 +40,7 @@ def ticked(c: str = "matched_keywords", mark: str = "`", end: str | None = None)
     return F.array_join(F.transform(c, lambda k: F.concat(F.lit(mark), k, F.lit(end or mark))), ", ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def wrapped(s: pd.Series) -> pd.Series:
     """Paragraphs filled to lines of WIDTH characters."""
     filler = textwrap.TextWrapper(width=WIDTH, initial_indent=INDENT, subsequent_indent=INDENT)

@@ -40,16 +40,18 @@ def _listed(root: Node) -> list[dict]:
     return out
 
 
-def listings(docs: DataFrame, as_of: Column, lexicon: Lexicon | None = None, site: str = SITE) -> DataFrame:
+def listings(docs: DataFrame, as_of: Column | None = None, lexicon: Lexicon | None = None, site: str = SITE) -> DataFrame:
     """Open entries of listing pages (doc_id, text) in the schema of listings. Titles are rejected and closed entries
     dropped here, before any detail page is needed; entries with an unreadable date stay, those without a link don't."""
     rows = docs.select("doc_id", F.explode(html_rows(F.col("text"), _listed, "ordinal:int,title:string,closing:string,href:string")).alias("e")).select("doc_id", "e.*")
     rows = rows.where(~rejects_title("title", lexicon)).withColumn("closing_date", day_month_year("closing"))
-    rows = rows.where(open_on("closing_date", as_of) & (F.col("href") != ""))
+    rows = rows.where(F.col("href") != "")
+    if as_of is not None:
+        rows = rows.where(open_on("closing_date", as_of))
     return rows.select("doc_id", "ordinal", "title", resolve_url(F.lit(site), F.col("href")).alias("url"), F.lit(None).cast("date").alias("published"), "closing_date")
 
 
-def read_listings(spark: SparkSession, path: str | list[str], as_of: Column, lexicon: Lexicon | None = None) -> DataFrame:
+def read_listings(spark: SparkSession, path: str | list[str], as_of: Column | None = None, lexicon: Lexicon | None = None) -> DataFrame:
     return listings(documents(spark, path, "ISO-8859-1"), as_of, lexicon)
 
 

@@ -29,11 +29,12 @@ def _listed(root: Node) -> list[dict]:
     return out
 
 
-def listings(docs: DataFrame, as_of: Column, only_open: bool = True, site: str = SITE) -> DataFrame:
+def listings(docs: DataFrame, as_of: Column | None = None, only_open: bool = True, site: str = SITE) -> DataFrame:
     """Active entries of listing pages (doc_id, text) in the schema of listings.
 
     The link is the first into the board's folder, or else the first that isn't a script or the privacy notice; an
     entry without a publication date counts as published on as_of. only_open: without entries closed on as_of.
+    Without as_of nothing is closed, and unknown publication dates stay unknown.
     """
     rows = docs.select("doc_id", F.explode(html_rows(F.col("text"), _listed, "ordinal:int,title:string,around:string,hrefs:array<string>")).alias("e")).select("doc_id", "e.*")
     rows = rows.where(~F.lower("title").rlike(CLOSED))
@@ -42,11 +43,11 @@ def listings(docs: DataFrame, as_of: Column, only_open: bool = True, site: str =
     rows = rows.withColumn("href", F.coalesce(F.get(inside, F.lit(0)), F.get(other, F.lit(0))))
     published = F.try_to_date(F.nullif(F.regexp_extract("around", PUBLISHED, 1), F.lit("")), "dd/MM/yyyy")
     closing = spanish_date(F.nullif(F.regexp_extract(squeezed("around"), CLOSING, 1), F.lit("")))
-    rows = rows.select("doc_id", "ordinal", "title", F.coalesce(resolve_url(F.lit(site), F.col("href")), F.lit("")).alias("url"), F.coalesce(published, as_of).alias("published"), closing.alias("closing_date"))
-    return rows.where(open_on("closing_date", as_of)) if only_open else rows
+    rows = rows.select("doc_id", "ordinal", "title", F.coalesce(resolve_url(F.lit(site), F.col("href")), F.lit("")).alias("url"), (published if as_of is None else F.coalesce(published, as_of)).alias("published"), closing.alias("closing_date"))
+    return rows.where(open_on("closing_date", as_of)) if only_open and as_of is not None else rows
 
 
-def read_listings(spark: SparkSession, path: str | list[str], as_of: Column) -> DataFrame:
+def read_listings(spark: SparkSession, path: str | list[str], as_of: Column | None = None) -> DataFrame:
     return listings(documents(spark, path), as_of)
 
 
@@ -62,7 +63,7 @@ def detail_text(html: Column) -> Column:
 
 def pages(found: DataFrame, details: DataFrame | None = None) -> DataFrame:
     """Pages of entries: the listing, and below it the description where details (url, text) has the entry's page."""
-    brief = F.concat("title", F.lit("\nFecha de publicación: "), F.date_format("published", "dd/MM/yyyy"))
+    brief = F.concat("title", F.lit("\nFecha de publicación: "), F.coalesce(F.date_format("published", "dd/MM/yyyy"), F.lit("")))
     if details is None:
         rows = found.withColumn("_text", clean_text(brief))
     else:

@@ -1,0 +1,146 @@
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from nuntia.operators import classify, joins, match, select, windows
+from nuntia.schema import FINDINGS
+
+
+def test_windows(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([None, 1, None, 2, None])] + [("b", 0, None)], "k string, i int, v int")
+    rows = df.select("k", "i", windows.sticky("v", ["k"], ["i"]).alias("s"), windows.numbered(["k"], ["i"]).alias("n")).orderBy("k", "i").collect()
+    assert [(r["s"], r["n"]) for r in rows] == [(None, 1), (1, 2), (1, 3), (2, 4), (2, 5), (None, 1)]
+    chunks = windows.chunked(df, 2, ["k"], ["i"]).orderBy("k", "i").collect()
+    assert [(r["chunk"], r["chunk_pos"], r["is_first"]) for r in chunks] == [(0, 0, True), (0, 1, False), (1, 0, False), (1, 1, False), (2, 0, False), (0, 0, True)]
+    assert sorted((r["k"], r["i"]) for r in windows.first_per_key(df, ["k"], ["i"]).collect()) == [("a", 0), ("b", 0)]
+
+
+def test_numbering_overall_uses_many_partitions(spark):
+    df = spark.range(1000).select((1000 - F.col("id")).alias("x")).repartition(7)
+    rows = windows.numbered_overall(df, ["x"]).collect()
+    assert sorted((r["number"], r["x"]) for r in rows) == [(i, i) for i in range(1, 1001)]
+    assert windows.numbered_overall(df.where("x < 0"), ["x"]).collect() == []
+
+
+def test_source_names():
+    assert select.source_names() == ["BOP", "BOC", "BOE", "SAGULPA", "AENA", "EPSO", "EURES", "EULISA"]
+    assert select.source_names(["ES", "EULISA"]) == ["BOP", "BOC", "BOE", "SAGULPA", "AENA", "EULISA"]
+    assert select.source_names(["eu", "EPSO"]) == ["EPSO", "EURES", "EULISA"]
+    with pytest.raises(ValueError):
+        select.source_names(["nope"])
+    assert select.parse_date("2026-05-20") == date(2026, 5, 20)
+    with pytest.raises(ValueError, match="YYYY-MM-DD"):
+        select.parse_date("20/05/2026")
+
+
+def test_walk_back(spark):
+    have = spark.createDataFrame([(date(2026, 5, 22),), (date(2026, 5, 1),)], "d date")
+    assert tuple(select.walk_back(have, "d", F.lit(date(2026, 5, 24))).first()) == (date(2026, 5, 22), 3)
+    assert tuple(select.walk_back(have, "d", F.lit(date(2026, 5, 20))).first()) == (None, 7)
+
+
+def test_latest_bulletin(spark):
+    html = "<a href='boletines/2026/20-5-26/20-5-26.pdf'> boletines/2026/31-2-26/31-2-26.pdf boletines/2026/19-5-26/18-5-26.pdf BOLETINES/2025/1-12-25/1-12-25.pdf"
+    df = spark.createDataFrame([(html,), ("nothing",)], "html string")
+    assert tuple(select.latest_bulletin(df).first()) == ("boletines/2026/20-5-26/20-5-26.pdf", date(2026, 5, 20))
+    assert tuple(select.latest_bulletin(df.where("html = 'nothing'")).first()) == (None, None)
+
+
+@pytest.mark.parametrize(
+    "source,asked,published,empty,want",
+    [
+        ("BOP", False, False, False, "latest"), ("BOP", True, False, False, "none"), ("BOP", False, True, True, "issue"), ("BOC", False, True, True, "latest"),
+        ("BOC", False, False, False, "none"), ("BOE", False, True, True, "latest"), ("BOE", False, False, False, "latest"), ("BOE", True, True, True, "issue"), ("EPSO", False, True, True, "issue"),
+    ],
+)
+def test_fallbacks(source, asked, published, empty, want):
+    assert select.issue_or_fallback(source, asked, published, empty) == want
+
+
+def test_stale_fallbacks(spark):
+    df = spark.createDataFrame([(date(2026, 5, 20),), (date(2026, 5, 21),), (None,)], "d date")
+    day = F.lit(date(2026, 5, 21))
+    assert select.stale_fallbacks_dropped(df, "d", day, True).count() == 1
+    assert select.stale_fallbacks_dropped(df, "d", day, False).count() == 3
+    assert select.still_open(df, "d", day).count() == 2
+
+
+def findings(spark, *rows):
+    return spark.createDataFrame([("d", i, 0, "o", text, 1, ["k"], "BOC", url) for i, (text, url) in enumerate(rows)], FINDINGS)
+
+
+def test_classifier_filters_and_shares_verdicts(spark):
+    df = findings(spark, ("first", "u1"), ("second", "u1"), ("bad", "u2"), ("lone bad", ""), ("lone good", ""))
+
+    def judge(request):
+        import json
+
+        return [{"id": r["id"], "is_tech_job": "bad" not in r["text"]} for r in json.loads(request)]
+
+    kept = classify.validate(df, judge).collect()
+    assert sorted(r["description"] for r in kept) == ["first", "lone good", "second"]
+    assert classify.validate(df, None).count() == 5
+
+
+def test_classifier_keeps_all_on_failure(spark):
+    def broken(request):
+        raise RuntimeError("down")
+
+    df = findings(spark, ("a", "u1"), ("b", "u2"))
+    assert classify.validate(df, broken, sleep=lambda s: None).count() == 2
+    assert classify.validate(df, lambda r: [], sleep=lambda s: None).count() == 2
+
+
+def test_classifier_waits_and_retries():
+    waits, calls = [], []
+
+    class Limited(Exception):
+        code = 429
+
+    def judge(request):
+        calls.append(request)
+        if len(calls) < 3:
+            raise Limited() if len(calls) == 1 else ValueError("503 UNAVAILABLE")
+        return [{"id": 0, "is_tech_job": False}]
+
+    assert classify.called(judge, [{"id": 0, "text": "é{x}"}], waits.append, "jobs: {jobs_json} {y}") == {0: {"id": 0, "is_tech_job": False}}
+    assert waits == [60.0, 10.0] and calls[0] == 'jobs: [{"id": 0, "text": "é{x}"}] {y}'
+    waits.clear()
+    assert classify.called(lambda r: 1 / 0, [], waits.append, "{extracted_text}") == {} and waits == [2.0, 2.0]
+
+
+def test_batches_hold_ten_rows(spark, tmp_path):
+    df = findings(spark, *[(f"t{i}", f"u{i}") for i in range(25)]).coalesce(1)
+    log = tmp_path / "calls"
+
+    def judge(request):
+        import json
+
+        rows = json.loads(request)
+        with open(log, "a") as f:
+            f.write(f"{len(rows)}\n")
+        assert [r["id"] for r in rows] == list(range(len(rows)))
+        return []
+
+    assert classify.validate(df, judge, sleep=lambda s: None).count() == 25
+    sizes = [int(x) for x in log.read_text().split()]
+    assert sum(sizes) == 25 and max(sizes) <= 10
+
+
+def test_joins(spark):
+    a = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int")
+    v = spark.createDataFrame([(1, False), (2, True)], "k int, ok boolean")
+    assert sorted((r["k"], r["ok"]) for r in joins.with_verdicts(a, v, ["k"], "ok").collect()) == [(1, False), (2, True), (2, True), (3, True)]
+    assert sorted(r["k"] for r in joins.kept_by(a, v, ["k"]).collect()) == [1, 2, 2]
+    assert [r["k"] for r in joins.not_seen(a, v, ["k"]).collect()] == [3]
+    assert joins.union_all([a, a, a]).count() == 12
+
+
+def test_findings_are_part_of_their_paragraphs(spark, sf_dir):
+    from nuntia.plans.queries import WORDS, document_pages
+
+    pages = document_pages(spark, sf_dir)
+    paragraphs = match.explode_paragraphs(pages, "\n").select("doc_id", "para_no", F.col("paragraph").alias("description"))
+    found = match.find(pages, WORDS, "\n")
+    assert 0 < found.count() == found.join(paragraphs, ["doc_id", "para_no", "description"]).count()
