@@ -78,7 +78,7 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of rows that hold about `most` bytes together, so that work arrays stay small; one long row may exceed it."""
     row, n = 0, len(offsets) - 1
     while row < n:
