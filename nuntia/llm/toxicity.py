@@ -2,9 +2,10 @@
 
 A word is the bag of its character n-grams (with word-boundary marks), hashed into buckets. Bucket embeddings are
 averaged over the bag and go into a linear softmax; embeddings and softmax are trained jointly in numpy. A misspelt
-or inflected word that training never saw shares most n-grams, and so most vectors, with the words it did see.
-A document's evidence is its most toxic word, as toxicity is local and an average would drown it in a long text;
-training therefore alternates between choosing the strongest words of toxic documents and fitting (multiple-instance
+or inflected word that training never saw shares most n-grams, and so most vectors, with the words it did see; a few
+made-up misspellings of the strongest words take part in training, so that single n-grams learn to count.
+A document's evidence is the mean of its two most toxic words: toxicity is local, so an average over all words would
+drown it in a long text, while a single look-alike occurs in clean texts too. Training therefore alternates between choosing the strongest words of toxic documents and fitting (multiple-instance
 learning), with the words of clean documents as negatives. A logistic curve gives the document's probability.
 
 At prediction softmax(W mean(E)) over two classes is a logistic function of the mean of one number per n-gram,
@@ -31,6 +32,8 @@ BUCKETS = 1 << 17
 SHIFT = np.uint64(64 - 17)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 EVIDENCE = (-12.0, 12.0)
+#: Misspellings of each strong word that are learned with it.
+MISSPELT = 4
 
 
 @dataclass(frozen=True)
@@ -88,18 +91,45 @@ def word_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias
     return rows, total / np.maximum(count, 1) + bias
 
 
+def strongest(logits: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each run of words that begins at first: the mean of the two largest logits, or the only one."""
+    top = np.maximum.reduceat(logits, first)
+    size = np.diff(np.r_[first, len(logits)])
+    rest = logits.copy()
+    at = np.flatnonzero(logits == np.repeat(top, size))
+    run = np.searchsorted(first, at, "right")
+    rest[at[np.r_[True, run[1:] != run[:-1]]]] = -np.inf  # one word of each run
+    second = np.maximum.reduceat(rest, first)
+    return np.where(size > 1, (top + second) / 2, top)
+
+
 def evidence(data: np.ndarray, offsets: np.ndarray, model: ToxicityModel) -> np.ndarray:
-    """The largest word logit of each row, the model's floor where there is no word."""
+    """The mean of the two largest word logits of each row, the model's floor where there is no word."""
     out = np.full(len(offsets) - 1, model.floor)
     for a, b in slices(data, offsets):
         part = offsets[a : b + 1]
         rows, logits = word_scores(lowered(data[part[0] : part[-1]]), part - part[0], model.weights, model.bias)
         if len(rows):
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            out[a + rows[first]] = np.maximum.reduceat(logits, first)
+            out[a + rows[first]] = strongest(logits, first)
     return np.clip(out, *EVIDENCE)
 
 
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words (strings of bytes), one word after the other, and where each word's begin."""
+    data = np.frombuffer(" ".join(words).encode("latin-1"), np.uint8)
+    _, owner, hashes = subwords(data, np.array([0, len(data)]))
+    order = np.argsort(owner, kind="stable")
+    return hashes[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
+def misspelt(word: str, rng: np.random.Generator) -> str:
+    """The word with one letter left out, doubled, replaced, or swapped with the next."""
+    i, how = int(rng.integers(1, len(word) - 1)), int(rng.integers(4))
+    middle = ("", word[i] * 2, chr(97 + int(rng.integers(26))), word[i + 1] + word[i])[how]
+    return word[:i] + middle + word[i + 1 + (how == 3) :]
+
+
 def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim: int = 8, rounds: int = 5, epochs: int = 3, top: int = 4, seed: int = 8) -> ToxicityModel:
     """Joint training of embeddings and softmax over word types of the labelled rows."""
     y = np.array([r[1] for r in rows])
@@ -111,13 +141,10 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim:
         low = lowered(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
         low[~word_mask(low)] = 32
         docs.append(np.array(sorted({kinds.setdefault(w, len(kinds)) for w in low.tobytes().decode("latin-1").split()}), np.int64))
-    blob = " ".join(kinds).encode("latin-1")
-    data = np.frombuffer(blob, np.uint8)
-    _, words, hashes = subwords(data, np.array([0, len(data)]))
-    order = np.argsort(words, kind="stable")
-    words, hashes = words[order], hashes[order]
+    names = list(kinds)
+    own_hashes, own_at = bags(names)
     n = len(kinds)
-    at = np.searchsorted(words, np.arange(n + 1))
+    words = np.repeat(np.arange(n), np.diff(own_at))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (2, dim)).astype(np.float32), np.zeros(2, np.float32)
@@ -137,16 +164,21 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim:
         chosen[~lettered] = 0
         if (repeated := (chosen > 0) & (seen_bad >= 2)).any():  # a word of one document is rather chance
             chosen[~repeated] = 0
-        kind_ids = np.concatenate([np.flatnonzero(chosen > 0), np.flatnonzero(fixed)])
-        label = np.r_[np.ones((chosen > 0).sum(), int), np.zeros(fixed.sum(), int)]
-        weight = np.r_[np.sqrt(chosen[chosen > 0]), np.sqrt(seen_good[fixed])].astype(np.float32)
+        # misspellings of the chosen words, unless they are words of clean documents, are learned with them
+        long = [i for i in np.flatnonzero(chosen > 0) if len(names[i]) > 4]
+        wrong = [(i, v) for i in long for v in {misspelt(names[i], rng) for _ in range(MISSPELT)} if not (v in kinds and fixed[kinds[v]])]
+        more_hashes, more_at = bags([v for _, v in wrong])
+        hashes, at = np.r_[own_hashes, more_hashes], np.r_[own_at, own_at[-1] + more_at[1:]]
+        kind_ids = np.concatenate([np.flatnonzero(chosen > 0), np.arange(n, n + len(wrong)), np.flatnonzero(fixed)])
+        label = np.r_[np.ones((chosen > 0).sum() + len(wrong), int), np.zeros(fixed.sum(), int)]
+        weight = np.r_[np.sqrt(chosen[chosen > 0]), np.sqrt(chosen[[i for i, _ in wrong]]) / 2, np.sqrt(seen_good[fixed])].astype(np.float32)
         weight *= np.where(label == 1, 1.0, max(1.0, 0.5 * weight[label == 1].sum() / max(weight[label == 0].sum(), 1e-9)))
         for _ in range(epochs):
             mix = rng.permutation(len(kind_ids))
             for lo in range(0, len(mix), 512):
                 pick = mix[lo : lo + 512]
                 ids, lab, wt = kind_ids[pick], label[pick], weight[pick]
-                size = at[ids + 1] - at[ids]
+                size = np.maximum(at[ids + 1] - at[ids], 0)
                 item = np.repeat(np.arange(len(ids)), size)
                 idx = hashes[np.repeat(at[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
                 first = np.r_[0, np.cumsum(size)[:-1]]
@@ -167,10 +199,10 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim:
                 soft -= 0.2 * d_soft / np.sqrt(g_soft)
                 bias -= 0.2 * d_bias / np.sqrt(g_bias)
         flat = (emb @ (soft[1] - soft[0])).astype(np.float32)
-        size = np.maximum(np.diff(at), 1)
-        logit = np.bincount(words, flat[hashes], minlength=n) / size + float(bias[1] - bias[0])
+        size = np.maximum(np.diff(own_at), 1)
+        logit = np.bincount(words, flat[own_hashes], minlength=n) / size + float(bias[1] - bias[0])
     model = ToxicityModel(flat, float(bias[1] - bias[0]), 1.0, 0.0, EVIDENCE[0])
-    best = np.array([np.clip(logit[d].max(), *EVIDENCE) if len(d) else EVIDENCE[0] for d in docs])
+    best = np.array([np.clip(np.sort(logit[d])[-2:].mean(), *EVIDENCE) if len(d) else EVIDENCE[0] for d in docs])
     slope, intercept = platt(best, y.astype(float))
     return ToxicityModel(model.weights, model.bias, slope, intercept + prior_shift(rows, counts or {}), float(best.min()))
 
