@@ -8,8 +8,8 @@ by token. The compared stretch is what of the item lies inside the text, trimmed
 parts of items count too. It must hold `least` tokens, or half of the item if that is fewer (but not under FEWEST),
 or the whole of an item shorter than that, and at least `percent` of its tokens must agree.
 
-The masks find every overlap of 5 tokens in a row, and most of those in which every third or fourth token is
-replaced.
+The masks find every overlap of 5 tokens in a row. In simulated overlaps of 8 to 45 tokens of which a fifth is replaced,
+at random or every fifth, no one was without a hit. Items of fewer than 5 tokens say too little and are not looked for.
 
 The test table is small next to the texts and is joined where the texts are read: a bit table of its hashes drops
 nearly all windows, the sorted hashes decide about the rest, and nothing is shuffled. It is sent to executors in
