@@ -28,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from nuntia.llm.common import buffers, lowered, slices, table
 from nuntia.llm.near_dup import BASE, BYTE, GOLD, MIX2, powers, scrambled
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("11111", "1110111", "1101011", "11001011", "1101100101")
-LEAST, FEWEST, PERCENT = 13, 8, 80
+LEAST, FEWEST, PERCENT, SLACK = 13, 8, 80, 20
 PIECE_HASHES = 2_000_000
 TABLE_BITS = 22
 
@@ -82,9 +83,9 @@ def windows(hashes: np.ndarray, first: np.ndarray, mask: str, number: int) -> tu
     return ok, joined[ok]
 
 
-def best_stretch(agree: np.ndarray, percent: int) -> tuple[int, int]:
-    """The stretch with the largest sum of gains, where an agreement gains 100 - percent and a mismatch loses percent."""
-    sums = np.r_[0, np.cumsum(np.where(agree, 100 - percent, -percent))]
+def best_stretch(agree: np.ndarray, level: int) -> tuple[int, int]:
+    """The stretch with the largest sum of gains, where an agreement gains 100 - level and a mismatch loses level."""
+    sums = np.r_[0, np.cumsum(np.where(agree, 100 - level, -level))]
     low = np.minimum.accumulate(sums)
     end = int(np.argmax(sums - low))
     begin = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
@@ -135,10 +136,12 @@ def overlaps(data: np.ndarray, offsets: np.ndarray, test: TestTable, least: int,
         n_text, n_item = first[r + 1] - a, test.first[i + 1] - b
         lo, hi = max(0, -d), min(n_item, n_text - d)  # the item's tokens that lie on a token of the text
         agree = hashes[a + lo + d : a + hi + d] == test.tokens[b + lo : b + hi]
-        begin, end = best_stretch(agree, percent)
-        same, n = int(agree[begin:end].sum()), end - begin
-        if n >= min(n_item, max(FEWEST, min(least, n_item // 2))) and 100 * same >= percent * n and same > found.get((r, i), (0,))[-1]:
-            found[r, i] = (int(lo + d + begin), int(lo + begin), n, same)
+        # a level below percent bridges more mismatches, which may make the stretch too poor; so both are tried
+        for level in (percent - SLACK, percent):
+            begin, end = best_stretch(agree, level)
+            same, n = int(agree[begin:end].sum()), end - begin
+            if n >= min(n_item, max(FEWEST, min(least, n_item // 2))) and 100 * same >= percent * n and same > found.get((r, i), (0,))[-1]:
+                found[r, i] = (int(lo + d + begin), int(lo + begin), n, same)
     for (r, i), rest in sorted(found.items()):
         yield (r, i, *rest)
 
@@ -147,6 +150,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: int = LEAST
     """id, item, text_start, item_start, compared, agreeing (in tokens): the best overlap of each pair that has one."""
     spark = documents.sparkSession
     kind, item_kind = documents.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_column].dataType)
     names = [id_column, item_column, "text_start", "item_start", "compared", "agreeing"]
     schema = f"`{id_column}` {kind}, `{item_column}` {item_kind}, text_start int, item_start int, compared int, agreeing int"
     rows = documents.select(id_column, text_column)
@@ -156,7 +160,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: int = LEAST
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = shared.value
-            items = pa.array(test.ids)
+            items = pa.array(test.ids, item_type)
             for batch in batches:
                 data, offsets = buffers(batch.column(1))
                 for a, b in slices(data, offsets):

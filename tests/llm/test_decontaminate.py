@@ -27,7 +27,7 @@ def test_whole_partial_and_substituted_passages(spark):
     # 4: eight tokens of forty; 5: half of the tokens replaced; 7: no five of six tokens left in a mask's places
     assert set(rows) == {(1, 100), (2, 100), (3, 100), (6, 300), (8, 100), (12, 100), (12, 200), (13, 100)}
     assert (rows[1, 100]["text_start"], rows[1, 100]["item_start"], rows[1, 100]["compared"], rows[1, 100]["agreeing"]) == (20, 0, 40, 40)
-    assert rows[2, 100]["agreeing"] == 33 and rows[3, 100]["compared"] == 15 and rows[8, 100]["compared"] == 20
+    assert rows[2, 100]["agreeing"] == 33 and rows[2, 100]["compared"] == 39 and rows[3, 100]["compared"] == 15 and rows[8, 100]["compared"] == 20
 
 
 def test_masks_find_substitutions_anywhere(spark):
@@ -37,6 +37,14 @@ def test_masks_find_substitutions_anywhere(spark):
     assert dec.contamination(docs, items).count() == 6
 
 
+def test_every_fifth_token_replaced_and_exact_parts_before_poor_ones(spark):
+    item = words(45, 6)
+    texts = [replaced(item, range(4, 45, 5)), item[:13] + replaced(item[13:], range(0, 32, 3))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = dec.contamination(docs, spark.createDataFrame([(1, " ".join(item))], "item_id short, text string")).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["agreeing"]) for r in rows] == [(0, 36), (1, 13)]
+
+
 def test_rows_repeat_and_items_come_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(dec, "PIECE_HASHES", 200)
     items = spark.createDataFrame([(i, " ".join(words(20, i))) for i in range(7)], "item_id long, text string")
