@@ -26,12 +26,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = state
         # large star: neighbours above a node go to the smallest of node and neighbours
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # written first, so that the join deals out its own input and Spark can split a node of very many neighbours
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: neighbours below a node, and the node, go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = written(small.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
         discard(current)
+        discard(least)
         current = after
     raise RuntimeError("the components have not settled")
