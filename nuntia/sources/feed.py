@@ -61,3 +61,22 @@ def read_feeds(spark: SparkSession, fetch: Callable[[str, date | None], bytes |
 def last_days(day: date, days: int = 7) -> list[date]:
     """A day and those before it, latest first."""
     return [day - timedelta(n) for n in range(days)]
+
+
+def fetch_each(df: DataFrame, column: str, fetch: Callable[[str], bytes | str | None]) -> DataFrame:
+    """content and error for every distinct address in a column: detail pages and documents of listings that have been
+    filtered. Addresses are spread over executors; one that fails has its message in error and no content."""
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for address in frame[column]:
+                try:
+                    got = fetch(address)
+                    rows.append((address, got.encode() if isinstance(got, str) else got, None))
+                except Exception as e:
+                    rows.append((address, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[column, "content", "error"])
+
+    return df.select(column).where(f"`{column}` IS NOT NULL").distinct().mapInPandas(run, f"`{column}` string, content binary, error string")
