@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import buffers, slices, table
+from nuntia.llm.common import LONG, buffers, slices, table
 
 HEAD, MIDDLE, END = b"### ", b": ", b" </turn>\n"
 BACKSLASH, MARKS, ROLE_MARKS = 92, b"\\#<", b"\\#<:"
@@ -35,11 +35,15 @@ PARTS = "conv_id {0}, part long, turns int, content string, loss_starts array<lo
 
 def escaped(data: np.ndarray, offsets: np.ndarray, marks: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets with a backslash before each of the marks."""
-    marked = np.isin(data, np.frombuffer(marks, np.uint8))
-    before = np.cumsum(marked)
-    out = np.full(len(data) + (int(before[-1]) if len(data) else 0), BACKSLASH, np.uint8)
-    out[np.arange(len(data)) + before] = data
-    return out, offsets + np.r_[0, before][offsets]
+    marked = np.zeros(len(data), bool)
+    for mark in marks:
+        marked |= data == mark
+    places = np.flatnonzero(marked)  # few, so texts need no index for each byte
+    out = np.full(len(data) + len(places), BACKSLASH, np.uint8)
+    fill = np.ones(len(out), bool)
+    fill[places + np.arange(len(places))] = False
+    out[fill] = data
+    return out, offsets + np.searchsorted(places, offsets)
 
 
 def escapers(data: np.ndarray) -> np.ndarray:
@@ -61,7 +65,11 @@ def assemble(roles: tuple, texts: tuple) -> tuple[np.ndarray, np.ndarray, np.nda
     for at, mark in ((starts[:-1], HEAD), (role_to + role_len, MIDDLE), (text_to + text_len, END)):
         out[at[:, None] + np.arange(len(mark))] = np.frombuffer(mark, np.uint8)
     for data, source, to, size in ((role, role_at, role_to, role_len), (text, text_at, text_to, text_len)):
-        out[np.arange(len(data)) + np.repeat(to - source[:-1], size)] = data
+        if len(data) <= LONG:
+            out[np.arange(len(data)) + np.repeat(to - source[:-1], size)] = data
+        else:  # a long turn is copied as one run
+            for a, b, n in zip(source[:-1].tolist(), to.tolist(), size.tolist(), strict=True):
+                out[b : b + n] = data[a : a + n]
     return out, starts, text_to, text_to + text_len
 
 

@@ -88,6 +88,27 @@ def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18) -> Iterat
         row = end
 
 
+#: Bytes above which a single row is worked on in pieces, too.
+LONG = 1 << 20
+
+
+def pieces(data: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """A long row in runs of about `most` bytes that end with white space, so that no word is cut."""
+    begin, n = 0, len(data)
+    while n - begin > most:
+        end = 0
+        for at in range(begin + most, n, 1 << 16):
+            near = data[at : at + (1 << 16)]
+            if len(hit := np.flatnonzero((near == 32) | ((near >= 9) & (near <= 13)))):
+                end = at + int(hit[0]) + 1
+                break
+        if not end:
+            break
+        yield data[begin:end]
+        begin = end
+    yield data[begin:]
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A copy with A-Z in lower case; other bytes stay."""
     out = data.copy()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nuntia.llm.common import buffers, lowered, slices, table
+from nuntia.llm.common import LONG, buffers, lowered, pieces, slices, table
 from nuntia.llm.near_dup import BASE, BYTE, GOLD, MIX2, powers, scrambled
 
 #: 1: the token counts, 0: it is ignored.
@@ -51,6 +51,17 @@ def folded(data: np.ndarray) -> np.ndarray:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token of all rows, and each row's first token (one more at the end)."""
+    if len(data) > LONG:
+        parts, counts = [], []
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            own = [hashed_tokens(x, np.array([0, len(x)]))[0] for x in pieces(data[a:b])]
+            parts += own
+            counts.append(sum(map(len, own)))
+        return np.concatenate(parts), np.r_[0, np.cumsum(counts)]
+    return hashed_tokens(data, offsets)
+
+
+def hashed_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low, n = folded(data), len(data)
     inside = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128)
     cut = np.zeros(n + 1, bool)

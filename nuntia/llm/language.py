@@ -84,17 +84,20 @@ def backward(grads: np.ndarray, kept: list, tokens: np.ndarray, x: np.ndarray, u
     return dx, du
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens (STEPS, windows), padded with 0; each window's row and its number of bytes."""
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte and number of bytes of each window."""
     counts = -(-np.diff(offsets) // STEPS)
     row = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    start = offsets[row] + STEPS * (np.arange(len(row)) - first[row])
-    length = np.minimum(STEPS, offsets[row + 1] - start)
+    start = offsets[row] + STEPS * (np.arange(len(row)) - (np.cumsum(counts) - counts)[row])
+    return row, start, np.minimum(STEPS, offsets[row + 1] - start)
+
+
+def tokens_of(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """(STEPS, windows): the windows' bytes, padded with 0."""
     at = start[None, :] + np.arange(STEPS)[:, None]
-    tokens = np.r_[data, np.uint8(0)][np.minimum(at, len(data))]
+    tokens = data[np.minimum(at, max(len(data) - 1, 0))]
     tokens[np.arange(STEPS)[:, None] >= length[None, :]] = 0
-    return tokens, row, length
+    return tokens
 
 
 def label_probabilities(tokens: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -113,11 +116,10 @@ def pooled(data: np.ndarray, offsets: np.ndarray, model: LanguageModel, at_once:
     """(rows, languages): mean probability over a row's positions, 0 for empty rows."""
     total = np.zeros((len(offsets) - 1, len(model.languages)))
     for a, b in slices(data, offsets):
-        part = offsets[a : b + 1]
-        tokens, row, length = windows(data[part[0] : part[-1]], part - part[0])
+        row, start, length = windows(offsets[a : b + 1])
         for i in range(0, len(row), at_once):
             j = slice(i, i + at_once)
-            p = label_probabilities(tokens[:, j], model.weights)
+            p = label_probabilities(tokens_of(data, start[j], length[j]), model.weights)
             short = np.flatnonzero(length[j] < STEPS)
             sums = p.sum(0)
             for k in short:
@@ -137,7 +139,8 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, batch: int = 256, most_win
     parts = [t.encode("utf-8", "replace") for t, k in rows if t]
     label = np.array([languages.index(k) for t, k in rows if t])
     offsets = np.r_[0, np.cumsum([len(p) for p in parts])]
-    tokens, row, length = windows(np.frombuffer(b"".join(parts), np.uint8), offsets)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    row, start, length = windows(offsets)
     label = label[row]
     share = most_windows // len(languages)
     chosen = np.concatenate([rng.permutation(np.flatnonzero(label == k))[:share] for k in range(len(languages))])
@@ -149,7 +152,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, batch: int = 256, most_win
         mix = rng.permutation(chosen)
         for lo in range(0, len(mix), batch):
             pick = mix[lo : lo + batch]
-            x, y = tokens[:, pick], label[pick]
+            x, y = tokens_of(data, start[pick], length[pick]), label[pick]
             kf, kb = [], []
             fore, back = advance(w["Xf"], w["Uf"], x, kf), advance(w["Xb"], w["Ub"], x[::-1], kb)
             both = np.concatenate([fore, back[::-1]], 1)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import buffers, discard, lowered, slices, small, table, written
+from nuntia.llm.common import LONG, buffers, discard, lowered, pieces, slices, small, table, written
 from nuntia.llm.components import components
 
 ROWS, MISS = 4, 1e-5
@@ -66,7 +66,19 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all rows, A-Z lowered, and for each row the number of its first word (one more at the end)."""
-    n_rows, n = len(offsets) - 1, len(data)
+    n = len(data)
+    if n > LONG:
+        parts, counts = [], []
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            own = [hashed_words(x, np.array([0, len(x)]))[0] for x in pieces(data[a:b])]
+            parts += own
+            counts.append(sum(map(len, own)))
+        return np.concatenate(parts), np.r_[0, np.cumsum(counts)]
+    return hashed_words(data, offsets)
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
     low = lowered(data)
     space = (low == 32) | ((low >= 9) & (low <= 13))
     prior = np.ones(n, bool)

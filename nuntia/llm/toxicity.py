@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import buffers, fold, labelled_sample, lowered, platt, prior_shift, sigmoid, slices, table
+from nuntia.llm.common import LONG, buffers, fold, labelled_sample, lowered, pieces, platt, prior_shift, sigmoid, slices, table
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -108,7 +108,13 @@ def evidence(data: np.ndarray, offsets: np.ndarray, model: ToxicityModel) -> np.
     out = np.full(len(offsets) - 1, model.floor)
     for a, b in slices(data, offsets):
         part = offsets[a : b + 1]
-        rows, logits = word_scores(lowered(data[part[0] : part[-1]]), part - part[0], model.weights, model.bias)
+        own = data[part[0] : part[-1]]
+        if len(own) > LONG:  # one long row; the two strongest words of each piece are enough
+            top = [np.sort(word_scores(lowered(x), np.array([0, len(x)]), model.weights, model.bias)[1])[-2:] for x in pieces(own)]
+            if len(top := np.sort(np.concatenate(top))):
+                out[a : b] = np.where(np.diff(part) > 0, top[-2:].mean(), model.floor)
+            continue
+        rows, logits = word_scores(lowered(own), part - part[0], model.weights, model.bias)
         if len(rows):
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             out[a + rows[first]] = strongest(logits, first)
