@@ -1,8 +1,9 @@
 """Compression classifier for text quality.
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled texts. A text is cut into blocks, each
-block is compressed with either dictionary, and d = (bad size - good size) / (bad size + good size) over all blocks
-says which of the two explains it better. Blocks keep the dictionaries' influence alike at every text length.
+block is compressed with either dictionary, and d = (bad size - good size) / text size over all blocks says which of
+the two explains it better. Blocks keep the dictionaries' influence alike at every text length; dividing by the text's
+own size leaves a text that repeats itself, and so compresses well with either, without the credit of good text.
 A logistic curve, fitted on labelled rows that the dictionaries have not seen, turns d into a probability of label 1;
 it holds at the labels' true shares, and short texts are drawn towards these shares as their d says little.
 Lines that good and bad rows share are no evidence and stay out of both dictionaries.
@@ -28,7 +29,7 @@ from nuntia.llm.common import fold, labelled_sample, platt, prior_shift, sigmoid
 BLOCK = 512
 LEVEL = 3
 #: Bytes of text at which d and the labels' shares weigh the same.
-HALF = 48
+HALF = 80
 
 
 @dataclass(frozen=True)
@@ -57,15 +58,16 @@ def blocks(text: str) -> list[bytes]:
 
 
 def difference(text: str, coders: tuple) -> float:
-    """Normalised difference of the compressed sizes: above 0 where the good dictionary does better."""
+    """Difference of the compressed sizes per byte of text: above 0 where the good dictionary does better."""
     good, bad = coders
     if good is None or bad is None:
         return 0.0
-    g = b = 0
+    g = b = n = 0
     for block in blocks(text):
         g += len(good.compress(block))
         b += len(bad.compress(block))
-    return (b - g) / (b + g)
+        n += len(block)
+    return (b - g) / n
 
 
 def dictionary(texts: list[str], size: int) -> bytes:
