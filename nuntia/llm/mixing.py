@@ -32,10 +32,10 @@ SEED = 9
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> dict[str | None, float]:
     """Words wanted of each source: min(repeats * size, level * weight), at the level where they add up to all words."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    weight, place = {s: weights[i % len(weights)] for i, s in enumerate(order)}, {s: i for i, s in enumerate(order)}
     left, load = sum(sizes.values()), sum(weight.values())
     level = 0.0
-    for s in sorted(order, key=lambda s: (repeats * sizes[s] / weight[s], order.index(s))):
+    for s in sorted(order, key=lambda s: (repeats * sizes[s] / weight[s], place[s])):
         level = left / load
         if level <= repeats * sizes[s] / weight[s]:
             break
@@ -48,6 +48,31 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, re
 def route(capacity: dict[tuple, int], quota: dict[str | None, int], repeats: int = REPEATS) -> dict[tuple, dict[str | None, int]]:
     """Min-cost flow from patterns (tuples of sources) to sources: words by pattern and source.
 
+    Sources that no pattern joins, directly or over others, share no words, so each such set is a graph of its own.
+    """
+    up: dict = {}
+
+    def root(s):
+        while up.get(s, s) != s:
+            s = up[s]
+        return s
+
+    for p in capacity:
+        for s in p[1:]:
+            if root(s) != root(p[0]):
+                up[root(s)] = root(p[0])
+    parts: dict = {}
+    for p in sorted(capacity, key=repr):
+        parts.setdefault(root(p[0]) if p else (), []).append(p)
+    flow: dict = {}
+    for patterns in parts.values():
+        flow |= routed({p: capacity[p] for p in patterns}, {s: quota[s] for p in patterns for s in p if s in quota}, repeats)
+    return flow
+
+
+def routed(capacity: dict[tuple, int], quota: dict[str | None, int], repeats: int) -> dict[tuple, dict[str | None, int]]:
+    """The flow of one connected graph.
+
     Successive cheapest paths with potentials; copy number j of a pattern costs j, so costs are convex. Each step
     fills an arc, and arcs are taken in sorted order, so the result is the same in every run.
     """
