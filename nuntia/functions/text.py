@@ -13,9 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What ends a line, and what counts as white space at the ends of a text.
+#: What ends a line, and what counts as white space, as a pattern and as single characters.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 SPACE = r"[\s\x1C-\x1F]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Lines with these patterns are page headers, footers and signatures of printed bulletins.
 BOILERPLATE = (
     r"bolet[ií]n\s+oficial\s+de\s+la\s+provincia\s+de\s+las\s+palmas",
@@ -38,8 +39,8 @@ def java(pattern: str, case: bool = False) -> str:
 
 
 def strip(c: Column | str) -> Column:
-    """Without white space of any kind at both ends (trim() takes spaces only)."""
-    return F.regexp_replace(col(c), rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    """Without white space of any kind at both ends (trim() alone takes spaces only). Looks at the ends only."""
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def squeezed(c: Column | str) -> Column:
@@ -84,8 +85,10 @@ def plain(text: str) -> str:
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Letters without marks, by a translation table and so inside the JVM. Only Hangul stays composed."""
-    return F.regexp_replace(F.translate(col(c), *_folds()), r"\p{Mn}", "")
+    """Letters without marks, by a translation table and so inside the JVM. Only Hangul stays composed. Text in ASCII,
+    as its number of bytes tells, has none and is left alone."""
+    text = col(c)
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.regexp_replace(F.translate(text, *_folds()), r"\p{Mn}", ""))
 
 
 # Cleaning ---------------------------------------------------------------------------------------------------------
