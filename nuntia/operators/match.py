@@ -10,10 +10,20 @@ from nuntia.operators.lexicon import REJECTED_WORDS, Lexicon, either
 from nuntia.schema import NO_ORGANISM, SOURCE_GROUPS
 
 
-def explode_paragraphs(pages: DataFrame, separator: str = r"\n\n", text: str = "text") -> DataFrame:
-    """One row per paragraph that isn't blank: para_no, its place in the text from 0, and paragraph, trimmed."""
-    out = pages.select("*", F.posexplode(F.split(text, separator)).alias("para_no", "paragraph"))
-    return out.withColumn("paragraph", strip("paragraph")).where(F.col("paragraph") != "")
+def explode_paragraphs(pages: DataFrame, separator: str = r"\n\n", text: str = "text", fold: bool = False) -> DataFrame:
+    """One row per paragraph that isn't blank: para_no, its place in the text from 0, and paragraph, trimmed.
+
+    fold: also folded, the paragraph without accents. It is made while the text is taken apart, so that filters and
+    projections above read it instead of each making it again. The outer form is for the same reason: for the plain
+    one, Spark adds a filter that takes every text apart a second time.
+    """
+    parts = F.split(text, separator)
+    if fold:
+        parts = F.transform(parts, lambda p: F.struct(strip(p).alias("paragraph"), strip_accents(strip(p)).alias("folded")))
+        out = pages.select("*", F.posexplode_outer(parts).alias("para_no", "_part")).select("*", "_part.*").drop("_part")
+    else:
+        out = pages.select("*", F.posexplode_outer(parts).alias("para_no", "paragraph")).withColumn("paragraph", strip("paragraph"))
+    return out.where(F.col("paragraph") != "")
 
 
 def matched(text: Column | str, patterns: list[str], names: list[str]) -> Column:
@@ -31,7 +41,7 @@ def scrubbed_text(folded: Column | str, lexicon: Lexicon) -> Column:
 def match_terms(paragraphs: DataFrame, lexicon: Lexicon, text: str = "paragraph", excluded: bool = True) -> DataFrame:
     """Step 1 for Spanish sources: rows in which a term occurs once exclusion phrases are taken out; adds
     folded (text without accents) and matched_keywords. One alternation decides before single terms are looked up."""
-    out = paragraphs.withColumn("folded", strip_accents(text))
+    out = paragraphs if "folded" in paragraphs.columns else paragraphs.withColumn("folded", strip_accents(text))
     target = scrubbed_text("folded", lexicon) if excluded else F.col("folded")
     out = out.withColumn("scrubbed", target).where(F.col("scrubbed").rlike(either(lexicon.folded("terms"))))
     return out.withColumn("matched_keywords", matched("scrubbed", lexicon.folded("terms"), list(lexicon.terms))).drop("scrubbed")
@@ -61,8 +71,8 @@ def find(pages: DataFrame, lexicon: Lexicon | None = None, separator: str = r"\n
     what that leaves; single terms are looked up in the few rows that pass both.
     """
     lexicon = lexicon or Lexicon()
-    rows = explode_paragraphs(pages, separator).withColumn("european", F.coalesce(F.col("source").isin(*SOURCE_GROUPS["EU"]), F.lit(False)))
-    folded = strip_accents("paragraph")
+    rows = explode_paragraphs(pages, separator, fold=True).withColumn("european", F.coalesce(F.col("source").isin(*SOURCE_GROUPS["EU"]), F.lit(False)))
+    folded = F.col("folded")
     scrubbed = scrubbed_text(folded, lexicon)
     spanish = folded.rlike(either(lexicon.folded("anchors"))) & scrubbed.rlike(either(lexicon.folded("terms")))
     english = F.col("paragraph").rlike(either(lexicon.raw("english_terms")))

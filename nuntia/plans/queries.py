@@ -62,8 +62,8 @@ def document_pages(spark: SparkSession, sf_dir: str, source: Column | None = Non
     )
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.explode_paragraphs(document_pages(spark, sf_dir), "\n")
+def document_lines(spark: SparkSession, sf_dir: str, fold: bool = False) -> DataFrame:
+    return match.explode_paragraphs(document_pages(spark, sf_dir), "\n", fold=fold)
 
 
 #: Lines that aren't blank, with their number; folded: without accents.
@@ -100,7 +100,7 @@ def two_step_scan_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {SQL_LINES} SELECT doc_id, para_no, md5({SQL_SCRUB}) AS scrubbed FROM kept WHERE {SQL_SCRUB} <> folded""")
 def exclusion_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = document_lines(spark, sf_dir).withColumn("folded", text.strip_accents("paragraph"))
+    rows = document_lines(spark, sf_dir, fold=True)
     rows = rows.withColumn("scrubbed", text.scrub("folded", WORDS.folded("exclusions"))).where("scrubbed != folded")
     return rows.select("doc_id", long("para_no").alias("para_no"), F.md5(F.col("scrubbed").cast("binary")).alias("scrubbed"))
 
@@ -108,14 +108,15 @@ def exclusion_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {SQL_LINES}, hits AS (SELECT *, list_filter({SQL_TERMS}, lambda p: regexp_matches({SQL_SCRUB}, '(?i)' || p)) AS m FROM kept)
 SELECT doc_id, para_no, CAST(len(m) AS BIGINT) AS n, array_to_string(m, '|') AS matched FROM hits WHERE len(m) > 0""")
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = match.match_terms(document_lines(spark, sf_dir), WORDS)
+    hits = match.match_terms(document_lines(spark, sf_dir, fold=True), WORDS)
     return hits.select("doc_id", long("para_no").alias("para_no"), long(F.size("matched_keywords")).alias("n"), F.array_join("matched_keywords", "|").alias("matched"))
 
 
 @query(rf"""WITH {SQL_LINES}, hits AS (SELECT doc_id, unnest(list_filter({SQL_TERMS}, lambda p: regexp_matches({SQL_SCRUB}, '(?i)' || p))) AS keyword FROM kept)
 SELECT keyword, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM hits GROUP BY keyword""")
 def keyword_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = match.match_terms(document_lines(spark, sf_dir), WORDS).select("doc_id", F.explode("matched_keywords").alias("keyword"))
+    # outer, as no list is empty and Spark would look up all terms a second time to drop empty ones
+    hits = match.match_terms(document_lines(spark, sf_dir, fold=True), WORDS).select("doc_id", F.explode_outer("matched_keywords").alias("keyword"))
     return hits.groupBy("keyword").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -189,7 +190,7 @@ def conversation_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {SQL_LINES} SELECT doc_id, para_no, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) AS page_number, para_no + 1 AS row_index FROM kept WHERE regexp_matches(folded, '(?i)thanea')""")
 def renumber_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of kept rows, without gaps and with them."""
-    rows = document_lines(spark, sf_dir).where(text.strip_accents("paragraph").rlike(text.java("thanea")))
+    rows = document_lines(spark, sf_dir, fold=True).where(F.col("folded").rlike(text.java("thanea")))
     return rows.select("doc_id", long("para_no").alias("para_no"), long(windows.numbered(["doc_id"], ["para_no"])).alias("page_number"), (long("para_no") + 1).alias("row_index"))
 
 
