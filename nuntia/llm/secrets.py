@@ -1,6 +1,6 @@
 r"""Secret scan with DataFrame functions alone.
 
-Three kinds of base spans come from patterns (`assign`, `access`, `hex`). Spark has no function for the places of
+Three kinds of base spans come from patterns (`assign`, `access`, `hex`; either case means A-Z and a-z). Spark has no function for the places of
 regular expression matches, so a text is split at the same pattern: lengths of the pieces and matches, added up, are
 the places. Lengths are code points.
 

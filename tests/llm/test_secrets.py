@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from nuntia.llm import secrets as sec
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+# either case of A-Z; without the flag a, Python would also take the long s and the Kelvin sign for letters of these words
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
 def base(t):
