@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import shared_dir, small, table
+from nuntia.llm.common import shared_dir, small, table, written
 from nuntia.llm.decontaminate import contamination
 from nuntia.llm.mixing import mixed_by_source
 from nuntia.llm.near_dup import near_duplicates
@@ -27,7 +27,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Of rows that repeat id and text one stays. Documents without words or without an id stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"), 5, 80)
-    gone = small(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    gone = small(written(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone"))
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -35,8 +35,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(small(found.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    found = written(contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(small(found), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
