@@ -134,16 +134,17 @@ def word_count(text_column: str) -> Column:
     return F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", sources: Column | None = None, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", sources: Column | None = None, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, size: Column | None = None) -> DataFrame:
     """(row, sources, size, taken) of each document: all its columns, its sources, its words, and how many of them the
     mix takes (repeats counted).
 
-    sources: an array column of the sources a document belongs to; by default its column `source` alone.
+    sources: an array column of the sources a document belongs to; by default its column `source` alone. size: by
+    default the number of words in the text; it is read twice, so give a column where it is known.
     Attributes of the result: source_sizes, source_targets and flow, plain dicts by source and pattern.
     """
     spark = documents.sparkSession
     sources = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
-    sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), sources.alias("sources"), word_count(text_column).alias("size"), seeded_bin(id_column, seed).alias("bin"))
+    sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), sources.alias("sources"), (word_count(text_column) if size is None else size).alias("size"), seeded_bin(id_column, seed).alias("bin"))
     bins = written(sized.groupBy("sources", "bin").agg(F.sum("size").alias("words")), "bins")
     capacity = {tuple(r["sources"] or ()): int(r["words"]) for r in bins.groupBy("sources").agg(F.sum("words").alias("words")).collect()}
     sizes: dict[str | None, int] = {}
@@ -168,12 +169,12 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return out
 
 
-def mixed_by_source(documents: DataFrame) -> DataFrame:
+def mixed_by_source(documents: DataFrame, size: Column | None = None) -> DataFrame:
     """All columns of documents, each document in its one source, with size, source_size, target and taken.
 
     Columns of the input that have one of these four names are replaced.
     """
-    mixed = mix(documents)
+    mixed = mix(documents, size=size)
     rows = [(s, n, mixed.source_targets[s]) for s, n in mixed.source_sizes.items()]
     facts = documents.sparkSession.createDataFrame(rows, "name string, source_size long, target double")
     added = ["size", "source_size", "target", "taken"]
@@ -183,7 +184,8 @@ def mixed_by_source(documents: DataFrame) -> DataFrame:
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed with weights 5, 2, 1, repeating over the sources."""
-    return mixed_by_source(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
+    documents = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("words")), "sizes")
+    return mixed_by_source(documents, F.col("words")).drop("source", "words")
 
 
 ORACLE = r"""
