@@ -7,6 +7,12 @@ a temperature fitted on held-out variants of the notices calibrates the probabil
 comparison with the family's templates: of the words of one of them, at least CONFIRM must occur. What isn't
 confirmed, or isn't likely enough, is reported as `unknown`.
 
+Notices that are wrapped are read on: the last REACH words of a line are joined with up to REACH words of the non-blank
+lines below it (a line of comment marks only is blank), and classified together. The notice is reported at the line where
+it begins, as one window more than the line has, if the joined words confirm a family that the line doesn't, by more
+of a template's words than either part has. A line that continues such a notice is not reported for the part that it
+holds: a line `General Public License` after `GNU Lesser` is no `gpl`.
+
 The few hundred weights are constants of the query plan, so paragraphs are scored where they are read: no join, no
 shuffle, no grouping of paragraphs that many documents share.
 
@@ -27,11 +33,12 @@ from pyspark.sql import functions as F
 from nuntia.llm.common import table
 
 UNKNOWN, CONFIRM, LIKELY = "unknown", 0.7, 0.5
-WINDOW, STRIDE = 120, 60
-GATE = r"(?i:licen[cs]|copyright|copyleft|public domain|creative commons|spdx|warrant|redistribut|permission)|\b(?:[AL]?GPL|MIT|BSD|Apache|Mozilla|MPL|CC0|CC.BY|ISC)\b"
+WINDOW, STRIDE, REACH = 120, 60, 60
+GATE = r"(?i:licen[cs]|copyright|copyleft|public\W+domain|creative\W+commons|spdx|warrant|redistribut|permission)|\b(?:[AL]?GPL|MIT|BSD|Apache|Mozilla|MPL|CC0|CC[\W_]+BY|ISC)\b"
+SOME = r"[\p{L}\p{N}]"
 #: How notices of each family read.
 NOTICES = {
-    "agpl": ("GNU Affero General Public License", "licensed under the GNU Affero General Public License, version 3", "AGPL-3.0", "licensed under the AGPL v3"),
+    "agpl": ("GNU Affero General Public License", "licensed under the GNU Affero General Public License, version 3", "AGPL-3.0", "licensed under the AGPL v3", "GNU Affero General Public License as published by the Free Software Foundation"),
     "apache": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "Apache-2.0", "distributed under the Apache 2.0 license", "Apache Software License"),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSD 3-Clause License", "released under the BSD license", "licensed under the BSD 2-Clause License", "BSD-3-Clause"),
     "cc-by": ("Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "available under the CC BY 4.0 license", "CC-BY-4.0"),
@@ -40,7 +47,7 @@ NOTICES = {
     "cc0": ("CC0 1.0 Universal public domain dedication", "dedicated to the public domain under CC0", "CC0-1.0"),
     "gpl": ("licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation", "released under the GPL v3", "GPL-3.0-or-later", "distributed under the GNU GPL version 2"),
     "isc": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "ISC License", "released under the ISC license"),
-    "lgpl": ("licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1-or-later", "distributed under the LGPL v3", "GNU Library General Public License"),
+    "lgpl": ("licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1-or-later", "distributed under the LGPL v3", "GNU Library General Public License", "GNU Lesser General Public License as published by the Free Software Foundation"),
     "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License", "licensed under the terms of the MIT license"),
     "mpl": ("subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "MPL-2.0", "licensed under the MPL 2.0"),
     "unlicense": ("This is free and unencumbered software released into the public domain", "released under the Unlicense", "The Unlicense"),
@@ -118,6 +125,27 @@ def spoken(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
+def alike(said: Column, family: Column) -> Column:
+    """The largest share of a template's words that occur, over the templates of a family."""
+    likeness = F.lit(0.0)
+    for k, notices in NOTICES.items():
+        each = [F.size(F.array_intersect(said, literals(sorted(set(words(n)))))) / len(set(words(n))) for n in notices]
+        likeness = F.when(family == k, F.greatest(*each)).otherwise(likeness)
+    return likeness
+
+
+def sure(c: Column) -> Column:
+    """The family if it is likely and confirmed, or else unknown."""
+    return F.when((c["probability"] >= LIKELY) & (c["likeness"] >= CONFIRM), c["family"]).otherwise(UNKNOWN)
+
+
+def template_words(family: Column) -> Column:
+    out = F.array().cast("array<string>")
+    for k, notices in NOTICES.items():
+        out = F.when(family == k, literals(sorted({w for n in notices for w in words(n)}))).otherwise(out)
+    return out
+
+
 def classified(said: Column, model: LicenceModel) -> Column:
     """(family, probability, likeness) of an array of words."""
     place = F.map_from_arrays(literals(list(model.features)), F.array(*[F.lit(i + 1) for i in range(len(model.features))]))
@@ -138,11 +166,7 @@ def classified(said: Column, model: LicenceModel) -> Column:
         return F.struct(family.alias("family"), (1 / total).alias("probability"))
 
     def compared(c: Column) -> Column:
-        likeness = F.lit(0.0)
-        for k, notices in NOTICES.items():
-            each = [F.size(F.array_intersect(said, literals(sorted(set(words(n)))))) / len(set(words(n))) for n in notices]
-            likeness = F.when(c["family"] == k, F.greatest(*each)).otherwise(likeness)
-        return F.struct(c["family"].alias("family"), c["probability"].alias("probability"), likeness.alias("likeness"))
+        return F.struct(c["family"].alias("family"), c["probability"].alias("probability"), alike(said, c["family"]).alias("likeness"))
 
     step = F.array(known)
     for f in (scored, chosen, compared):  # one-element arrays bind each step's value once
@@ -153,14 +177,52 @@ def classified(said: Column, model: LicenceModel) -> Column:
 def licence_paragraphs(documents: DataFrame, model: LicenceModel | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows for all paragraphs with licence words: id, paragraph and window (from 0), family, probability, likeness, content."""
     model = model or fitted()
-    lines = F.transform(F.split(F.col(text_column), "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("content")))
-    hit = documents.where(F.col(text_column).rlike(GATE)).select(id_column, F.explode(F.filter(lines, lambda v: v["content"].rlike(GATE))).alias("p")).select(id_column, "p.*")
-    said = hit.withColumn("said", spoken(F.col("content")))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("said") - (WINDOW - STRIDE) - 1), F.lit(STRIDE))
-    parts = said.select(id_column, "paragraph", "content", "said", F.posexplode(starts).alias("window", "start"))
-    judged = parts.select(id_column, "paragraph", "window", "content", classified(F.slice("said", F.col("start") + 1, WINDOW), model).alias("c"))
-    sure = (F.col("c.probability") >= LIKELY) & (F.col("c.likeness") >= CONFIRM)
-    return judged.select(id_column, "paragraph", "window", F.when(sure, F.col("c.family")).otherwise(UNKNOWN).alias("family"), F.col("c.probability").alias("probability"), F.col("c.likeness").alias("likeness"), "content")
+    text = F.col(text_column)
+    lines = documents.where(text.rlike(GATE)).select(id_column, F.split(text, "\n").alias("lines"))
+
+    def at(i: Column) -> Column:
+        """The line i (from 0), or an empty one outside the text."""
+        return F.when(i >= 0, F.coalesce(F.get("lines", i), F.lit(""))).otherwise("")
+
+    def place(i: Column) -> Column:
+        """Only lines that may hold or begin a notice, or that continue the line above."""
+        near = F.when(F.concat_ws("\n", at(i), at(i + 1)).rlike(GATE), F.struct(i.alias("paragraph"), at(i).alias("content"), at(i - 1).alias("above")))
+        return F.when(at(i).rlike(SOME), near)
+
+    def read_on(below: Column) -> Column:
+        """The first words of lines, up to a blank one."""
+        end = F.array_position(F.transform(below, lambda v: v.rlike(SOME)), False)
+        upto = F.when(end > 0, F.slice(below, 1, F.greatest(end.cast("int") - 1, F.lit(0)))).otherwise(below)
+        return F.slice(F.aggregate(upto, F.array().cast("array<string>"), lambda acc, v: F.when(F.size(acc) >= REACH, acc).otherwise(F.concat(acc, spoken(v)))), 1, REACH)
+
+    places = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), place), lambda v: v.isNotNull())
+    hit = lines.select(id_column, "lines", F.explode(places).alias("p")).select(id_column, "p.*", F.slice("lines", F.col("p.paragraph") + 2, REACH).alias("below"))
+    said = hit.select(id_column, "paragraph", "content", spoken(F.col("content")).alias("said"), spoken(F.col("above")).alias("above"), read_on(F.col("below")).alias("below"))
+    starts = F.when(F.col("content").rlike(GATE), F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("said") - (WINDOW - STRIDE) - 1), F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
+    parts = said.select("*", F.posexplode(F.concat(starts, F.array(F.lit(-1)))).alias("window", "start"))
+    tail = lambda c: F.slice(c, F.greatest(F.size(c) - REACH + 1, F.lit(1)), REACH)
+    alone, nothing = F.col("start") >= 0, F.array().cast("array<string>")
+    here = F.when(alone, F.slice("said", F.greatest(F.col("start") + 1, F.lit(1)), WINDOW)).otherwise(nothing)
+    one = F.when(~alone, tail(F.col("said"))).when(F.col("start") == 0, tail(F.col("above"))).otherwise(nothing)
+    two = F.when(~alone, F.col("below")).when(F.col("start") == 0, F.slice("said", 1, REACH)).otherwise(nothing)
+    joined = F.when((F.size(one) > 0) & (F.size(two) > 0), F.array(here, F.concat(one, two), one, two)).otherwise(F.array(here))
+
+    def result(v: Column) -> Column:
+        """What a row reports: its window, unless that continues the line above, or what begins in it and goes on below."""
+        said_, c = v["said"], v["c"]
+        own, over = F.get(c, 0), F.get(c, 1)
+        family = over["family"]
+        more = [alike(F.get(said_, k), family) < over["likeness"] for k in (2, 3)]
+        crosses = F.coalesce((sure(over) != UNKNOWN) & (sure(F.get(c, 2)) != family) & more[0] & more[1], F.lit(False))
+        rest = F.array_except(F.array_intersect(F.get(said_, 0), template_words(own["family"])), template_words(family))
+        continued = crosses & (sure(own) != UNKNOWN) & (family != own["family"]) & (F.size(rest) == 0)
+        return F.when(v["alone"], F.when(~continued, own)).otherwise(F.when(crosses, over))
+
+    step = F.array(F.struct(alone.alias("alone"), joined.alias("said")))
+    step = F.transform(step, lambda v: F.struct(v["alone"].alias("alone"), v["said"].alias("said"), F.transform(v["said"], lambda w: classified(w, model)).alias("c")))
+    found = F.filter(F.transform(step, result), lambda c: c.isNotNull())
+    judged = parts.select(id_column, "paragraph", "window", "content", F.explode(found).alias("c"))
+    return judged.select(id_column, "paragraph", "window", sure(F.col("c")).alias("family"), F.col("c.probability").alias("probability"), F.col("c.likeness").alias("likeness"), "content")
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,22 @@ def test_paragraphs_windows_and_odd_rows(spark, odd, none):
     assert lic.licence_paragraphs(none).collect() == [] and lic.licence_paragraphs(odd).where(F.col("family") != "unknown").count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,line,family",
+    [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", 0, "mit"),
+        ("# Copyright (c) 2020 Some One\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n#\n# 1. more", 1, "bsd"),
+        ("/*\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n */", 1, "isc"),
+        ("it under the terms of the GNU Lesser\nGeneral Public License as published by the Free Software Foundation; either\nversion 2.1 of the License", 0, "lgpl"),
+        ("// available under the Creative\n// Commons Attribution 4.0 International", 0, "cc-by"),
+    ],
+)
+def test_wrapped_notices(spark, text, line, family):
+    assert {f for f in families(spark, text) if f[2] != "unknown"} == {(0, line, family)}
+    apart = [f for f in families(spark, text.replace("\n", "\n\n")) if f[2] == family]
+    assert apart == []
+
+
 def test_words_alike_in_python_and_spark(spark):
     texts = ["GNU (L)GPL-2.1+ or later", "  ", "Año 2020: CC BY-SA"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(lic.spoken(F.col("t")).alias("w"))
