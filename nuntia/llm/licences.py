@@ -34,22 +34,24 @@ from nuntia.llm.common import table
 
 UNKNOWN, CONFIRM, LIKELY = "unknown", 0.7, 0.5
 WINDOW, STRIDE, REACH = 120, 60, 60
-GATE = r"(?i:licen[cs]|copyright|copyleft|public\W+domain|creative\W+commons|spdx|warrant|redistribut|permission)|\b(?:[AL]?GPL|MIT|BSD|Apache|Mozilla|MPL|CC0|CC[\W_]+BY|ISC)\b"
+GATE = r"(?i:licen[cs]|copyright|copyleft|public\W+domain|creative\W+commons|spdx|warrant|redistribut|permission)|\b(?:(?i:[AL]?GPL|MPL)|MIT|BSD|Apache|Mozilla|CC0|CC[\W_]+BY|ISC)(?:[vV]?\d[\d.]*)?(?!\w)"
+#: Where a version is glued to a name, or a v to its number; CC0 is one word.
+GLUED = r"(?<=[a-z])(?<!\bcc)(v?)(?=[0-9])"
 SOME = r"[\p{L}\p{N}]"
 #: How notices of each family read.
 NOTICES = {
-    "agpl": ("GNU Affero General Public License", "licensed under the GNU Affero General Public License, version 3", "AGPL-3.0", "licensed under the AGPL v3", "GNU Affero General Public License as published by the Free Software Foundation"),
+    "agpl": ("GNU Affero General Public License", "licensed under the GNU Affero General Public License, version 3", "AGPL-3.0", "AGPL v3", "licensed under the AGPL v3", "GNU Affero General Public License as published by the Free Software Foundation"),
     "apache": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "Apache-2.0", "distributed under the Apache 2.0 license", "Apache Software License"),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSD 3-Clause License", "released under the BSD license", "licensed under the BSD 2-Clause License", "BSD-3-Clause"),
     "cc-by": ("Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "available under the CC BY 4.0 license", "CC-BY-4.0"),
     "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0", "available under the CC BY-NC-SA 4.0 license", "CC-BY-NC-4.0"),
     "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0", "available under the CC BY-SA 3.0 license", "CC-BY-SA-4.0"),
     "cc0": ("CC0 1.0 Universal public domain dedication", "dedicated to the public domain under CC0", "CC0-1.0"),
-    "gpl": ("licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation", "released under the GPL v3", "GPL-3.0-or-later", "distributed under the GNU GPL version 2"),
+    "gpl": ("licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation", "released under the GPL v3", "GPL-3.0-or-later", "GPL v3", "GPL v2", "distributed under the GNU GPL version 2"),
     "isc": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "ISC License", "released under the ISC license"),
-    "lgpl": ("licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1-or-later", "distributed under the LGPL v3", "GNU Library General Public License", "GNU Lesser General Public License as published by the Free Software Foundation"),
+    "lgpl": ("licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1-or-later", "LGPL v3", "LGPL v2.1", "distributed under the LGPL v3", "GNU Library General Public License", "GNU Lesser General Public License as published by the Free Software Foundation"),
     "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License", "licensed under the terms of the MIT license"),
-    "mpl": ("subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "MPL-2.0", "licensed under the MPL 2.0"),
+    "mpl": ("subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "MPL-2.0", "licensed under the MPL 2.0", "MPL v2", "MPL v1.1"),
     "unlicense": ("This is free and unencumbered software released into the public domain", "released under the Unlicense", "The Unlicense"),
 }
 #: Sentences with the same words that name no family.
@@ -75,7 +77,7 @@ class LicenceModel:
 
 
 def words(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+    return re.findall("[a-z0-9]+", re.sub(GLUED, r" \1 ", text.lower()))
 
 
 def features(text: str) -> set[str]:
@@ -121,8 +123,8 @@ def literals(values: list[str]) -> Column:
 
 
 def spoken(text: Column) -> Column:
-    """Words a-z0-9 of a text, in lower case."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    """Words a-z0-9 of a text, in lower case, with versions apart from names."""
+    return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(text), GLUED, " $1 "), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
 def alike(said: Column, family: Column) -> Column:

@@ -45,6 +45,14 @@ def test_wrapped_notices(spark, text, line, family):
     assert apart == []
 
 
+def test_glued_versions(spark):
+    said = {"Licensed under GPLv3": "gpl", "released under GPLv2+ only": "gpl", "under the LGPLv3 or so": "lgpl", "Licensed under LGPLv2.1": "lgpl", "available under the AGPLv3": "agpl", "Licensed under MPLv2": "mpl", "released under gplv3": "gpl", "Apache2": "unknown", "the GPLfoo of MITv": None}
+    assert families(spark, *said) == [(i, 0, f) for i, f in enumerate(said.values()) if f]
+    texts = ["GPLv2+ LGPLv2.1 AGPLV3, CC0 v2 ipv6 b2b 3rd"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(lic.spoken(F.col("t")).alias("w"))
+    assert [r["w"] for r in df.collect()] == [lic.words(t) for t in texts] == [["gpl", "v", "2", "lgpl", "v", "2", "1", "agpl", "v", "3", "cc0", "v", "2", "ip", "v", "6", "b", "2b", "3rd"]]
+
+
 def test_words_alike_in_python_and_spark(spark):
     texts = ["GNU (L)GPL-2.1+ or later", "  ", "Año 2020: CC BY-SA"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(lic.spoken(F.col("t")).alias("w"))
