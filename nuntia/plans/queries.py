@@ -154,6 +154,13 @@ def hyphenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(text.remove_hyphenation(broken).cast("binary")).alias("joined"))
 
 
+@query()
+def hyphenation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for documents of every language; no SQL, as \\w of the independent engine knows ASCII only."""
+    broken = F.replace(F.col("text"), F.lit("tion "), F.lit("tion- \n "))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.remove_hyphenation(broken).cast("binary")).alias("joined"))
+
+
 @query(r"""SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)widget|^hot') OR (regexp_matches(p_name, '(?i)small|bolt') AND NOT regexp_matches(p_name, '(?i)gear|gizmo'))""")
 def title_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part", "p_partkey", "p_name").where(match.rejects_title("p_name", TITLE_WORDS))

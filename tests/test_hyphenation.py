@@ -1,0 +1,12 @@
+import hashlib
+import re
+
+from nuntia.plans import queries
+
+
+def test_all_languages_agree_with_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    join = lambda t: re.sub(r"(\w+)-\s*\n\s*(\w+)", r"\1\2", t.replace("tion ", "tion- \n "))
+    want = sorted((r["doc_id"], None if r["text"] is None else hashlib.md5(join(r["text"]).encode()).hexdigest()) for r in docs)
+    got = sorted((r["doc_id"], r["joined"]) for r in queries.QUERIES["hyphenation_all"](spark, sf_dir).collect())
+    assert got == want and {r["lang"] for r in docs} > {"en"}
