@@ -34,9 +34,10 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = written(contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(small(found), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark passage go: each row by its own text, whether its id is null or repeated or not."""
+    own = F.sha2(F.col("text").cast("binary"), 256)
+    found = written(contamination(docs.select(own.alias("nuntia_text"), "text"), table(spark, sf_dir, "benchmark"), id_column="nuntia_text").select("nuntia_text").distinct(), "leaks")
+    return docs.withColumn("nuntia_text", own).join(small(found), "nuntia_text", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,15 @@ def test_secrets_and_decontamination(spark, few, sf_dir):
     assert (row["text"], row["n_chars"]) == ("[SECRET] end", 12)
 
 
+def test_decontamination_decides_by_row(spark, few, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    bad = f"before {item} after"
+    rows = [(None, bad), (None, "no id"), (3, bad), (3, "the same id, clean"), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], few.schema)
+    got = pipe.decontaminated(spark, df, sf_dir)
+    assert got.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, "no id"), (3, "the same id, clean"), (4, None)], key=str)
+
+
 def test_empty_documents(spark, few, sf_dir):
     for _, stage in pipe.STAGES:
         assert stage(spark, few.where("false"), sf_dir).collect() == []
