@@ -6,17 +6,20 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as white space between words in every contract: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a table of ids is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +60,22 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows (counted), else df as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def weight(df: DataFrame) -> Column:
+    """Bytes that the rows of df take in memory, as an aggregate: 16 per row and number, and strings and arrays as long as they are."""
+    sizes = []
+    for field in df.schema:
+        if isinstance(field.dataType, T.StringType | T.BinaryType):
+            sizes.append(F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)))
+        elif isinstance(field.dataType, T.AtomicType):
+            sizes.append(F.lit(0))
+        else:
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))), F.lit(0)))
+    return F.sum(reduce(add, sizes, F.lit(16 * (1 + len(df.columns)))).cast("long"))
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows take at most `limit` bytes (measured), else df as it is."""
+    return F.broadcast(df) if (df.agg(weight(df)).first()[0] or 0) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

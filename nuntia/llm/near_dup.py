@@ -5,21 +5,30 @@ r"""Near-duplicate documents by min-max hashing, banding and exact confirmation.
    an unbiased estimate of set similarity, with less variance than `2 * m` independent minima. ROWS values make a
    band; the number of bands is such that a pair at the threshold shares no band with a chance under MISS.
    All of this is array arithmetic over the bytes of a batch; what leaves is a few numbers per document.
-2. Documents with equal sets form a class, represented by its smallest id; from here on only classes count.
-3. Classes that share a band are linked with the smallest class of the bucket (not with one another), and the
-   components of these links are the candidate groups: all pairs to confirm lie within one group.
-4. Texts of grouped classes are read once more, and links are confirmed on full sets. A group up to BLOCK
-   classes is compared within one task. In a larger one, every class is first compared with the group's hub, the
-   class with most company in its buckets, in chunks. Classes linked with the hub are connected already; only those
-   that are not are compared, block by block, with all chunks. Blocks and chunks have bounded sizes, pairs are
-   counted in an inverted index and never emitted: a task gives the links of a spanning forest of its own.
+2. Rows with equal sets form a class with a number of its own; from here on only classes count.
+3. Of each bucket (classes that share a band) the class with most company in all its buckets is the hub. Each class is
+   confirmed on full sets against the hubs of its buckets; equal pairs of many bands count once. The classes around a
+   hub are its star: every pair that shares a bucket lies in a star, and a star holds direct neighbours only, so a chain
+   of near copies makes many small stars and no large group.
+4. What a star leaves open are pairs of classes that no links connect yet. Set distance obeys the triangle inequality,
+   so two linked classes differ in their distance to the hub by at most the threshold's distance: a star is split into
+   overlapping rings of that width, and only rings with classes of different components go on. From large ones, SAMPLE
+   classes are compared with all the others; what is connected with no link by then is settled by comparing all classes
+   outside the ring's largest component with every class of the ring.
 5. The components of the confirmed links, carried over to the classes' members, are the result.
 
+Comparisons run in tasks of one block of hubs (an inverted index of about VOLUME shingles, or one set if that is
+larger) and one chunk of classes of about VOLUME shingles, which are streamed past it; pairs are counted and never
+emitted. Rows moved grow with the number of classes, but for rings of many classes that nothing links: those cost
+their number times the ring's, divided by the block's size.
+
 Exact: the only chance of a lost link is that no band is shared (under MISS at the threshold, less above it).
 
-Defined results: a text without words, empty or null, has an empty set, is linked with nothing and is its own
-component. Repeated rows (same id and text) are members of the same class. Rows without an id are left out of links
-and are kept. Extra columns are ignored.
+Defined results: an empty table gives no rows; a text without words, empty or null, has an empty set, is linked with
+nothing and is its own component. Links are between rows: of rows that share an id but not the text, each has the
+component of its own text. Repeated rows (same id and text) have the same class. Rows without an id are left out of
+links and have no component. Ties between equal sets go to the smallest id. A very long text is hashed in pieces and
+streams through a task by itself. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nuntia.llm.common import LONG, buffers, discard, lowered, pieces, slices, small, table, written
 from nuntia.llm.components import components
 
 ROWS, MISS = 4, 1e-5
-BLOCK, CHUNK = 256, 1024
+#: Shingles in a block of hubs or a chunk of classes; classes of a large ring that are tried first, and when a ring is large.
+VOLUME, SAMPLE, LARGE = 1 << 17, 64, 512
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -179,14 +189,13 @@ class Index:
         self.first = np.r_[self.first, len(every)]
         self.owners = owner[order]
 
-    def linked(self, other: np.ndarray, percent: int) -> np.ndarray:
-        """Numbers of the sets with 100 * intersection >= percent * union."""
+    def shared(self, other: np.ndarray) -> np.ndarray:
+        """For every set the number of elements that it shares with another one."""
         at = np.minimum(np.searchsorted(self.keys, other), max(len(self.keys) - 1, 0))
         at = at[self.keys[at] == other] if len(self.keys) else at[:0]
         size = self.first[at + 1] - self.first[at]
         places = np.repeat(self.first[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(at) else at
-        both = np.bincount(self.owners[places], minlength=len(self.sizes))
-        return np.flatnonzero(100 * both >= percent * (self.sizes + len(other) - both)) if len(self.sizes) else np.zeros(0, int)
+        return np.bincount(self.owners[places], minlength=len(self.sizes))
 
 
 class Forest:
@@ -209,108 +218,171 @@ class Forest:
             self.links.append((a, b))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of sorted batches by their first n_keys columns, across batch borders; a group is of bounded size."""
-    key, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:n_keys] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[:n_keys], []
-            rows.append(row[n_keys:])
-    if rows:
-        yield key, rows
-
+def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    data, offsets = buffers(texts)
+    for a, b in slices(data, offsets):
+        part = offsets[a : b + 1]
+        yield from shingle_sets(data[part[0] : part[-1]], part - part[0], k)
 
-def sets_of(texts: list[str | None], k: int) -> list[np.ndarray]:
-    return list(shingle_sets(*buffers(pa.array(texts, pa.large_string())), k))
 
+def compared(rows: DataFrame, k: int, percent: int, every_pair: bool) -> DataFrame:
+    """Classes against the hubs of their task. rows: task (long), hub (boolean), node, text.
 
-def links_in_tasks(rows: DataFrame, keys: list[str], k: int, percent: int, kind: str) -> DataFrame:
-    """Confirmed links (a, b): within each task (keys), rows with indexed = true against all rows of the task."""
+    With every_pair, a row (a, b, linked, ring) for each class and each hub; the ring is their distance in units of the
+    threshold's distance. Else the links of a spanning forest of each task. Hubs of a task are held, its classes stream.
+    """
+    width = max(100 - percent, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        type_ = None
-
-        def noted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal type_
-            for batch in it:
-                type_ = batch.column(len(keys)).type
-                yield batch
-
-        for _, members in grouped(noted(batches), len(keys)):
-            indexed = [m for m in members if m[1]]
-            index = Index(sets_of([m[2] for m in indexed], k))
-            forest = Forest()
-            for i in range(0, len(members), 64):
-                some = members[i : i + 64]
-                for member, own in zip(some, sets_of([m[2] for m in some], k), strict=True):
-                    for j in index.linked(own, percent):
-                        if indexed[j][0] != member[0]:
-                            forest.join(member[0], indexed[j][0])
-            if forest.links:
-                a, b = zip(*forest.links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], names=["a", "b"])
-
-    columns = [*keys, "id", "indexed", "text"]
-    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def confirmed_links(texts: DataFrame, large_groups: bool, k: int, percent: int, kind: str) -> DataFrame:
-    """Links of classes within groups. texts: grp, members (of the group), hub (id), id, text."""
-    few = texts.where(F.col("members") <= BLOCK).select("grp", "id", F.lit(True).alias("indexed"), "text")
-    links = links_in_tasks(few, ["grp"], k, percent, kind)
-    if not large_groups:
-        return links
-    many = written(texts.where(F.col("members") > BLOCK), "large")
-    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    chunks, is_hub = F.ceil(F.col("members") / CHUNK), F.col("id") == F.col("hub")
-    chunk = F.pmod(F.xxhash64("id"), chunks)
-    # each class with its group's hub, in chunks; the hub goes to every chunk
-    spread = many.where(~is_hub).select("grp", chunk.alias("chunk"), "id", F.lit(False).alias("indexed"), "text")
-    copies = many.where(is_hub).select("grp", F.explode(numbers(chunks)).alias("chunk"), "id", F.lit(True).alias("indexed"), "text")
-    stars = written(links_in_tasks(spread.unionByName(copies), ["grp", "chunk"], k, percent, kind), "stars")
-    # the classes that aren't linked with the hub, in blocks, with every class of the group, in chunks
-    done = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rest = many.where(~is_hub).join(small(done), "id", "left_anti")
-    blocks = small(rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    block = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks"))
-    rows = rest.join(blocks, "grp").select("grp", block.alias("block"), F.explode(numbers(chunks)).alias("chunk"), "id", F.lit(True).alias("indexed"), "text")
-    probes = many.join(blocks, "grp").select("grp", F.explode(numbers(F.col("blocks"))).alias("block"), chunk.alias("chunk"), "id", F.lit(False).alias("indexed"), "text")
-    return links.unionByName(stars).unionByName(links_in_tasks(rows.unionByName(probes), ["grp", "block", "chunk"], k, percent, kind))
+        task, names, sets, index, forest = None, [], [], None, Forest()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tasks, hubs, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.r_[0, np.flatnonzero((tasks[1:] != tasks[:-1]) | (hubs[1:] != hubs[:-1])) + 1, len(tasks)]
+            out = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if tasks[a] != task:
+                    task, names, sets, index, forest = tasks[a], [], [], None, Forest()
+                own = sets_of(batch.column(3).slice(a, b - a), k)
+                if hubs[a]:
+                    names += nodes[a:b].tolist()
+                    sets += own
+                    continue
+                if index is None:
+                    index, sets, names = Index(sets), [], np.array(names, np.int64)
+                for node, mine in zip(nodes[a:b].tolist(), own, strict=True):
+                    both = index.shared(mine)
+                    union = index.sizes + len(mine) - both
+                    linked = 100 * both >= percent * union
+                    if every_pair:
+                        ring = 100 * (union - both) // np.maximum(union * width, 1)
+                        out += [(node, h, bool(y), int(r)) for h, y, r in zip(names.tolist(), linked, ring, strict=True) if h != node]
+                    else:
+                        for h in names[linked].tolist():
+                            if h != node:
+                                forest.join(node, h)
+                if forest.links:
+                    out += [(*link, True, 0) for link in forest.links]
+                    forest.links = []
+            if out:
+                a, b, linked, ring = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(ring, pa.int32())], names=["a", "b", "linked", "ring"])
+
+    dealt = rows.select("task", "hub", "node", "text").repartition("task").sortWithinPartitions("task", F.desc("hub"))
+    return dealt.mapInArrow(run, "a long, b long, linked boolean, ring int")
+
+
+def tasks_of(groups: DataFrame, members: DataFrame, hubs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows for compared(). groups: grp, blocks, chunks; members and hubs: grp, node; texts: node, text.
+
+    A hub lies in one block of its group and goes to every chunk; a class lies in one chunk and goes to every block.
+    """
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
+    groups = small(groups)
+    held = hubs.join(groups, "grp").select("grp", place("blocks", 1).alias("block"), upto("chunks").alias("chunk"), F.lit(True).alias("hub"), "node")
+    streamed = members.join(groups, "grp").select("grp", upto("blocks").alias("block"), place("chunks", 2).alias("chunk"), F.lit(False).alias("hub"), "node")
+    rows = held.unionByName(streamed)
+    return rows.join(texts, "node").select(F.xxhash64("grp", "block", "chunk").alias("task"), "hub", "node", "text")
+
+
+def parts(shingles: Column) -> Column:
+    """In how many blocks or chunks classes with so many shingles in all are dealt; a class counts for 16 at least."""
+    return F.ceil(shingles / VOLUME).cast("long")
+
+
+def star_links(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """All that the stars (hub, node) settle: a, b, linked, ring of every pair."""
+    weighed = texts.select("node", F.greatest("n_shingles", F.lit(16)).alias("weight"))
+    groups = written(stars.join(weighed, "node").groupBy(F.col("hub").alias("grp")).agg(parts(F.sum("weight")).alias("chunks")).withColumn("blocks", F.lit(1).cast("long")), "tasks")
+    hubs = groups.select("grp", F.col("grp").alias("node"))
+    out = written(compared(tasks_of(groups, stars.select(F.col("hub").alias("grp"), "node"), hubs, texts), k, percent, True), "stars")
+    discard(groups)
+    return out
+
+
+def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (grp, node, weight) with the component of each node, of the groups that hold more than one component."""
+    found = components(links)
+    known = members.join(small(found.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left")
+    known = written(known.select("grp", "node", "weight", F.coalesce("component", "node").alias("label")), "labels")
+    discard(found)
+    open_ = known.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("grp")
+    out = written(known.join(small(open_), "grp", "left_semi"), "open")
+    discard(known)
+    return out
+
+
+def ring_links(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of a star other than its hub, as far as they connect more than the stars do."""
+    links = stars.where("linked").select("a", "b")
+    weighed = texts.select("node", F.greatest("n_shingles", F.lit(16)).alias("weight"))
+    rings = stars.select(F.col("a").alias("node"), F.explode(F.array(F.xxhash64("b", "ring"), F.xxhash64("b", F.col("ring") + 1))).alias("grp"))
+    members = labelled(rings.join(weighed, "node").select("grp", "node", "weight"), links)
+    more = []
+    large = members.groupBy("grp").agg(F.count("*").alias("n"), parts(F.sum("weight")).alias("chunks")).where(F.col("n") > LARGE)
+    large = written(large.withColumn("share", F.ceil(F.col("n") / SAMPLE).cast("long")), "large")
+    if not large.isEmpty():
+        some = members.join(small(large), "grp")
+        tried = written(some.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.col("share")) == 0).select("grp", "node", "weight"), "tried")
+        groups = tried.groupBy("grp").agg(parts(F.sum("weight")).alias("blocks")).join(large.select("grp", "chunks"), "grp")
+        more.append(written(compared(tasks_of(groups, some.select("grp", "node"), tried, texts), k, percent, False).select("a", "b"), "links"))
+        again = labelled(members.select("grp", "node", "weight"), links.unionByName(more[0]))
+        for t in (tried, members):
+            discard(t)
+        members = again
+    discard(large)
+    if not members.isEmpty():
+        sizes = members.groupBy("grp", "label").agg(F.sum("weight").alias("w"))
+        most = sizes.groupBy("grp").agg(F.max_by("label", F.struct("w", "label")).alias("most"), F.sum("w").alias("all"), F.max("w").alias("largest"))
+        groups = written(most.select("grp", "most", parts(F.col("all")).alias("chunks"), parts(F.col("all") - F.col("largest")).alias("blocks")), "tasks")
+        rest = members.join(small(groups.select("grp", "most")), "grp").where("label != most").select("grp", "node")
+        more.append(written(compared(tasks_of(groups.drop("most"), members.select("grp", "node"), rest, texts), k, percent, False).select("a", "b"), "links"))
+        discard(groups)
+    discard(members)
+    out = links
+    for m in more:
+        out = out.unionByName(m)
+    return out
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id_column, n_shingles and component_id (smallest id reachable over links of `percent` similarity) of every row."""
+    """id_column, text_hash, n_shingles, component_id (smallest id reachable over links of `percent` similarity) and
+    first (whether id and text are those of the component's first row) of every row."""
     bands = bands_for(percent / 100)
-    kind = documents.schema[id_column].dataType.simpleString()
     marked = written(signed(documents, k, bands, id_column, text_column), "signed")
     usable, same = F.expr("n_shingles > 0 AND id IS NOT NULL"), ["n_shingles", "s1", "s2"]
     classes = marked.where(usable).groupBy(*same).agg(F.min(F.struct("id", "th")).alias("least"), F.first("bands").alias("bands"))
-    classes = written(classes.select(*same, "least.*", "bands"), "classes")
-    placed = classes.select("id", F.explode("bands").alias("key"))
-    buckets = written(placed.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("company")).where("company > 1"), "buckets")
-    shared = written(placed.join(buckets, "key").select("id", "low", "company"), "shared")
-    candidates = components(shared.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    company = shared.groupBy("id").agg(F.sum("company").alias("company"))
-    member = company.join(candidates, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("grp"), "company")
-    member = written(member.join(classes.select("id", "th"), "id"), "members")
-    groups = member.groupBy("grp").agg(F.count("*").alias("members"), F.max_by("id", F.struct("company", -F.xxhash64("id"))).alias("hub"))
-    groups = written(groups.where("members > 1"), "groups")
-    member = member.join(small(groups), "grp").select("grp", "members", "hub", "id", "th")
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), *same, "least", "bands"), "classes")
+    placed = classes.select("node", F.explode("bands").alias("key"))
+    buckets = written(placed.groupBy("key").agg(F.count("*").alias("company")).where("company > 1"), "buckets")
+    shared = written(placed.join(small(buckets), "key").select("key", "node", "company"), "shared")
+    discard(buckets)
+    company = written(shared.groupBy("node").agg(F.sum("company").alias("company")), "company")
+    central = shared.select("key", "node").join(small(company), "node")
+    hubs = written(central.groupBy("key").agg(F.max_by("node", F.struct("company", F.xxhash64("node"))).alias("hub")), "hubs")
+    pairs = written(shared.join(small(hubs), "key").where("node != hub").select("hub", "node").distinct(), "pairs")
+    wanted = company.join(classes.select("node", "n_shingles", "least"), "node").select("node", "n_shingles", "least.id", "least.th")
+    wanted = written(wanted, "wanted")
+    for t in (shared, company, hubs):
+        discard(t)
     own = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("th"))
-    texts = own.join(small(member), ["id", "th"])
+    texts = own.join(small(wanted), ["id", "th"]).select("node", "n_shingles", "text")
     if marked.where(usable).groupBy("id", "th").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["id", "th"])  # repeated rows count once
-    large = groups.where(F.col("members") > BLOCK).limit(1).count() > 0
-    found = components(confirmed_links(texts.drop("th"), large, k, percent, kind))
-    for t in (buckets, shared, candidates):
-        discard(t)
+        texts = texts.dropDuplicates(["node"])  # repeated rows count once
+    texts = written(texts, "texts")
+    discard(wanted)
+    stars = star_links(pairs, texts, k, percent)
+    discard(pairs)
+    found = components(ring_links(stars, texts, k, percent))
+    discard(texts)
     # from classes to their rows
-    of_class = classes.join(found, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("component", "id").alias("component_id"))
-    out = marked.where(usable).join(of_class, same).select("id", "n_shingles", "component_id")
-    alone = marked.where(~F.coalesce(usable, F.lit(False))).select("id", "n_shingles", F.col("id").alias("component_id"))
+    of_class = classes.select("node", *same, "least").join(small(found.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left").select(*same, "least", F.coalesce("component", "node").alias("component"))
+    first = of_class.groupBy("component").agg(F.min("least").alias("first"))
+    of_class = of_class.drop("least").join(first, "component").select(*same, "first")
+    out = marked.where(usable).join(of_class, same).select("id", F.col("th").alias("text_hash"), "n_shingles", F.col("first.id").alias("component_id"), (F.struct("id", "th") == F.col("first")).alias("first"))
+    alone = marked.where(~F.coalesce(usable, F.lit(False))).select("id", F.col("th").alias("text_hash"), "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("first"))
     return out.unionByName(alone).withColumnRenamed("id", id_column)
 
 

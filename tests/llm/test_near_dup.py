@@ -74,15 +74,55 @@ def test_components_are_those_of_brute_force(spark, k, percent):
     assert sizes == {i: len(shingles(t, k)) for i, t in rows}
 
 
-def test_large_groups_go_through_hubs_blocks_and_chunks(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 16)
-    monkeypatch.setattr(nd, "CHUNK", 24)
+def test_large_groups_go_through_hubs_samples_blocks_and_chunks(spark, monkeypatch):
+    for name, value in (("VOLUME", 2000), ("SAMPLE", 8), ("LARGE", 24)):
+        monkeypatch.setattr(nd, name, value)
     rows = family(150, first=10) + family(40, 80, 4, 1000) + [(2000 + i, "same text " * 5) for i in range(50)]
     want = brute(rows, 3, 85)
     assert len(set(want.values())) > 3 and Counter(want.values()).most_common(1)[0][1] > 40
     assert got(nd.near_duplicates(frame(spark, rows), 3, 85)) == want
 
 
+def moved(spark, monkeypatch, rows, k=3, percent=85):
+    """The components found, and how many rows of texts went through tasks."""
+    n = 0
+    compared = nd.compared
+
+    def counted(df, *rest):
+        nonlocal n
+        n += df.count()
+        return compared(df, *rest)
+
+    monkeypatch.setattr(nd, "compared", counted)
+    out = got(nd.near_duplicates(frame(spark, rows), k, percent))
+    monkeypatch.setattr(nd, "compared", compared)
+    return out, n
+
+
+def test_rows_moved_for_a_chain_grow_with_its_length(spark, monkeypatch):
+    for name, value in (("VOLUME", 4000), ("SAMPLE", 8), ("LARGE", 24)):
+        monkeypatch.setattr(nd, name, value)
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    chain = []
+    for i in range(400):  # each is near the one before, and far from all but a few
+        words = [*words[4:], *(f"w{rng.randrange(10**6)}" for _ in range(4))]
+        chain.append((i, " ".join(words)))
+    counts = []
+    for n in (100, 200, 400):
+        out, rows = moved(spark, monkeypatch, chain[:n])
+        assert out == brute(chain[:n], 3, 85)
+        counts.append(rows)
+    assert counts[1] < 2.6 * counts[0] and counts[2] < 2.6 * counts[1] and counts[2] < 30 * 400
+
+
+def test_very_long_texts_in_a_large_group(spark, monkeypatch):
+    for name, value in (("VOLUME", 20_000), ("SAMPLE", 4), ("LARGE", 8)):
+        monkeypatch.setattr(nd, name, value)
+    rows = family(12, 30_000, 6) + [(100 + i, t.replace("w1", "v1")) for i, t in family(12, 30_000, 6)] + family(20, 60, 7, 1000)
+    assert got(nd.near_duplicates(frame(spark, rows), 3, 85)) == brute(rows, 3, 85)
+
+
 def test_odd_rows(spark, odd, none):
     rows = nd.near_duplicates(odd, 3, 85).orderBy("doc_id").collect()
     assert len(rows) == odd.count() and nd.near_duplicates(none, 3, 85).collect() == []
@@ -95,7 +135,9 @@ def test_odd_rows(spark, odd, none):
 def test_ids_repeated_with_other_texts_keep_their_links(spark):
     rows = [(1, "a b c d"), (7, "a b c d"), (7, "p q r s t"), (9, "p q r s t"), (9, "p q r s t")]
     out = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in nd.near_duplicates(frame(spark, rows), 3, 85).collect()}
-    assert out[1, 2] == out[7, 2] == 1 and out[7, 3] == out[9, 3]
+    assert out == {(1, 2): 1, (7, 2): 1, (7, 3): 7, (9, 3): 7}
+    first = sorted((r["doc_id"], r["n_shingles"], r["first"]) for r in nd.near_duplicates(frame(spark, rows), 3, 85).collect())
+    assert first == [(1, 2, True), (7, 2, False), (7, 3, True), (9, 3, False), (9, 3, False)]
 
 
 def test_hashes_do_not_depend_on_neighbours_in_the_batch():
