@@ -4,14 +4,20 @@ Documents may belong to several sources. They are aggregated by membership patte
 pattern offers its words up to `repeats` times, the first time free and each further time at a higher price (convex
 costs), and each source asks for its quota. A min-cost flow over patterns and sources routes the words with as little
 repetition as possible. Of each pattern all documents are then taken as often as the flow covers the pattern whole,
-and for the rest seeded documents: those in the lowest bins of a hash of seed and id; of the bin where the rest ends,
-every document gives the same share of its words. So quotas are met to within a few words, and reruns agree.
+and for the rest seeded documents: those in the lowest bins of a hash of seed and id. In the bin where the rest ends
+documents stand in the order of that hash and their size, and each gives the words that a running share of the bin's
+words grants it, so the rest is met to the word and reruns agree. Many rows of one id (or without one) share a bin;
+copies of one id and size are counted first and numbered within their parts of the table, never sorted in one task.
 
 Weights go to sources in code point order (null last), repeating; quotas share all words of the input by weight, stop
 at `repeats` times the words of their source, and what is cut there goes to the other sources by weight.
 
-Only one row per pattern goes through the driver, as the flow is computed there. Defined results: a null text has
-size 0; without words every target is 0; rows with the same id are treated alike; extra columns are ignored.
+One row per pattern goes through the driver, as the flow is computed there: a graph of all patterns has to fit in its
+memory (some hundred bytes each). Tables with a row per pattern or source are broadcast if they are small, else joined.
+
+Defined results: an empty table gives no rows; a null or empty text has size 0; without words every target is 0; rows
+with the same id are treated alike, but for words that can't be shared evenly; a very long text may give a part of its
+words; extra columns are kept, and those named like a column of the result are replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +27,12 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import WORD, table, written
+from nuntia.llm.common import WORD, discard, small, table, written
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-BINS = 4096
+#: Hexadecimal digits of a bin: 4,096 bins for each pattern.
+DIGITS = 3
 SEED = 9
 
 
@@ -125,9 +132,31 @@ def routed(capacity: dict[tuple, int], quota: dict[str | None, int], repeats: in
     return {p: {sources[arcs[k][0] - len(patterns)]: arcs[k ^ 1][1] for k in out[i] if not k % 2 and arcs[k][0] != end and arcs[k ^ 1][1]} for i, p in enumerate(patterns)}
 
 
-def seeded_bin(key: str, seed: int) -> Column:
-    """0 to BINS - 1, from the first 12 bits of md5 of seed and id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, 3), 16, 10).cast("int")
+def seeded(key: str, seed: int) -> Column:
+    """md5 of seed and id; its first DIGITS digits are the bin."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).cast("binary"))
+
+
+def before(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the sum of value over the rows that stand before, within keys."""
+    return rows.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order)) - F.col(value))
+
+
+def shared_out(edge: DataFrame) -> DataFrame:
+    """edge (sources, hash, size, part, words, and others) with `given`: what each row gives of its words, `part` in all
+    of the `words` of its sources, as running shares in the order of hash and size."""
+    same = ["sources", "hash", "size"]
+    rows = written(edge.withColumn("file", F.spark_partition_id()), "edge")
+    copies = written(rows.groupBy(*same, "file").agg(F.count("*").alias("n"), F.sum("size").alias("held")), "copies")
+    kinds = copies.groupBy(*same).agg(F.sum("held").alias("held")).withColumn("sub", F.substring("hash", DIGITS + 1, DIGITS))
+    subs = before(kinds.groupBy("sources", "sub").agg(F.sum("held").alias("total")), ["sources"], ["sub"], "total", "lower")
+    kinds = before(kinds.join(subs, ["sources", "sub"]), ["sources", "sub"], ["hash", "size"], "held", "less")
+    files = before(copies, same, ["file"], "held", "earlier").select(*same, "file", "earlier")
+    places = files.join(kinds.select(*same, (F.col("lower") + F.col("less")).alias("start")), same).select(*same, "file", (F.col("start") + F.col("earlier")).alias("start"))
+    number = F.row_number().over(Window.partitionBy(*same, "file").orderBy(F.lit(1)))
+    upto = rows.join(places, [*same, "file"]).withColumn("upto", F.col("start") + number * F.col("size"))
+    share = lambda c: F.floor(c.cast("decimal(38,0)") * F.col("part") / F.col("words")).cast("long")
+    return upto.withColumn("given", F.when(F.col("words") > 0, share(F.col("upto")) - share(F.col("upto") - F.col("size"))).otherwise(0)).drop("upto", "start", "file")
 
 
 def word_count(text_column: str) -> Column:
@@ -144,9 +173,10 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
     spark = documents.sparkSession
     sources = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
-    sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), sources.alias("sources"), (word_count(text_column) if size is None else size).alias("size"), seeded_bin(id_column, seed).alias("bin"))
+    hash_ = seeded(id_column, seed)
+    sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), sources.alias("sources"), (word_count(text_column) if size is None else size).alias("size"), hash_.alias("hash"), F.substring(hash_, 1, DIGITS).alias("bin"))
     bins = written(sized.groupBy("sources", "bin").agg(F.sum("size").alias("words")), "bins")
-    capacity = {tuple(r["sources"] or ()): int(r["words"]) for r in bins.groupBy("sources").agg(F.sum("words").alias("words")).collect()}
+    capacity = {tuple(r["sources"] or ()): int(r["words"]) for r in bins.groupBy("sources").agg(F.sum("words").alias("words")).toLocalIterator()}
     sizes: dict[str | None, int] = {}
     for pattern, words in capacity.items():
         for s in pattern:
@@ -158,13 +188,19 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         routed = sum(flow[pattern].values())
         plan.append((list(pattern), routed // words if words else 0, routed % words if words else 0))
     plan = spark.createDataFrame(plan, "sources array<string>, copies long, rest long")
-    up_to = F.sum("words").over(Window.partitionBy("sources").orderBy("bin"))
-    # of each pattern, the bin in which the rest ends, and the share of it that is taken
-    ends = bins.join(F.broadcast(plan), "sources").withColumn("up_to", up_to)
-    ends = ends.where((F.col("up_to") > F.col("rest")) & (F.col("up_to") - F.col("words") <= F.col("rest"))).select("sources", F.col("bin").alias("last"), (F.col("rest") - F.col("up_to") + F.col("words")).alias("part"), "words")
-    cut = plan.join(ends, "sources", "left")
-    taken = F.col("copies") * F.col("size") + F.when(F.col("bin") < F.col("last"), F.col("size")).when(F.col("bin") == F.col("last"), F.floor(F.col("size") * F.col("part") / F.col("words"))).otherwise(0)
-    out = sized.join(F.broadcast(cut), "sources", "left").select("row", "sources", "size", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    # of each pattern, the bin in which the rest ends, and the words of it that are taken
+    ends = before(bins.join(small(plan), "sources"), ["sources"], ["bin"], "words", "lower")
+    ends = ends.where((F.col("lower") <= F.col("rest")) & (F.col("lower") + F.col("words") > F.col("rest")))
+    ends = ends.select("sources", F.col("bin").alias("last"), (F.col("rest") - F.col("lower")).alias("part"), "words")
+    cut = written(plan.join(ends, "sources", "left"), "cut")
+    discard(bins)
+    placed = sized.join(small(cut), "sources", "left")
+    # a bin of which a part is taken is shared out; in all others documents stand before or behind the end
+    split = F.coalesce((F.col("bin") == F.col("last")) & (F.col("part") > 0), F.lit(False))
+    edge = shared_out(placed.where(split).select("row", "sources", "size", "hash", "copies", "part", "words"))
+    plain = placed.where(~split).withColumn("given", F.when(F.col("bin") < F.col("last"), F.col("size")).otherwise(0))
+    taken = F.coalesce(F.col("copies") * F.col("size") + F.col("given"), F.lit(0)).cast("long")
+    out = plain.select("row", "sources", "size", taken.alias("taken")).unionByName(edge.select("row", "sources", "size", taken.alias("taken")))
     out.source_sizes, out.source_targets, out.flow = sizes, wanted, flow
     return out
 
@@ -179,7 +215,7 @@ def mixed_by_source(documents: DataFrame, size: Column | None = None) -> DataFra
     facts = documents.sparkSession.createDataFrame(rows, "name string, source_size long, target double")
     added = ["size", "source_size", "target", "taken"]
     own = [F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in added]
-    return mixed.join(F.broadcast(facts), F.element_at("sources", 1).eqNullSafe(F.col("name"))).select(*own, *added)
+    return mixed.join(small(facts), F.element_at("sources", 1).eqNullSafe(F.col("name"))).select(*own, *added)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +227,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('9:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS INTEGER) AS bin
+         md5('9:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash, substr(md5('9:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS bin
   FROM documents),
 ranked AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -212,10 +248,11 @@ plan AS (
   FROM wanted),
 bins AS (
   SELECT source, bin, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS up_to
-  FROM sized GROUP BY source, bin)
+  FROM sized GROUP BY source, bin),
+running AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source, bin ORDER BY hash, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS own FROM sized)
 SELECT s.doc_id, s.size, p.source_size, p.target,
        CAST(p.copies * s.size + CASE WHEN b.up_to <= p.rest THEN s.size WHEN b.up_to - b.words >= p.rest THEN 0
-         ELSE floor(CAST(s.size * (p.rest - b.up_to + b.words) AS DOUBLE) / b.words) END AS BIGINT) AS taken
-FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+         ELSE s.own * (p.rest - b.up_to + b.words) // b.words - (s.own - s.size) * (p.rest - b.up_to + b.words) // b.words END AS BIGINT) AS taken
+FROM running s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 JOIN bins b ON s.source IS NOT DISTINCT FROM b.source AND s.bin = b.bin
 """
