@@ -46,7 +46,7 @@ from nuntia.llm.components import components
 
 ROWS, MISS = 4, 1e-5
 #: Shingles in a block of hubs or a chunk of classes; classes of a large ring that are tried first, and when a ring is large.
-VOLUME, SAMPLE, LARGE = 1 << 17, 64, 512
+VOLUME, SAMPLE, LARGE = 1 << 15, 64, 512
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
