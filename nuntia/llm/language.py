@@ -6,7 +6,12 @@ the largest mean probability over all its positions. Both units are trained in n
 time on a bounded sample of documents of each language. At prediction thousands of windows advance together.
 
 Defined results: `und` with score 0 for a null text or one without letters, and for every text if no row could be
-learned from. Ties go to the language that sorts first. Repeated rows are labelled alike; other columns are ignored.
+learned from. Ties go to the language that sorts first. Repeated rows are labelled alike; other columns are ignored. An
+empty table gives no rows; a very long text is read in windows.
+
+Every language that a row to learn from names is learned, however many there are and however long its texts: the sample
+holds about SAMPLE documents in all, but for at least FEWEST of each language, and of a long text a stretch of max_chars.
+Training takes at least LEAST_WINDOWS windows of each language, so it grows with their number beyond about 140.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import buffers, fold, slices, table
+from nuntia.llm.common import buffers, discard, fold, slices, small, table, written
 
 STEPS = 96
 HIDDEN = 8
+SAMPLE, FEWEST, LEAST_WINDOWS = 6000, 10, 64
 PARTS = ("Xf", "Uf", "Xb", "Ub", "V", "v")
 
 
@@ -142,7 +148,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, batch: int = 256, most_win
     data = np.frombuffer(b"".join(parts), np.uint8)
     row, start, length = windows(offsets)
     label = label[row]
-    share = most_windows // len(languages)
+    share = max(LEAST_WINDOWS, most_windows // len(languages))
     chosen = np.concatenate([rng.permutation(np.flatnonzero(label == k))[:share] for k in range(len(languages))])
     n = HIDDEN
     m1, m2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -196,18 +202,20 @@ def identify(documents: DataFrame, model: LanguageModel, id_column: str = "doc_i
     return lettered.mapInArrow(run, f"`{id_column}` {kind}, lang_pred string, score double")
 
 
-def language_sample(documents: DataFrame, skip: Column, per_language: int = 300, most_languages: int = 200, max_chars: int = 20_000, seed: int = 4) -> list[tuple[str, str]]:
-    """(text, lang) of about per_language documents of each of the most frequent languages, chosen by a hash of the id."""
-    usable = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~F.coalesce(skip, F.lit(True)) & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
-    counts = documents.where(F.col("lang").isNotNull() & ~F.coalesce(skip, F.lit(True))).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not counts:
-        return []
-    share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (share < min(1.0, per_language / r["n"])))
-    rows = usable.where(keep).limit(4 * per_language * len(counts)).collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+def language_sample(documents: DataFrame, skip: Column, per_language: int = 300, max_chars: int = 20_000, seed: int = 4) -> list[tuple[str, str]]:
+    """(text, lang) of up to about per_language documents of every language, chosen by a hash of the id, or of the text
+    where there is no id. Of a text over max_chars characters a stretch of that length, at a place set by the hash."""
+    chance = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
+    usable = documents.where(F.col("lang").isNotNull() & ~F.coalesce(skip, F.lit(True)) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", chance.alias("chance"))
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    most = min(per_language, max(FEWEST, SAMPLE // max(1, counts.count())))
+    share = F.pmod("chance", F.lit(1 << 30)) / float(1 << 30)
+    # a rare language is taken whole, so that chance leaves none out
+    found = usable.join(small(counts), "lang").where((F.col("n") <= 2 * most) | (share < most / F.col("n")))
+    start = F.pmod("chance", F.greatest(F.length("text") - max_chars + 1, F.lit(1))) + 1
+    rows = found.select("doc_id", F.substring(F.col("text"), start, F.lit(max_chars)).alias("text"), "lang").collect()
+    discard(counts)
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

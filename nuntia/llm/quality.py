@@ -9,7 +9,8 @@ it holds at the labels' true shares, and short texts are drawn towards these sha
 Lines that good and bad rows share are no evidence and stay out of both dictionaries.
 
 Defined results: a null or empty text carries no evidence and gets the share of label 1 (0.5 without any
-labels). Repeated rows are scored alike; extra columns are ignored.
+labels). An empty table gives no rows. A very long text is read in blocks. Repeated rows are scored alike; extra columns
+are kept, but for one that has the score column's name: it is replaced.
 """
 
 from __future__ import annotations
@@ -105,6 +106,7 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dicti
 
 def score_quality(documents: DataFrame, model: QualityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """All columns of documents and the score, one row per row; one pass without a shuffle."""
+    documents = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() != score_column.lower()])
     at = documents.columns.index(text_column)
     names = [*documents.columns, score_column]
 

@@ -12,7 +12,9 @@ At prediction softmax(W mean(E)) over two classes is a logistic function of the
 so whole batches are scored from their raw bytes by array operations.
 
 Defined results: a text without words (null, empty, only signs) has no evidence and gets the score of the lowest
-evidence seen in fitting. Without labels of both classes every score is 0. Repeated rows are scored alike.
+evidence seen in fitting. Without labels of both classes every score is the labels' smoothed share of class 1 (0.5
+without any). An empty table gives no rows. A very long text is read in pieces, of which the strongest words count.
+Repeated rows are scored alike. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -140,7 +142,8 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim:
     """Joint training of embeddings and softmax over word types of the labelled rows."""
     y = np.array([r[1] for r in rows])
     if len(np.unique(y)) < 2:
-        return ToxicityModel(None, 0.0, 1.0, 0.0, 0.0)
+        counts = counts or {k: int((y == k).sum()) for k in (0, 1)}
+        return ToxicityModel(None, 0.0, 0.0, float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))), 0.0)
     kinds: dict[str, int] = {}
     docs = []
     for text, _ in rows:
@@ -217,7 +220,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, id_column: str =
     """id_column and score, one row per row of documents; one pass without a shuffle."""
     kind = documents.schema[id_column].dataType.simpleString()
     if model.weights is None:
-        return documents.select(id_column, F.lit(0.0).alias("score"))
+        return documents.select(id_column, F.lit(float(sigmoid(np.float64(model.intercept)))).alias("score"))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed size: one float per bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

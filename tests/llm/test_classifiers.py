@@ -95,6 +95,16 @@ def test_without_languages_all_is_undetermined(spark, odd):
     assert {r["lang_pred"] for r in language.identify(odd.where("doc_id = 5"), language.fit([("abc", "xx")])).collect()} == {"xx"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(7)
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * rng.randint(5, 30), f"l{i % 230:03}") for i in range(690)]
+    rows += [(1000 + i, "zzyzx " * 5000, "long") for i in range(3)] + [(2000, "x", None), (2001, None, "l000"), (None, "no id", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.language_sample(df, F.lit(False), max_chars=2000)
+    assert {k for _, k in sample} == {f"l{i:03}" for i in range(230)} | {"long"} and max(len(t) for t, _ in sample) <= 2000
+    assert language.fit([r for r in sample if r[1] < "l003" or r[1] == "long"], epochs=1).languages == ("l000", "l001", "l002", "long")
+
+
 def test_language_query(spark, sf_dir, docs):
     df = language.op4_language(spark, sf_dir)
     assert df.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
@@ -118,8 +128,8 @@ def test_quality_separates_held_out_texts(spark, odd, none):
     test = quality_rows(60, seed=9)
     scores = model.scores([t for t, _ in test], model.coders())
     assert np.mean((scores >= 0.5) == np.array([y for _, y in test])) >= 0.97
-    out = quality.score_quality(odd.drop("score"), model)
-    assert out.columns == [*odd.drop("score").columns, "score"] and quality.score_quality(none.drop("score"), model).collect() == []
+    out = quality.score_quality(odd, model)
+    assert out.columns == [*odd.drop("score").columns, "score"] and quality.score_quality(none, model).collect() == []
     rows = {r["doc_id"]: r["score"] for r in out.collect()}
     assert out.count() == odd.count() and rows[1] == rows[2] == pytest.approx(0.5) and all(0 <= s <= 1 for s in rows.values())
 
@@ -193,8 +203,8 @@ def test_toxicity_of_odd_rows(spark, toxic, odd, none):
     rows = {r["doc_id"]: r["score"] for r in out.collect()}
     assert out.count() == odd.count() and rows[1] == rows[2] == rows[3] < 0.5 and all(0 <= s <= 1 for s in rows.values())
     assert toxicity.score_toxicity(none, toxic).collect() == []
-    empty = toxicity.fit([("a", 1)])
-    assert {r["score"] for r in toxicity.score_toxicity(odd, empty).collect()} == {0.0}
+    for labels, want in (([], 0.5), ([("a", 1)] * 8, 0.9), ([("a", 0)] * 8, 0.1)):
+        assert {round(r["score"], 6) for r in toxicity.score_toxicity(odd, toxicity.fit(labels)).collect()} == {want}
 
 
 def test_batches_do_not_change_scores(toxic):
