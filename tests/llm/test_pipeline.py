@@ -78,3 +78,22 @@ def test_empty_documents(spark, few, sf_dir):
 def test_run(spark, sf_dir):
     out = pipe.run(spark, sf_dir)
     assert out.count() > 0 and shared_dir(spark).startswith("file:") and out.where("taken > 3 * size").count() == 0
+
+
+def test_near_duplicates_are_decided_by_row(spark, few, sf_dir):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "nothing like the other text but for its id", "one two three four five six seven eight")
+    rows = [(1, a), (7, a), (7, b), (9, c), (9, c), (None, c), (None, c), (9, c.upper()), (12, None), (12, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], few.schema).withColumn("nuntia_hash", F.lit("kept"))
+    out = pipe.near_duplicate(spark, df, sf_dir)
+    assert out.columns == df.columns and out.where("nuntia_hash = 'kept'").count() == out.count()
+    got = sorted(((r["doc_id"], (r["text"] or "").lower() or None) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (7, b), (9, c), (None, c), (12, None)], key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark, few, sf_dir):
+    names = ["nuntia_score", "nuntia_hash", "first", "node", "gone", "hash", "again", "row", "spans", "runs", "id"]
+    df = few.select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in pipe.STAGES[:-1]:
+        out = stage(spark, df, sf_dir)
+        assert out.columns == df.columns, name
+        assert all(r[n] == n for r in out.collect() for n in names), name
