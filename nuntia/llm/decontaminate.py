@@ -1,27 +1,39 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts and benchmark items become sequences of tokens (runs of letters and digits in lower case). A mask says which
+Texts and benchmark items become sequences of tokens: runs of letters and digits in lower case, and single characters of
+scripts that don't part words (Chinese, Japanese, Thai, Lao, Khmer, Burmese). A mask says which
 places of a window of tokens count and which are ignored, so windows that differ by substituted tokens at ignored
 places hash alike. Hashes of all windows of all items form the test table; hashes of all windows of all texts are
 joined with it; around each hit, item and text are laid over each other on the hit's diagonal and compared token
-by token. The compared stretch is what of the item lies inside the text, trimmed at both ends to the best stretch, so
+by token. The compared stretch is what of the item lies inside the text, whole or trimmed at both ends to the best stretch, so
 parts of items count too. It must hold `least` tokens, or half of the item if that is fewer (but not under FEWEST),
 or the whole of an item shorter than that, and at least `percent` of its tokens must agree.
 
-The masks find every overlap of 5 tokens in a row. In simulated overlaps of 8 to 45 tokens of which a fifth is replaced,
-at random or every fifth, no one was without a hit. Items of fewer than 5 tokens say too little and are not looked for.
+Items of `SHORT` tokens or more are looked for with MASKS, shorter ones with SHORT_MASKS, of four tokens each: of any 5 to
+12 tokens of which a fifth at most is replaced, some window of these has a hit. Items of fewer than 5 tokens say too
+little and are not looked for.
+
+A hit that only continues the hit before it, on the same diagonal, is never written out: places of a hash are sorted by the
+hash of the window before them, and those that agree in it with the text are skipped. So a text and an item that repeat a
+token n and m times give n + m diagonals and not n * m hits.
+
+Equal items (same text but for case) are looked for once, by the smallest id; `equal_items` says how many there are,
+and item_classes() which.
 
 The test table is small next to the texts and is joined where the texts are read: a bit table of its hashes drops
 nearly all windows, the sorted hashes decide about the rest, and nothing is shuffled. It is sent to executors in
-pieces of at most PIECE_HASHES entries, one pass over the texts for each, so any number of items can be checked.
-Windows that occur in more than one place of the benchmark keep all their places.
+pieces of at most PIECE_HASHES entries, one pass over the texts for each, so any number of items can be checked; items
+longer than a piece are cut into overlapping parts. With several pieces each pass is written before the next one
+begins and its broadcast is released.
 
-Defined results: texts or items that are null or without tokens give no rows; repeated rows give repeated results;
-equal items are reported each; extra columns are ignored.
+Defined results: empty tables, and texts or items that are null, empty or without tokens, give no rows; repeated rows give
+repeated results (but where parts of an item fall into several passes, rows of one id share their best overlap); a very long text is read in pieces; the best overlap of a pair is reported, of equally good ones the first;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,27 +42,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nuntia.llm.common import LONG, buffers, lowered, pieces, slices, table
+from nuntia.llm.common import LONG, buffers, lowered, pieces, slices, table, written
 from nuntia.llm.near_dup import BASE, BYTE, GOLD, MIX2, powers, scrambled
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("11111", "1110111", "1101011", "11001011", "1101100101")
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+SHORT = 13
 LEAST, FEWEST, PERCENT, SLACK = 13, 8, 80, 20
 PIECE_HASHES = 2_000_000
+#: Characters of a part of a very long item, and how many two parts share.
+PART_CHARS, PART_OVERLAP = 400_000, 2_000
 TABLE_BITS = 22
-
-
-def folded(data: np.ndarray) -> np.ndarray:
-    """Lower case for A-Z and for the Latin-1 capitals in UTF-8."""
-    low = lowered(data)
-    if len(low) > 1:
-        capital = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
-        low[capital] += 0x20
-    return low
+#: First and last characters of scripts that don't part words, all of three bytes in UTF-8.
+UNPARTED = (("\u0e00", "\u0eff"), ("\u1000", "\u109f"), ("\u1780", "\u17ff"), ("\u2e80", "\u9fff"), ("\uf900", "\ufaff"))
+
+
+def single(data: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without spaces between words begin."""
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero((data >= 0xE0) & (data <= 0xEF))
+    at = at[at + 2 < len(data)]
+    if len(at):
+        code = ((data[at].astype(np.uint32) & 15) << 12) | ((data[at + 1].astype(np.uint32) & 63) << 6) | (data[at + 2] & 63)
+        hit = np.zeros(len(at), bool)
+        for first, last in UNPARTED:
+            hit |= (code >= ord(first)) & (code <= ord(last))
+        out[at[hit]] = True
+    return out
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token of all rows, and each row's first token (one more at the end)."""
+    """Hash of each token of all rows, and each row's first token (one more at the end). Letters are in lower case already."""
     if len(data) > LONG:
         parts, counts = [], []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
@@ -62,10 +85,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hashed_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low, n = folded(data), len(data)
+    low, n = lowered(data), len(data)
     inside = ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57)) | (low >= 128)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    alone = np.flatnonzero(single(low))
+    cut[alone] = cut[alone + 3] = True
     begins = np.flatnonzero(inside & (cut[:-1] | ~np.r_[False, inside[:-1]]))
     ends = np.flatnonzero(inside & (cut[1:] | ~np.r_[inside[1:], False])) + 1
     up, down = powers(int(BASE), n), powers(pow(int(BASE), -1, 1 << 64), n)
@@ -103,103 +128,180 @@ def best_stretch(agree: np.ndarray, level: int) -> tuple[int, int]:
     return begin, end
 
 
+def continued(at: np.ndarray, keys: np.ndarray, end: int) -> np.ndarray:
+    """Each window's hash mixed with that of the window one place before it, or with `end` where there is none."""
+    prior = np.full(len(keys), np.uint64(end), np.uint64)
+    if len(keys) > 1:
+        follows = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+        prior[follows] = keys[follows - 1]
+    return scrambled(keys * MIX2 ^ scrambled(prior))
+
+
 class TestTable:
     """All windows of some items, by hash, with the items' tokens."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
-        self.ids = ids
+    def __init__(self, items: list, texts: list[str | None]):
+        self.items = items
         self.tokens, self.first = tokens(*buffers(pa.array(texts, pa.large_string())))
+        short = np.repeat(np.diff(self.first) < SHORT, np.diff(self.first))
         self.masks = []
-        for number, mask in enumerate(MASKS):
+        for number, mask in enumerate((*MASKS, *SHORT_MASKS)):
             at, keys = windows(self.tokens, self.first, mask, number)
-            order = np.argsort(keys, kind="stable")
+            both = continued(at, keys, 1)
+            own = np.flatnonzero(short[at] == (mask in SHORT_MASKS)) if len(at) else at
+            at, keys, both = at[own], keys[own], both[own]
+            if not len(at):
+                continue
+            order = np.lexsort((at, both, keys))
             bits = np.zeros(1 << TABLE_BITS, bool)
             bits[keys >> np.uint64(64 - TABLE_BITS)] = True
-            self.masks.append((mask, number, keys[order], at[order], np.packbits(bits)))
+            runs = np.flatnonzero(np.r_[True, both[order][1:] != both[order][:-1]])
+            by = np.argsort(both[order][runs], kind="stable")
+            self.masks.append((mask, number, keys[order], at[order], np.packbits(bits), both[order][runs][by], runs[by], np.diff(np.r_[runs, len(at)])[by]))
         self.spread: list | None = None
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Text and item positions that share a window."""
+        """Text and item positions that share a window, where the windows before them differ."""
         if self.spread is None:
             self.spread = [np.unpackbits(m[4]).astype(bool) for m in self.masks]
-        for (mask, number, keys, places, _), bits in zip(self.masks, self.spread, strict=True):
+        for (mask, number, keys, places, _, pairs, run_at, run_size), bits in zip(self.masks, self.spread, strict=True):
             at, own = windows(hashes, first, mask, number)
             may = np.flatnonzero(bits[own >> np.uint64(64 - TABLE_BITS)])
-            at, own = at[may], own[may]
-            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            size = high - low
-            yield np.repeat(at, size), places[np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())] if size.sum() else places[:0]
+            if not len(may):
+                continue
+            low, high = np.searchsorted(keys, own[may], "left"), np.searchsorted(keys, own[may], "right")
+            hit = np.flatnonzero(high > low)
+            if not len(hit):
+                continue
+            may, low, high = may[hit], low[hit], high[hit]
+            # the places that go on from the window before lie together, and are left out
+            prior = np.where((may > 0) & (at[np.maximum(may - 1, 0)] == at[may] - 1), own[np.maximum(may - 1, 0)], np.uint64(0))
+            both = scrambled(own[may] * MIX2 ^ scrambled(prior))
+            j = np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)
+            same = pairs[j] == both
+            skip_at, skip_end = np.where(same, run_at[j], high), np.where(same, run_at[j] + run_size[j], high)
+            for a, b in ((low, skip_at), (skip_end, high)):
+                size = b - a
+                if total := size.sum():
+                    yield np.repeat(at[may], size), places[np.repeat(a - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(total)]
 
 
 def overlaps(data: np.ndarray, offsets: np.ndarray, test: TestTable, least: int, percent: int) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item number, first token in the row, first token in the item, tokens compared, tokens that agree)."""
     hashes, first = tokens(data, offsets)
-    pairs = [np.stack(h) for h in test.hits(hashes, first)]
-    at, place = np.concatenate(pairs, 1)
-    if not len(at):
+    diagonals = []
+    for at, place in test.hits(hashes, first):
+        row = np.searchsorted(first, at, "right") - 1
+        item = np.searchsorted(test.first, place, "right") - 1
+        diagonals.append(np.unique(np.stack([row, item, (at - first[row]) - (place - test.first[item])]), axis=1))
+    if not diagonals:
         return
-    row = np.searchsorted(first, at, "right") - 1
-    item = np.searchsorted(test.first, place, "right") - 1
-    shift = (at - first[row]) - (place - test.first[item])
     found = {}
-    for r, i, d in np.unique(np.stack([row, item, shift]), axis=1).T.tolist():
+    for r, i, d in np.unique(np.concatenate(diagonals, 1), axis=1).T.tolist():
         a, b = first[r], test.first[i]
         n_text, n_item = first[r + 1] - a, test.first[i + 1] - b
         lo, hi = max(0, -d), min(n_item, n_text - d)  # the item's tokens that lie on a token of the text
+        enough = min(n_item, max(FEWEST, min(least, n_item // 2)))
+        if hi - lo < enough:
+            continue
         agree = hashes[a + lo + d : a + hi + d] == test.tokens[b + lo : b + hi]
-        # a level below percent bridges more mismatches, which may make the stretch too poor; so both are tried
-        for level in (percent - SLACK, percent):
-            begin, end = best_stretch(agree, level)
+        # a level below percent bridges more mismatches, which may make the stretch too poor; so both are tried, and the whole
+        for begin, end in (best_stretch(agree, percent - SLACK), best_stretch(agree, percent), (0, hi - lo)):
             same, n = int(agree[begin:end].sum()), end - begin
-            if n >= min(n_item, max(FEWEST, min(least, n_item // 2))) and 100 * same >= percent * n and same > found.get((r, i), (0,))[-1]:
+            if n >= enough and 100 * same >= percent * n and same > found.get((r, i), (0,))[-1]:
                 found[r, i] = (int(lo + d + begin), int(lo + begin), n, same)
     for (r, i), rest in sorted(found.items()):
         yield (r, i, *rest)
 
 
+def item_classes(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
+    """item and class_id (smallest id with the same text but for case) of every item with a text."""
+    lower = F.lower(text_column)
+    own = benchmark.where(F.col(text_column).isNotNull()).select(F.col(item_column).alias("item"), F.sha2(lower.cast("binary"), 256).alias("hash"))
+    return own.join(own.groupBy("hash").agg(F.min("item").alias("class_id")), "hash").select("item", "class_id")
+
+
+def parts(text: str) -> Iterator[tuple[int, str]]:
+    """A very long text in parts that share PART_OVERLAP characters at least and begin and end between words where there
+    are any: (tokens before the part, part)."""
+    begin = 0
+    while len(text) - begin > PART_CHARS + PART_OVERLAP:
+        end = begin + PART_CHARS + PART_OVERLAP
+        yield begin, text[begin:end]
+        following = re.compile(r"\s").search(text, begin + PART_CHARS - PART_OVERLAP, begin + PART_CHARS)
+        begin = following.end() if following else begin + PART_CHARS
+    yield begin, text[begin:]
+
+
+def count_tokens(text: str) -> int:
+    return len(tokens(*buffers(pa.array([text], pa.large_string())))[0])
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """id, item, text_start, item_start, compared, agreeing (in tokens): the best overlap of each pair that has one."""
+    """id, item, text_start, item_start, compared, agreeing (in tokens), equal_items: the best overlap of each pair that has one."""
     spark = documents.sparkSession
-    kind, item_kind = documents.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
+    item_kind = benchmark.schema[item_column].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_column].dataType)
-    names = [id_column, item_column, "text_start", "item_start", "compared", "agreeing"]
-    schema = f"`{id_column}` {kind}, `{item_column}` {item_kind}, text_start int, item_start int, compared int, agreeing int"
-    rows = documents.select(id_column, text_column)
+    numbers = ["text_start", "item_start", "compared", "agreeing"]
+    names = ["nuntia_id", "nuntia_item", *numbers, "equal_items"]
+    kind = documents.schema[id_column].dataType.simpleString()
+    schema = f"nuntia_id {kind}, nuntia_item {item_kind}, text_start int, item_start int, compared int, agreeing int, equal_items long"
+    rows = documents.select(F.col(f"`{id_column}`"), F.lower(f"`{text_column}`"))
+    passes: list[DataFrame] = []
 
-    def against(ids: list, texts: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(TestTable(ids, texts))
+    def against(items: list, texts: list, last: bool) -> None:
+        """One pass; all but an only one are written at once, so that the table they need can go."""
+        shared = spark.sparkContext.broadcast(TestTable(items, texts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = shared.value
-            items = pa.array(test.ids, item_type)
             for batch in batches:
                 data, offsets = buffers(batch.column(1))
                 for a, b in slices(data, offsets):
                     part = offsets[a : b + 1]
-                    got = list(overlaps(data[part[0] : part[-1]], part - part[0], test, least, percent))
-                    if got:
-                        r, i, *rest = (np.array(c) for c in zip(*got, strict=True))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r + a)), items.take(pa.array(i)), *(pa.array(x.astype(np.int32)) for x in rest)], names=names)
-
-        return rows.mapInArrow(run, schema)
-
-    parts, ids, texts, size = [], [], [], 0
-    for item in benchmark.select(item_column, text_column).where(F.col(text_column).isNotNull()).orderBy(item_column, text_column).toLocalIterator(prefetchPartitions=False):
-        ids.append(item[0])
-        texts.append(item[1])
-        size += len(item[1]) // 2 * len(MASKS)
-        if size >= PIECE_HASHES:
-            parts, ids, texts, size = [*parts, against(ids, texts)], [], [], 0
-    if ids:
-        parts.append(against(ids, texts))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                    best: dict = {}
+                    for r, i, at, start, compared, agreeing in overlaps(data[part[0] : part[-1]], part - part[0], test, least, percent):
+                        item, before, equal = test.items[i]
+                        if agreeing > best.get((r, item), (0,) * 4)[3]:  # parts of one item count as one
+                            best[r, item] = (at, start + before, compared, agreeing, equal)
+                    if best:
+                        columns = [pa.array(x, pa.int32()) for x in list(zip(*best.values(), strict=True))[:4]]
+                        equal = pa.array([x[4] for x in best.values()], pa.int64())
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + r for r, _ in best])), pa.array([i for _, i in best], item_type), *columns, equal], names=names)
+
+        out = rows.mapInArrow(run, schema)
+        if last and not passes:
+            passes.append(out)
+        else:
+            passes.append(written(out, "overlaps"))
+            shared.unpersist(blocking=True)
+
+    items, texts, size, cut = [], [], 0, False
+    lower = F.lower(f"`{text_column}`")
+    classes = benchmark.where(F.col(f"`{text_column}`").isNotNull()).groupBy(lower.alias("text")).agg(F.min(f"`{item_column}`").alias("item"), F.count("*").alias("equal"))
+    for r in classes.orderBy("item", "text").toLocalIterator(prefetchPartitions=False):
+        for begin, part in parts(r["text"]):
+            if texts and size + len(part) // 2 * len(MASKS) > PIECE_HASHES:
+                against(items, texts, False)
+                items, texts, size = [], [], 0
+            cut = cut or begin > 0
+            items.append((r["item"], count_tokens(r["text"][:begin]) if begin else 0, r["equal"]))
+            texts.append(part)
+            size += len(part) // 2 * len(MASKS)
+    if texts:
+        against(items, texts, True)
+    if not passes:
+        out = spark.createDataFrame([], schema)
+    else:
+        out = passes[0]
+        for p in passes[1:]:
+            out = out.unionByName(p)
+    if cut and len(passes) > 1:  # parts of one item in several passes; rows that repeat an id share the best one
+        best = F.max_by(F.struct(*numbers, "equal_items"), "agreeing")
+        out = out.groupBy("nuntia_id", "nuntia_item").agg(best.alias("best")).select("nuntia_id", "nuntia_item", "best.*")
+    return out.withColumnsRenamed({"nuntia_id": id_column, "nuntia_item": item_column})
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All overlaps between documents and benchmark items: one row per pair."""
+    """All overlaps between documents and classes of equal benchmark items: one row per pair."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

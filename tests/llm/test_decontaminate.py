@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from nuntia.llm import decontaminate as dec
 
 
@@ -24,8 +26,8 @@ def test_whole_partial_and_substituted_passages(spark):
     docs = spark.createDataFrame([(k, v, "clash") for k, v in texts.items()], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(100, " ".join(item)), (200, "; ".join(other) + "."), (300, " ".join(short)), (400, None), (500, "")], "item_id long, text string")
     rows = {(r["doc_id"], r["item_id"]): r for r in dec.contamination(docs, items).collect()}
-    # 4: eight tokens of forty; 5: half of the tokens replaced; 7: no five of six tokens left in a mask's places
-    assert set(rows) == {(1, 100), (2, 100), (3, 100), (6, 300), (8, 100), (12, 100), (12, 200), (13, 100)}
+    # 4: eight tokens of forty; 5: half of the tokens replaced; 7: five of six tokens agree
+    assert set(rows) == {(1, 100), (2, 100), (3, 100), (6, 300), (7, 300), (8, 100), (12, 100), (12, 200), (13, 100)}
     assert (rows[1, 100]["text_start"], rows[1, 100]["item_start"], rows[1, 100]["compared"], rows[1, 100]["agreeing"]) == (20, 0, 40, 40)
     assert rows[2, 100]["agreeing"] == 33 and rows[2, 100]["compared"] == 39 and rows[3, 100]["compared"] == 15 and rows[8, 100]["compared"] == 20
 
@@ -60,6 +62,76 @@ def test_empty_tables(spark, none, odd):
     assert [r["doc_id"] for r in dec.contamination(odd, five).collect()] == [4]
 
 
+def test_substitutions_are_found_at_every_length(spark, sf_dir):
+    """Stretches of real items as items of their own, a fifth of their tokens replaced, inside real documents."""
+    rng = random.Random(11)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect()]
+    clean = [r["text"].split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 100").orderBy("doc_id").limit(60).collect()]
+    items, docs, trials = [], [], 40
+    for n in [*range(5, 16), 18, 22, 30, 45]:
+        for _ in range(trials):
+            source = re.findall(r"[^\W_]+", " ".join(rng.sample(texts, 6)).lower())
+            start = rng.randrange(len(source) - n)
+            own = [f"{w}{rng.randrange(50)}" for w in source[start : start + n]]  # items that share no stretch by chance
+            changed = replaced(own, set(rng.sample(range(n), n // 5)), rng.random())
+            around = rng.choice(clean)
+            at = rng.randrange(len(around))
+            items.append((len(items), " ".join(own), n))
+            docs.append((len(docs), " ".join(around[:at] + changed + around[at:])))
+    found = {(r["doc_id"], r["item_id"]) for r in dec.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, n int")).collect()}
+    for n in {n for _, _, n in items}:
+        own = [i for i, _, m in items if m == n]
+        assert sum((i, i) in found for i in own) >= 0.9 * len(own), n
+    assert sum(d != i for d, i in found) <= 0.01 * len(docs)
+
+
+def test_repeated_tokens_stay_small():
+    import tracemalloc
+
+    test = dec.TestTable([(1, 0, 1)], ["la " * 1000])
+    data, offsets = dec.buffers(pa.array(["la " * 20_000, "la " * 600 + "so"]))
+    tracemalloc.start()
+    rows = list(dec.overlaps(data, offsets, test, 13, 80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r, i, n, same) for r, i, _, _, n, same in rows] == [(0, 0, 1000, 1000), (1, 0, 600, 600)] and peak < 100 << 20
+
+
+def test_all_diagonals_are_found_though_hits_are_skipped():
+    rng = random.Random(4)
+    for _ in range(30):
+        item = [rng.choice("abc") for _ in range(rng.randint(13, 40))]
+        text = [rng.choice("abc") for _ in range(rng.randint(5, 60))]
+        test = dec.TestTable([(1, 0, 1)], [" ".join(item)])
+        hashes, first = dec.tokens(*dec.buffers(pa.array([" ".join(text)])))
+        got = {int(a - p) for at, place in test.hits(hashes, first) for a, p in zip(at, place, strict=True)}
+        want = set()
+        for mask in dec.MASKS:
+            on = [k for k, c in enumerate(mask) if c == "1"]
+            want |= {a - p for a in range(len(text) - len(mask) + 1) for p in range(len(item) - len(mask) + 1) if all(text[a + k] == item[p + k] for k in on)}
+        assert got == want
+
+
+def test_scripts_without_spaces_and_other_cases(spark):
+    chinese, greek = "我们今天在图书馆里读了一本关于海洋的书", "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί σήμερα"
+    items = spark.createDataFrame([(1, chinese), (2, greek)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"前面的话。{chinese}后面还有"), (2, greek.upper().replace("Ή", "Η")), (3, greek.title()), (4, "前面的话后面还有")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in dec.contamination(docs, items).collect()} >= {(1, 1), (3, 2)}
+
+
+def test_equal_items_count_once_and_long_items_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dec, "PART_CHARS", 300)
+    monkeypatch.setattr(dec, "PART_OVERLAP", 100)
+    monkeypatch.setattr(dec, "PIECE_HASHES", 1000)
+    long, other = words(400, 21), words(20, 22)
+    items = spark.createDataFrame([(7, " ".join(other)), (3, " ".join(other).upper()), (5, " ".join(other)), (9, " ".join(long))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(long[150:170])), (2, " ".join(other)), (3, " ".join(long))], "doc_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]): r for r in dec.contamination(docs, items).collect()}
+    assert set(rows) == {(1, 9), (2, 3), (3, 9)} and rows[2, 3]["equal_items"] == 3
+    assert (rows[1, 9]["item_start"], rows[1, 9]["compared"]) == (150, 20)
+    assert {r["item"]: r["class_id"] for r in dec.item_classes(items).collect()} == {7: 3, 3: 3, 5: 3, 9: 9}
+
+
 def test_query_against_brute_force(spark, sf_dir):
     norm = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
     docs = {r["doc_id"]: f" {norm(r['text'])} " for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
