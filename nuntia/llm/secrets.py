@@ -4,28 +4,36 @@ Three kinds of base spans come from patterns (`assign`, `access`, `hex`; either
 regular expression matches, so a text is split at the same pattern: lengths of the pieces and matches, added up, are
 the places. Lengths are code points.
 
+Running sums and maxima over the matches of a text are taken in pieces of PIECE matches, first over pieces and then within
+them, as an array that grows match by match would be copied at each; so the work grows with the text's length.
+
 Kind `random` comes from a battery of randomness tests on long runs of key characters. The run's encoding (hex, base
-32, letters, base 36, base 62 or base 64) gives the alphabet. A chi-squared test of uniform use of the alphabet, a
-runs test about its middle and a lag-1 serial correlation test must not reject randomness (Bonferroni). Against the
-opposite hypothesis, ordinary text, stand too few coincidences of characters and too many changes of character class;
-the p-values of all runs of the corpus go through Benjamini-Hochberg control of false discoveries, separately in each
-band of lengths (powers of two), as short runs carry little evidence. For that control a histogram of p-values is
-all that is aggregated: a fixed number of bins, at whose edges the bound is tested (on the safe side).
-Runs of digits alone are left to the base kinds.
-
-Defined results: null and empty texts have no spans; base_sha256 is then that of the empty string. Repeated rows are
-scanned alike; extra columns are ignored.
+32, letters, base 36, base 62 or base 64) gives the alphabet. Three tests are put to the hypothesis that the run is
+random: a chi-squared test of uniform use of the alphabet (as the number of agreeing pairs of characters, to which it is
+equivalent; for short runs, where few agree, against the Poisson distribution), a runs test about the alphabet's middle
+and a lag-1 serial correlation test (against the normal distribution, corrected for continuity and bias). The smallest
+p-value, times three, is the battery's. All runs of a band of lengths (powers of two) go through Benjamini-Hochberg
+control: the runs that it discovers to be not random, at a false rate of LOST, are no secrets.
+Of what is left, short runs may be text that merely was not caught, as they carry little evidence. So a run must also
+speak against ordinary text, by too few coincidences of characters and too many changes of character class, and these
+p-values go through Benjamini-Hochberg control in the same bands, at FALSE_RATE.
+For that control histograms of p-values are all that is aggregated: a fixed number of bins, at whose edges the bounds
+are tested (on the safe side). Runs of digits alone are left to the base kinds.
+
+Defined results: an empty table gives no rows; null and empty texts have no spans; base_sha256 is then that of the empty
+string. Repeated rows are scanned alike; a very long text is scanned whole; extra columns are ignored (redact() keeps them).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import table, written
+from nuntia.llm.common import discard, table, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,6 +42,8 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 SPAN = "struct<start:int,kind:int,end:int>"
+#: By band of lengths: the battery's -log10 p from which a run is not random, the -log10 p against text that a secret needs.
+Limits = dict[int, tuple[float, float]]
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 #: Encodings by what a run consists of, in order: pattern, alphabet.
@@ -51,23 +61,44 @@ ENCODINGS = (
 AGREE, AGREE_HEX = 0.06, 0.10
 #: Chance that ordinary text changes between small letters, capitals, digits and signs; larger for names in camel case.
 CHANGE, CHANGE_MIXED = 0.10, 0.30
-RANDOM_P, FALSE_RATE, BIN, MOST_BINS = 0.01, 0.01, 0.25, 120
+LOST, FALSE_RATE, BIN, MOST_BINS = 0.01, 0.01, 0.25, 120
+#: Matches of a text that are taken together, and expected agreeing pairs up to which their number is held against Poisson's distribution.
+PIECE, RARE = 256, 30.0
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is evaluated once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(values: Column, together: Callable[[Column, Column], Column]) -> Column:
+    """For an array of int: what `together` (from 0) makes of all values before each one."""
+    zero, none = F.lit(0), F.array().cast("array<int>")
+
+    def upto(start: Column, array: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        step = lambda a, v: F.struct(together(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(array, first, step, lambda a: a["out"])
+
+    def in_pieces(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PIECE).cast("int")), lambda i: F.slice(v, i * PIECE + 1, PIECE))
+        return bound(cut, lambda c: F.flatten(F.zip_with(upto(zero, F.transform(c, lambda x: F.aggregate(x, zero, together))), c, upto)))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, in_pieces(v)).otherwise(none))
 
 
 def placed(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Array of (start, kind, end) of the matches whose group has at least `least` characters."""
     p = F.lit(pattern)
-    parts = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("g"), F.split(text, pattern, -1).alias("x"))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("x"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("g"))
+    sizes = F.transform(parts, lambda v: F.struct(F.length(v["x"]).alias("x"), F.coalesce(F.length(v["m"]), F.lit(0)).alias("m"), F.coalesce(F.length(v["g"]), F.lit(-1)).alias("g")))
 
-    def step(a: Column, v: Column) -> Column:
-        start = a["at"] + F.length(v["x"])
-        end = start + F.length(v["m"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        longer = F.struct(end.alias("at"), F.when(F.length(v["g"]) >= least, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
-        return F.when(v["m"].isNull(), a).otherwise(longer)
+    def spans(v: Column) -> Column:
+        before = running(F.transform(v, lambda s: s["x"] + s["m"]), lambda a, b: a + b)
+        each = F.zip_with(v, before, lambda s, at: F.when(s["g"] >= least, F.struct((at + s["x"]).alias("start"), F.lit(kind).alias("kind"), (at + s["x"] + s["m"]).alias("end"))))
+        return F.filter(each, lambda s: s.isNotNull())
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, first, step, lambda a: a["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(pattern), bound(sizes, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def log10_tail(z: Column) -> Column:
@@ -77,7 +108,8 @@ def log10_tail(z: Column) -> Column:
 
 
 def battery(core: Column) -> Column:
-    """For a run of key characters: (random boolean, evidence double, n int); evidence is -log10 p against ordinary text."""
+    """For a run of key characters: (against double, evidence double, n int): -log10 p of the battery, for the run being random,
+    and -log10 p of what tells it from ordinary text, for its being that."""
     alphabet = F.lit(ENCODINGS[-1][1])
     for pattern, letters in reversed(ENCODINGS[:-1]):
         alphabet = F.when(core.rlike(pattern), F.lit(letters)).otherwise(alphabet)
@@ -100,16 +132,21 @@ def battery(core: Column) -> Column:
 
     def judged(s: Column) -> Column:
         n, size = s["n"], s["size"].cast("double")
-        chi = (s["squares"] * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-        runs = F.abs(s["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-        serial = F.when(s["spread"] > 0, F.abs(s["joint"] / s["spread"]) * F.sqrt(n)).otherwise(F.lit(99.0))
-        worst = F.greatest(log10_tail(chi), log10_tail(runs) - 0.30103, log10_tail(serial) - 0.30103) - 0.4771213
-        agree = F.when(size == 16, AGREE_HEX).otherwise(AGREE)
         pairs = n * (n - 1) / 2
+        # the chi-squared statistic is linear in the number of agreeing pairs, whose mean is pairs / size
+        equal, mean = (s["squares"] - n) / 2, pairs / size
+        term = lambda k: F.exp(k * F.log(mean) - mean - F.when(k > 1, k * F.log(k) - k + 0.5 * F.log(6.283185307179586 * k) + 1 / (12 * k)).otherwise(0.0))
+        below = F.aggregate(F.sequence(F.lit(0), F.greatest(equal.cast("int") - 1, F.lit(0))), F.lit(0.0), lambda a, k: a + term(k.cast("double")))
+        rare = F.when(equal < 1, F.lit(0.0)).otherwise(-F.log10(F.greatest(1 - below, F.lit(1e-9))))
+        chi = F.when((mean <= RARE) & (equal <= 4 * RARE), rare).otherwise(log10_tail((equal - 0.5 - mean) / F.sqrt(mean * (1 - 1 / size))))
+        runs = (F.abs(s["turns"] - (n - 1) / 2) - 0.5) / F.sqrt((n - 1) / 4)
+        serial = F.when(s["spread"] > 0, F.abs(s["joint"] / s["spread"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+        worst = F.greatest(chi, log10_tail(runs) - 0.30103, log10_tail(serial) - 0.30103) - 0.4771213
+        agree = F.when(size == 16, AGREE_HEX).otherwise(AGREE)
         few = (pairs * agree - s["agreeing"]) / F.sqrt(pairs * agree * (1 - agree))
         change = F.when(size > 36, CHANGE_MIXED).otherwise(CHANGE)
         many = (s["changes"] - change * (n - 1)) / F.sqrt(change * (1 - change) * (n - 1))
-        return F.struct((worst <= -F.log10(F.lit(RANDOM_P))).alias("random"), log10_tail((few + many) / 1.4142135623730951).alias("evidence"), n.cast("int").alias("n"))
+        return F.struct(F.greatest(worst, F.lit(0.0)).alias("against"), log10_tail((few + many) / 1.4142135623730951).alias("evidence"), n.cast("int").alias("n"))
 
     chars = F.split(core, "")
     chars = F.filter(chars, lambda c: c != "")
@@ -134,14 +171,24 @@ def band(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double"))).cast("int")
 
 
-def discovered(runs: str, base: str, limits: dict[int, float]) -> Column:
-    """Spans of the runs that pass their band's limit and that no base span covers."""
+def passes(test: Column, limits: Limits) -> Column:
+    """Whether the battery doesn't find a run not random and the evidence against ordinary text is enough for its length."""
+    each = [(band(test["n"]) == b) & (test["against"] < most) & (test["evidence"] >= least) for b, (most, least) in limits.items()]
+    return reduce(or_, each, F.lit(False))
+
 
-    def passes(v: Column) -> Column:
-        return v["test"]["random"] & reduce(or_, [(band(v["test"]["n"]) == b) & (v["test"]["evidence"] >= least) for b, least in limits.items()], F.lit(False))
+def discovered(runs: str, base: str, limits: Limits) -> Column:
+    """Spans of the runs that pass their band's limits and that no base span covers."""
+    marked = lambda s, ok: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), ok.alias("ok"))
+    every = F.array_sort(F.concat(F.transform(base, lambda b: marked(b, F.lit(False))), F.transform(F.filter(runs, lambda v: passes(v["test"], limits)), lambda v: marked(v["span"], F.lit(True)))))
 
-    spans = F.transform(F.filter(runs, passes), lambda v: v["span"])
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
+    def kept(v: Column) -> Column:
+        # sorted by start and kind, so the base spans that begin with a run or before it stand before it
+        reach = running(F.transform(v, lambda s: F.when(s["ok"], 0).otherwise(s["end"])), lambda a, b: F.greatest(a, b))
+        each = F.zip_with(v, reach, lambda s, r: F.when(s["ok"] & (r < s["end"]), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+        return F.filter(each, lambda s: s.isNotNull())
+
+    return bound(every, kept)
 
 
 def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -151,26 +198,51 @@ def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return found.select(id_column, "base", discovered("runs", "base", discoveries(found)).alias("added"))
 
 
-def redact(documents: DataFrame, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """documents with the mark in place of every secret; a null text stays null. Two passes, as the first one sets
-    the limits for all texts; nothing but the results of tests is written or shuffled."""
-    names = documents.columns
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    limits = discoveries(written(tested(packed, "text", []), "secrets"))
-    found = tested(packed.select("row", "text", base_spans(F.col("text")).alias("base")), "text", ["row", "text", "base"])
-    spans = found.select("row", "text", F.concat("base", discovered("runs", "base", limits)).alias("spans"))
-    clean = F.when(F.col(f"row.`{text_column}`").isNotNull(), redacted(F.col("text"), F.col("spans"), mark))
-    return spans.select(*[(clean if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in names])
+def masked(text: Column, pattern: str, mark: str, is_secret: Callable[[Column, Column], Column], group: int = 0) -> Column:
+    """text with the mark in place of each match that is a secret, by the match and its group."""
+    p = F.lit(pattern)
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("x"), F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("g"))
+    each = F.transform(parts, lambda v: F.when(v["m"].isNull(), v["x"]).when(is_secret(v["m"], v["g"]), F.concat(v["x"], F.lit(mark))).otherwise(F.concat(v["x"], v["m"])))
+    return F.when(text.rlike(pattern), F.array_join(each, "")).otherwise(text)
 
 
-def discoveries(found: DataFrame) -> dict[int, float]:
-    """By length band, the evidence from which runs count as secrets under FALSE_RATE false discoveries."""
-    each = found.select(F.explode("runs").alias("v")).select("v.test.*").withColumn("band", band(F.col("n")))
-    bins = each.groupBy("band", F.least(F.floor(F.col("evidence") / BIN), F.lit(MOST_BINS)).alias("bin")).agg(F.count("*").alias("all"), F.count_if("random").alias("k"))
-    own = Window.partitionBy("band")
-    counted = bins.withColumn("m", F.sum("all").over(own)).withColumn("above", F.sum("k").over(own.orderBy(F.desc("bin"))))
-    passing = counted.where((F.col("above") > 0) & (-F.col("bin") * BIN <= F.log10(FALSE_RATE * F.col("above") / F.col("m"))))
-    return {r["band"]: r["bin"] * BIN for r in passing.groupBy("band").agg(F.min("bin").alias("bin")).collect()}
+def redact(documents: DataFrame, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """documents with the mark in place of every secret; a null text stays null. Kind by kind, in their order, each in
+    what the ones before it left: a mark ends a run, so what a secret of an earlier kind overlapped is judged by its rest.
+
+    Two passes, as the first one sets the limits for all texts; nothing but the results of tests is written or shuffled.
+    """
+    names = documents.columns
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+    limits = discoveries(tested(packed, "text", []))
+    text = masked(F.col("text"), ASSIGN, mark, lambda m, g: F.length(g) >= 12, 2)
+    clean = packed.select("row", masked(masked(text, ACCESS, mark, lambda m, g: F.lit(True)), HEX, mark, lambda m, g: F.lit(True)).alias("text"))
+    random = masked(F.col("text"), CANDIDATE, mark, lambda m, g: ~m.rlike("^[0-9]+$") & bound(battery(F.rtrim(m, F.lit("="))), lambda t: passes(t, limits)))
+    out = F.when(F.col(f"row.`{text_column}`").isNotNull(), random)
+    return clean.select(*[(out if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in names])
+
+
+def discoveries(found: DataFrame) -> Limits:
+    """By length band: the battery's value from which runs are not random (LOST false discoveries), and the evidence from
+    which the others count as secrets (FALSE_RATE)."""
+    each = found.select(F.explode("runs").alias("v")).select("v.test.*").select(band(F.col("n")).alias("band"), "against", "evidence")
+    in_bin = lambda c: F.least(F.floor(F.col(c) / BIN), F.lit(MOST_BINS))
+    bins = each.groupBy("band", in_bin("against").alias("against"), in_bin("evidence").alias("evidence")).agg(F.count("*").alias("n"))
+    bins = written(bins, "bins")  # at most MOST_BINS + 1 squared rows a band
+
+    def limits(rows: DataFrame, value: str, rate: float) -> DataFrame:
+        """The lowest bin at whose edge the expected false discoveries are at most `rate` of all."""
+        own = Window.partitionBy("band")
+        summed = rows.groupBy("band", value).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+        counted = summed.withColumn("m", F.sum("n").over(own)).withColumn("above", F.sum("k").over(own.orderBy(F.desc(value))))
+        fits = counted.where((F.col("above") > 0) & (-F.col(value) * BIN <= F.log10(F.lit(rate) * F.col("above") / F.col("m"))))
+        return fits.groupBy("band").agg((F.min(value) * BIN).alias(value))
+
+    not_random = {r["band"]: r["against"] for r in limits(bins.withColumn("k", F.col("n")), "against", LOST).collect()}
+    is_left = reduce(or_, [(F.col("band") == b) & (F.col("against") * BIN >= most) for b, most in not_random.items()], F.lit(False))
+    found_ = limits(bins.withColumn("k", F.when(is_left, 0).otherwise(F.col("n"))), "evidence", FALSE_RATE).collect()
+    discard(bins)
+    return {r["band"]: (not_random.get(r["band"], float("inf")), r["evidence"]) for r in found_}
 
 
 def listed(spans: Column) -> Column:
@@ -178,19 +250,6 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each stretch that spans cover replaced by the mark; spans may overlap."""
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.struct(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"), s["end"].alias("at"))
-        longer = F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-        return F.when((s["start"] >= a["at"]), fresh).otherwise(longer)
-
-    first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    joined = F.aggregate(F.array_sort(spans), first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
-
-
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans of every document."""
     found = scan(table(spark, sf_dir, "documents"))
