@@ -1,23 +1,27 @@
-"""Nearest neighbours by inner product, with a vantage-point tree per shard.
+"""Nearest neighbours by inner product, with vantage-point trees.
 
-Vectors are dealt into shards of about SHARD_ROWS rows by a hash of the id; every row is in a tree. Largest inner
-product becomes smallest distance by giving each vector of a shard one more component that lifts it to the shard's
-largest length, and scaling the query to that length. A node holds a vantage point and the median distance to it; its
-children hold the nearer and the farther half. By the triangle inequality, a child can hold a better neighbour only if
-the query's distance to the border between the halves is at most tau, the distance of the k-th neighbour found so far;
-the search skips a child already where it exceeds `factor` * tau. Factor 1 is exact; less prunes more and may lose
-neighbours. Queries go through a tree together, nearest child first.
+Largest inner product becomes smallest distance by giving each vector one more component that lifts it to the largest
+length of all, and scaling the query to that length. A node of a tree holds a vantage point and the median distance to
+it; its children hold the nearer and the farther half. By the triangle inequality, a child can hold a better neighbour
+only if the query's distance to the border between the halves is at most tau, the distance of the k-th neighbour found so
+far; the search skips a child already where it exceeds `factor` * tau. Factor 1 is exact; less prunes more and may lose
+neighbours.
 
-A task holds one shard and streams at most QUERY_ROWS queries past it in batches, so its memory and time are bounded;
-with more queries, several tasks build the same tree. Per query and shard only the k best leave the task, and a window
-with a group limit keeps the k best of those.
+A top tree, grown from a bounded sample (SAMPLE rows, or fewer of long vectors), deals all rows into cells of about
+SHARD_ROWS; a cell that is larger is dealt into shards by a hash of the id. Every row is in the tree of its shard. A query
+first searches the cell it falls into, and then, with the tau found there, only those other cells that the same bound, on
+the way down the top tree, can't exclude: on clustered vectors few, on vectors without any structure nearly all.
 
-Scores are inner products of the original vectors in double precision, summed in one fixed order, so equal vectors
-have equal scores; ties go to the smaller id.
+A task holds one shard and streams at most about QUERY_ROWS queries past it in batches, so its memory and time are bounded;
+with more queries for a cell, several tasks build the same trees. Per query and shard only the k best leave the task, and
+a window with a group limit keeps the k best of those. Candidates are found by matrix products, with a margin for their
+rounding; scores are inner products of the original vectors in double precision, summed in one fixed order, so equal
+vectors have equal scores; ties go to the smaller id.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 without an id; vectors of another length than the query's are no candidates; rows with the query's own id are no
-candidates; a repeated query row gives its result once; an empty table gives no rows; extra columns are ignored.
+candidates; a repeated candidate row is a candidate each time; a repeated query row gives its result once; an id with
+several different vectors has a ranking for each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +33,115 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import table, written
+from nuntia.llm.common import small, table, written
 
 #: Of the query: exact. On isotropic vectors 0.5 visits 16 % less and finds 0.997 of the neighbours, 0.2 finds 0.989.
 FACTOR = 1.0
 SHARD_ROWS, QUERY_ROWS, AT_ONCE, LEAF = 8192, 16384, 1024, 96
+#: Rows of the top tree's sample, numbers that they may hold together, and fewest of them in a cell.
+SAMPLE, SAMPLE_VALUES, IN_CELL = 16_384, 1 << 22, 8
+#: Relative margin of a matrix product's rounding.
+MARGIN = 1e-9
+
+
+def distances(dots: np.ndarray, length2: float) -> np.ndarray:
+    """Distances of points of the same length from their inner products."""
+    return np.sqrt(np.maximum(2 * (length2 - dots), 0))
+
+
+class Space:
+    """Vectors lifted to one length, and queries scaled to it."""
+
+    def __init__(self, length2: float):
+        self.length2 = length2
+
+    def lifts(self, vectors: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.length2 - np.einsum("ij,ij->i", vectors, vectors), 0))
+
+    def scaled(self, queries: np.ndarray) -> np.ndarray:
+        return queries * (np.sqrt(self.length2) / np.sqrt(np.einsum("ij,ij->i", queries, queries)))[:, None]
+
+    def tau(self, queries: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Distance at which a row has the score; endless for -inf."""
+        size = np.sqrt(np.einsum("ij,ij->i", queries, queries)) / np.sqrt(self.length2)
+        with np.errstate(invalid="ignore"):
+            return distances(scores / size, self.length2)
+
+
+def split(away: np.ndarray) -> tuple[float, np.ndarray] | None:
+    """The border of the nearer half, and which rows are in it; none if all are equally far."""
+    border = float(np.median(away))
+    near = away <= border
+    if near.all():  # many equal distances: set the border below them
+        near = away < border
+        if not near.any():
+            return None
+        border = float(away[near].max())
+    return border, near
+
+
+class TopTree:
+    """Cells of all vectors of one length: (vantage vector, its lift, border, nearer, farther), or a cell's number."""
+
+    def __init__(self, sample: np.ndarray, length2: float, cells: int, seed: int = 10):
+        self.space, self.cells, self.rng = Space(length2), 0, np.random.default_rng(seed)
+        self.leaf = max(IN_CELL, len(sample) // max(cells, 1))
+        self.root = self.grown(sample, self.space.lifts(sample)) if len(sample) and cells > 1 else self.cell()
+
+    def cell(self) -> int:
+        self.cells += 1
+        return self.cells - 1
+
+    def grown(self, rows: np.ndarray, lift: np.ndarray) -> tuple | int:
+        if len(rows) < 2 * self.leaf:
+            return self.cell()
+        v = int(self.rng.integers(len(rows)))
+        halves = split(distances(rows @ rows[v] + lift * lift[v], self.space.length2))
+        if halves is None:
+            return self.cell()
+        border, near = halves
+        return rows[v].copy(), float(lift[v]), border, self.grown(rows[near], lift[near]), self.grown(rows[~near], lift[~near])
+
+    def homes(self, points: np.ndarray, lift: np.ndarray) -> np.ndarray:
+        """The cell that each point falls into."""
+        out = np.zeros(len(points), np.int64)
+
+        def deal(node: tuple | int, at: np.ndarray) -> None:
+            if isinstance(node, int):
+                out[at] = node
+            elif len(at):
+                near = distances(points[at] @ node[0] + lift[at] * node[1], self.space.length2) <= node[2]
+                deal(node[3], at[near])
+                deal(node[4], at[~near])
+
+        deal(self.root, np.arange(len(points)))
+        return out
+
+    def reached(self, queries: np.ndarray, scores: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Cells that may hold rows with more than the score, each with the queries (by number) for which it may."""
+        scaled, tau = self.space.scaled(queries), self.space.tau(queries, scores)
+
+        def visit(node: tuple | int, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            if not len(at):
+                return
+            if isinstance(node, int):
+                yield node, at
+                return
+            away = distances(scaled[at] @ node[0], self.space.length2)
+            open_ = np.abs(away - node[2]) <= factor * tau[at] * (1 + MARGIN) + MARGIN
+            yield from visit(node[3], at[open_ | (away <= node[2])])
+            yield from visit(node[4], at[open_ | (away > node[2])])
+
+        yield from visit(self.root, np.arange(len(queries)))
 
 
 class VantageTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 10):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
-        self.length2 = float(squares.max())
-        self.lift = np.sqrt(np.maximum(self.length2 - squares, 0))
+        self.length2 = float(np.einsum("ij,ij->i", self.vectors, self.vectors).max())
+        self.space = Space(self.length2)
+        self.lift = self.space.lifts(self.vectors)
         self.rng = np.random.default_rng(seed)
         self.root = self.grown(np.arange(len(ids)))
 
@@ -51,63 +150,61 @@ class VantageTree:
         if len(rows) <= LEAF:
             return (rows,)
         v = int(rows[self.rng.integers(len(rows))])
-        away = self.between(rows, v)
-        border = float(np.median(away))
-        near = away <= border
-        if near.all():  # many equal distances: set the border below them
-            near = away < border
-            if not near.any():
-                return (rows,)
-            border = float(away[near].max())
+        halves = split(distances(self.vectors[rows] @ self.vectors[v] + self.lift[rows] * self.lift[v], self.length2))
+        if halves is None:
+            return (rows,)
+        border, near = halves
         return (v, border, self.grown(rows[near]), self.grown(rows[~near]))
 
-    def between(self, rows: np.ndarray, v: int) -> np.ndarray:
-        dot = self.vectors[rows] @ self.vectors[v] + self.lift[rows] * self.lift[v]
-        return np.sqrt(np.maximum(2 * (self.length2 - dot), 0))
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows of each query, best first; -inf where there are fewer rows."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows of each query with a score of `least` or more, best first; -inf where there are fewer."""
         n = len(queries)
         queries = np.ascontiguousarray(queries)
-        scaled = queries * (np.sqrt(self.length2) / np.sqrt(np.einsum("ij,ij->i", queries, queries)))[:, None]
+        scaled = self.space.scaled(queries)
         best = np.full((n, k), -np.inf)
         names = np.full((n, k), np.iinfo(np.int64).max)
-        tau = np.full(n, np.inf)
+        floor = np.full(n, -np.inf) if least is None else least.astype(np.float64)
+        tau = self.space.tau(queries, floor)
+        margin = MARGIN * np.sqrt(np.einsum("ij,ij->i", queries, queries) * self.length2)
 
         def scan(rows: np.ndarray, active: np.ndarray) -> None:
-            score = np.einsum("ij,kj->ik", queries[active], self.vectors[rows])
-            score[query_ids[active][:, None] == self.ids[rows][None, :]] = -np.inf
-            better = (score >= best[active, -1][:, None]) & (score > -np.inf)
-            some = np.flatnonzero(better.any(1))
+            own = self.vectors[rows]
+            may = queries[active] @ own.T >= (floor[active] - margin[active])[:, None]
+            may &= query_ids[active][:, None] != self.ids[rows][None, :]
+            some = np.flatnonzero(may.any(1))
             if not len(some):
                 return
-            active, score = active[some], score[some]
+            active, may = active[some], may[some]
+            i, j = np.nonzero(may)
+            score = np.full(may.shape, -np.inf)
+            score[i, j] = np.einsum("ij,ij->i", queries[active[i]], own[j])
             every = np.concatenate([best[active], score], 1)
             name = np.concatenate([names[active], np.broadcast_to(self.ids[rows], score.shape)], 1)
             order = np.lexsort((name, -every), axis=-1)[:, :k]
             best[active] = np.take_along_axis(every, order, 1)
             names[active] = np.take_along_axis(name, order, 1)
-            size = np.linalg.norm(queries[active], axis=1) / np.sqrt(self.length2)
-            with np.errstate(invalid="ignore"):
-                tau[active] = np.sqrt(np.maximum(2 * (self.length2 - best[active, -1] / size), 0))
+            floor[active] = np.maximum(floor[active], best[active, -1])
+            tau[active] = self.space.tau(queries[active], floor[active])
 
         def visit(node: tuple, active: np.ndarray) -> None:
             if not len(active):
                 return
             if len(node) == 1:
-                scan(node[0], active)
+                for at in range(0, len(node[0]), 1024):
+                    scan(node[0][at : at + 1024], active)
                 return
             v, border, near, far = node
-            away = np.sqrt(np.maximum(2 * (self.length2 - scaled[active] @ self.vectors[v]), 0))
+            away = distances(scaled[active] @ self.vectors[v], self.length2)
             first = away <= border
             visit(near, active[first])
             visit(far, active[~first])
             # the other child of each query, unless it lies beyond the border by more than the relaxed bound
-            open_ = np.abs(away - border) <= factor * tau[active] * (1 + 1e-9)
+            open_ = np.abs(away - border) <= factor * tau[active] * (1 + MARGIN) + MARGIN * np.sqrt(self.length2)
             visit(far, active[first & open_])
             visit(near, active[~first & open_])
 
         visit(self.root, np.arange(n))
+        best[best < floor[:, None]] = -np.inf
         return names, best
 
 
@@ -117,33 +214,58 @@ def stacked(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest rows of every row where is_query holds."""
-    v = F.col("v")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
-    counts = rows.agg(F.count("*"), F.count_if("asks")).first()
-    shards, groups = max(1, -(-counts[0] // SHARD_ROWS)), max(1, -(-counts[1] // QUERY_ROWS))
-    dim = F.size("v").alias("dim")
-    data = rows.select(dim, F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(0).alias("kind"), "id", "v")
-    asks = rows.where("asks").select("id", "v").distinct()
-    asks = asks.select(dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("kind"), "id", "v")
-    dealt = data.unionByName(asks).repartition("dim", "shard", "grp").sortWithinPartitions("dim", "shard", "grp", "kind", "id")
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (by number) of each length, and their matrix."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths):
+        at = np.flatnonzero(lengths == dim)
+        yield at, stacked(column.take(pa.array(at)) if len(at) < len(column) else column)
+
+
+def top_trees(rows: DataFrame) -> dict[int, TopTree]:
+    """By length of vectors, the tree that deals them into cells."""
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    out = {}
+    for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("length2")).orderBy("dim").collect():
+        cells, most, matrix = -(-r["n"] // SHARD_ROWS), max(IN_CELL, min(SAMPLE, SAMPLE_VALUES // r["dim"])), np.zeros((0, r["dim"]))
+        if cells > 1:
+            share = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / float(1 << 30)
+            sample = rows.where((F.size("v") == r["dim"]) & (share < min(1.0, most / r["n"]))).select("id", "v").limit(2 * most).toArrow().combine_chunks()
+            if sample.num_rows:
+                sample = sample.sort_by("id")
+                matrix = stacked(sample.column("v").combine_chunks() if isinstance(sample.column("v"), pa.ChunkedArray) else sample.column("v"))
+        # a little more than the computed length, so that no vector is longer by rounding
+        out[r["dim"]] = TopTree(matrix, r["length2"] * (1 + MARGIN), min(cells, max(1, len(matrix) // IN_CELL)))
+    return out
+
+
+def found_in(data: DataFrame, asks: DataFrame, k: int, factor: float) -> DataFrame:
+    """Best rows of each query in the cells it asks. data: dim, cell, shard, shards, id, v; asks: dim, cell, ask, id, least, v.
+
+    Returns ask, query_id, ids, scores, a row per query and shard with at least one row as good as `least`.
+    """
+    cells = small(written(asks.groupBy("dim", "cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("groups")), "asked"))
+    shards = small(data.groupBy("dim", "cell").agg(F.max("shards").alias("shards")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    held = data.join(cells, ["dim", "cell"]).select("dim", "cell", "shard", upto("groups").alias("grp"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ask"), "id", F.lit(0.0).alias("least"), "v")
+    streamed = asks.join(cells, ["dim", "cell"]).join(shards, ["dim", "cell"])
+    streamed = streamed.select("dim", "cell", upto("shards").alias("shard"), F.pmod(F.xxhash64(F.lit(1), "ask"), "groups").cast("long").alias("grp"), F.lit(1).alias("kind"), "ask", "id", "least", "v")
+    keys = ["dim", "cell", "shard", "grp"]
+    dealt = held.unionByName(streamed).repartition(*keys).sortWithinPartitions(*keys, "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, parts, tree = None, [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
+            head = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], 1)
             cuts = np.r_[0, np.flatnonzero((head[1:] != head[:-1]).any(1)) + 1, len(head)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own, kind = tuple(head[a, :3]), head[a, 3]
+                own, kind = tuple(head[a, :4]), head[a, 4]
                 if own != key:
                     key, ids, parts, tree = own, [], [], None
-                names = batch.column(4).slice(a, b - a).to_numpy(zero_copy_only=False)
-                matrix = stacked(batch.column(5).slice(a, b - a))
+                ask, names, least = (batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
+                matrix = stacked(batch.column(8).slice(a, b - a))
                 if kind == 0:
                     ids.append(names)
                     parts.append(matrix)
@@ -154,15 +276,67 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
                     tree = VantageTree(np.concatenate(ids), np.concatenate(parts))
                     ids, parts = [True], []
                 for i in range(0, len(names), AT_ONCE):
-                    found, score = tree.search(names[i : i + AT_ONCE], matrix[i : i + AT_ONCE], k, factor)
+                    j = slice(i, i + AT_ONCE)
+                    found, score = tree.search(names[j], matrix[j], k, factor, least[j])
                     there = score > -np.inf
-                    at = pa.array(np.r_[0, np.cumsum(there.sum(1))].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + AT_ONCE]), pa.ListArray.from_arrays(at, pa.array(found[there])), pa.ListArray.from_arrays(at, pa.array(score[there]))], names=["query_id", "ids", "scores"])
+                    some = there.any(1)
+                    at = pa.array(np.r_[0, np.cumsum(there[some].sum(1))].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(ask[j][some]), pa.array(names[j][some]), pa.ListArray.from_arrays(at, pa.array(found[there])), pa.ListArray.from_arrays(at, pa.array(score[there]))], names=["ask", "query_id", "ids", "scores"])
+
+    return dealt.mapInArrow(run, "ask long, query_id long, ids array<long>, scores array<double>")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    pairs = found.select("ask", "query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("ask", "query_id", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("ask", "query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id and score: the k nearest rows of every row where is_query holds."""
+    v = F.col("v")
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
+    trees = top_trees(rows)
+    shared = vectors.sparkSession.sparkContext.broadcast(trees)  # at most a SAMPLE_VALUES-th part of numbers for each length
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """dim and cell of each row, and the cell it falls into as a query."""
+        for batch in batches:
+            cell, home, dim = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for at, matrix in by_length(batch.column(1)):
+                tree = shared.value[matrix.shape[1]]
+                dim[at], cell[at] = matrix.shape[1], tree.homes(matrix, tree.space.lifts(matrix))
+                home[at] = tree.homes(tree.space.scaled(matrix), np.zeros(len(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(dim.astype(np.int32)), pa.array(cell), pa.array(home), *batch.columns], names=["dim", "cell", "home", "id", "v", "asks"])
+
+    cells = written(rows.mapInArrow(dealt, "dim int, cell long, home long, id long, v array<double>, asks boolean"), "cells")
+    shards = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
+    data = cells.join(small(shards), ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64(F.lit(2), "id"), "shards").alias("shard"), "shards", "id", "v")
+    asks = cells.where("asks").select("dim", "home", F.xxhash64("id", "v").alias("ask"), "id", "v").dropDuplicates(["id", "v"])
+    at_home = asks.select("dim", F.col("home").alias("cell"), "ask", "id", F.lit(float("-inf")).alias("least"), "v")
+    found = found_in(data, at_home, k, factor)
+    if any(t.cells > 1 for t in trees.values()):
+        found = written(ranked(found, k).groupBy("ask", "query_id").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("score").alias("scores")), "home")
+        least = found.select(F.col("ask").alias("asked"), F.when(F.size("ids") == k, F.array_min("scores")).otherwise(float("-inf")).alias("least"))
+        open_ = asks.join(small(least), F.col("ask") == F.col("asked"), "left").select("dim", "home", "ask", "id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), "v")
+
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each query once for every other cell that it has to ask."""
+            for batch in batches:
+                home, least_ = batch.column(1).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False)
+                for at, matrix in by_length(batch.column(5)):
+                    for cell, who in shared.value[matrix.shape[1]].reached(matrix, least_[at], factor):
+                        who = at[who]
+                        who = who[home[who] != cell]
+                        if len(who):
+                            own = batch.take(pa.array(who))
+                            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(who), cell, np.int64)), *(own.column(i) for i in range(2, 6))], names=["dim", "cell", "ask", "id", "least", "v"])
 
-    best = dealt.mapInArrow(run, "query_id long, ids array<long>, scores array<double>")
-    pairs = best.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("query_id", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        others = written(open_.mapInArrow(routed, "dim int, cell long, ask long, id long, least double, v array<double>"), "routed")
+        found = found.unionByName(found_in(data, others, k, factor))
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,49 @@ def test_relaxed_pruning_loses_few_neighbours():
     assert 0.9 <= recall <= 1
 
 
+def asked(spark, monkeypatch, x, shard_rows, k=10):
+    """The neighbours found, and how many copies of queries were sent to cells besides their own."""
+    monkeypatch.setattr(nb, "SHARD_ROWS", shard_rows)
+    counts = []
+    found_in = nb.found_in
+
+    def counted(data, asks, *rest):
+        counts.append((asks.count(), data.select("cell", "shard").distinct().count()))
+        return found_in(data, asks, *rest)
+
+    monkeypatch.setattr(nb, "found_in", counted)
+    ids = np.arange(len(x))
+    out = found(nb.nearest(frame(spark, ids, x), F.col("vec_id") % 20 == 0, k))
+    monkeypatch.setattr(nb, "found_in", found_in)
+    return out, counts
+
+
+def test_queries_are_sent_to_few_cells_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12)) * 4
+    x = (centres[rng.integers(40, size=4000)] + rng.normal(size=(4000, 12)) * 0.3).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out, counts = asked(spark, monkeypatch, x, 100)
+    assert out == brute(np.arange(4000), x.astype(float), range(0, 4000, 20), 10)
+    (home, shards), (others, _) = counts
+    assert home == 200 and shards >= 20 and home + others < 0.25 * 200 * shards
+
+
+def test_cells_of_vectors_without_structure_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 24)).astype(np.float32) * rng.uniform(0.2, 3, (1500, 1)).astype(np.float32)
+    x[300:700] = x[5]
+    out, counts = asked(spark, monkeypatch, x, 100, 20)
+    assert out == brute(np.arange(1500), x.astype(float), range(0, 1500, 20), 20) and len(counts) == 2
+
+
+def test_ids_with_several_vectors_have_several_rankings(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nb.nearest(df, F.col("vec_id") == 0, 5).collect())
+    assert got == [(0, 1, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 2, 2, 1.0)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [inf, 1.0]), (7, [2.0, 1.0]), (8, [1.0, 2.0, 3.0]), (9, [-1.0, 5.0]), (None, [1.0, 1.0]), (20, [0.0, 0.0]), (40, None), (60, [1.0, 1.0, 1.0]), (80, [1.0, 1.0, 1.0, 1.0])]
