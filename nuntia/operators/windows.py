@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nuntia.operators.stored import stored
+
 
 def sticky(value: Column | str, by: list, order: list) -> Column:
     """The last value that isn't null, up to and including the row."""
@@ -18,10 +22,31 @@ def numbered(by: list, order: list) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("int")
 
 
+def places(df: DataFrame, by: list, order: list, name: str) -> DataFrame:
+    """df with each row's place (from 0) within its group, in a total order, as a new column.
+
+    Rows are range-partitioned by group and order, so that a group of any size spreads over tasks; each task numbers its
+    own part of a group, and continues where the parts before it end. The sorted rows are stored once.
+    """
+    keys = [f"_by{i}" for i in range(len(by))]
+    rows = df.select("*", *[F.expr(b).alias(k) if isinstance(b, str) else b.alias(k) for b, k in zip(by, keys, strict=True)])
+    rows = rows.orderBy(*keys, *order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place"))
+    rows = stored(rows, "sorted")
+    parts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    # one row a group and task: the parts of one group are as many as the tasks that it spreads over
+    own = Window.partitionBy(*keys).orderBy("_part") if keys else Window.partitionBy(F.lit(0)).orderBy("_part")
+    parts = parts.withColumn("_before", F.sum("_n").over(own) - F.col("_n"))
+    parts = parts.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_part").alias("_part_"), "_first", "_before")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.col("_part") == F.col("_part_"))
+    out = rows.join(parts, same).withColumn(name, F.col("_before") + F.col("_place") - F.col("_first"))
+    return out.select(*df.columns, name)
+
+
 def chunked(df: DataFrame, size: int, by: list, order: list) -> DataFrame:
     """Adds chunk (from 0), chunk_pos (from 0 in the chunk) and is_first (of its group), within each group."""
-    place = numbered(by, order) - 1
-    return df.withColumn("chunk", F.floor(place / size).cast("int")).withColumn("chunk_pos", (place % size).cast("int")).withColumn("is_first", place == 0)
+    place = F.col("_at")
+    out = places(df, by, order, "_at").withColumn("chunk", F.floor(place / size).cast("int"))
+    return out.withColumn("chunk_pos", (place % size).cast("int")).withColumn("is_first", place == 0).drop("_at")
 
 
 def first_per_key(df: DataFrame, key: list, order: list) -> DataFrame:
@@ -30,16 +55,5 @@ def first_per_key(df: DataFrame, key: list, order: list) -> DataFrame:
 
 
 def numbered_overall(df: DataFrame, order: list, name: str = "number") -> DataFrame:
-    """1, 2, 3 … over all rows in a total order, without moving them to one task: the rows are range-partitioned and
-    sorted, and each partition continues where the counts of those before it end."""
-    within = F.monotonically_increasing_id()
-    rows = df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.pmod(within, F.lit(1 << 33)).alias("_place")).persist(StorageLevel.DISK_ONLY)
-    counts = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
-    before, total = [], 0
-    for part, count in counts:
-        before.append((part, total))
-        total += count
-    if not before:
-        return rows.drop("_part", "_place").withColumn(name, F.lit(None).cast("long"))
-    offsets = F.map_from_arrays(F.array(*[F.lit(p) for p, _ in before]), F.array(*[F.lit(n).cast("long") for _, n in before]))
-    return rows.withColumn(name, F.element_at(offsets, F.col("_part")) + F.col("_place") + 1).drop("_part", "_place")
+    """1, 2, 3 … over all rows in a total order, without moving them to one task."""
+    return places(df, [], order, "_at").withColumn(name, F.col("_at") + 1).drop("_at")

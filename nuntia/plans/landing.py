@@ -6,15 +6,17 @@ Spark's file systems, so the zone can be in any store.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nuntia.operators.joins import union_all
 from nuntia.operators.select import WALK_BACK_DAYS, issue_or_fallback, source_names
-from nuntia.plans.scan import ScanOptions, pages_of, scan_pages
-from nuntia.schema import PAGES
+from nuntia.operators.stored import stored
+from nuntia.plans.scan import ScanOptions, pages_of, scan_each
+from nuntia.plans.sinks import route
 from nuntia.sources.feed import last_days
 
 #: Sources whose documents belong to a day.
@@ -42,25 +44,43 @@ def folder(root: str, source: str, day: date) -> str:
 def pages_in(spark: SparkSession, root: str, source: str, wanted: date, day_asked: bool, scheduled: bool, options: ScanOptions) -> DataFrame | None:
     """Pages of a source for a day: of the day's issue, of the latest one where the source falls back to it, or none.
 
-    Falling back is for scans without a day; scheduled scans don't fall back, as an earlier run has reported that issue.
+    Of the regional feeds, which list the items of several days, those of the wanted day count, and as latest issue
+    those of the latest day in the feeds that lay there last. Falling back is for scans without a day; scheduled scans
+    don't fall back, as an earlier run has reported that issue.
     """
     days = [d for d in days_of(spark, root, source) if d <= wanted]
     if source not in BULLETINS:
         return pages_of(spark, source, folder(root, source, days[0]), options) if days else None
     published = wanted in days
-    pages = pages_of(spark, source, folder(root, source, wanted), options) if published else None
+    pages = pages_of(spark, source, folder(root, source, wanted), replace(options, bulletin_day=wanted)) if published else None
     choice = issue_or_fallback(source, day_asked, published, pages is None or pages.isEmpty())
     if choice == "latest" and not scheduled:
+        if source == "BOC":
+            return pages_of(spark, source, folder(root, source, days[0]), replace(options, bulletin_day="latest"))
         earlier = [d for d in days if d in last_days(wanted, WALK_BACK_DAYS) and d < wanted]
         if earlier:
             return pages_of(spark, source, folder(root, source, earlier[0]), options)
     return pages
 
 
-def scan_landing(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), day: date | None = None, scheduled: bool = False) -> DataFrame:
-    """Findings of the wanted sources for a day, by default today; closing dates are compared with that day."""
+def scan_landing(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), day: date | None = None, scheduled: bool = False, errors: dict[str, str] | None = None) -> DataFrame:
+    """Findings of the wanted sources for a day, by default today; closing dates are compared with that day. errors: see
+    scan_each."""
     wanted = day or date.today()
     options = replace(options, as_of=options.as_of or wanted)
-    parts = [pages_in(spark, root, s, wanted, day is not None, scheduled, options) for s in source_names(list(options.sources))]
-    parts = [p for p in parts if p is not None]
-    return scan_pages(union_all(parts) if parts else spark.createDataFrame([], PAGES), options)
+    pages = {s: partial(pages_in, spark, root, s, wanted, day is not None, scheduled, options) for s in source_names(list(options.sources))}
+    return scan_each(spark, pages, options, errors)
+
+
+def run_scheduled(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), channels: dict[str, Callable[[DataFrame], int]] | None = None, day: date | None = None) -> dict:
+    """A scheduled run: today's findings, past the classifier, go to every channel, if there are any.
+
+    Returns findings (their number), sent (what each channel sent, or its error), errors (of sources) and a status code:
+    200, or 500 if every wanted source failed. A source or channel that fails doesn't stop the others.
+    """
+    errors: dict[str, str] = {}
+    wanted = source_names(list(options.sources))
+    found = stored(scan_landing(spark, root, replace(options, as_of=options.as_of or day), day, True, errors), "scheduled")
+    n = found.count()
+    sent = route(found, channels or {}) if n else {}
+    return {"status": 500 if len(errors) == len(wanted) else 200, "findings": n, "sent": sent, "errors": errors}

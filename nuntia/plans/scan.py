@@ -5,22 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nuntia.functions.text import decoded, resolve_url
 from nuntia.operators import match, select
 from nuntia.operators.classify import validate
 from nuntia.operators.joins import union_all
 from nuntia.operators.lexicon import Lexicon
-from nuntia.schema import PAGES
+from nuntia.operators.stored import stored
+from nuntia.schema import FINDINGS
 from nuntia.sources import aena, boc, boe, bop, epso, eulisa, eures, sagulpa
+from nuntia.sources.common import FAIL
 from nuntia.sources.detect import detect
+from nuntia.sources.feed import fetch_each
 
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """as_of: day for closing dates and for feeds by day; without it nothing is closed and whole feeds are read."""
+    """as_of: day for closing dates and for feeds by day; without it nothing is closed and whole feeds are read.
+
+    fetch (address -> bytes or text) and extract_pdf (bytes -> texts of pages) give details and documents that listings
+    link to; without fetch, entries are what their listings say. bulletin_day: the day of regional items, or "latest".
+    broken: FAIL raises an error for a document that can't be parsed, DROP leaves it out.
+    """
 
     as_of: date | None = None
     sources: tuple[str, ...] = ("ALL",)
@@ -28,7 +38,32 @@ class ScanOptions:
     classify: Callable[[str], list[dict]] | None = None
     prompt: str = "{jobs_json}"
     extract_pdf: Callable[[bytes], list[str]] | None = None
-    bulletin_day: date | None = None
+    fetch: Callable[[str], bytes | str | None] | None = None
+    bulletin_day: date | str | None = None
+    broken: str = FAIL
+
+
+def document_pages(addresses: DataFrame, column: str, options: ScanOptions) -> DataFrame:
+    """column, page_number and raw_text of the documents at the addresses in a column; of what can't be had, nothing."""
+    return bop.extracted(fetched(addresses, column, options.fetch), column, options.extract_pdf).where("error IS NULL").drop("error")
+
+
+def fetched(addresses: DataFrame, column: str, fetch: Callable) -> DataFrame:
+    """column and content of each distinct address, fetched once."""
+    return stored(fetch_each(addresses.where(F.col(column) != ""), column, fetch).where("content IS NOT NULL").drop("error"), "fetched")
+
+
+def airport_pages(found: DataFrame, options: ScanOptions) -> DataFrame:
+    """Pages of the airport board, of the documents that the detail pages link to where there is a fetcher."""
+    if options.fetch is None or options.extract_pdf is None:
+        return aena.pages(found)
+    found = stored(found, "listings")
+    details = fetched(found, "url", options.fetch).select("url", decoded("content", "ISO-8859-1").alias("text"))
+    links = aena.document_links(details).withColumn("_at", resolve_url(F.lit(aena.SITE), F.col("href")))
+    texts = document_pages(links, "_at", options).join(links.select("_at", "href").distinct(), "_at")
+    # an entry whose detail page can't be had is its listing, like one whose documents give no text
+    lost = found.join(details.select("url"), "url", "left_anti")
+    return aena.pages(found, links.drop("_at"), texts).unionByName(aena.pages(lost))
 
 
 def pages_of(spark: SparkSession, source: str, path: str | list[str], options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -39,35 +74,65 @@ def pages_of(spark: SparkSession, source: str, path: str | list[str], options: S
             raise ValueError("reading PDF files needs ScanOptions.extract_pdf")
         return bop.pages(bop.read_pdf_pages(spark, path, options.extract_pdf))
     if source == "BOC":
-        items = boc.read_items(spark, path)
-        return boc.pages(boc.on_day(items, F.lit(options.bulletin_day)) if options.bulletin_day else items)
+        items = boc.read_items(spark, path, options.broken)
+        if options.bulletin_day == "latest":
+            items = boc.of_latest_day(items)
+        elif options.bulletin_day:
+            items = boc.on_day(items, F.lit(options.bulletin_day))
+        return boc.pages(items)
     if source == "BOE":
-        return boe.pages(boe.read_candidates(spark, path))
+        found = boe.read_candidates(spark, path, options.broken)
+        return boe.pages(found, document_pages(found, "pdf_url", options) if options.fetch and options.extract_pdf else None)
     if source == "AENA":
-        return aena.pages(aena.read_listings(spark, path, day, options.lexicon))
+        return airport_pages(aena.read_listings(spark, path, day, options.lexicon), options)
     if source == "SAGULPA":
-        return sagulpa.pages(sagulpa.read_listings(spark, path, day))
+        found = sagulpa.read_listings(spark, path, day)
+        return sagulpa.pages(found, fetched(found, "url", options.fetch).select("url", decoded("content").alias("text")) if options.fetch else None)
     if source == "EPSO":
         return epso.pages(epso.read_rows(spark, path), day)
     if source == "EURES":
-        return eures.pages(eures.read_vacancies(spark, path))
+        return eures.pages(eures.read_vacancies(spark, path, options.broken))
     if source == "EULISA":
         return eulisa.pages(eulisa.read_entries(spark, path), day)
     raise ValueError(f"unknown source {source}")
 
 
+def findings_of(pages: DataFrame, options: ScanOptions) -> DataFrame:
+    return match.find(select.only_sources(pages, list(options.sources)), options.lexicon)
+
+
 def scan_pages(pages: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Findings in pages of the wanted sources, after the classifier if there is one."""
-    found = match.find(select.only_sources(pages, list(options.sources)), options.lexicon)
+    return validate(findings_of(pages, options), options.classify, options.prompt)
+
+
+def scan_each(spark: SparkSession, pages: dict[str, Callable[[], DataFrame | None]], options: ScanOptions, errors: dict[str, str] | None) -> DataFrame:
+    """Findings of all sources, each given as a function that makes its pages, or None if it has none.
+
+    With errors, a dict, every source is scanned by itself; one that fails has its message there and no findings, and the
+    others go on. Without it the first failure is raised.
+    """
+    parts = []
+    for source, make in pages.items():
+        if errors is None:
+            if (made := make()) is not None:
+                parts.append(findings_of(made, options))
+            continue
+        try:
+            if (made := make()) is not None:
+                parts.append(stored(findings_of(made, options), "findings"))
+        except Exception as e:  # whatever fails one source must not keep the others from being scanned
+            errors[source] = f"{type(e).__name__}: {e}"
+    found = union_all(parts) if parts else spark.createDataFrame([], FINDINGS)
     return validate(found, options.classify, options.prompt)
 
 
-def scan(spark: SparkSession, inputs: dict[str, str | list[str]] | str, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Findings in files: inputs maps sources to paths, or is one file whose source is detected."""
+def scan(spark: SparkSession, inputs: dict[str, str | list[str]] | str, options: ScanOptions = ScanOptions(), errors: dict[str, str] | None = None) -> DataFrame:
+    """Findings in files: inputs maps sources to paths, or is one file whose source is detected. errors: see scan_each."""
     if isinstance(inputs, str):
         inputs = {detect(spark, inputs): inputs}
-    parts = [pages_of(spark, s, inputs[s], options) for s in select.source_names(list(options.sources)) if s in inputs]
-    return scan_pages(union_all(parts) if parts else spark.createDataFrame([], PAGES), options)
+    wanted = [s for s in select.source_names(list(options.sources)) if s in inputs]
+    return scan_each(spark, {s: partial(pages_of, spark, s, inputs[s], options) for s in wanted}, options, errors)
 
 
 def status(findings: DataFrame) -> dict[str, int]:

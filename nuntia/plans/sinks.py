@@ -5,6 +5,8 @@ Every row is rendered by column expressions; only reports that are one file pass
 
 from __future__ import annotations
 
+import os
+import shutil
 import textwrap
 from collections.abc import Callable
 from datetime import datetime
@@ -84,13 +86,17 @@ def save_html(findings: DataFrame, path: str | Path, now: datetime) -> int:
 
 
 def _report(findings: DataFrame, path: str | Path, block: Column, head: Callable[[int], str], between: str, empty: str, foot: str) -> int:
-    rows = in_order(findings).select(block.alias("block"))
-    n = findings.count()
-    with open(path, "w", encoding="utf-8") as f:
+    """The head names the number of findings, so the body is written first, beside the report: findings run once."""
+    n, body = 0, f"{path}.body"
+    with open(body, "w", encoding="utf-8") as f:
+        for row in in_order(findings).select(block.alias("block")).toLocalIterator():
+            f.write((between if n else "") + row["block"])
+            n += 1
+    with open(path, "w", encoding="utf-8") as f, open(body, encoding="utf-8") as rows:
         f.write(head(n))
-        for i, row in enumerate(rows.toLocalIterator()):
-            f.write((between if i else "") + row["block"])
+        shutil.copyfileobj(rows, f)
         f.write(foot if n else empty + foot)
+    os.remove(body)
     return n
 
 

@@ -9,22 +9,24 @@ from nuntia.functions.dates import rfc_date
 from nuntia.functions.text import clean_text, filled, html_unescape, sanitize_ampersands, strip, strip_tags, tag_block, tag_blocks
 from nuntia.operators.select import latest
 from nuntia.operators.windows import numbered
-from nuntia.sources.common import as_pages, documents
+from nuntia.sources.common import FAIL, as_pages, documents, kept_if_sound
 
 ITEM = "struct<title:string,link:string,description:string,pubDate:string>"
-FEED = f"channel struct<item:array<{ITEM}>>, item array<{ITEM}>"
+FEED = f"channel struct<item:array<{ITEM}>>, item array<{ITEM}>, _corrupt_record string"
 
 
-def items(docs: DataFrame) -> DataFrame:
-    """Items of feeds (doc_id, text): doc_id, ordinal, title, link, description, published. Broken feeds give none."""
-    feed = F.from_xml(sanitize_ampersands("text"), FEED)
-    parsed = docs.select("doc_id", feed.alias("f")).select("doc_id", F.coalesce("f.channel.item", "f.item").alias("items"))
+def items(docs: DataFrame, broken: str = FAIL) -> DataFrame:
+    """Items of feeds (doc_id, text): doc_id, ordinal, title, link, description, published. Feeds that are no XML raise
+    an error, or give nothing with `broken` DROP."""
+    feed = F.from_xml(sanitize_ampersands("text"), FEED, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = docs.select("doc_id", "text", feed.alias("f"))
+    parsed = kept_if_sound(parsed, F.col("f").isNotNull() & F.col("f._corrupt_record").isNull() & F.col("text").contains("<"), "text", "feed", broken).select("doc_id", F.coalesce("f.channel.item", "f.item").alias("items"))
     rows = parsed.select("doc_id", F.posexplode("items").alias("ordinal", "i")).select("doc_id", "ordinal", "i.*")
     return rows.select("doc_id", "ordinal", "title", strip("link").alias("link"), "description", rfc_date("pubDate").alias("published"))
 
 
-def read_items(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return items(documents(spark, path))
+def read_items(spark: SparkSession, path: str | list[str], broken: str = FAIL) -> DataFrame:
+    return items(documents(spark, path), broken)
 
 
 def on_day(rows: DataFrame, day: Column) -> DataFrame:

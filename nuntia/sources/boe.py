@@ -2,44 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nuntia.functions.text import clean_text, filled, sanitize_ampersands, strip
 from nuntia.operators.match import rejects_words
 from nuntia.operators.windows import numbered
-from nuntia.sources.common import as_pages, documents
+from nuntia.sources.common import FAIL, as_pages, documents, kept_if_sound
 
-ITEM = "struct<identificador:string,titulo:string,url_pdf:string,url_html:string>"
-SECTION = f"departamento array<struct<_nombre:string,item:array<{ITEM}>,epigrafe:array<struct<_nombre:string,item:array<{ITEM}>>>>>"
+ITEM = "identificador string, titulo string, url_pdf string, url_html string"
 # The section that is read, its label, and the name of a department without one.
 BLOCK = r"""(?s)<seccion\b[^>]*\bcodigo\s*=\s*["']2B["'][^>]*>.*?</seccion>"""
 LABEL, NO_DEPARTMENT = "II.B. Oposiciones y concursos", "Administración Pública (Desconocido)"
+#: A department; within one, an item as a whole or any other tag; the name in a tag.
+DEPARTMENT, PART, NAME = r"(?s)<departamento\b[^>]*>.*?</departamento>", r"(?s)<item\b(?:[^>]*[^/>])?>.*?</item>|<[^>]+>", r"""\bnombre\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+
+def named(tag: Column) -> Column:
+    """The name in a tag, entities decoded; null if it has none."""
+    value = F.concat(F.regexp_extract(tag, NAME, 1), F.regexp_extract(tag, NAME, 2))
+    plain = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")), value)
+    return F.when(tag.rlike(NAME), plain)
+
+
+def items_of(department: Column) -> Column:
+    """Array of (epigraph, item) of a department, at any depth, in order; the epigraph is that right above the item."""
+    pair = "array<struct<epigraph:string,item:string>>"
+
+    def step(a: Column, t: Column) -> Column:
+        above = F.coalesce(F.try_element_at(a["open"], F.lit(-1)), F.lit(""))
+        epigraph = F.when(above.rlike(r"^<epigrafe\b"), F.coalesce(named(above), F.lit(""))).otherwise("")
+        found = F.concat(a["items"], F.array(F.struct(epigraph.alias("epigraph"), t.alias("item"))))
+        is_item, closes = t.rlike(r"^<item\b(?:[^>]*[^/>])?>"), t.startswith("</")
+        alone = t.endswith("/>") | t.startswith("<!") | t.startswith("<?")
+        open_ = F.when(closes, F.slice(a["open"], 1, F.greatest(F.size(a["open"]) - 1, F.lit(0)))).when(is_item | alone, a["open"]).otherwise(F.concat(a["open"], F.array(t)))
+        return F.struct(open_.alias("open"), F.when(is_item, found).otherwise(a["items"]).alias("items"))
+
+    first = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(pair).alias("items"))
+    return F.aggregate(F.regexp_extract_all(department, F.lit(PART), F.lit(0)), first, step, lambda a: a["items"])
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, broken: str = FAIL) -> DataFrame:
     """Notices of the first section 2B of each summary (doc_id, text), but for those with a rejected word in the title.
 
-    Items are found below a department and below its epigraphs, in the order of the document. Columns: doc_id,
-    ordinal, title, ident, pdf_url, url, department, section.
+    Items are found below a department at any depth, in the order of the document. Columns: doc_id,
+    ordinal, title, ident, pdf_url, url, department, section. Summaries that are no XML raise an error, or give nothing
+    with `broken` DROP.
     """
-    block = F.regexp_extract(sanitize_ampersands("text"), BLOCK, 0)
-    parsed = docs.select("doc_id", block.alias("_xml")).where("_xml != ''").withColumn("_s", F.from_xml("_xml", SECTION))
-    departments = parsed.select("doc_id", "_xml", F.explode("_s.departamento").alias("d"))
-    own = F.transform(F.coalesce("d.item", F.array().cast(f"array<{ITEM}>")), lambda i: F.struct(F.lit("").alias("epigraph"), i.alias("i")))
-    deeper = F.flatten(F.transform(F.coalesce("d.epigrafe", F.array().cast(f"array<struct<_nombre:string,item:array<{ITEM}>>>")), lambda e: F.transform(F.coalesce(e["item"], F.array().cast(f"array<{ITEM}>")), lambda i: F.struct(F.coalesce(e["_nombre"], F.lit("")).alias("epigraph"), i.alias("i")))))
-    rows = departments.select("doc_id", "_xml", filled("d._nombre", F.lit(NO_DEPARTMENT)).alias("department"), F.explode(F.concat(own, deeper)).alias("e"))
-    text = lambda name: F.coalesce(strip(f"e.i.{name}"), F.lit(""))
+    whole = sanitize_ampersands("text")
+    checked = docs.select("doc_id", whole.alias("_xml"), F.from_xml(whole, "_corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("_check"))
+    checked = kept_if_sound(checked, F.col("_check._corrupt_record").isNull() & F.col("_xml").contains("<"), "_xml", "summary", broken)
+    blocks = checked.select("doc_id", F.regexp_extract("_xml", BLOCK, 0).alias("_xml")).where("_xml != ''")
+    departments = blocks.select("doc_id", F.posexplode(F.regexp_extract_all("_xml", F.lit(DEPARTMENT), F.lit(0))).alias("_d", "_xml"))
+    head = F.regexp_extract("_xml", r"^<departamento\b[^>]*>", 0)
+    items = departments.select("doc_id", "_d", filled(named(head), F.lit(NO_DEPARTMENT)).alias("department"), F.posexplode(items_of(F.col("_xml"))).alias("_i", "e"))
+    rows = items.withColumn("i", F.from_xml("e.item", ITEM))
+    text = lambda name: F.coalesce(strip(f"i.{name}"), F.lit(""))
     rows = rows.select(
-        "doc_id", "department", text("titulo").alias("title"), text("identificador").alias("ident"), text("url_pdf").alias("pdf_url"), filled(text("url_html"), text("url_pdf")).alias("url"),
-        F.concat_ws(" -> ", F.lit(LABEL), F.nullif("e.epigraph", F.lit(""))).alias("section"), F.call_function("locate", text("identificador"), F.col("_xml")).alias("_at"),
+        "doc_id", "_d", "_i", "department", text("titulo").alias("title"), text("identificador").alias("ident"), text("url_pdf").alias("pdf_url"), filled(text("url_html"), text("url_pdf")).alias("url"),
+        F.concat_ws(" -> ", F.lit(LABEL), F.nullif("e.epigraph", F.lit(""))).alias("section"),
     )
     rows = rows.where((F.col("title") != "") & ~rejects_words("title"))
-    return rows.withColumn("ordinal", numbered(["doc_id"], ["_at", "title"])).drop("_at")
+    return rows.withColumn("ordinal", numbered(["doc_id"], ["_d", "_i"])).drop("_d", "_i")
 
 
-def read_candidates(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return candidates(documents(spark, path))
+def read_candidates(spark: SparkSession, path: str | list[str], broken: str = FAIL) -> DataFrame:
+    return candidates(documents(spark, path), broken)
 
 
 def pages(found: DataFrame, pdf_pages: DataFrame | None = None) -> DataFrame:

@@ -22,18 +22,22 @@ LOCAL = ("III.", "ADMINISTRACIÓN LOCAL")
 def read_pdf_pages(spark: SparkSession, path: str | list[str], extract: Callable[[bytes], list[str]]) -> DataFrame:
     """doc_id, page_number and raw_text of PDF files; extract gives the texts of a file's pages. A file that can't be
     read gives one row with the message in error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return extracted(spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content"), "doc_id", extract)
+
+
+def extracted(files: DataFrame, name: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
+    """name, page_number, raw_text and error of files (name, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for doc, content in zip(frame["path"], frame["content"], strict=True):
+            for doc, content in zip(frame[name], frame["content"], strict=True):
                 try:
                     texts, error = list(extract(bytes(content))), None
                 except Exception as e:
                     texts, error = [None], f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"doc_id": doc, "page_number": range(1, len(texts) + 1), "raw_text": texts, "error": error})
+                yield pd.DataFrame({name: doc, "page_number": range(1, len(texts) + 1), "raw_text": texts, "error": error})
 
-    return files.mapInPandas(run, "doc_id string, page_number int, raw_text string, error string")
+    return files.select(name, "content").mapInPandas(run, f"`{name}` string, page_number int, raw_text string, error string")
 
 
 def last_match(array: Column, pattern: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nuntia.functions.text import decoded
+from nuntia.functions.text import decoded, strip
 from nuntia.schema import PAGES
 
 
@@ -15,6 +15,21 @@ def documents(spark: SparkSession, path: str | list[str], fallback: str | None =
     return files.select(F.col("path").alias("doc_id"), decoded("content", fallback).alias("text"))
 
 
+#: What to do with documents that can't be parsed: raise an error that names one, or leave them out.
+FAIL, DROP = "fail", "drop"
+
+
+def kept_if_sound(df: DataFrame, is_sound: Column, text: str, what: str, broken: str) -> DataFrame:
+    """Rows that parsed. Blank documents hold nothing and are no error; others raise one, unless `broken` is DROP."""
+    if broken not in (FAIL, DROP):
+        raise ValueError(f"broken is {FAIL!r} or {DROP!r}, not {broken!r}")
+    sound = F.coalesce(is_sound, F.lit(False))
+    blank = F.coalesce(strip(text) == "", F.lit(True))
+    if broken == DROP:
+        return df.where(sound & ~blank)
+    return df.where(F.when(blank, F.lit(False)).when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"broken {what}: "), "doc_id")).cast("boolean")))
+
+
 def as_pages(df: DataFrame, source: str, **values: Column) -> DataFrame:
     """df in the schema of pages; what isn't given is an empty string."""
     given = values | {"source": F.lit(source), "doc_id": F.col("doc_id")}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nuntia.functions.dates import iso, open_on
@@ -34,13 +36,23 @@ def resolve(columns: list[str]) -> dict[str, str]:
     return found
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV files with doc_id and row, the row's number in its file. Files that aren't UTF-8 are read as Latin-1."""
-    raw = spark.read.format("binaryFile").load(path)
-    utf8 = raw.agg(F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()[0]
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8" if utf8 in (None, True) else "ISO-8859-1")
-    rows = rows.select("*", F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("_place"))
-    return rows.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("_place"))).drop("_place")
+def read_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows of CSV files with doc_id and row, the row's number in its file. Each file that isn't UTF-8 is read as Latin-1.
+
+    Columns that only some files have are null for the others. A file is read by one task, as values may hold line ends.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    by_charset: dict[str, list[str]] = {}
+    for r in files.orderBy("path").toLocalIterator():
+        by_charset.setdefault("UTF-8" if r["utf8"] else "ISO-8859-1", []).append(r["path"])
+    parts = []
+    for charset, paths in (by_charset or {"UTF-8": [path] if isinstance(path, str) else path}).items():
+        rows = spark.read.csv(paths, header=True, multiLine=True, quote='"', escape='"', encoding=charset)
+        rows = rows.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in rows.columns], F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("_place"))
+        firsts = rows.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("_place").alias("_first"))
+        own = rows.join(F.broadcast(firsts), F.col("doc_id") == F.col("_doc"))  # one row a file, as in the list above
+        parts.append(own.withColumn("row", (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_doc", "_first"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def pages(rows: DataFrame, as_of: Column | None = None) -> DataFrame:

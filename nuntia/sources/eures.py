@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from nuntia.functions.markup import html_text
 from nuntia.functions.text import strip
-from nuntia.sources.common import as_pages, documents
+from nuntia.sources.common import FAIL, as_pages, documents, kept_if_sound
 
 VACANCY = "struct<vacancyTitle:string,title:string,employerName:string,employer:string,location:string,applyUrl:string,url:string,description:string,shortDescription:string>"
 # What stands for missing fields.
 NO_TITLE, NO_EMPLOYER, NO_LOCATION, PORTAL = "Job Vacancy", "EURES Employer", "Europe", "https://europa.eu/eures/portal/jv-se/search"
 
 
-def vacancies(docs: DataFrame) -> DataFrame:
-    """Vacancies of JSON documents (doc_id, text): an object with a list under `vacancies` or `vacancyList`, or a list."""
+def vacancies(docs: DataFrame, broken: str = FAIL) -> DataFrame:
+    """Vacancies of JSON documents (doc_id, text): an object with a list under `vacancies` or `vacancyList`, or a list.
+    Documents that are no JSON raise an error, or give nothing with `broken` DROP."""
+    docs = kept_if_sound(docs, F.try_parse_json("text").isNotNull(), "text", "vacancies", broken)
     lists = F.from_json("text", f"vacancies array<{VACANCY}>, vacancyList array<{VACANCY}>")
     found = F.coalesce(lists["vacancies"], lists["vacancyList"], F.when(F.ltrim("text").startswith("["), F.from_json("text", f"array<{VACANCY}>")))
     return docs.select("doc_id", F.posexplode(found).alias("ordinal", "v")).select("doc_id", "ordinal", "v.*")
 
 
-def read_vacancies(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return vacancies(documents(spark, path, "ISO-8859-1"))
+def read_vacancies(spark: SparkSession, path: str | list[str], broken: str = FAIL) -> DataFrame:
+    return vacancies(documents(spark, path, "ISO-8859-1"), broken)
 
 
 def pages(rows: DataFrame) -> DataFrame:
