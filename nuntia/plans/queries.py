@@ -16,7 +16,7 @@ from nuntia.functions.markup import html_text
 from nuntia.operators import joins, match, select, windows
 from nuntia.operators.lexicon import Lexicon
 from nuntia.plans import sinks
-from nuntia.sources import boc, bop, epso
+from nuntia.sources import aena, boc, boe, bop, epso, eulisa, eures, sagulpa
 
 WORDS = Lexicon(
     terms=("thtion", "att?ion", "ertion", "thanea", "eriner", "thanedble"),
@@ -147,18 +147,27 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", count("text").alias("dropped"), F.md5(F.col("clean").cast("binary")).alias("clean")).where("dropped > 0")
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(replace(text, 'tion ', 'tion- ' || chr(10) || ' '), '(\w+)-\s*\n\s*(\w+)', '\1\2', 'g')) AS joined FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, md5(regexp_replace(replace(text, 'tion ', 'tion- ' || chr(10) || ' '), '([\p{L}\p{M}\p{Nd}\p{Pc}]+)-\s*\n\s*([\p{L}\p{M}\p{Nd}\p{Pc}]+)', '\1\2', 'g')) AS joined FROM documents""")
 def hyphenation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'")
+    """Words broken at line ends, in documents of every language; \\w of the independent engine knows ASCII only."""
     broken = F.replace(F.col("text"), F.lit("tion "), F.lit("tion- \n "))
-    return docs.select("doc_id", F.md5(text.remove_hyphenation(broken).cast("binary")).alias("joined"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.remove_hyphenation(broken).cast("binary")).alias("joined"))
 
 
-@query()
-def hyphenation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for documents of every language; no SQL, as \\w of the independent engine knows ASCII only."""
-    broken = F.replace(F.col("text"), F.lit("tion "), F.lit("tion- \n "))
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.remove_hyphenation(broken).cast("binary")).alias("joined"))
+SQL_BOILERPLATE = "(?i)" + "|".join(f"(?:{p})" for p in text.BOILERPLATE)
+
+
+@query(rf"""WITH a AS (SELECT doc_id, nfc_normalize(replace(replace(replace(text, 'tion ', 'tion- ' || chr(10) || ' '), 'the ', 'the' || chr(10) || 'Firmado  digitalmente por nadie' || chr(10)), 'der ', 'der' || chr(10) || chr(10) || chr(10) || '  ')) AS t FROM documents),
+b AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '\n\z', ''), chr(10)), lambda x: CASE WHEN trim(x) = '' THEN '' ELSE x END), lambda x: NOT regexp_matches(x, '{SQL_BOILERPLATE}')), chr(10)) AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+)-\s*\n\s*([\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+)', '\1\2', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(replace(replace(replace(t, chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10)), '[ \t]+', ' ', 'g') AS t FROM c)
+SELECT doc_id, coalesce(md5(array_to_string(list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> ''), chr(10) || chr(10))), md5('')) AS clean FROM d""")
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cleaning steps, on texts with broken words, signature lines and wide gaps put in, so that every step has work."""
+    worn = F.col("text")
+    for old, new in (("tion ", "tion- \n "), ("the ", "the\nFirmado  digitalmente por nadie\n"), ("der ", "der\n\n\n  ")):
+        worn = F.replace(worn, F.lit(old), F.lit(new))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(worn).cast("binary")).alias("clean"))
 
 
 @query(r"""SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)widget|^hot') OR (regexp_matches(p_name, '(?i)small|bolt') AND NOT regexp_matches(p_name, '(?i)gear|gizmo'))""")
@@ -171,11 +180,11 @@ def negative_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where(~match.rejects_words("text", ("thanedble", "erction", "eaux", "ueza"))).select("doc_id", "lang")
 
 
-@query(rf"""WITH {SQL_LINES} SELECT doc_id, para_no, last_value(CASE WHEN regexp_matches(paragraph, '{HEADING}') THEN substr(paragraph, 1, 20) END IGNORE NULLS)
+@query(rf"""WITH {SQL_LINES} SELECT doc_id, para_no, last_value(CASE WHEN regexp_matches(paragraph, '{HEADING}') THEN paragraph END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM kept""")
 def sticky_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = document_lines(spark, sf_dir)
-    head = F.when(F.col("paragraph").rlike(HEADING), F.substring("paragraph", 1, 20))
+    head = F.when(F.col("paragraph").rlike(HEADING), F.col("paragraph"))
     return rows.select("doc_id", long("para_no").alias("para_no"), windows.sticky(head, ["doc_id"], ["para_no"]).alias("heading"))
 
 
@@ -226,10 +235,10 @@ def latest_on_or_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("o_orderstatus").agg(F.max(F.to_date("o_orderdate")).alias("latest"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest_key"))
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error' AND day(ts) % 5 <> 0)
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error')
 SELECT max(day) AS found, CAST(coalesce(date_diff('day', max(day), DATE '2024-01-15') + 1, 7) AS BIGINT) AS probes FROM d WHERE day BETWEEN DATE '2024-01-09' AND DATE '2024-01-15'""")
 def walk_back_7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events", "event_type", "ts").where("event_type = 'error' AND day(ts) % 5 != 0").select(F.to_date("ts").alias("day")).distinct()
+    events = read(spark, sf_dir, "events", "event_type", "ts").where("event_type = 'error'").select(F.to_date("ts").alias("day")).distinct()
     return select.walk_back(events, "day", F.lit("2024-01-15").cast("date")).select("found", long("probes").alias("probes"))
 
 
@@ -311,11 +320,28 @@ def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.md5(html_text(F.col("html")).cast("binary")).alias("body"))
 
 
+@query(r"""WITH a AS (SELECT page_id, replace(replace(html, 'the', 'th&e;'), 'and', '&amp;and&#38;&#x26;') AS h FROM pages)
+SELECT page_id, md5(regexp_replace(replace(h, '&', '&amp;'), '&amp;(amp|lt|gt|quot|apos|#[0-9]+|#[xX][a-fA-F0-9]+);', '&\1;', 'g')) AS sanitized FROM a""")
+def ampersands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ampersands that start no entity, repaired; some of either kind are put in."""
+    worn = F.replace(F.replace(F.col("html"), F.lit("the"), F.lit("th&e;")), F.lit("and"), F.lit("&amp;and&#38;&#x26;"))
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(text.sanitize_ampersands(worn).cast("binary")).alias("sanitized"))
+
+
 @query()
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ampersands repaired, then all entities decoded."""
-    clean = text.sanitize_ampersands("html")
-    return read(spark, sf_dir, "pages").select("page_id", F.md5(clean.cast("binary")).alias("sanitized"), F.md5(text.html_unescape(clean).cast("binary")).alias("decoded"))
+    """All entities decoded, by the full table of names, which SQL hasn't."""
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(text.html_unescape("html").cast("binary")).alias("decoded"))
+
+
+@query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS ord FROM pages),
+k AS (SELECT page_id, CAST(ord AS BIGINT) AS ord, regexp_extract(url, '^[a-z]+://[^/?#]+') AS root, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[^/]*$', '') AS folder, href FROM l)
+SELECT page_id, ord, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href ELSE root || href END AS absolute, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || ltrim(href, '/') END AS relative FROM k""")
+def joined_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links resolved against their page's address: as they stand, and as if they were relative to its folder."""
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(links).alias("ord", "href"))
+    return rows.select("page_id", long("ord").alias("ord"), text.resolve_url(F.col("url"), F.col("href")).alias("absolute"), text.resolve_url(F.col("url"), F.regexp_replace("href", "^/+", "")).alias("relative"))
 
 
 @query("""SELECT page_id, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS full_escape FROM pages""")
@@ -334,10 +360,12 @@ def truncated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.truncated("text", 1500, "...").alias("short"))
 
 
-@query("""SELECT source, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY doc_id) AS ids, count(*) AS n FROM documents GROUP BY source""")
+@query("""SELECT user_id, CAST(ts AS DATE) AS day, string_agg(CAST(event_id AS VARCHAR), ', ' ORDER BY event_id) AS ids, count(*) AS n FROM events GROUP BY ALL""")
 def joined_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ", ")
-    return read(spark, sf_dir, "documents", "source", "doc_id").groupBy("source").agg(ids.alias("ids"), F.count("*").alias("n"))
+    """Ids of a user's events of a day in one text: groups that stay small as the table grows."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: i.cast("string")), ", ")
+    events = read(spark, sf_dir, "events", "user_id", "ts", "event_id")
+    return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(ids.alias("ids"), F.count("*").alias("n"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS slashed, strftime(o_orderdate, '%Y%m%d') AS compact, CAST(o_orderdate AS DATE) AS from_slashed, CAST(o_orderdate AS DATE) AS from_rfc, CAST(o_orderdate AS DATE) AS from_iso,
@@ -384,10 +412,26 @@ def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.text_messages(findings(spark, sf_dir)).select("doc_id", long("para_no").alias("para_no"), "text")
 
 
-@query()
+@query(rf"""WITH {SQL_FOUND}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id, para_no) - 1 AS n FROM found)
+SELECT n // 2 AS message, n % 2 AS place, CASE WHEN n // 2 = 0 THEN '🚀 **New IT Job Opportunities Found!**' ELSE '' END AS content, substr('📌 ' || upper(source), 1, 256) AS title, substr(paragraph, 1, 2048) AS description, 3447003 AS color, url,
+  'BOC (Page/Item 1)' AS location, substr(array_to_string(list_transform(m, lambda k: '`' || k || '`'), ', '), 1, 1024) AS keywords FROM n""")
 def card_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Webhook payloads, two findings in each; JSON texts differ in form between engines."""
-    return sinks.card_messages(findings(spark, sf_dir))
+    """Webhook payloads, two findings in each, taken apart again, as JSON texts differ in form between engines."""
+    embed = "struct<title:string,description:string,color:bigint,url:string,fields:array<struct<name:string,value:string,inline:boolean>>>"
+    sent = sinks.card_messages(findings(spark, sf_dir)).select("message", F.from_json("payload", f"content string, embeds array<{embed}>").alias("p"))
+    rows = sent.select("message", "p.content", F.posexplode("p.embeds").alias("place", "e"))
+    field = lambda i: F.get("e.fields", F.lit(i))["value"]
+    return rows.select(long("message").alias("message"), long("place").alias("place"), "content", "e.title", "e.description", F.col("e.color").cast("int").alias("color"), "e.url", field(0).alias("location"), field(1).alias("keywords"))
+
+
+SQL_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+@query(rf"""WITH {SQL_FOUND} SELECT doc_id, para_no, '<article class="job-card"><div class="source-badge">BOC - Item 1</div><h2>' || {SQL_ESCAPED.format("upper(source)")} || '</h2><p class="description-text">' || {SQL_ESCAPED.format("paragraph")}
+|| '</p><div class="keywords-list">' || array_to_string(list_transform(m, lambda k: '<span class="chip">' || {SQL_ESCAPED.format("k")} || '</span>'), '') || '</div><footer><a href="' || url || '" target="_blank" rel="noopener noreferrer">View Original Bulletin &rarr;</a></footer></article>' || chr(10) AS card FROM found""")
+def html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as cards of the HTML report."""
+    return findings(spark, sf_dir).select("doc_id", long("para_no").alias("para_no"), sinks.html_card().alias("card"))
 
 
 @query()
@@ -427,3 +471,114 @@ def vacancy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("AD5").alias("Grade"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 12:00")).alias("Deadline"), F.lit("orders").alias("doc_id"), F.col("o_orderkey").alias("row"),
     )
     return epso.pages(rows, F.lit("2000-06-01").cast("date")).select(long("page_number").alias("row"), "text")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, of which the sources below are made: id, name, brand, kind (id modulo 4)."""
+    rows = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    return rows.select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), (F.col("p_partkey") % 4).alias("kind"))
+
+
+def filled_in(form: str, **values: Column | str) -> Column:
+    """A text in which {name} stands for values: columns, or names of columns."""
+    return text.template(form, **{k: text.col(v).cast("string") for k, v in values.items()})
+
+
+def by_part(pages: DataFrame) -> DataFrame:
+    return pages.select(long("doc_id").alias("id"), long("ordinal").alias("place"), long("page_number").alias("number"), "text", "section", F.col("detected_organism").alias("organism"), "url")
+
+
+@query("""SELECT p_partkey AS id, CAST(1 AS BIGINT) AS place, CAST(1 AS BIGINT) AS number, 'Title: ' || CASE WHEN p_partkey % 4 = 3 THEN 'Job Vacancy' ELSE p_name END || chr(10) || 'Employer/Agency: ' || CASE WHEN p_partkey % 4 = 3 THEN 'EURES Employer' ELSE p_brand END || chr(10)
+  || 'Location: ' || CASE WHEN p_partkey % 4 = 1 THEN 'Vigo' ELSE 'Europe' END || chr(10) || 'Description: ' || CASE p_partkey % 4 WHEN 0 THEN 'Run' || chr(10) || p_name WHEN 1 THEN p_name || ' 3 < 4' ELSE '' END AS text, '' AS section,
+  CASE WHEN p_partkey % 4 = 3 THEN 'EURES Employer' ELSE p_brand END AS organism, CASE p_partkey % 4 WHEN 0 THEN 'http://x/' || p_partkey ELSE 'https://europa.eu/eures/portal/jv-se/search' END AS url FROM part""")
+def mobility_vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as JSON of the mobility portal, in four forms: all field names of either version, lists, missing fields."""
+    form = (
+        F.when(F.col("kind") == 0, '{"vacancies": [{"vacancyTitle": "{name}", "employerName": "{brand}", "applyUrl": "http://x/{id}", "description": "<p>Run</p><b>{name}</b>"}]}')
+        .when(F.col("kind") == 1, '[{"title": "{name}", "employer": "{brand}", "location": "Vigo", "shortDescription": "{name} 3 < 4"}]')
+        .when(F.col("kind") == 2, '{"vacancyList": [{"title": " {name} ", "employer": "{brand}"}]}')
+        .otherwise('{"vacancyList": [{}]}')
+    )
+    docs = parts(spark, sf_dir).select("doc_id", F.replace(F.replace(F.replace(form, F.lit("{name}"), F.col("name")), F.lit("{brand}"), F.col("brand")), F.lit("{id}"), F.col("doc_id")).alias("text"))
+    return by_part(eures.pages(eures.vacancies(docs)))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS name FROM part)
+SELECT id, CAST(0 AS BIGINT) AS place, CAST(1 AS BIGINT) AS number, 'Title: ' || name || chr(10) || 'Reference/Details: R/' || id || ' | ' || name || ' | 15/09/2026' || chr(10) || 'Source Portal: eu-LISA Careers' AS text, '' AS section, 'eu-LISA' AS organism, 'https://www.eulisa.europa.eu/vacancies/' || id AS url FROM t WHERE id % 4 <> 3
+UNION ALL SELECT id, 1, CASE WHEN id % 4 = 3 THEN 1 ELSE 2 END, 'Title: ' || name || ' II' || chr(10) || 'Details: R ' || name || ' II until 2026-08-15' || chr(10) || 'Source Portal: eu-LISA Careers', '', 'eu-LISA', 'https://www.eulisa.europa.eu/jobs/' || id FROM t WHERE id % 4 <> 2""")
+def agency_vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages of the agency: table rows, links in lists, links that repeat, noise, and closed entries."""
+    form = (
+        '<table><tr><th>Reference</th></tr><tr><td>R/{id}</td><td><a href="/vacancies/{id}">{name}</a></td><td>{closing}</td></tr></table>'
+        '<ul><li>R <a href="/jobs/{id}">{name} II</a> until {until}</li>{again}<li><a href="/contact/job">Contact us</a></li><li><a href="/news">No news today</a></li></ul>'
+    )
+    closing = F.when(F.col("kind") == 3, "30/06/2026").otherwise("15/09/2026")
+    until = F.when(F.col("kind") == 2, "2026-07-31").otherwise("2026-08-15")
+    repeated = filled_in('<li><a href="/vacancies/{id}">{name}</a></li><li><a href="/jobs/{id}">{name} again</a> until {until}</li>', id="id", name="name", until=until)
+    docs = parts(spark, sf_dir).select("doc_id", filled_in(form, id="id", name="name", closing=closing, until=until, again=F.when(F.col("kind") < 3, repeated).otherwise("")).alias("text"))
+    return by_part(eulisa.pages(eulisa.entries(docs), F.lit("2026-08-01").cast("date")))
+
+
+@query("""SELECT p_partkey AS id, CAST(0 AS BIGINT) AS place, p_name AS title, 'https://empleo.aena.es/empleo/PFSrv?codigo=' || p_partkey AS url, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE DATE '2026-07-20' END AS closing FROM part
+WHERE p_partkey % 4 < 2 AND NOT (regexp_matches(p_name, '(?i)widget|^hot') OR (regexp_matches(p_name, '(?i)small|bolt') AND NOT regexp_matches(p_name, '(?i)gear|gizmo')))""")
+def airport_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries of the airport board: open, without a date, closed, without a link; titles are rejected."""
+    form = '<div class="th"><h3>{name}</h3><span>Fecha fin:</span> {closing} </div>{link}<span class="brkfila"></span>'
+    closing = F.when(F.col("kind") == 1, "pronto").when(F.col("kind") == 2, "01/02/2026").otherwise("20/07/2026")
+    link = F.when(F.col("kind") == 3, "").otherwise(filled_in('<div class="td3"><a class="x botonAvisos" href="PFSrv?codigo={id}">Ver</a></div>', id="id"))
+    docs = parts(spark, sf_dir).select("doc_id", filled_in(form, name="name", closing=closing, link=link).alias("text"))
+    rows = aena.listings(docs, F.lit("2026-07-15").cast("date"), TITLE_WORDS)
+    return rows.select(long("doc_id").alias("id"), long("ordinal").alias("place"), "title", "url", F.col("closing_date").alias("closing"))
+
+
+@query("""SELECT p_partkey AS id, CAST(0 AS BIGINT) AS place, p_name AS title, CASE WHEN p_partkey % 4 = 1 THEN '' ELSE 'https://www.sagulpa.com/ofertas-empleo/' || p_partkey END AS url, CASE WHEN p_partkey % 4 = 1 THEN DATE '2026-07-08' ELSE DATE '2026-07-01' END AS published,
+  CASE WHEN p_partkey % 4 = 0 THEN DATE '2026-07-11' END AS closing, p_name || CASE WHEN p_partkey % 4 = 1 THEN ' Fecha de publicación: 08/07/2026' ELSE chr(10) || 'Fecha de publicación: 01/07/2026' || chr(10) || chr(10) || 'Se ofrece ' || p_brand || '.' END AS text FROM part WHERE p_partkey % 4 < 2""")
+def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries of the company's board with their detail pages: open, without link and dates, closed, stopped."""
+    form = '<ul class="fa-ul"><li><h2>{name}</h2> {published} {link} Fecha finalización de presentación de candidaturas: {closing}</li><li><a href="/ofertas-empleo/x">no heading</a></li></ul>'
+    name = F.when(F.col("kind") == 3, F.concat("name", F.lit(" (CERRADO)"))).otherwise(F.col("name"))
+    published = F.when(F.col("kind") == 1, "").otherwise("Fecha de publicación: 01/07/2026")
+    closing = F.when(F.col("kind") == 0, "11 de julio de 2026").when(F.col("kind") == 1, "31/02/2026").otherwise("5/7/2026")
+    link = F.when(F.col("kind") == 1, '<a href="javascript:x()">x</a>').otherwise(filled_in('<a href="/otra">o</a><a href="./ofertas-empleo/{id}">Ver</a>', id="id"))
+    made = parts(spark, sf_dir)
+    docs = made.select("doc_id", filled_in(form, name=name, published=published, link=link, closing=closing).alias("text"))
+    found = sagulpa.listings(docs, F.lit("2026-07-08").cast("date"))
+    body = filled_in('<body>menu<div class="margen_menu_lateral_columna"><p>Se ofrece</p><p>{brand}.</p></div></body>', brand="brand")
+    details = made.select(F.concat(F.lit("https://www.sagulpa.com/ofertas-empleo/"), "doc_id").alias("url"), body.alias("text"))
+    pages = sagulpa.pages(found, details).select("doc_id", "ordinal", "text")
+    rows = found.join(pages, ["doc_id", "ordinal"])
+    return rows.select(long("doc_id").alias("id"), long("ordinal").alias("place"), "title", "url", "published", F.col("closing_date").alias("closing"), "text")
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part)
+SELECT id, CAST(0 AS BIGINT) AS place, CAST(1 AS BIGINT) AS number, name || ' & más' || CASE WHEN id % 4 = 0 THEN chr(10) || chr(10) || 'Bases de ' || brand ELSE '' END AS text, 'II. Autoridades y Personal -> Oposiciones y concursos' AS section, 'Consejería ' || brand AS organism, 'http://x/' || id || '?a=1&b=2' AS url FROM t WHERE id % 4 IN (0, 2)
+UNION ALL SELECT id, 1, CASE WHEN id % 4 IN (0, 2) THEN 2 ELSE 1 END, 'Resolución ' || id, 'III. Otras Resoluciones -> Universidad', 'Universidad', '' FROM t WHERE id % 4 <> 3""")
+def regional_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as items of regional feeds: kept and other sections, items without heading, paragraphs or description."""
+    form = (
+        "<rss><channel><item><title>t</title><link> http://x/{id}?a=1&b=2 </link><description>&lt;h5&gt;{section} - Oposiciones y concursos - Consejería {brand}&lt;/h5&gt;&lt;h3&gt;&lt;b&gt;{name}&lt;/b&gt; &amp;amp; más&lt;/h3&gt;{body}&lt;p&gt;CVE: x&lt;/p&gt;</description></item>"
+        "<item><title>Resolución {id}</title><description>{other}</description></item><item><title>none</title><description></description></item></channel></rss>"
+    )
+    section = F.when(F.col("kind") % 2 == 0, "II. Autoridades y Personal").otherwise("IV. Justicia")
+    body = F.when(F.col("kind") == 0, filled_in("&lt;p&gt;Bases de  {brand}&lt;/p&gt;", brand="brand")).otherwise("")
+    other = F.when(F.col("kind") == 3, "no heading").otherwise("&lt;h5&gt;III. Otras Resoluciones - Universidad&lt;/h5&gt;")
+    docs = parts(spark, sf_dir).select("doc_id", filled_in(form, id="id", section=section, brand="brand", name="name", body=body, other=other).alias("text"))
+    return by_part(boc.pages(boc.items(docs)))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part),
+i AS (SELECT id, 1 AS n, '[A-' || id || '0] ' || name AS text, '' AS epigraph, brand AS organism, 'http://x/h' AS url FROM t UNION ALL SELECT id, 2, '[A-' || id || '] ' || name || ' & otra', ' -> Personal laboral', brand, 'http://x/p' FROM t
+UNION ALL SELECT id, 3, name || ' deep', '', brand, '' FROM t UNION ALL SELECT id, 4, '[B-' || id || '] Letras', '', 'Administración Pública (Desconocido)', '' FROM t WHERE id % 4 <> 1)
+SELECT id, CAST(n AS BIGINT) AS place, CAST(n AS BIGINT) AS number, text, 'II.B. Oposiciones y concursos' || epigraph AS section, organism, url FROM i""")
+def state_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as summaries of the state bulletin: departments, epigraphs, items further down, other sections, rejected words."""
+    item = "<item><identificador>{i}</identificador><titulo>{t}</titulo>{u}</item>"
+    one = lambda i, t, u="": item.replace("{i}", i).replace("{t}", t).replace("{u}", u)
+    form = (
+        "<sumario><seccion codigo='1'><departamento nombre='x'>" + one("X", "other section") + "</departamento></seccion><seccion codigo='2B'><departamento nombre='{brand}'>" + one("A-{id}0", "{name}", "<url_html>http://x/h</url_html><url_pdf>http://x/p</url_pdf>")
+        + "<epigrafe nombre='Personal laboral'>" + one("A-{id}", "{name} & otra", "<url_pdf> http://x/p</url_pdf>") + "<nivel>" + one("", " {name} deep ") + "</nivel></epigrafe>" + one("N", "Plazas de Policía Local") + one("E", "") + "</departamento>"
+        "<departamento>" + one("B-{id}", "{last}") + "</departamento></seccion></sumario>"
+    )
+    last = F.when(F.col("kind") == 1, "Cuerpo de letrados").otherwise("Letras")
+    docs = parts(spark, sf_dir).select("doc_id", filled_in(form, id="id", name="name", brand="brand", last=last).alias("text"))
+    return by_part(boe.pages(boe.candidates(docs)))
