@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nuntia.llm.common import discard, shared_dir, small, table, written
+from nuntia.llm.common import MADE, discard, small, sweep, table, written
 from nuntia.llm.decontaminate import contamination
 from nuntia.llm.mixing import mixed_by_source
 from nuntia.llm.near_dup import near_duplicates
@@ -91,12 +89,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, over all documents."""
+    """The stages in order, over all documents. Once a stage is written, what it was made from is deleted."""
     docs = table(spark, sf_dir, "documents")
+    others = set(MADE)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/nuntia/stage-{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs, f"stage-{k}")
+            sweep(spark, others | {docs.nuntia_path})
     return docs
