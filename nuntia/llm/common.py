@@ -42,10 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that this process has written and not yet discarded, in order.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: a cut of its lineage that outlives lost executors."""
+    """df, written to the shared folder and read back: a cut of its lineage that outlives lost executors.
+
+    The files stay until discard() or sweep(), as results that are not yet computed read them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nuntia/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.nuntia_path = path
@@ -55,9 +63,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a table that written() made and that nothing reads any more."""
     if df is not None and (path := getattr(df, "nuntia_path", None)):
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        deleted(df.sparkSession, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+def sweep(spark: SparkSession, but: set[str] = frozenset()) -> None:
+    """Delete the files of all tables that written() made in this process, but for some paths. For when every result
+    that reads them has been computed."""
+    for path in [p for p in MADE if p not in but]:
+        deleted(spark, path)
 
 
 def weight(df: DataFrame) -> Column:

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -100,7 +101,7 @@ def test_every_language_is_learned(spark):
     rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * rng.randint(5, 30), f"l{i % 230:03}") for i in range(690)]
     rows += [(1000 + i, "zzyzx " * 5000, "long") for i in range(3)] + [(2000, "x", None), (2001, None, "l000"), (None, "no id", "none")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    sample = language.language_sample(df, F.lit(False), max_chars=2000)
+    sample = language.language_sample(df, F.col("doc_id") < 0, max_chars=2000)
     assert {k for _, k in sample} == {f"l{i:03}" for i in range(230)} | {"long"} and max(len(t) for t, _ in sample) <= 2000
     assert language.fit([r for r in sample if r[1] < "l003" or r[1] == "long"], epochs=1).languages == ("l000", "l001", "l002", "long")
 
@@ -220,6 +221,18 @@ def test_toxicity_query(spark, sf_dir):
     assert (got.held_out.values == held(got.index, 5, 0)).all() and ((got.score >= 0.5) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def test_toxicity_of_held_out_rows_of_a_table(spark, sf_dir):
+    """On a table large enough to learn from. About one in twelve of its toxic labels marks a text that holds none of the words."""
+    large = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.1")
+    if not os.path.isdir(large):
+        pytest.skip("no larger table")
+    got = toxicity.op8_toxicity(spark, large).toPandas().set_index("doc_id")
+    labels = spark.read.parquet(f"{large}/labels.parquet").where("toxic IS NOT NULL").toPandas().set_index("doc_id").toxic
+    labels = labels[[i for i in labels.index if i in got.index and got.held_out[i]]]
+    hit = got.predicted[labels.index] == 1
+    assert hit[labels == 1].mean() >= 0.85 and hit[labels == 0].mean() <= 0.01
+
+
 def test_sample_is_bounded_and_skips_rows(spark):
     from nuntia.llm.common import labelled_sample
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipe
-from nuntia.llm.common import shared_dir, written
+from nuntia.llm.common import MADE, shared_dir, written
 
 
 def test_stages_and_queries_are_registered():
@@ -76,7 +76,9 @@ def test_empty_documents(spark, few, sf_dir):
 
 
 def test_run(spark, sf_dir):
+    before = set(MADE)
     out = pipe.run(spark, sf_dir)
+    assert sum("stage-" in p for p in set(MADE) - before) == 1
     assert out.count() > 0 and shared_dir(spark).startswith("file:") and out.where("taken > 3 * size").count() == 0
 
 
