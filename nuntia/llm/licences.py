@@ -34,25 +34,34 @@ from nuntia.llm.common import table
 
 UNKNOWN, CONFIRM, LIKELY = "unknown", 0.7, 0.5
 WINDOW, STRIDE, REACH = 120, 60, 60
-GATE = r"(?i:licen[cs]|copyright|copyleft|public\W+domain|creative\W+commons|spdx|warrant|redistribut|permission)|\b(?:(?i:[AL]?GPL|MPL)|MIT|BSD|Apache|Mozilla|CC0|CC[\W_]+BY|ISC)(?:[vV]?\d[\d.]*)?(?!\w)"
+GATE = r"(?i:licen[cs]|copyright|copyleft|public\W+domain|creative\W+commons|spdx|warrant|redistribut|permission)|\b(?:(?i:[AL]?GPL|MPL|E?UPL|EPL|OFL|BSL|WTFPL)|MIT|BSD|Apache|Mozilla|Zlib|CC0|CC[\W_]+BY|ISC)(?:[vV]?\d[\d.]*)?(?!\w)"
 #: Where a version is glued to a name, or a v to its number; CC0 is one word.
 GLUED = r"(?<=[a-z])(?<!\bcc)(v?)(?=[0-9])"
 SOME = r"[\p{L}\p{N}]"
 #: How notices of each family read.
 NOTICES = {
     "agpl": ("GNU Affero General Public License", "licensed under the GNU Affero General Public License, version 3", "AGPL-3.0", "AGPL v3", "licensed under the AGPL v3", "GNU Affero General Public License as published by the Free Software Foundation"),
-    "apache": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "Apache-2.0", "distributed under the Apache 2.0 license", "Apache Software License"),
+    "apache": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "Apache-2.0", "distributed under the Apache 2.0 license", "Apache Software License", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
+    "artistic": ("Artistic License 2.0", "Artistic-2.0", "under the terms of the Artistic License", "released under the Perl Artistic License"),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSD 3-Clause License", "released under the BSD license", "licensed under the BSD 2-Clause License", "BSD-3-Clause"),
+    "bsl": ("Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0", "BSL-1.0", "licensed under the Boost Software License"),
     "cc-by": ("Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "available under the CC BY 4.0 license", "CC-BY-4.0"),
     "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0", "available under the CC BY-NC-SA 4.0 license", "CC-BY-NC-4.0"),
+    "cc-by-nc-nd": ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Licensed under CC BY-NC-ND 4.0", "available under the CC BY-NC-ND 4.0 license", "CC-BY-NC-ND-4.0"),
+    "cc-by-nd": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "Licensed under CC BY-ND 4.0", "available under the CC BY-ND 4.0 license", "CC-BY-ND-4.0"),
     "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0", "available under the CC BY-SA 3.0 license", "CC-BY-SA-4.0"),
     "cc0": ("CC0 1.0 Universal public domain dedication", "dedicated to the public domain under CC0", "CC0-1.0"),
-    "gpl": ("licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation", "released under the GPL v3", "GPL-3.0-or-later", "GPL v3", "GPL v2", "distributed under the GNU GPL version 2"),
+    "epl": ("Eclipse Public License v. 2.0", "made available under the terms of the Eclipse Public License", "EPL-2.0", "licensed under the EPL v1.0", "Eclipse Public License - v 1.0"),
+    "eupl": ("Licensed under the EUPL, Version 1.2", "European Union Public Licence", "EUPL-1.2", "licensed under the EUPL v1.1", "released under the European Union Public License"),
+    "gpl": ("licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation", "released under the GPL v3", "GPL-3.0-or-later", "GPL v3", "GPL v2", "distributed under the GNU GPL version 2", "GPL-2.0-only", "released under the GPL v2 or later", "licensed under the GPL"),
     "isc": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "ISC License", "released under the ISC license"),
     "lgpl": ("licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1-or-later", "LGPL v3", "LGPL v2.1", "distributed under the LGPL v3", "GNU Library General Public License", "GNU Lesser General Public License as published by the Free Software Foundation"),
     "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License", "licensed under the terms of the MIT license"),
-    "mpl": ("subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "MPL-2.0", "licensed under the MPL 2.0", "MPL v2", "MPL v1.1"),
+    "mpl": ("subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "MPL-2.0", "licensed under the MPL 2.0", "MPL v2", "MPL v1.1", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    "ofl": ("licensed under the SIL Open Font License, Version 1.1", "SIL Open Font License", "OFL-1.1", "released under the Open Font License"),
     "unlicense": ("This is free and unencumbered software released into the public domain", "released under the Unlicense", "The Unlicense"),
+    "wtfpl": ("licensed under the WTFPL", "Do What The Fuck You Want To Public License", "released under the WTFPL license"),
+    "zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "zlib License", "released under the zlib/libpng license", "SPDX Zlib"),
 }
 #: Sentences with the same words that name no family.
 ORDINARY = (
@@ -119,7 +128,12 @@ def fitted(epochs: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Licence
 
 
 def literals(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """An array of words, as one literal: the planner is handed one text, not thousands of values."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def numbers(values: np.ndarray) -> Column:
+    return literals([repr(float(v)) for v in values]).cast("array<double>")
 
 
 def spoken(text: Column) -> Column:
@@ -150,7 +164,7 @@ def template_words(family: Column) -> Column:
 
 def classified(said: Column, model: LicenceModel) -> Column:
     """(family, probability, likeness) of an array of words."""
-    place = F.map_from_arrays(literals(list(model.features)), F.array(*[F.lit(i + 1) for i in range(len(model.features))]))
+    place = F.map_from_arrays(literals(list(model.features)), F.sequence(F.lit(1), F.lit(len(model.features))))
     pairs = F.zip_with(F.slice(said, 1, F.greatest(F.size(said) - 1, F.lit(0))), F.slice(said, 2, F.greatest(F.size(said) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     known = F.filter(F.transform(F.array_distinct(F.concat(said, pairs)), lambda g: F.try_element_at(place, g)), lambda i: i.isNotNull())
 
@@ -158,7 +172,7 @@ def classified(said: Column, model: LicenceModel) -> Column:
         return F.aggregate(ids, F.lit(float(bias)), lambda acc, i: acc + F.element_at(column, i))
 
     def scored(ids: Column) -> Column:
-        columns = [F.array(*[F.lit(float(v)) for v in model.weights[:, k]]) for k in range(len(model.classes))]
+        columns = [numbers(model.weights[:, k]) for k in range(len(model.classes))]
         return F.array(*[summed(ids, b, c) for b, c in zip(model.bias, columns, strict=True)])
 
     def chosen(logits: Column) -> Column:
@@ -228,5 +242,5 @@ def licence_paragraphs(documents: DataFrame, model: LicenceModel | None = None,
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every place in documents with a confirmed licence family: doc_id, paragraph, window, family, probability, likeness."""
-    return licence_paragraphs(table(spark, sf_dir, "documents")).where(F.col("family") != UNKNOWN).drop("content")
+    """Every place in documents with licence words: doc_id, paragraph, window, family (or unknown), probability, likeness."""
+    return licence_paragraphs(table(spark, sf_dir, "documents")).drop("content")

@@ -82,3 +82,42 @@ def test_query_finds_all_notices_and_is_native(spark, sf_dir, docs):
     assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in df.collect()) == want
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+#: Openings of licence texts and headers as they stand in files; none of them is a notice that the model learns from.
+IN_FILES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "gpl": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl": "You can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",
+    "eupl": 'Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the "Licence");',
+    "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "artistic": "This library is free software; you may redistribute it under the terms of the Artistic License 2.0.",
+    "cc-by-nc-nd": "The images of this site are shared under a CC BY-NC-ND 4.0 licence",
+    "cc-by-nd": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    "bsl": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)",
+}
+NO_NOTICE = (
+    "Applicants need a driving licence and permission to work in the city.", "The warranty of the software expires after two years and is limited by copyright law.", "Students of MIT built a boat and sold it to the public.",
+    "The Apache web server was restarted twice; a new version is planned.", "A licence fee is paid to the European Commission each year.", "The eclipse was seen in public places all over Mozilla Street.",
+    "Redistribution of wealth was debated, with or without modification of the tax law.", "An open font was chosen by the artistic director.", "The GNU project was founded in 1983 as a free foundation for software.",
+)
+
+
+def test_licences_in_files_are_found_wrapped_and_unwrapped(spark):
+    import textwrap
+
+    rows = [(f"{k}|{w}|{p}", "\n".join(p + x for x in (textwrap.wrap(t, w) if w else [t]))) for k, t in IN_FILES.items() for w in (None, 72, 60) for p in ("", "# ", " * ")]
+    rows += [(f"none|{i}", t) for i, t in enumerate(NO_NOTICE)]
+    found = {}
+    for r in lic.licence_paragraphs(spark.createDataFrame(rows, "doc_id string, text string")).where("family != 'unknown'").collect():
+        found.setdefault(r["doc_id"], set()).add(r["family"])
+    known = [k for k, _ in rows if not k.startswith("none")]
+    assert sum(k.split("|")[0] in found.get(k, ()) for k in known) >= 0.95 * len(known)
+    assert sum(bool(found.get(k, set()) - {k.split("|")[0]}) for k, _ in rows) <= 0.05 * len(rows)
