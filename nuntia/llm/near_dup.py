@@ -45,8 +45,10 @@ from nuntia.llm.common import LONG, buffers, discard, lowered, pieces, slices, s
 from nuntia.llm.components import components
 
 ROWS, MISS = 4, 1e-5
-#: Shingles in a block of hubs or a chunk of classes; classes of a large ring that are tried first, and when a ring is large.
-VOLUME, SAMPLE, LARGE = 1 << 15, 64, 512
+#: Shingles in a block of hubs or a chunk of classes, and for how many a class counts at least, so that short ones are few.
+VOLUME, WEIGHT = 1 << 17, 1024
+#: Classes of a large ring that are tried first, and when a ring is large.
+SAMPLE, LARGE = 64, 512
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -288,13 +290,13 @@ def tasks_of(groups: DataFrame, members: DataFrame, hubs: DataFrame, texts: Data
 
 
 def parts(shingles: Column) -> Column:
-    """In how many blocks or chunks classes with so many shingles in all are dealt; a class counts for 16 at least."""
+    """In how many blocks or chunks classes with so many shingles in all are dealt; a class counts for WEIGHT at least."""
     return F.ceil(shingles / VOLUME).cast("long")
 
 
 def star_links(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """All that the stars (hub, node) settle: a, b, linked, ring of every pair."""
-    weighed = texts.select("node", F.greatest("n_shingles", F.lit(16)).alias("weight"))
+    weighed = texts.select("node", F.greatest("n_shingles", F.lit(WEIGHT)).alias("weight"))
     groups = written(stars.join(weighed, "node").groupBy(F.col("hub").alias("grp")).agg(parts(F.sum("weight")).alias("chunks")).withColumn("blocks", F.lit(1).cast("long")), "tasks")
     hubs = groups.select("grp", F.col("grp").alias("node"))
     out = written(compared(tasks_of(groups, stars.select(F.col("hub").alias("grp"), "node"), hubs, texts), k, percent, True), "stars")
@@ -317,7 +319,7 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 def ring_links(stars: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of a star other than its hub, as far as they connect more than the stars do."""
     links = stars.where("linked").select("a", "b")
-    weighed = texts.select("node", F.greatest("n_shingles", F.lit(16)).alias("weight"))
+    weighed = texts.select("node", F.greatest("n_shingles", F.lit(WEIGHT)).alias("weight"))
     rings = stars.select(F.col("a").alias("node"), F.explode(F.array(F.xxhash64("b", "ring"), F.xxhash64("b", F.col("ring") + 1))).alias("grp"))
     members = labelled(rings.join(weighed, "node").select("grp", "node", "weight"), links)
     more = []

@@ -75,7 +75,7 @@ def test_components_are_those_of_brute_force(spark, k, percent):
 
 
 def test_large_groups_go_through_hubs_samples_blocks_and_chunks(spark, monkeypatch):
-    for name, value in (("VOLUME", 2000), ("SAMPLE", 8), ("LARGE", 24)):
+    for name, value in (("VOLUME", 2000), ("WEIGHT", 16), ("SAMPLE", 8), ("LARGE", 24)):
         monkeypatch.setattr(nd, name, value)
     rows = family(150, first=10) + family(40, 80, 4, 1000) + [(2000 + i, "same text " * 5) for i in range(50)]
     want = brute(rows, 3, 85)
@@ -100,7 +100,7 @@ def moved(spark, monkeypatch, rows, k=3, percent=85):
 
 
 def test_rows_moved_for_a_chain_grow_with_its_length(spark, monkeypatch):
-    for name, value in (("VOLUME", 4000), ("SAMPLE", 8), ("LARGE", 24)):
+    for name, value in (("VOLUME", 4000), ("WEIGHT", 16), ("SAMPLE", 8), ("LARGE", 24)):
         monkeypatch.setattr(nd, name, value)
     rng = random.Random(5)
     words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
