@@ -222,7 +222,7 @@ def test_toxicity_query(spark, sf_dir):
 
 
 def test_toxicity_of_held_out_rows_of_a_table(spark, sf_dir):
-    """On a table large enough to learn from. About one in twelve of its toxic labels marks a text that holds none of the words."""
+    """On a table large enough to learn from."""
     large = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.1")
     if not os.path.isdir(large):
         pytest.skip("no larger table")

@@ -84,7 +84,8 @@ def test_query_finds_all_notices_and_is_native(spark, sf_dir, docs):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
-#: Openings of licence texts and headers as they stand in files; none of them is a notice that the model learns from.
+#: Openings of licence texts and headers as they stand in files. No independent set: some notices that the model learns
+#: from were added after these texts had been tried, and share their wording.
 IN_FILES = {
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
