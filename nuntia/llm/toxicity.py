@@ -5,8 +5,10 @@ averaged over the bag and go into a linear softmax; embeddings and softmax are t
 or inflected word that training never saw shares most n-grams, and so most vectors, with the words it did see; a few
 made-up misspellings of the strongest words take part in training, so that single n-grams learn to count.
 A document's evidence is the mean of its two most toxic words: toxicity is local, so an average over all words would
-drown it in a long text, while a single look-alike occurs in clean texts too. Training therefore alternates between choosing the strongest words of toxic documents and fitting (multiple-instance
-learning), with the words of clean documents as negatives. A logistic curve gives the document's probability.
+drown it in a long text, while a single look-alike occurs in clean texts too. Training therefore alternates between
+choosing the strongest words of toxic documents and fitting (multiple-instance learning), with the words of clean
+documents as negatives. Several trainings from different starts are averaged, as one alone is unsteady on rare words.
+A logistic curve gives the document's probability.
 
 At prediction softmax(W mean(E)) over two classes is a logistic function of the mean of one number per n-gram,
 so whole batches are scored from their raw bytes by array operations.
@@ -138,49 +140,56 @@ def misspelt(word: str, rng: np.random.Generator) -> str:
     return word[:i] + middle + word[i + 1 + (how == 3) :]
 
 
-def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim: int = 8, rounds: int = 5, epochs: int = 3, top: int = 4, seed: int = 8) -> ToxicityModel:
-    """Joint training of embeddings and softmax over word types of the labelled rows."""
-    y = np.array([r[1] for r in rows])
-    if len(np.unique(y)) < 2:
-        counts = counts or {k: int((y == k).sum()) for k in (0, 1)}
-        return ToxicityModel(None, 0.0, 0.0, float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))), 0.0)
-    kinds: dict[str, int] = {}
-    docs = []
-    for text, _ in rows:
-        low = lowered(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
-        low[~word_mask(low)] = 32
-        docs.append(np.array(sorted({kinds.setdefault(w, len(kinds)) for w in low.tobytes().decode("latin-1").split()}), np.int64))
-    names = list(kinds)
-    own_hashes, own_at = bags(names)
-    n = len(kinds)
-    words = np.repeat(np.arange(n), np.diff(own_at))
-    rng = np.random.default_rng(seed)
+@dataclass(frozen=True)
+class Words:
+    """The distinct words of the labelled rows: names, buckets with where each word's begin, and their documents."""
+
+    kinds: dict[str, int]
+    hashes: np.ndarray
+    at: np.ndarray
+    toxic: list[np.ndarray]
+    seen_bad: np.ndarray
+    seen_good: np.ndarray
+
+
+def words_of(docs: list[np.ndarray], y: np.ndarray, kinds: dict[str, int]) -> Words:
+    hashes, at = bags(list(kinds))
+    seen_bad, seen_good = np.zeros(len(kinds)), np.zeros(len(kinds))
+    for d, k in zip(docs, y, strict=True):
+        (seen_bad if k else seen_good)[d] += 1
+    return Words(kinds, hashes, at, [d for d, k in zip(docs, y, strict=True) if k and len(d)], seen_bad, seen_good)
+
+
+def logits_of(own: Words, flat: np.ndarray, bias: float) -> np.ndarray:
+    size = np.diff(own.at)
+    return np.bincount(np.repeat(np.arange(len(size)), size), flat[own.hashes], minlength=len(size)) / np.maximum(size, 1) + bias
+
+
+def trained(own: Words, rng: np.random.Generator, dim: int, rounds: int, epochs: int, top: int) -> tuple[np.ndarray, float]:
+    """One joint training of embeddings and softmax: a weight per bucket, and the bias."""
+    names, n = list(own.kinds), len(own.kinds)
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (2, dim)).astype(np.float32), np.zeros(2, np.float32)
     g_emb, g_soft, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((2, dim), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    toxic = [d for d, k in zip(docs, y, strict=True) if k and len(d)]
-    seen_bad, seen_good = np.zeros(n), np.zeros(n)
-    for d, k in zip(docs, y, strict=True):
-        (seen_bad if k else seen_good)[d] += 1
     # at first, a toxic document is represented by the words that clean documents have least
-    logit = np.log((seen_bad + 0.1) / (seen_good + 1.0))
-    fixed = seen_good > 0
-    lettered = np.array([not w.isdigit() for w in kinds])  # numbers are no words
+    logit = np.log((own.seen_bad + 0.1) / (own.seen_good + 1.0))
+    fixed = own.seen_good > 0
+    lettered = np.array([not w.isdigit() for w in names])  # numbers are no words
     for _ in range(rounds):
         chosen = np.zeros(n)
-        for d in toxic:
+        for d in own.toxic:
             chosen[d[np.argsort(-logit[d], kind="stable")[:top]]] += 1
         chosen[~lettered] = 0
-        if (repeated := (chosen > 0) & (seen_bad >= 2)).any():  # a word of one document is rather chance
+        if (repeated := (chosen > 0) & (own.seen_bad >= 2)).any():  # a word of one document is rather chance
             chosen[~repeated] = 0
         # misspellings of the chosen words, unless they are words of clean documents, are learned with them
         long = [i for i in np.flatnonzero(chosen > 0) if len(names[i]) > 4]
-        wrong = [(i, v) for i in long for v in {misspelt(names[i], rng) for _ in range(MISSPELT)} if not (v in kinds and fixed[kinds[v]])]
+        wrong = [(i, v) for i in long for v in sorted({misspelt(names[i], rng) for _ in range(MISSPELT)}) if not (v in own.kinds and fixed[own.kinds[v]])]
         more_hashes, more_at = bags([v for _, v in wrong])
-        hashes, at = np.r_[own_hashes, more_hashes], np.r_[own_at, own_at[-1] + more_at[1:]]
+        hashes, at = np.r_[own.hashes, more_hashes], np.r_[own.at, own.at[-1] + more_at[1:]]
         kind_ids = np.concatenate([np.flatnonzero(chosen > 0), np.arange(n, n + len(wrong)), np.flatnonzero(fixed)])
         label = np.r_[np.ones((chosen > 0).sum() + len(wrong), int), np.zeros(fixed.sum(), int)]
-        weight = np.r_[np.sqrt(chosen[chosen > 0]), np.sqrt(chosen[[i for i, _ in wrong]]) / 2, np.sqrt(seen_good[fixed])].astype(np.float32)
+        weight = np.r_[np.sqrt(chosen[chosen > 0]), np.sqrt(chosen[[i for i, _ in wrong]]) / 2, np.sqrt(own.seen_good[fixed])].astype(np.float32)
         weight *= np.where(label == 1, 1.0, max(1.0, 0.5 * weight[label == 1].sum() / max(weight[label == 0].sum(), 1e-9)))
         for _ in range(epochs):
             mix = rng.permutation(len(kind_ids))
@@ -189,18 +198,19 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim:
                 ids, lab, wt = kind_ids[pick], label[pick], weight[pick]
                 size = np.maximum(at[ids + 1] - at[ids], 0)
                 item = np.repeat(np.arange(len(ids)), size)
-                idx = hashes[np.repeat(at[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
                 first = np.r_[0, np.cumsum(size)[:-1]]
+                idx = hashes[np.repeat(at[ids] - first, size) + np.arange(size.sum())]
                 mean = np.add.reduceat(emb[idx], first, axis=0) / size[:, None]
                 z = mean @ soft.T + bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(ids)), lab] -= 1
                 p *= np.minimum(wt, 8)[:, None] / 512
-                d_soft, d_bias, d_mean = p.T @ mean, p.sum(0), p @ soft / size[:, None]
-                rows_e = d_mean[item]
-                uniq, inverse = np.unique(idx, return_inverse=True)
-                grad = np.stack([np.bincount(inverse, rows_e[:, j], len(uniq)) for j in range(dim)], 1).astype(np.float32)
+                d_soft, d_bias, d_mean = p.T @ mean, p.sum(0), (p @ soft / size[:, None]).astype(np.float32)
+                order = np.argsort(idx, kind="stable")
+                sorted_ = idx[order]
+                begins = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+                uniq, grad = sorted_[begins], np.add.reduceat(d_mean[item[order]], begins, axis=0)
                 g_emb[uniq] += (grad**2).mean(1)
                 emb[uniq] -= 0.5 * grad / np.sqrt(g_emb[uniq])[:, None]
                 g_soft += d_soft**2
@@ -208,12 +218,33 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim:
                 soft -= 0.2 * d_soft / np.sqrt(g_soft)
                 bias -= 0.2 * d_bias / np.sqrt(g_bias)
         flat = (emb @ (soft[1] - soft[0])).astype(np.float32)
-        size = np.maximum(np.diff(own_at), 1)
-        logit = np.bincount(words, flat[own_hashes], minlength=n) / size + float(bias[1] - bias[0])
-    model = ToxicityModel(flat, float(bias[1] - bias[0]), 1.0, 0.0, EVIDENCE[0])
+        logit = logits_of(own, flat, float(bias[1] - bias[0]))
+    return flat, float(bias[1] - bias[0])
+
+
+def fit(rows: list[tuple[str, int]], counts: dict[int, int] | None = None, dim: int = 8, rounds: int = 3, epochs: int = 3, top: int = 4, seed: int = 8, models: int = 3) -> ToxicityModel:
+    """Joint training of embeddings and softmax over word types of the labelled rows, `models` times from other starts.
+
+    What one training makes of rare words depends on its start. A word's logit is linear in the weights of its buckets,
+    so the mean of the weights is the mean of the models, and scores as fast as one.
+    """
+    y = np.array([r[1] for r in rows])
+    if len(np.unique(y)) < 2:
+        counts = counts or {k: int((y == k).sum()) for k in (0, 1)}
+        return ToxicityModel(None, 0.0, 0.0, float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))), 0.0)
+    kinds: dict[str, int] = {}
+    docs = []
+    for text, _ in rows:
+        low = lowered(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
+        low[~word_mask(low)] = 32
+        docs.append(np.array(sorted({kinds.setdefault(w, len(kinds)) for w in low.tobytes().decode("latin-1").split()}), np.int64))
+    own = words_of(docs, y, kinds)
+    every = [trained(own, np.random.default_rng(seed + i), dim, rounds, epochs, top) for i in range(models)]
+    flat, bias = np.mean([f for f, _ in every], 0, dtype=np.float32), float(np.mean([b for _, b in every]))
+    logit = logits_of(own, flat, bias)
     best = np.array([np.clip(np.sort(logit[d])[-2:].mean(), *EVIDENCE) if len(d) else EVIDENCE[0] for d in docs])
     slope, intercept = platt(best, y.astype(float))
-    return ToxicityModel(model.weights, model.bias, slope, intercept + prior_shift(rows, counts or {}), float(best.min()))
+    return ToxicityModel(flat, bias, slope, intercept + prior_shift(rows, counts or {}), float(best.min()))
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
