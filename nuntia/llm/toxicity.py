@@ -171,6 +171,7 @@ def trained(own: Words, rng: np.random.Generator, dim: int, rounds: int, epochs:
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (2, dim)).astype(np.float32), np.zeros(2, np.float32)
     g_emb, g_soft, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((2, dim), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+    slot = np.zeros(BUCKETS, np.int64)
     # at first, a toxic document is represented by the words that clean documents have least
     logit = np.log((own.seen_bad + 0.1) / (own.seen_good + 1.0))
     fixed = own.seen_good > 0
@@ -200,19 +201,23 @@ def trained(own: Words, rng: np.random.Generator, dim: int, rounds: int, epochs:
                 item = np.repeat(np.arange(len(ids)), size)
                 first = np.r_[0, np.cumsum(size)[:-1]]
                 idx = hashes[np.repeat(at[ids] - first, size) + np.arange(size.sum())]
-                mean = np.add.reduceat(emb[idx], first, axis=0) / size[:, None]
+                mean = np.add.reduceat(emb.take(idx, axis=0), first, axis=0) / size[:, None]
                 z = mean @ soft.T + bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(ids)), lab] -= 1
                 p *= np.minimum(wt, 8)[:, None] / 512
-                d_soft, d_bias, d_mean = p.T @ mean, p.sum(0), (p @ soft / size[:, None]).astype(np.float32)
-                order = np.argsort(idx, kind="stable")
-                sorted_ = idx[order]
-                begins = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-                uniq, grad = sorted_[begins], np.add.reduceat(d_mean[item[order]], begins, axis=0)
-                g_emb[uniq] += (grad**2).mean(1)
-                emb[uniq] -= 0.5 * grad / np.sqrt(g_emb[uniq])[:, None]
+                d_soft, d_bias, d_mean = p.T @ mean, p.sum(0), p @ soft / size[:, None]
+                # buckets of the batch are numbered by their last place in it, without a sort
+                places = np.arange(len(idx))
+                slot[idx] = places
+                last = slot[idx]
+                own_place = last == places
+                uniq, number = idx[own_place], (np.cumsum(own_place) - 1)[last]
+                grad = np.stack([np.bincount(number, column.take(item), len(uniq)) for column in np.ascontiguousarray(d_mean.T)], 1).astype(np.float32)
+                squares = g_emb[uniq] + (grad**2).mean(1)
+                g_emb[uniq] = squares
+                emb[uniq] = emb.take(uniq, axis=0) - 0.5 * grad / np.sqrt(squares)[:, None]
                 g_soft += d_soft**2
                 g_bias += d_bias**2
                 soft -= 0.2 * d_soft / np.sqrt(g_soft)
