@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from nuntia.llm.chat import op1_chat
 from nuntia.llm.decontaminate import op2_decontaminate
+from nuntia.llm.divergence import ORACLE as OP12
+from nuntia.llm.divergence import op12_divergence
 from nuntia.llm.language import op4_language
 from nuntia.llm.licences import op5_licences
 from nuntia.llm.mixing import ORACLE as OP9
@@ -15,5 +17,5 @@ from nuntia.llm.secrets import op3_secrets
 from nuntia.llm.toxicity import op8_toxicity
 from nuntia.llm.whitening import op13_whitening
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_decontaminate, op3_secrets, op4_language, op5_licences, op6_near_dup, op7_quality, op8_toxicity, op9_mix, op10_neighbours, op13_whitening)}
-ORACLES: dict[str, str] = {"op9_mix": OP9}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_decontaminate, op3_secrets, op4_language, op5_licences, op6_near_dup, op7_quality, op8_toxicity, op9_mix, op10_neighbours, op12_divergence, op13_whitening)}
+ORACLES: dict[str, str] = {"op9_mix": OP9, "op12_divergence": OP12}
