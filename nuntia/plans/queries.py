@@ -185,7 +185,8 @@ def negative_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sticky_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = document_lines(spark, sf_dir)
     head = F.when(F.col("paragraph").rlike(HEADING), F.col("paragraph"))
-    return rows.select("doc_id", long("para_no").alias("para_no"), windows.sticky(head, ["doc_id"], ["para_no"]).alias("heading"))
+    rows = rows.select("doc_id", long("para_no").alias("para_no"), head.alias("head"))
+    return windows.carried(rows, {"heading": "head"}, ["doc_id"], ["para_no"]).drop("head")
 
 
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS)
@@ -193,14 +194,37 @@ def sticky_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sticky_event_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
     bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return events.select("event_id", "user_id", windows.sticky(bought, ["user_id"], ["ts", "event_id"]).alias("last_purchase"))
+    return windows.carried(events, {"last_purchase": bought}, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "last_purchase")
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
   OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked_at FROM conversations""")
 def conversation_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = read(spark, sf_dir, "conversations", "conv_id", "turn", "role")
-    return talk.select("conv_id", "turn", windows.sticky(F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], ["turn"]).alias("asked_at"))
+    return windows.carried(talk, {"asked_at": F.when(F.col("role") == "user", F.col("turn"))}, ["conv_id"], ["turn"]).select("conv_id", "turn", "asked_at")
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER w AS last_error, last_value(CASE WHEN event_type = 'purchase' THEN user_id END IGNORE NULLS) OVER w AS last_buyer
+FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def sticky_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds at each event of the whole table, one group of all rows: by the segmented scan."""
+    events = read(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
+    kind = lambda k, c: F.when(F.col("event_type") == k, F.col(c))
+    return windows.carried(events, {"last_error": kind("error", "event_id"), "last_buyer": kind("purchase", "user_id")}, [], ["ts", "event_id"]).select("event_id", "last_error", "last_buyer")
+
+
+@query("""SELECT event_id, event_type, last_value(CASE WHEN user_id % 10 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_tenth FROM events""")
+def sticky_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few groups of many rows, each over many tasks."""
+    events = read(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts")
+    return windows.segmented(events, {"last_tenth": F.when(F.col("user_id") % 10 == 0, F.col("event_id"))}, ["event_type"], ["ts", "event_id"]).select("event_id", "event_type", "last_tenth")
+
+
+@query("""WITH n AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 1000 AS piece FROM documents)
+SELECT source, piece, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY doc_id) AS joined, count(*) AS n FROM n GROUP BY ALL""")
+def joined_source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a whole source in text, in pieces that follow each other: a source of any size."""
+    return windows.joined_pieces(read(spark, sf_dir, "documents", "doc_id", "source"), "doc_id", ["source"], ["doc_id"], 1000)
 
 
 @query(rf"""WITH {SQL_LINES} SELECT doc_id, para_no, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) AS page_number, para_no + 1 AS row_index FROM kept WHERE regexp_matches(folded, '(?i)thanea')""")

@@ -53,12 +53,11 @@ def pages(raw: DataFrame, strict_section: bool = False) -> DataFrame:
     read = raw.where(F.col("raw_text") != "").withColumn("_lines", F.transform(lines("raw_text"), strip))
     head = last_match(F.col("_lines"), SECTION)
     name = F.concat(F.upper(F.regexp_extract(head, SECTION, 1)), F.lit(". "), F.upper(F.regexp_extract(head, SECTION, 2)))
-    order = ["page_number"]
-    section = F.coalesce(sticky(F.when(head.isNotNull(), name), ["doc_id"], order), F.lit(""))
-    local = F.col("_section").contains(LOCAL[1]) | (F.col("_section").startswith(LOCAL[0]) if strict_section else F.col("_section").contains(LOCAL[0]))
-    kept = read.withColumn("_section", section).where(local)
     line = last_match(F.filter("_lines", lambda x: ~x.rlike(SECTION)), ORGANISM)
     organism = F.when(line.isNotNull(), squeezed(F.regexp_extract(line, ORGANISM, 0)))
-    kept = kept.withColumn("_organism", F.coalesce(sticky(organism, ["doc_id"], order), F.lit(NO_ORGANISM)))
+    order = ["page_number"]
+    held = read.withColumn("_section", F.coalesce(sticky(F.when(head.isNotNull(), name), ["doc_id"], order), F.lit("")))
+    local = F.col("_section").contains(LOCAL[1]) | (F.col("_section").startswith(LOCAL[0]) if strict_section else F.col("_section").contains(LOCAL[0]))
+    kept = held.where(local).withColumn("_organism", F.coalesce(sticky(organism, ["doc_id"], order), F.lit(NO_ORGANISM)))
     kept = kept.withColumn("_text", clean_text("raw_text")).where(F.col("_text") != "")
     return as_pages(kept, "BOP", ordinal=F.col("page_number"), page_number=F.col("page_number"), text=F.col("_text"), section=F.col("_section"), detected_organism=F.col("_organism"))

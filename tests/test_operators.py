@@ -23,6 +23,54 @@ def test_numbering_overall_uses_many_partitions(spark):
     assert windows.numbered_overall(df.where("x < 0"), ["x"]).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 30, 10**6])
+def test_values_are_carried_forward_in_groups_of_any_size(spark, most):
+    """One group holds nearly all rows; null groups, groups without values, and values of two kinds."""
+    rows = [(None if i % 97 == 0 else "b" if i % 50 == 0 else f"c{i}" if i % 41 == 0 else "a", i, i if i % 23 == 3 else None, f"v{i}" if i % 301 == 7 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i int, v int, w string").repartition(6)
+    want = df.select("k", "i", windows.sticky("v", ["k"], ["i"]).alias("last_v"), windows.sticky("w", ["k"], ["i"]).alias("last_w"))
+    got = windows.carried(df, {"last_v": "v", "last_w": F.col("w")}, ["k"], ["i"], most)
+    assert got.columns == [*df.columns, "last_v", "last_w"]
+    assert sorted(map(str, got.drop("v", "w").collect())) == sorted(map(str, want.collect()))
+    assert windows.carried(df.where("false"), {"x": "v"}, ["k"], ["i"], most).collect() == []
+
+
+def test_a_group_of_all_rows_spreads_over_tasks(spark):
+    df = spark.range(20_000).select(F.col("id").alias("i"), F.when(F.col("id") % 7001 == 5, F.col("id")).alias("v")).repartition(4)
+    together = "spark.sql.adaptive.coalescePartitions.enabled"  # small parts would be put together
+    spark.conf.set(together, "false")
+    try:
+        rows, _ = windows.sorted_parts(df, [F.lit("one user")], ["i"], "test")
+        sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 0.5 * 20_000
+        got = windows.segmented(df, {"last": "v"}, [F.lit("one user")], ["i"])
+    finally:
+        spark.conf.unset(together)
+    assert got.where("NOT last <=> IF(i < 5, NULL, i - pmod(i - 5, 7001))").isEmpty() and got.count() == 20_000
+    assert windows.carried(df, {"last": "v"}, [], ["i"]).where("last = 14007").count() == 20_000 - 14_007
+
+
+def test_pieces_of_joined_text(spark):
+    df = spark.createDataFrame([("s", i) for i in range(25)] + [("t", 3)], "k string, i int").repartition(3)
+    rows = {(r["k"], r["piece"]): (r["joined"], r["n"]) for r in windows.joined_pieces(df, "i", ["k"], ["i"], 10).collect()}
+    assert rows == {("s", 0): (", ".join(map(str, range(10))), 10), ("s", 1): (", ".join(map(str, range(10, 20))), 10), ("s", 2): (", ".join(map(str, range(20, 25))), 5), ("t", 0): ("3", 1)}
+
+
+def test_stored_tables_are_deleted(spark):
+    from nuntia.operators import stored
+
+    since = len(stored.MADE)
+    df = stored.stored(spark.range(5), "test")
+    assert df.count() == 5 and len(stored.MADE) == since + 1
+    stored.discard(df)
+    stored.discard(spark.range(1))
+    stored.stored(spark.range(3), "test")
+    windows.places(spark.range(3), [], ["id"], "n").collect()
+    assert len(stored.MADE) == since + 2
+    stored.sweep(spark, since)
+    assert len(stored.MADE) == since
+
+
 def test_source_names():
     assert select.source_names() == ["BOP", "BOC", "BOE", "SAGULPA", "AENA", "EPSO", "EURES", "EULISA"]
     assert select.source_names(["ES", "EULISA"]) == ["BOP", "BOC", "BOE", "SAGULPA", "AENA", "EULISA"]
