@@ -513,6 +513,23 @@ def vacancy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epso.pages(rows, F.lit("2000-06-01").cast("date")).select(long("page_number").alias("row"), "text")
 
 
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_partkey % 4 AS kind FROM part), r AS (SELECT id, unnest([1, 2]) AS row, name, brand, kind FROM t WHERE kind <> 3)
+SELECT id, CAST(row AS BIGINT) AS place, CAST(row AS BIGINT) AS number, 'Position: ' || CASE WHEN row = 2 THEN 'short' WHEN kind = 1 THEN name || chr(10) || 'two, "lines"' ELSE name END || chr(10) || 'Institution/Agency: ' || CASE WHEN row = 2 THEN '' ELSE brand END || chr(10) || 'Location: ' || CASE WHEN row = 1 AND kind <> 2 THEN 'Vigo' ELSE '' END || chr(10)
+  || 'Type of Contract: ' || CASE WHEN row = 1 THEN 'TA (AD' || kind || ')' ELSE ' ()' END || chr(10) || 'Deadline for Applications: ' || CASE WHEN row = 1 THEN '2026-0' || (kind + 7) || '-01 12:00' ELSE '' END AS text, '' AS section,
+  CASE WHEN row = 2 THEN '' ELSE brand END AS organism, CASE WHEN row = 1 AND kind = 0 THEN 'http://x/' || id ELSE 'https://epso.europa.eu/en/job-opportunities/open-for-application' END AS url FROM r WHERE row = 2 OR kind > 0""")
+def vacancy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as CSV files whose headers stand in other orders and have other names; some are blank, some rows short or closed."""
+    form = (
+        F.when(F.col("kind") == 0, "\ufeffTitle,Agency,Grade,Deadline date,Parent-Location,Contract type,Link\n{name},{brand},AD0,2026-07-01 12:00,Vigo,TA,http://x/{id}\n\nshort\n")
+        .when(F.col("kind") == 1, '"title",Type of contract,grade,Location,Deadline,"Institution/Agency"\r\n"{name}\ntwo, ""lines""",TA,AD1,Vigo,2026-08-01 12:00,{brand}\r\nshort\r\n')
+        .when(F.col("kind") == 2, "Agency,Institution, TITLE ,Deadline,Contract,Grade,Location\nother,{brand},{name},2026-09-01 12:00,TA,AD2\n,,short")
+        .otherwise("  \n")
+    )
+    made = parts(spark, sf_dir)
+    text_ = F.replace(F.replace(F.replace(form, F.lit("{name}"), F.col("name")), F.lit("{brand}"), F.col("brand")), F.lit("{id}"), F.col("doc_id"))
+    return by_part(epso.pages(epso.vacancies(made.select("doc_id", text_.alias("text"))), F.lit("2026-08-01").cast("date")))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts, of which the sources below are made: id, name, brand, kind (id modulo 4)."""
     rows = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")

@@ -89,7 +89,7 @@ def pages_of(spark: SparkSession, source: str, path: str | list[str], options: S
         found = sagulpa.read_listings(spark, path, day)
         return sagulpa.pages(found, fetched(found, "url", options.fetch).select("url", decoded("content").alias("text")) if options.fetch else None)
     if source == "EPSO":
-        return epso.pages(epso.read_rows(spark, path), day)
+        return epso.pages(epso.read_rows(spark, path, options.broken), day)
     if source == "EURES":
         return eures.pages(eures.read_vacancies(spark, path, options.broken))
     if source == "EULISA":

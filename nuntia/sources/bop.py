@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nuntia.functions.tables import document_rows
 from nuntia.functions.text import clean_text, lines, squeezed, strip
 from nuntia.operators.windows import sticky
 from nuntia.schema import NO_ORGANISM
@@ -19,25 +19,15 @@ ORGANISM = r"(?U)^\s*(?:EXCMO\.|ILUSTRE|M\.I\.|R\.I\.)?\s*(?:AYUNTAMIENTO|CABILD
 LOCAL = ("III.", "ADMINISTRACIÓN LOCAL")
 
 
-def read_pdf_pages(spark: SparkSession, path: str | list[str], extract: Callable[[bytes], list[str]]) -> DataFrame:
+def read_pdf_pages(spark: SparkSession, path: str | list[str], extract: Callable[[bytes], Iterable[str]]) -> DataFrame:
     """doc_id, page_number and raw_text of PDF files; extract gives the texts of a file's pages. A file that can't be
     read gives one row with the message in error."""
     return extracted(spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content"), "doc_id", extract)
 
 
-def extracted(files: DataFrame, name: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
+def extracted(files: DataFrame, name: str, extract: Callable[[bytes], Iterable[str]]) -> DataFrame:
     """name, page_number, raw_text and error of files (name, content)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc, content in zip(frame[name], frame["content"], strict=True):
-                try:
-                    texts, error = list(extract(bytes(content))), None
-                except Exception as e:
-                    texts, error = [None], f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({name: doc, "page_number": range(1, len(texts) + 1), "raw_text": texts, "error": error})
-
-    return files.select(name, "content").mapInPandas(run, f"`{name}` string, page_number int, raw_text string, error string")
+    return document_rows(files.select(name, "content"), "content", extract).drop("content")
 
 
 def last_match(array: Column, pattern: str) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nuntia.functions.dates import iso, open_on
+from nuntia.functions.tables import csv_rows
 from nuntia.functions.text import filled, strip
-from nuntia.sources.common import as_pages
+from nuntia.sources.common import FAIL, as_pages, documents
 
 # Words in headers by meaning (the last header that fits counts), and the address without a link.
 HEADERS = {"agency": ("institution", "agency"), "location": ("location",), "contract": ("contract",), "deadline": ("deadline",), "url": ("link", "url")}
@@ -18,9 +17,13 @@ REQUIRED = ("agency", "title", "location", "contract", "grade", "deadline")
 PORTAL = "https://epso.europa.eu/en/job-opportunities/open-for-application"
 
 
+#: The same for one file at a time.
+COLUMNS = ",".join([f"{k}~{'|'.join(v)}" for k, v in HEADERS.items() if k == "agency"] + [f"{k}={k}" for k in EXACT] + [f"{k}~{'|'.join(v)}{'' if k in REQUIRED else '?'}" for k, v in HEADERS.items() if k != "agency"])
+
+
 def meaning(header: str) -> str | None:
     """What a column holds, by its header."""
-    name = header.lstrip("﻿").strip().lower()
+    name = header.lstrip("\ufeff").strip().lower()
     if any(w in name for w in HEADERS["agency"]):
         return "agency"
     if name in EXACT:
@@ -36,23 +39,15 @@ def resolve(columns: list[str]) -> dict[str, str]:
     return found
 
 
-def read_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows of CSV files with doc_id and row, the row's number in its file. Each file that isn't UTF-8 is read as Latin-1.
-
-    Columns that only some files have are null for the others. A file is read by one task, as values may hold line ends.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
-    by_charset: dict[str, list[str]] = {}
-    for r in files.orderBy("path").toLocalIterator():
-        by_charset.setdefault("UTF-8" if r["utf8"] else "ISO-8859-1", []).append(r["path"])
-    parts = []
-    for charset, paths in (by_charset or {"UTF-8": [path] if isinstance(path, str) else path}).items():
-        rows = spark.read.csv(paths, header=True, multiLine=True, quote='"', escape='"', encoding=charset)
-        rows = rows.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in rows.columns], F.col("_metadata.file_path").alias("doc_id"), F.monotonically_increasing_id().alias("_place"))
-        firsts = rows.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("_place").alias("_first"))
-        own = rows.join(F.broadcast(firsts), F.col("doc_id") == F.col("_doc"))  # one row a file, as in the list above
-        parts.append(own.withColumn("row", (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_doc", "_first"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def vacancies(docs: DataFrame, broken: str = FAIL) -> DataFrame:
+    """Rows of CSV documents (doc_id, text), each under its own headers: doc_id, row, the row's number in its document, and
+    the columns by meaning. Headers that lack a required column raise an error, or the document gives nothing with `broken` DROP."""
+    return csv_rows(docs.select("doc_id", "text"), "text", COLUMNS, broken).drop("text")
+
+
+def read_rows(spark: SparkSession, path: str | list[str], broken: str = FAIL) -> DataFrame:
+    """vacancies() of files. Each file that isn't UTF-8 is read as Latin-1, by one task, as values may hold line ends."""
+    return vacancies(documents(spark, path, "ISO-8859-1"), broken)
 
 
 def pages(rows: DataFrame, as_of: Column | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nuntia.functions.dates import cell_date, first_day_month_year, found, open_on
-from nuntia.functions.markup import Node, html_rows
+from nuntia.functions.markup import Node
+from nuntia.functions.tables import node_rows
 from nuntia.functions.text import resolve_url, strip
 from nuntia.operators.joins import not_seen
 from nuntia.operators.windows import first_per_key, numbered
@@ -17,27 +21,25 @@ SITE = "https://www.eulisa.europa.eu/"
 NOISE = "home|login|register|contact|about|privacy"
 VACANCY = r"vacancy|vacancies|job|recruitment\.eulisa\.europa\.eu"
 AGENCY, PORTAL = "eu-LISA", "Source Portal: eu-LISA Careers"
-ITEM = "ordinal:int,in_row:boolean,title:string,href:string,cells:array<string>,around:string"
+ITEM = "ordinal int, in_row boolean, title string, href string, cells array<string>, around string"
 
 
-def _entries(root: Node) -> list[dict]:
-    """First links of table rows without header cells, and all links outside of rows."""
-    out = []
+def _entries(root: Node) -> Iterator[tuple]:
+    """First links of table rows without header cells, then all links outside of rows."""
+    number = count()
     for row in root.find_all("tr"):
         link = row.find("a")
         if not row.find("th") and link is not None and link.get("href"):
-            cells = [c.text().strip() for c in row.find_all("td")]
-            out.append({"in_row": True, "title": link.text().strip(), "href": link.get("href"), "cells": cells, "around": None})
+            yield next(number), True, link.text().strip(), link.get("href"), [c.text().strip() for c in row.find_all("td")], None
     for link in root.find_all("a"):
         if link.get("href") and link.above("tr") is None:
             item = link.above("li")
-            out.append({"in_row": False, "title": link.text().strip(), "href": link.get("href"), "cells": [], "around": item.text() if item else None})
-    return [e | {"ordinal": i} for i, e in enumerate(out)]
+            yield next(number), False, link.text().strip(), link.get("href"), [], item.text() if item else None
 
 
 def entries(docs: DataFrame, site: str = SITE) -> DataFrame:
     """Links of HTML pages (doc_id, text) that may be vacancies, with url, absolute."""
-    rows = docs.select("doc_id", F.explode(html_rows(F.col("text"), _entries, ITEM)).alias("e")).select("doc_id", "e.*")
+    rows = node_rows(docs.select("doc_id", "text"), "text", _entries, ITEM).drop("text")
     return rows.where(~F.lower("href").rlike(NOISE)).withColumn("url", resolve_url(F.lit(site), F.col("href")))
 
 

@@ -9,6 +9,7 @@ from nuntia.__main__ import main
 from nuntia.operators import windows
 from nuntia.plans.landing import run_scheduled, scan_landing
 from nuntia.plans.scan import ScanOptions, pages_of, scan
+from nuntia.functions.tables import register_tables
 from nuntia.sources import boe, epso
 
 HERE = Path(__file__).parent / "fixtures"
@@ -156,6 +157,33 @@ def test_files_of_different_charsets(spark, tmp_path):
     assert [(r["detected_organism"], r["ordinal"]) for r in rows] == [("Ñandú", 1), ("two\nlines", 2), ("third", 3), ("École", 1)]
 
 
+def test_each_vacancy_file_has_its_own_headers(spark, tmp_path):
+    """Same headers in another order, whatever the order of files; other names; a file that lacks one."""
+    (tmp_path / "a.csv").write_text("Agency,Title,Location,Contract,Grade,Deadline,Link\nAgencyA,DBA,Rome,TA,AD5,2031-01-01,http://a\n")
+    (tmp_path / "b.csv").write_text("Link,Deadline,Grade,Contract,Location,Title,Agency\nhttp://b,2020-01-01,FG4,CA,Oslo,Clerk,AgencyB\n")
+    (tmp_path / "c.csv").write_text("TITLE,Institution/Agency,Parent-Location,Type of Contract,grade,Deadline\nCook,AgencyC,Vigo,TA,AD1\n")
+    want = {("AgencyA", "http://a", "Position: DBA"), ("AgencyB", "http://b", "Position: Clerk"), ("AgencyC", epso.PORTAL, "Position: Cook")}
+    shown = lambda df: {(r["detected_organism"], r["url"], r["text"].split("\n")[0]) for r in df.collect()}
+    files = [str(tmp_path / f"{n}.csv") for n in "abc"]
+    assert shown(epso.pages(epso.read_rows(spark, files))) == want == shown(epso.pages(epso.read_rows(spark, files[::-1])))
+    day = F.lit("2026-01-01").cast("date")
+    assert {a for a, _, _ in shown(epso.pages(epso.read_rows(spark, files), day))} == {"AgencyA", "AgencyC"}
+    (tmp_path / "d.csv").write_text("Agency,Title\nx,y\n")
+    with pytest.raises(Exception, match="lack .*location"):
+        epso.read_rows(spark, str(tmp_path)).collect()
+    assert shown(epso.pages(epso.read_rows(spark, str(tmp_path), "drop"))) == want
+
+
+def test_table_functions_in_sql(spark):
+    assert register_tables(spark, lambda content: content.decode().split("|")) == ["csv_rows", "html_links", "pdf_pages"]
+    spark.createDataFrame([("a", "B;x,A\n1,2\n,\n"), ("b", None), ("c", "a,b\n\"q\n\"\"r\"\"\",4")], "d string, t string").createOrReplaceTempView("csv_texts")
+    rows = spark.sql("SELECT d, r.* FROM csv_texts, LATERAL csv_rows(t, 'a=a, b~b|bee, c=c?', 'fail') r ORDER BY d, row")
+    assert rows.columns == ["d", "row", "a", "b", "c"] and [tuple(r) for r in rows.collect()] == [("a", 1, "2", "1", ""), ("a", 2, "", "", ""), ("c", 1, 'q\n"r"', "4", "")]
+    links = spark.sql("SELECT l.* FROM VALUES ('<p><a href=x>one</a><a>two</a>') v(t), LATERAL html_links(t) l")
+    assert [tuple(r) for r in links.collect()] == [(0, "x", "one"), (1, "", "two")]
+    assert [tuple(r) for r in spark.sql("SELECT p.* FROM VALUES (CAST('p|q' AS BINARY)) v(c), LATERAL pdf_pages(c) p").collect()] == [(1, "p"), (2, "q")]
+
+
 def test_state_items_at_any_depth_in_order_of_the_document(spark):
     item = lambda ident, title: f"<item><identificador>{ident}</identificador><titulo>{title}</titulo></item>"
     xml = (
