@@ -14,9 +14,12 @@ the way down the top tree, can't exclude: on clustered vectors few, on vectors w
 
 A task holds one shard and streams at most about QUERY_ROWS queries past it in batches, so its memory and time are bounded;
 with more queries for a cell, several tasks build the same trees. Per query and shard only the k best leave the task, and
-a window with a group limit keeps the k best of those. Candidates are found by matrix products, with a margin for their
-rounding; scores are inner products of the original vectors in double precision, summed in one fixed order, so equal
-vectors have equal scores; ties go to the smaller id.
+a window with a group limit keeps the k best of those. Candidates are found by matrix products: those that may be among
+the k best of their chunk, with a margin for rounding. Only these are scored, in pieces of about PAIR_VALUES numbers, so
+memory holds for vectors of any length and ties of any number; scores are inner products of the original vectors in
+double precision, summed in one fixed order, so equal vectors have equal scores; ties go to the smaller id. Of the rows
+of a shard with one vector, those with the k + 1 smallest ids stand for all: of equal scores a query takes the smallest
+ids but its own, so no other of them is ever among its k best.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 without an id; vectors of another length than the query's are no candidates; rows with the query's own id are no
@@ -42,6 +45,8 @@ SHARD_ROWS, QUERY_ROWS, AT_ONCE, LEAF = 8192, 16384, 1024, 256
 SAMPLE, SAMPLE_VALUES, IN_CELL = 16_384, 1 << 22, 8
 #: Relative margin of a matrix product's rounding.
 MARGIN = 1e-9
+#: Numbers that pairs being scored hold on either side, and cells up to which a query asks all of them at once.
+PAIR_VALUES, FEW = 1 << 21, 8
 
 
 def distances(dots: np.ndarray, length2: float) -> np.ndarray:
@@ -135,10 +140,25 @@ class TopTree:
         yield from visit(self.root, np.arange(len(queries)))
 
 
+def first_of_equals(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
+    """Rows in the order of their ids, of equal vectors the first `most`."""
+    order = np.argsort(ids, kind="stable")
+    rows = np.ascontiguousarray(vectors[order] + 0.0)  # -0 and 0 are equal
+    _, kind = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    by_kind = np.argsort(kind, kind="stable")
+    size = np.bincount(kind)
+    place = np.empty(len(rows), np.int64)
+    place[by_kind] = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    return order[place < most]
+
+
 class VantageTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 10):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
+    """The rows of a shard, for searches of at most k neighbours (of any number without k)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 10, k: int | None = None):
+        order = np.argsort(ids, kind="stable") if k is None else first_of_equals(ids, vectors, k + 1)
+        ids = ids[order]
+        self.ids, self.vectors = ids, np.ascontiguousarray(vectors[order])
         self.length2 = float(np.einsum("ij,ij->i", self.vectors, self.vectors).max())
         self.space = Space(self.length2)
         self.lift = self.space.lifts(self.vectors)
@@ -167,10 +187,23 @@ class VantageTree:
         tau = self.space.tau(queries, floor)
         margin = MARGIN * np.sqrt(np.einsum("ij,ij->i", queries, queries) * self.length2)
 
+        def scores(i: np.ndarray, j: np.ndarray, own: np.ndarray, active: np.ndarray) -> np.ndarray:
+            """Exact scores of pairs, a bounded number of them at a time."""
+            out, step = np.empty(len(i)), max(1, PAIR_VALUES // own.shape[1])
+            for at in range(0, len(i), step):
+                part = slice(at, at + step)
+                out[part] = np.einsum("ij,ij->i", queries[active[i[part]]], own[j[part]])
+            return out
+
         def scan(rows: np.ndarray, active: np.ndarray) -> None:
             own = self.vectors[rows]
-            may = queries[active] @ own.T >= (floor[active] - margin[active])[:, None]
-            may &= query_ids[active][:, None] != self.ids[rows][None, :]
+            about = queries[active] @ own.T
+            self_ = query_ids[active][:, None] == self.ids[rows][None, :]
+            about[self_] = -np.inf
+            least = floor[active]
+            if len(rows) > k:  # what isn't near the k best of these rows need not be scored
+                least = np.maximum(least, np.partition(about, len(rows) - k, axis=1)[:, len(rows) - k] - margin[active])
+            may = (about >= (least - margin[active])[:, None]) & ~self_
             some = np.flatnonzero(may.any(1))
             if not len(some):
                 return
@@ -180,7 +213,7 @@ class VantageTree:
             count = np.bincount(i)
             place = np.arange(len(i)) - (np.cumsum(count) - count)[i]
             score, name = np.full((len(active), count.max()), -np.inf), np.full((len(active), count.max()), np.iinfo(np.int64).max)
-            score[i, place], name[i, place] = np.einsum("ij,ij->i", queries[active[i]], own[j]), self.ids[rows[j]]
+            score[i, place], name[i, place] = scores(i, j, own, active), self.ids[rows[j]]
             every, name = np.concatenate([best[active], score], 1), np.concatenate([names[active], name], 1)
             order = np.lexsort((name, -every), axis=-1)[:, :k]
             best[active] = np.take_along_axis(every, order, 1)
@@ -228,8 +261,10 @@ def top_trees(rows: DataFrame) -> dict[int, TopTree]:
     """By length of vectors, the tree that deals them into cells."""
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     out = {}
-    for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("length2")).orderBy("dim").collect():
-        cells, most, matrix = -(-r["n"] // SHARD_ROWS), max(IN_CELL, min(SAMPLE, SAMPLE_VALUES // r["dim"])), np.zeros((0, r["dim"]))
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("length2")).orderBy("dim").collect()
+    values = SAMPLE_VALUES // max(1, sum(r["n"] > SHARD_ROWS for r in lengths))  # all trees together stay within the bound
+    for r in lengths:
+        cells, most, matrix = -(-r["n"] // SHARD_ROWS), max(IN_CELL, min(SAMPLE, values // r["dim"])), np.zeros((0, r["dim"]))
         if cells > 1:
             share = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / float(1 << 30)
             sample = rows.where((F.size("v") == r["dim"]) & (share < min(1.0, most / r["n"]))).select("id", "v").limit(2 * most).toArrow().combine_chunks()
@@ -275,7 +310,7 @@ def found_in(data: DataFrame, asks: DataFrame, k: int, factor: float) -> DataFra
                 if tree is None:
                     if not ids:
                         continue
-                    tree = VantageTree(np.concatenate(ids), np.concatenate(parts))
+                    tree = VantageTree(np.concatenate(ids), np.concatenate(parts), k=k)
                     ids, parts = [True], []
                 for i in range(0, len(names), AT_ONCE):
                     j = slice(i, i + AT_ONCE)
@@ -301,7 +336,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
     trees = top_trees(rows)
-    shared = vectors.sparkSession.sparkContext.broadcast(trees)  # at most a SAMPLE_VALUES-th part of numbers for each length
+    shared = vectors.sparkSession.sparkContext.broadcast(trees)  # at most about SAMPLE_VALUES numbers
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """dim and cell of each row, and the cell it falls into as a query."""
@@ -317,9 +352,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
     shards = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
     data = cells.join(small(shards), ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64(F.lit(2), "id"), "shards").alias("shard"), "shards", "id", "v")
     asks = cells.where("asks").select("dim", "home", F.xxhash64("id", "v").alias("ask"), "id", "v").dropDuplicates(["id", "v"])
-    at_home = asks.select("dim", F.col("home").alias("cell"), "ask", "id", F.lit(float("-inf")).alias("least"), "v")
+    anything = F.lit(float("-inf")).alias("least")
+    most_cells = max((t.cells for t in trees.values()), default=1)
+    if most_cells <= FEW:  # asking a few cells at once costs less than another round
+        upto = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most_cells - 1).cast("long"))).alias("cell")
+        return ranked(found_in(data, asks.select("dim", upto, "ask", "id", anything, "v"), k, factor), k).select("query_id", "rank", "vec_id", "score")
+    at_home = asks.select("dim", F.col("home").alias("cell"), "ask", "id", anything, "v")
     found = found_in(data, at_home, k, factor)
-    if any(t.cells > 1 for t in trees.values()):
+    if most_cells > 1:
         found = written(ranked(found, k).groupBy("ask", "query_id").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("score").alias("scores")), "home")
         least = found.select(F.col("ask").alias("asked"), F.when(F.size("ids") == k, F.array_min("scores")).otherwise(float("-inf")).alias("least"))
         open_ = asks.join(small(least), F.col("ask") == F.col("asked"), "left").select("dim", "home", "ask", "id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), "v")

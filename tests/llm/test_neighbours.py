@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,7 @@ def test_relaxed_pruning_loses_few_neighbours():
 def asked(spark, monkeypatch, x, shard_rows, k=10):
     """The neighbours found, and how many copies of queries were sent to cells besides their own."""
     monkeypatch.setattr(nb, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(nb, "FEW", 0)
     counts = []
     found_in = nb.found_in
 
@@ -111,6 +114,62 @@ def test_odd_vectors(spark):
     assert nb.nearest(df.where("false"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def peak(f):
+    """The result, and the most MB that were allocated at a time meanwhile."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_for_equal_vectors():
+    """1,024 queries against 8,192 rows of one vector of 768 components."""
+    x = np.tile(np.random.default_rng(1).normal(size=768), (8192, 1))
+    tree = nb.VantageTree(np.arange(8192)[::-1], x, k=20)
+    asks = np.arange(0, 8192, 8)
+    (ids, scores), mb = peak(lambda: tree.search(asks, x[asks], 20, 1.0))
+    assert mb < 200 and (scores == scores[0, 0]).all() and len(tree.ids) == 21
+    assert all(r.tolist() == [i for i in range(21) if i != asks[n]][:20] for n, r in enumerate(ids))
+
+
+def test_memory_for_ties_of_different_vectors():
+    """Vectors that differ where the queries are zero: all scores are equal, and no row stands for another."""
+    rng = np.random.default_rng(2)
+    x = np.c_[np.ones((4096, 1)), rng.normal(size=(4096, 255))]
+    asks = np.zeros((512, 256))
+    asks[:, 0] = 2.0
+    tree = nb.VantageTree(rng.permutation(4096), x, k=20)
+    (ids, scores), mb = peak(lambda: tree.search(np.arange(512) + 10_000, asks, 20, 1.0))
+    assert mb < 200 and (scores == 2.0).all() and (ids == np.arange(20)).all()
+
+
+def test_rows_that_stand_for_equal_ones():
+    x = np.array([[1.0, 0.0], [1.0, -0.0], [2.0, 0.0], [1.0, 0.0], [2.0, 0.0]])
+    assert nb.first_of_equals(np.array([9, 3, 5, 4, 1]), x, 2).tolist() == [4, 1, 3, 2]
+
+
+def test_trees_of_many_lengths_share_one_bound(spark, monkeypatch):
+    monkeypatch.setattr(nb, "SHARD_ROWS", 10)
+    monkeypatch.setattr(nb, "SAMPLE_VALUES", 4096)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4 + i % 8).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    trees = nb.top_trees(df)
+    held = lambda node: 0 if isinstance(node, int) else len(node[0]) + held(node[3]) + held(node[4])
+    assert len(trees) == 8 and all(t.cells > 1 for t in trees.values()) and sum(held(t.root) for t in trees.values()) <= 4096
+
+
+@pytest.mark.parametrize("few", [0, 8, 1000])
+def test_one_round_or_two_agree(spark, monkeypatch, few):
+    monkeypatch.setattr(nb, "SHARD_ROWS", 100)
+    monkeypatch.setattr(nb, "FEW", few)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 6)).astype(np.float32)
+    x[100:400] = x[3]
+    assert found(nb.nearest(frame(spark, np.arange(900), x), F.col("vec_id") % 20 == 0, 20)) == brute(np.arange(900), x.astype(float), range(0, 900, 20), 20)
+
+
 def test_query(spark, sf_dir):
     df = nb.op10_neighbours(spark, sf_dir)
     assert df.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
