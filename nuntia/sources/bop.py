@@ -34,20 +34,40 @@ def last_match(array: Column, pattern: str) -> Column:
     return F.try_element_at(F.filter(array, lambda x: x.rlike(pattern)), F.lit(-1))
 
 
+def headed(raw: DataFrame, every: bool = False) -> DataFrame:
+    """raw with _head, the section that a page names last, and _line, its last organism; null where it names none. Pages
+    without text are left out unless `every`."""
+    read = (raw if every else raw.where(F.col("raw_text") != "")).withColumn("_lines", F.transform(lines("raw_text"), strip))
+    head = last_match(F.col("_lines"), SECTION)
+    name = F.concat(F.upper(F.regexp_extract(head, SECTION, 1)), F.lit(". "), F.upper(F.regexp_extract(head, SECTION, 2)))
+    line = last_match(F.filter("_lines", lambda x: ~x.rlike(SECTION)), ORGANISM)
+    return read.withColumn("_head", F.when(head.isNotNull(), name)).withColumn("_line", F.when(line.isNotNull(), squeezed(F.regexp_extract(line, ORGANISM, 0))))
+
+
+def local(strict_section: bool) -> Column:
+    """Whether _section is the one that is read."""
+    section = F.col("_section")
+    return section.contains(LOCAL[1]) | (section.startswith(LOCAL[0]) if strict_section else section.contains(LOCAL[0]))
+
+
+def is_local(section: str | None) -> bool:
+    """The same of a value."""
+    return section is not None and (LOCAL[1] in section or LOCAL[0] in section)
+
+
+def finished(kept: DataFrame) -> DataFrame:
+    """Pages of rows with _section and _organism."""
+    kept = kept.withColumn("_text", clean_text("raw_text")).where(F.col("_text") != "")
+    organism = F.coalesce("_organism", F.lit(NO_ORGANISM))
+    return as_pages(kept, "BOP", ordinal=F.col("page_number"), page_number=F.col("page_number"), text=F.col("_text"), section=F.col("_section"), detected_organism=organism)
+
+
 def pages(raw: DataFrame, strict_section: bool = False) -> DataFrame:
     """Pages of the local section. raw: doc_id, page_number, raw_text.
 
     A page belongs to the section of the last heading on it or before it; organisms count on kept pages only. Pages
     without text change nothing. strict_section: the numeral must be III itself, not merely end with it.
     """
-    read = raw.where(F.col("raw_text") != "").withColumn("_lines", F.transform(lines("raw_text"), strip))
-    head = last_match(F.col("_lines"), SECTION)
-    name = F.concat(F.upper(F.regexp_extract(head, SECTION, 1)), F.lit(". "), F.upper(F.regexp_extract(head, SECTION, 2)))
-    line = last_match(F.filter("_lines", lambda x: ~x.rlike(SECTION)), ORGANISM)
-    organism = F.when(line.isNotNull(), squeezed(F.regexp_extract(line, ORGANISM, 0)))
     order = ["page_number"]
-    held = read.withColumn("_section", F.coalesce(sticky(F.when(head.isNotNull(), name), ["doc_id"], order), F.lit("")))
-    local = F.col("_section").contains(LOCAL[1]) | (F.col("_section").startswith(LOCAL[0]) if strict_section else F.col("_section").contains(LOCAL[0]))
-    kept = held.where(local).withColumn("_organism", F.coalesce(sticky(organism, ["doc_id"], order), F.lit(NO_ORGANISM)))
-    kept = kept.withColumn("_text", clean_text("raw_text")).where(F.col("_text") != "")
-    return as_pages(kept, "BOP", ordinal=F.col("page_number"), page_number=F.col("page_number"), text=F.col("_text"), section=F.col("_section"), detected_organism=F.col("_organism"))
+    held = headed(raw).withColumn("_section", F.coalesce(sticky("_head", ["doc_id"], order), F.lit("")))
+    return finished(held.where(local(strict_section)).withColumn("_organism", sticky("_line", ["doc_id"], order)))
