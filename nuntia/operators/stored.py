@@ -23,12 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df, computed now and read back from the shared folder; it outlives lost executors. Its files stay until discard()
-    or sweep(), as results that haven't been computed read them."""
+    or sweep(), as results that haven't been computed read them. by: a column by whose values they are kept apart."""
     path = f"{shared_folder(df.sparkSession)}/nuntia/{name}-{uuid.uuid4().hex}"
     MADE.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*[by] if by else []).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.nuntia_path = path
     return out

@@ -64,10 +64,10 @@ def pages_in(spark: SparkSession, root: str, source: str, wanted: date, day_aske
 
 
 def scan_landing(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), day: date | None = None, scheduled: bool = False, errors: dict[str, str] | None = None) -> DataFrame:
-    """Findings of the wanted sources for a day, by default today; closing dates are compared with that day. errors: see
-    scan_each."""
+    """Findings of the wanted sources for a day; closing dates are compared with that day. Without a day bulletins are
+    today's, and boards list all openings, closed or not, unless options.as_of is given. errors: see scan_each."""
     wanted = day or date.today()
-    options = replace(options, as_of=options.as_of or wanted)
+    options = replace(options, as_of=options.as_of or day)
     pages = {s: partial(pages_in, spark, root, s, wanted, day is not None, scheduled, options) for s in source_names(list(options.sources))}
     return scan_each(spark, pages, options, errors)
 

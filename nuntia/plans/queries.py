@@ -17,6 +17,7 @@ from nuntia.operators import factors, joins, match, select, windows
 from nuntia.operators.lexicon import Lexicon
 from nuntia.plans import sinks
 from nuntia.sources import aena, boc, boe, bop, epso, eulisa, eures, sagulpa
+from nuntia.sources.detect import source_column
 
 WORDS = Lexicon(
     terms=("thtion", "att?ion", "ertion", "thanea", "eriner", "thanedble"),
@@ -282,6 +283,30 @@ def walk_back_7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.walk_back(events, "day", F.lit("2024-01-15").cast("date")).select("found", long("probes").alias("probes"))
 
 
+@query("""WITH r AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'), i AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error')
+SELECT r.user_id, r.day, max(i.day) AS found, CAST(coalesce(date_diff('day', max(i.day), r.day) + 1, 7) AS BIGINT) AS probes FROM r LEFT JOIN i ON i.user_id = r.user_id AND i.day BETWEEN r.day - 6 AND r.day GROUP BY r.user_id, r.day""")
+def issues_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last error of a user at each of their days with a purchase, seven days back at most."""
+    events = read(spark, sf_dir, "events", "user_id", "event_type", "ts").withColumn("day", F.to_date("ts"))
+    found = select.issues_asof(events.where("event_type = 'purchase'"), events.where("event_type = 'error'"), ["user_id"], "day")
+    return found.select("user_id", "day", "found", long("probes").alias("probes"))
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM events), r AS (SELECT DISTINCT user_id, day, CASE user_id % 4 WHEN 0 THEN 'BOP' WHEN 1 THEN 'BOC' WHEN 2 THEN 'BOE' ELSE 'EPSO' END AS source, (user_id // 4) % 3 = 0 AS asked FROM e),
+i AS (SELECT user_id, day, count(*) FILTER (event_type = 'purchase') AS items FROM e WHERE event_type IN ('error', 'purchase') GROUP BY ALL),
+j AS (SELECT r.*, i.day IS NOT NULL AS there, coalesce(i.items, 0) = 0 AS void, (SELECT max(x.day) FROM i x WHERE x.user_id = r.user_id AND x.day < r.day AND x.day > r.day - 7) AS last FROM r LEFT JOIN i ON i.user_id = r.user_id AND i.day = r.day),
+c AS (SELECT *, CASE WHEN ((NOT there AND source IN ('BOP', 'BOE')) OR (there AND void AND source IN ('BOC', 'BOE'))) AND NOT asked THEN 'latest' WHEN there THEN 'issue' ELSE 'none' END AS choice FROM j)
+SELECT user_id, day, source, asked, choice, CASE choice WHEN 'issue' THEN day WHEN 'latest' THEN CASE WHEN source = 'BOC' THEN day ELSE coalesce(last, CASE WHEN there THEN day END) END END AS use_day FROM c""")
+def chosen_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A back-fill of all users and days: users stand for regions of a source, errors and purchases for its issues."""
+    events = read(spark, sf_dir, "events", "user_id", "event_type", "ts").withColumn("day", F.to_date("ts"))
+    source = F.element_at(F.array(*map(F.lit, ("BOP", "BOC", "BOE", "EPSO"))), (F.col("user_id") % 4 + 1).cast("int"))
+    events = events.withColumn("source", source)
+    requests = events.select("user_id", "day", "source", (F.floor(F.col("user_id") / 4) % 3 == 0).alias("asked")).distinct()
+    issues = events.where("event_type IN ('error', 'purchase')").select("user_id", "source", "day", F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("items"))
+    return select.chosen_issues(requests, issues, ["source", "user_id"]).select("user_id", "day", "source", "asked", "choice", "use_day")
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS closing FROM orders WHERE o_orderkey % 7 = 0 OR CAST(o_orderdate AS DATE) >= DATE '2000-01-01'""")
 def deadline_keep_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.to_date("o_orderdate")).alias("closing"))
@@ -541,6 +566,17 @@ def filled_in(form: str, **values: Column | str) -> Column:
     return text.template(form, **{k: text.col(v).cast("string") for k, v in values.items()})
 
 
+@query("""SELECT p_partkey AS id, CASE p_partkey % 16 WHEN 0 THEN 'BOP' WHEN 1 THEN 'BOP' WHEN 2 THEN 'EULISA' WHEN 3 THEN 'AENA' WHEN 4 THEN 'SAGULPA' WHEN 5 THEN 'EULISA' WHEN 6 THEN 'BOC' WHEN 7 THEN 'BOE' WHEN 8 THEN 'BOE' WHEN 9 THEN 'BOC' WHEN 10 THEN 'EURES' WHEN 11 THEN 'EURES' WHEN 12 THEN 'EPSO' WHEN 13 THEN 'EPSO' WHEN 14 THEN 'AENA' END AS source FROM part""")
+def detected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of sixteen kinds, told apart by their names and by how they begin."""
+    names = ("{id}.PDF", "{id}", "euLISA {id}.html", "aena.htm", "{id}.html", "{id}.dat", "{id}.xml", "{id}.xml", "boe-{id}.xml", "{id}.rss", "{id}.json", "{id}", "{id}.csv", "{id}.txt", "{id}", "{id}.txt")
+    heads = ("x", "%PDF-1.4 {name}", "<p>", "<p>", "<p>{name}", "<html>www.eulisa.europa.eu", "<?xml?><rss>", "<sumario>{name}", "<x>", "<x>", "{", "\ufeff [{name}", "x", "a;{name}", " \n<!DOCTYPE html>{name} aena", "{name}")
+    kind = (F.col("id") % 16 + 1).cast("int")
+    form = lambda forms: F.replace(F.replace(F.element_at(F.array(*map(F.lit, forms)), kind), F.lit("{id}"), F.col("doc_id")), F.lit("{name}"), F.col("name"))
+    files = parts(spark, sf_dir).select("id", F.concat(F.lit("store://x/a.b/"), form(names)).alias("path"), form(heads).cast("binary").alias("content"))
+    return files.select("id", source_column("path", "content").alias("source"))
+
+
 def by_part(pages: DataFrame) -> DataFrame:
     return pages.select(long("doc_id").alias("id"), long("ordinal").alias("place"), long("page_number").alias("number"), "text", "section", F.col("detected_organism").alias("organism"), "url")
 
