@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nuntia.functions.text import filled, truncated
+from nuntia.operators.stored import discard, stored
 from nuntia.operators.windows import first_per_key
 
+#: Texts after which verdicts are stored.
+PORTION = 1000
 #: Rows in a call, characters of a row, attempts, and seconds to wait after an error of each kind.
 BATCH, MOST_CHARS, ATTEMPTS = 10, 1500, 3
 WAIT_RATE_LIMIT, WAIT_UNAVAILABLE, WAIT_OTHER = 60.0, 10.0, 2.0
@@ -52,12 +55,53 @@ def called(classify: Callable[[str], list[dict]], batch: list[dict], sleep: Call
     return {}
 
 
-def validate(findings: DataFrame, classify: Callable[[str], list[dict]] | None, template: str = "{jobs_json}", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def judged(asked: DataFrame, classify: Callable[[str], list[dict]], template: str, sleep: Callable[[float], None]) -> DataFrame:
+    """_key and is_tech_job, null where there is no answer, of rows (_key, text), BATCH of them in a call."""
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), BATCH):
+                part = frame.iloc[i : i + BATCH]
+                answers = called(classify, [{"id": j, "text": t} for j, t in enumerate(part["text"])], sleep, template)
+                verdicts = [answers.get(j, {}).get("is_tech_job") for j in range(len(part))]
+                yield pd.DataFrame({"_key": part["_key"].values, "is_tech_job": pd.array([None if v is None else bool(v) for v in verdicts], dtype="boolean")})
+
+    return asked.select("_key", "text").mapInPandas(judge, "_key string, is_tech_job boolean")
+
+
+STORED = "key string, is_tech_job boolean"
+
+
+def with_stored_verdicts(asked: DataFrame, classify: Callable[[str], list[dict]], template: str, sleep: Callable[[float], None], store: str, portion: int = PORTION) -> DataFrame:
+    """_key and is_tech_job of rows (_key, text), asking only for texts without a verdict in the store.
+
+    The store is a folder of Parquet files, in any file system of Spark's, with a row for each text and prompt (by their
+    hash) that has been answered. Texts that aren't in it are asked for once each, about `portion` at a time, and each
+    portion is stored before the next one: what has been paid for is not asked again, in whatever run, and a run
+    that breaks off loses one portion at most. Rows without an answer aren't stored, and are asked again by the next run.
+    """
+    spark = asked.sparkSession
+    keyed = stored(asked.withColumn("key", F.sha2(F.concat(F.lit(template + "\x1f"), "text"), 256)), "asked")
+    known = lambda: spark.read.schema(STORED).parquet(store)
+    spark.createDataFrame([], STORED).write.mode("append").parquet(store)  # so that there is something to read
+    fresh = keyed.join(known().select("key"), "key", "left_anti").groupBy("key").agg(F.min("text").alias("text"))
+    fresh = stored(fresh.select(F.col("key").alias("_key"), "text"), "fresh")
+    n = max(1, -(-fresh.count() // portion))
+    for i in range(n):
+        part = fresh.where(F.pmod(F.xxhash64("_key"), F.lit(n)) == i)
+        judged(part, classify, template, sleep).where("is_tech_job IS NOT NULL").withColumnRenamed("_key", "key").write.mode("append").parquet(store)
+    answers = known().groupBy("key").agg(F.bool_and("is_tech_job").alias("is_tech_job"))
+    discard(fresh)
+    return keyed.join(answers, "key", "left").select("_key", "is_tech_job")
+
+
+def validate(findings: DataFrame, classify: Callable[[str], list[dict]] | None, template: str = "{jobs_json}", sleep: Callable[[float], None] = time.sleep, store: str | None = None) -> DataFrame:
     """Findings that the classifier doesn't call irrelevant.
 
     Findings of one url share the verdict on its first paragraph; findings without a url are judged one by one. A
     call holds BATCH rows; classify gets the request and returns dicts with id and is_tech_job. Rows without an
-    answer are kept. Without a classifier all findings are.
+    answer are kept. Without a classifier all findings are. store: a folder in which verdicts are kept, see
+    with_stored_verdicts(); without it each action on the result calls the classifier.
     """
     if classify is None:
         return findings
@@ -65,13 +109,5 @@ def validate(findings: DataFrame, classify: Callable[[str], list[dict]] | None,
     keyed = findings.withColumn("_key", filled("url", F.concat(F.lit("\x1f"), row)))
     unique = first_per_key(keyed, ["_key"], ["doc_id", "ordinal", "para_no"])
     asked = unique.select("_key", truncated("description", MOST_CHARS, "...").alias("text"))
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), BATCH):
-                part = frame.iloc[i : i + BATCH]
-                answers = called(classify, [{"id": j, "text": t} for j, t in enumerate(part["text"])], sleep, template)
-                yield pd.DataFrame({"_key": part["_key"].values, "is_tech_job": [bool(answers.get(j, {}).get("is_tech_job", True)) for j in range(len(part))]})
-
-    verdicts = asked.mapInPandas(judge, "_key string, is_tech_job boolean")
+    verdicts = judged(asked, classify, template, sleep) if store is None else with_stored_verdicts(asked, classify, template, sleep, store)
     return keyed.join(verdicts.where("NOT is_tech_job"), "_key", "left_anti").drop("_key")

@@ -14,7 +14,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from nuntia.operators.select import WALK_BACK_DAYS, issue_or_fallback, source_names
-from nuntia.operators.stored import stored
+from nuntia.operators.stored import MADE, stored, sweep
 from nuntia.plans.scan import ScanOptions, pages_of, scan_each
 from nuntia.plans.sinks import route
 from nuntia.sources.feed import last_days
@@ -79,8 +79,9 @@ def run_scheduled(spark: SparkSession, root: str, options: ScanOptions = ScanOpt
     200, or 500 if every wanted source failed. A source or channel that fails doesn't stop the others.
     """
     errors: dict[str, str] = {}
-    wanted = source_names(list(options.sources))
+    wanted, since = source_names(list(options.sources)), len(MADE)
     found = stored(scan_landing(spark, root, replace(options, as_of=options.as_of or day), day, True, errors), "scheduled")
     n = found.count()
     sent = route(found, channels or {}) if n else {}
+    sweep(spark, since)
     return {"status": 500 if len(errors) == len(wanted) else 200, "findings": n, "sent": sent, "errors": errors}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from nuntia.functions import dates, text
 from nuntia.functions.markup import html_text
 from nuntia.operators import factors, joins, match, select, windows
+from nuntia.operators.classify import request_json
 from nuntia.operators.lexicon import Lexicon
 from nuntia.plans import sinks
 from nuntia.sources import aena, boc, boe, bop, epso, eulisa, eures, sagulpa
@@ -393,9 +394,9 @@ def ampersands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.md5(text.sanitize_ampersands(worn).cast("binary")).alias("sanitized"))
 
 
-@query()
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS decoded FROM pages""")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All entities decoded, by the full table of names, which SQL hasn't."""
+    """All entities decoded, by the full table of names; the independent engine knows those of the table's pages."""
     return read(spark, sf_dir, "pages").select("page_id", F.md5(text.html_unescape("html").cast("binary")).alias("decoded"))
 
 
@@ -577,6 +578,73 @@ def detected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", source_column("path", "content").alias("source"))
 
 
+@query("""WITH b AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, day(o_orderdate) || '-' || month(o_orderdate) || '-' || strftime(o_orderdate, '%y') AS name, year(o_orderdate) AS y FROM orders)
+SELECT CASE WHEN id % 3 = 1 THEN 'BOLETINES/' ELSE 'boletines/' END || y || '/' || name || '/' || name || '.pdf' AS path, day, day = (SELECT max(day) FROM b WHERE id % 3 <> 2) AS latest FROM b WHERE id % 3 <> 2""")
+def bulletin_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as index pages that link to the bulletin of their day; some links name another file than their folder, or no day."""
+    day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
+    name = F.concat_ws("-", F.dayofmonth(day), F.month(day), F.date_format(day, "yy"))
+    folder = F.concat(F.when(key % 3 == 1, "BOLETINES/").otherwise("boletines/"), F.year(day).cast("string"), F.lit("/"), name, F.lit("/"))
+    file_ = F.when(key % 3 == 2, "1-13-99").otherwise(name)
+    form = "<p><a href='{folder}{file}.pdf'>x</a> boletines/2026/31-2-26/31-2-26.pdf</p>"
+    index = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(filled_in(form, folder=folder, file=file_).alias("html"))
+    newest = select.latest_bulletin(index).select(F.col("day").alias("newest"))
+    return select.bulletins(index).join(F.broadcast(newest)).select("path", "day", (F.col("day") == F.col("newest")).alias("latest"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE DATE '2026-05-01' + CAST(p_partkey % 9 AS INTEGER) END AS day FROM part)
+SELECT id, name AS title, day, 'day' AS which FROM t WHERE day = DATE '2026-05-03' UNION ALL SELECT id, name, day, 'latest' FROM t WHERE day = (SELECT max(day) FROM t)""")
+def regional_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as feeds with an item of some day: those of one day, and those of the latest."""
+    form = "<rss><channel><item><title>{name}</title><pubDate>{day}</pubDate><description>x</description></item></channel></rss>"
+    day = F.when(F.col("id") % 5 == 4, "soon").otherwise(F.date_format(F.date_add(F.lit("2026-05-01").cast("date"), (F.col("id") % 9).cast("int")), "E, d MMM yyyy HH:mm:ss +0100"))
+    found = boc.items(parts(spark, sf_dir).select("doc_id", filled_in(form, name="name", day=day).alias("text")))
+    shown = lambda rows, which: rows.select(long("doc_id").alias("id"), "title", F.col("published").alias("day"), F.lit(which).alias("which"))
+    return shown(boc.on_day(found, F.lit("2026-05-03").cast("date")), "day").unionByName(shown(boc.of_latest_day(found), "latest"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_partkey % 4 AS kind FROM part WHERE p_partkey % 4 <> 3)
+SELECT id, CAST(n AS BIGINT) AS number, 'CONVOCATORIA: ' || name || chr(10) || chr(10) || 'Bases ' || id || ' ' || n AS text, 'https://empleo.aena.es/empleo/PFSrv?codigo=' || id AS url FROM (SELECT *, unnest([1, 2]) AS n FROM t WHERE kind = 0)
+UNION ALL SELECT id, 1, 'CONVOCATORIA: ' || name || ' Fecha fin inscripción: 20/07/2026', 'https://empleo.aena.es/empleo/PFSrv?codigo=' || id FROM t WHERE kind = 1""")
+def airport_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as airport entries with detail pages: two documents of interest, one without text, none; entries without links go."""
+    made = parts(spark, sf_dir)
+    url = F.concat(F.lit("https://empleo.aena.es/empleo/PFSrv?codigo="), "doc_id")
+    found = made.select("doc_id", F.lit(0).alias("ordinal"), F.col("name").alias("title"), url.alias("url"), F.lit(None).cast("date").alias("published"), F.lit("2026-07-20").cast("date").alias("closing_date"))
+    link = F.when(F.col("kind") == 0, '<a href="documentos?get=1-{id}">Bases de la convocatoria</a><a href="PFSrv?docId=2-{id}" title="REQUISITOS">pdf</a><a href="documentos?get=1-{id}">Bases again</a><a href="documentos?get=3-{id}">Mapa</a>').when(F.col("kind") == 1, '<a href="documentos?get=4-{id}">Bases</a>').otherwise('<a href="x.pdf">Bases</a>')
+    details = made.select(url.alias("url"), F.replace(link, F.lit("{id}"), F.col("doc_id")).alias("text"))
+    links = aena.document_links(details)
+    n = F.regexp_extract("href", r"=(\d)-", 1)
+    texts = links.select("href", F.lit(1).alias("page_number"), F.when(n != "4", F.concat(F.lit("Bases "), F.regexp_extract("href", r"-(\d+)$", 1), F.lit(" "), n)).otherwise("  ").alias("raw_text"))
+    return aena.pages(found, links, texts).select(long("doc_id").alias("id"), long("page_number").alias("number"), "text", "url")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, 'http://x/id=' || strftime(o_orderdate, '%Y%m%d') AS address FROM orders WHERE o_orderkey % 2 = 0 OR CAST(o_orderdate AS DATE) >= DATE '1997-01-01'""")
+def scheduled_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as issues of which a scheduled run leaves out the stale ones, an unscheduled one none; with their addresses."""
+    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    wanted = F.lit("1997-01-01").cast("date")
+    even, odd = rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1")
+    kept = select.stale_fallbacks_dropped(even, "day", wanted, False).unionByName(select.stale_fallbacks_dropped(odd, "day", wanted, True))
+    return kept.select("o_orderkey", "day", dates.compact_url("http://x/id=", F.col("day")).alias("address"))
+
+
+@query("""SELECT p_brand AS brand, CAST(to_json(list(struct_pack(id := p_partkey, text := p_name) ORDER BY p_partkey)) AS VARCHAR) AS request FROM part GROUP BY p_brand, p_partkey // 10""")
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as JSON requests to a classifier, ten ids in each."""
+    rows = parts(spark, sf_dir).groupBy("brand", F.floor(F.col("id") / 10)).agg(F.array_sort(F.collect_list(F.struct("id", F.col("name").alias("text")))).alias("jobs"))
+    return rows.select("brand", request_json(F.col("jobs")).alias("request"))
+
+
+@query(rf"""WITH {SQL_FOUND}, r AS (SELECT *, CASE lang WHEN 'en' THEN 2 WHEN 'de' THEN 1 WHEN 'fr' THEN 3 ELSE 0 END AS rank FROM found)
+SELECT doc_id, para_no, row_number() OVER (ORDER BY rank, doc_id, para_no) AS number FROM r""")
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in the order of reports: by the place of their source, then by document and paragraph."""
+    source = F.when(F.col("lang") == "en", "BOC").when(F.col("lang") == "de", "BOP").when(F.col("lang") == "fr", "BOE").otherwise("OTHER")
+    rows = match.find(document_pages(spark, sf_dir, source), WORDS, "\n").withColumn("_rank", select.source_rank())
+    return windows.numbered_overall(rows, sinks.ORDER).select("doc_id", long("para_no").alias("para_no"), "number")
+
+
 def by_part(pages: DataFrame) -> DataFrame:
     return pages.select(long("doc_id").alias("id"), long("ordinal").alias("place"), long("page_number").alias("number"), "text", "section", F.col("detected_organism").alias("organism"), "url")
 

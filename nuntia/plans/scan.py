@@ -32,7 +32,7 @@ class ScanOptions:
     link to; without fetch, entries are what their listings say. bulletin_day: the day of regional items, or "latest".
     broken: FAIL raises an error for a document that can't be parsed, DROP leaves it out. failed: gets a table of the
     addresses that couldn't be fetched or read, with their errors; without it a warning counts them. fetch_tasks: how
-    many tasks fetch at a time, at most.
+    many tasks fetch at a time, at most. verdicts: a folder that keeps the classifier's answers, so that no text is asked twice.
     """
 
     as_of: date | None = None
@@ -46,6 +46,7 @@ class ScanOptions:
     broken: str = FAIL
     failed: Callable[[DataFrame], None] | None = None
     fetch_tasks: int | None = None
+    verdicts: str | None = None
 
 
 def lost(rows: DataFrame, column: str, options: ScanOptions) -> None:
@@ -131,7 +132,7 @@ def findings_of(pages: DataFrame, options: ScanOptions) -> DataFrame:
 
 def scan_pages(pages: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Findings in pages of the wanted sources, after the classifier if there is one."""
-    return validate(findings_of(pages, options), options.classify, options.prompt)
+    return validate(findings_of(pages, options), options.classify, options.prompt, store=options.verdicts)
 
 
 def scan_each(spark: SparkSession, pages: dict[str, Callable[[], DataFrame | None]], options: ScanOptions, errors: dict[str, str] | None) -> DataFrame:
@@ -152,7 +153,7 @@ def scan_each(spark: SparkSession, pages: dict[str, Callable[[], DataFrame | Non
         except Exception as e:  # whatever fails one source must not keep the others from being scanned
             errors[source] = f"{type(e).__name__}: {e}"
     found = union_all(parts) if parts else spark.createDataFrame([], FINDINGS)
-    return validate(found, options.classify, options.prompt)
+    return validate(found, options.classify, options.prompt, store=options.verdicts)
 
 
 def routed(spark: SparkSession, path: str | list[str], options: ScanOptions = ScanOptions()) -> dict[str, DataFrame]:

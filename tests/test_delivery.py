@@ -234,3 +234,47 @@ def test_fetching_several_addresses_at_once(spark):
 
     rows = fetch_each(df, "url", fetch, at_once=5, tasks=1).collect()
     assert len(rows) == 20 and 1 < len({bytes(r["content"]) for r in rows}) <= 5
+
+
+def test_verdicts_are_asked_for_once(spark, tmp_path, monkeypatch):
+    """A run that breaks off, its repetition, new texts, another prompt, and texts without an answer."""
+    from nuntia.operators import classify
+    from nuntia.schema import FINDINGS
+
+    calls, store, trouble = tmp_path / "calls", str(tmp_path / "verdicts"), tmp_path / "trouble"
+    calls.mkdir()
+    trouble.touch()
+    where, bad = str(calls), str(trouble)
+    monkeypatch.setattr(classify.with_stored_verdicts, "__defaults__", (5,))
+
+    def judge(request):
+        import uuid
+
+        jobs = json.loads(request.split(" ", 1)[1])
+        if Path(bad).exists() and any(j["text"] == "text 3" for j in jobs):
+            raise SystemExit("lost")  # no error that is caught: the task dies
+        for j in jobs:
+            (Path(where) / f"{j['text']}-{uuid.uuid4().hex}").touch()
+        return [{"id": j["id"], "is_tech_job": not j["text"].endswith("1")} for j in jobs if j["text"] != "text silent"]
+
+    def asked():
+        return sorted(p.name.rsplit("-", 1)[0] for p in calls.iterdir())
+
+    def rows(*texts):
+        return spark.createDataFrame([(f"d{i}", i, 0, "o", f"text {t}", 1, ["k"], "BOC", "") for i, t in enumerate(texts)], FINDINGS)
+
+    found = rows(*range(20), 0, 0)
+    with pytest.raises(Exception):
+        classify.validate(found, judge, "p {jobs_json}", store=store)
+    trouble.unlink()
+    before = asked()
+    paid = spark.read.parquet(store).count()
+    kept = classify.validate(found, judge, "p {jobs_json}", store=store)
+    assert kept.count() == kept.count() == 20 and not {r["description"] for r in kept.collect()} & {"text 1", "text 11"}
+    assert len(asked()) == len(before) + 20 - paid and 0 < paid < 20
+    assert classify.validate(rows(*range(20)), judge, "p {jobs_json}", store=store).count() == 18 and len(asked()) == len(before) + 20 - paid
+    n = len(asked())
+    for _ in range(2):
+        assert classify.validate(rows("silent", 21, 5), judge, "p {jobs_json}", store=store).count() == 2
+    assert len(asked()) == n + 3  # the silent text twice, 21 once
+    assert classify.validate(rows(5), judge, "q {jobs_json}", store=store).count() == 1 and len(asked()) == n + 4
