@@ -664,6 +664,20 @@ def mobility_vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_part(eures.pages(eures.vacancies(docs)))
 
 
+@query("""WITH k AS (SELECT p_partkey % 4 AS kind, count(*) AS n FROM part GROUP BY ALL), f AS (SELECT unnest([0, 0, 1, 1, 2]) AS kind, unnest(['jobTitle', 'salary', 'title', 'salary', 'it''s a "new" field']) AS field, unnest(['STRING', 'BIGINT', 'OBJECT', 'ARRAY', 'BOOLEAN']) AS type, unnest([FALSE, FALSE, TRUE, FALSE, FALSE]) AS known, unnest([1, 2, 1, 1, 1]) AS times)
+SELECT field, type AS kind, known, CAST(sum(n * times) AS BIGINT) AS vacancies, CAST(sum(n) AS BIGINT) AS documents FROM f JOIN k USING (kind) GROUP BY ALL""")
+def drifted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as JSON of the mobility portal with fields that nothing reads, or of other types."""
+    form = (
+        F.when(F.col("kind") == 0, '{"vacancies": [{"jobTitle": "{name}", "salary": 1}, {"title": "{name}", "salary": 20000}]}')
+        .when(F.col("kind") == 1, '[{"title": {"en": "{name}"}, "salary": [1, 2], "location": null}]')
+        .when(F.col("kind") == 2, '{"vacancyList": [{"title": "x", "it\'s a \\"new\\" field": true}]}')
+        .otherwise('{"other": [{"jobTitle": "{name}"}]}')
+    )
+    docs = parts(spark, sf_dir).select("doc_id", F.replace(form, F.lit("{name}"), F.col("name")).alias("text"))
+    return eures.drifted_fields(docs)
+
+
 @query("""WITH t AS (SELECT p_partkey AS id, p_name AS name FROM part)
 SELECT id, CAST(0 AS BIGINT) AS place, CAST(1 AS BIGINT) AS number, 'Title: ' || name || chr(10) || 'Reference/Details: R/' || id || ' | ' || name || ' | 15/09/2026' || chr(10) || 'Source Portal: eu-LISA Careers' AS text, '' AS section, 'eu-LISA' AS organism, 'https://www.eulisa.europa.eu/vacancies/' || id AS url FROM t WHERE id % 4 <> 3
 UNION ALL SELECT id, 1, CASE WHEN id % 4 = 3 THEN 1 ELSE 2 END, 'Title: ' || name || ' II' || chr(10) || 'Details: R ' || name || ' II until 2026-08-15' || chr(10) || 'Source Portal: eu-LISA Careers', '', 'eu-LISA', 'https://www.eulisa.europa.eu/jobs/' || id FROM t WHERE id % 4 <> 2""")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nuntia.functions.text import clean_text, filled, sanitize_ampersands, strip
 from nuntia.operators.match import rejects_words
-from nuntia.operators.windows import numbered
+from nuntia.operators.windows import numbered, sticky
 from nuntia.sources.common import FAIL, as_pages, documents, kept_if_sound
 
 ITEM = "identificador string, titulo string, url_pdf string, url_html string"
@@ -27,21 +27,24 @@ def named(tag: Column) -> Column:
     return F.when(tag.rlike(NAME), plain)
 
 
-def items_of(department: Column) -> Column:
-    """Array of (epigraph, item) of a department, at any depth, in order; the epigraph is that right above the item."""
-    pair = "array<struct<epigraph:string,item:string>>"
+def items_of(departments: DataFrame) -> DataFrame:
+    """Items of departments (doc_id, _d, department, _xml) at any depth: doc_id, _d, department, _i, which grows with their order,
+    item, and epigraph, that right above the item.
 
-    def step(a: Column, t: Column) -> Column:
-        above = F.coalesce(F.try_element_at(a["open"], F.lit(-1)), F.lit(""))
-        epigraph = F.when(above.rlike(r"^<epigrafe\b"), F.coalesce(named(above), F.lit(""))).otherwise("")
-        found = F.concat(a["items"], F.array(F.struct(epigraph.alias("epigraph"), t.alias("item"))))
-        is_item, closes = t.rlike(r"^<item\b(?:[^>]*[^/>])?>"), t.startswith("</")
-        alone = t.endswith("/>") | t.startswith("<!") | t.startswith("<?")
-        open_ = F.when(closes, F.slice(a["open"], 1, F.greatest(F.size(a["open"]) - 1, F.lit(0)))).when(is_item | alone, a["open"]).otherwise(F.concat(a["open"], F.array(t)))
-        return F.struct(open_.alias("open"), F.when(is_item, found).otherwise(a["items"]).alias("items"))
-
-    first = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(pair).alias("items"))
-    return F.aggregate(F.regexp_extract_all(department, F.lit(PART), F.lit(0)), first, step, lambda a: a["items"])
+    Tags become rows. A running sum of opened and closed ones is the depth of each, and the tag right above an item is the
+    last one opened at its depth; so the work grows in proportion to a department's tags.
+    """
+    t = F.col("_t")
+    rows = departments.select("doc_id", "_d", "department", F.posexplode(F.regexp_extract_all("_xml", F.lit(PART), F.lit(0))).alias("_i", "_t"))
+    is_item, closes = t.rlike(r"^<item\b(?:[^>]*[^/>])?>"), t.startswith("</")
+    alone = t.endswith("/>") | t.startswith("<!") | t.startswith("<?")
+    rows = rows.withColumn("_step", F.when(closes, -1).when(is_item | alone, 0).otherwise(1))
+    order = Window.partitionBy("doc_id", "_d").orderBy("_i")
+    rows = rows.withColumn("_depth", F.sum("_step").over(order))
+    above = sticky(F.when(F.col("_step") == 1, t), ["doc_id", "_d", "_depth"], ["_i"])
+    found = rows.withColumn("_above", above).where(is_item)
+    epigraph = F.when(F.col("_above").rlike(r"^<epigrafe\b"), F.coalesce(named(F.col("_above")), F.lit(""))).otherwise("")
+    return found.select("doc_id", "_d", "department", "_i", epigraph.alias("epigraph"), t.alias("item"))
 
 
 def candidates(docs: DataFrame, broken: str = FAIL) -> DataFrame:
@@ -57,12 +60,12 @@ def candidates(docs: DataFrame, broken: str = FAIL) -> DataFrame:
     blocks = checked.select("doc_id", F.regexp_extract("_xml", BLOCK, 0).alias("_xml")).where("_xml != ''")
     departments = blocks.select("doc_id", F.posexplode(F.regexp_extract_all("_xml", F.lit(DEPARTMENT), F.lit(0))).alias("_d", "_xml"))
     head = F.regexp_extract("_xml", r"^<departamento\b[^>]*>", 0)
-    items = departments.select("doc_id", "_d", filled(named(head), F.lit(NO_DEPARTMENT)).alias("department"), F.posexplode(items_of(F.col("_xml"))).alias("_i", "e"))
-    rows = items.withColumn("i", F.from_xml("e.item", ITEM))
+    items = items_of(departments.select("doc_id", "_d", filled(named(head), F.lit(NO_DEPARTMENT)).alias("department"), "_xml"))
+    rows = items.withColumn("i", F.from_xml("item", ITEM))
     text = lambda name: F.coalesce(strip(f"i.{name}"), F.lit(""))
     rows = rows.select(
         "doc_id", "_d", "_i", "department", text("titulo").alias("title"), text("identificador").alias("ident"), text("url_pdf").alias("pdf_url"), filled(text("url_html"), text("url_pdf")).alias("url"),
-        F.concat_ws(" -> ", F.lit(LABEL), F.nullif("e.epigraph", F.lit(""))).alias("section"),
+        F.concat_ws(" -> ", F.lit(LABEL), F.nullif("epigraph", F.lit(""))).alias("section"),
     )
     rows = rows.where((F.col("title") != "") & ~rejects_words("title"))
     return rows.withColumn("ordinal", numbered(["doc_id"], ["_d", "_i"])).drop("_d", "_i")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,29 @@ def vacancies(docs: DataFrame, broken: str = FAIL) -> DataFrame:
     return docs.select("doc_id", F.posexplode(found).alias("ordinal", "v")).select("doc_id", "ordinal", "v.*")
 
 
+#: Fields that are read, and where lists of vacancies are.
+FIELDS, LISTS = re.findall(r"(\w+):string", VACANCY), ("vacancies", "vacancyList")
+
+
+def variants(docs: DataFrame) -> DataFrame:
+    """Vacancies of JSON documents as they are, whatever fields they have: doc_id, ordinal and vacancy, a variant."""
+    whole = docs.select("doc_id", F.try_parse_json("text").alias("_v"))
+    listed = F.coalesce(*[F.try_variant_get("_v", f"$.{name}", "array<variant>") for name in LISTS], F.try_variant_get("_v", "$", "array<variant>"))
+    return whole.select("doc_id", F.posexplode(listed).alias("ordinal", "vacancy"))
+
+
+def drifted_fields(docs: DataFrame) -> DataFrame:
+    """Fields of vacancies that nothing reads, and read ones of another type than text: field, kind, known, vacancies, documents.
+
+    A portal that renames its fields shows up here, where the vacancies themselves only become empty.
+    """
+    rows = variants(docs).lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("vacancy").outer())).where("key IS NOT NULL")
+    kind = F.regexp_extract(F.schema_of_variant("value"), r"^\w+", 0)
+    rows = rows.select("doc_id", F.col("key").alias("field"), F.col("key").isin(*FIELDS).alias("known"), kind.alias("kind"))
+    odd = rows.where(~F.col("known") | ~F.col("kind").isin("STRING", "VOID"))
+    return odd.groupBy("field", "kind", "known").agg(F.count("*").alias("vacancies"), F.count_distinct("doc_id").alias("documents"))
+
+
 def read_vacancies(spark: SparkSession, path: str | list[str], broken: str = FAIL) -> DataFrame:
     return vacancies(documents(spark, path, "ISO-8859-1"), broken)
 

@@ -146,6 +146,22 @@ def test_mobility_portal(spark):
     assert sorted(r["text"].split("\n")[0] for r in eures.pages(eures.vacancies(docs, DROP)).collect()) == ["Title: Job Vacancy", "Title: x", "Title: y"]
 
 
+def test_drifted_fields_of_the_mobility_portal(spark):
+    docs = spark.createDataFrame([("a", '[{"title": "x", "newTitle": 1}, {"newTitle": 2}, {"newTitle": null}]'), ("b", '{"vacancies": [{"newTitle": 2.5, "url": 7}], "vacancyList": []}'), ("c", "broken"), ("d", None), ("e", '{"vacancies": "none"}'), ("f", "[]")], "doc_id string, text string")
+    got = {(r["field"], r["kind"]): (r["known"], r["vacancies"], r["documents"]) for r in eures.drifted_fields(docs).collect()}
+    assert got == {("newTitle", "BIGINT"): (False, 2, 1), ("newTitle", "VOID"): (False, 1, 1), ("newTitle", "DECIMAL"): (False, 1, 1), ("url", "BIGINT"): (True, 1, 1)}
+    assert eures.drifted_fields(spark.createDataFrame([(str(i), f'[{{"title": "{i}", "description": "<p>"}}]') for i in range(5)], "doc_id string, text string")).count() == 0
+
+
+def test_state_items_of_a_large_department(spark):
+    """Ten thousand items of one department, each under the tag right above it."""
+    item = "<item><titulo>t{i}</titulo></item>"
+    body = "".join(f"<epigrafe nombre='e{i}'>{item.replace('{i}', str(i))}<x>{item.replace('{i}', f'x{i}')}</x></epigrafe>" for i in range(5000))
+    docs = spark.createDataFrame([("d", f"<sumario><seccion codigo='2B'><departamento nombre='n'>{body}</departamento></seccion></sumario>")], "doc_id string, text string")
+    rows = boe.candidates(docs).orderBy("ordinal").collect()
+    assert len(rows) == 10_000 and [(r["title"], r["section"].endswith(f"-> e{r['ordinal'] // 2}")) for r in rows[4000:4002]] == [("t2000", True), ("tx2000", False)]
+
+
 def test_agency(spark):
     entries = eulisa.read_entries(spark, file("agency.html"))
     rows = ordered(eulisa.pages(entries))
