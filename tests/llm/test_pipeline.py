@@ -11,7 +11,7 @@ from nuntia.llm.common import MADE, shared_dir, written
 def test_stages_and_queries_are_registered():
     assert [n for n, _ in pipe.STAGES] == ["quality classifier", "near duplicates", "benchmark decontamination", "secret scan", "source mixing"] and pipe.ORACLE_SQL is None
     names = [re.match(r"op(\d+)_", q)[1] for q in entry.queries() if q.startswith("op")]
-    assert sorted(map(int, names)) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(map(int, names)) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_the_core_does_not_import_this_subpackage():
