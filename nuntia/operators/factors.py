@@ -95,7 +95,7 @@ def fragments_of(patterns: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class Index:
-    """grams: gram, fragment, name, pattern. lengths: those of grams. bits: a gram's hash in the table, as longs.
+    """grams: gram, fragment, name, pattern, needs. lengths: those of grams. bits: a gram's hash in the table, as longs.
     others: name and pattern of what has no fragment."""
 
     grams: DataFrame
@@ -114,16 +114,17 @@ def at_bit(gram: Column) -> tuple[Column, Column]:
 
 def indexed(patterns: DataFrame, flags: str = "(?iuU)") -> Index:
     """The index of a table of patterns (name, pattern). flags: set before each pattern when it is run."""
-    read = stored(patterns.select("name", F.concat(F.lit(flags), "pattern").alias("pattern"), fragments_of("pattern").alias("needs")).where("pattern IS NOT NULL"), "patterns")
-    groups = read.where("needs IS NOT NULL").select("name", "pattern", F.posexplode("needs").alias("set", "any_of"))
-    rows = groups.select("name", "pattern", "set", F.explode("any_of").alias("f")).withColumn("fragment", folded("f"))
+    needs = F.transform(fragments_of("pattern"), lambda any_of: F.transform(any_of, folded))
+    read = stored(patterns.select("name", F.concat(F.lit(flags), "pattern").alias("pattern"), needs.alias("needs")).where("pattern IS NOT NULL"), "patterns")
+    groups = read.where("needs IS NOT NULL").select("name", "pattern", "needs", F.posexplode("needs").alias("set", "any_of"))
+    rows = groups.select("name", "pattern", "needs", "set", F.explode("any_of").alias("fragment"))
     rows = rows.withColumn("gram", F.substring("fragment", 1, LONG))
     common = rows.groupBy("gram").agg(F.count("*").alias("n"))
-    rows = stored(rows.join(common, "gram").select("name", "pattern", "set", "fragment", "gram", "n"), "fragments")
+    rows = stored(rows.join(common, "gram").select("name", "pattern", "needs", "set", "fragment", "gram", "n"), "fragments")
     # of what a pattern needs, the list whose grams stand for the fewest patterns, and of these the longest
     best = rows.groupBy("name", "pattern", "set").agg(F.sum("n").alias("n"), F.min(F.length("fragment")).alias("size"))
     best = best.groupBy("name", "pattern").agg(F.min_by("set", F.struct("n", -F.col("size"), "set")).alias("set"))
-    grams = stored(rows.join(best, ["name", "pattern", "set"]).select("gram", "fragment", "name", "pattern").distinct(), "grams")
+    grams = stored(rows.join(best, ["name", "pattern", "set"]).select("gram", "fragment", "name", "pattern", "needs").distinct(), "grams")
     words = [0] * (BITS // 64)
     word, bit = at_bit(F.col("gram"))
     for r in grams.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).collect():
@@ -155,7 +156,9 @@ def hits(texts: DataFrame, keys: list[str], index: Index, text: str = "folded")
         candidates = rows.select("*", grams).join(F.broadcast(index.grams), "gram")
     else:  # texts don't travel with their grams
         candidates = rows.select(*keys, grams).join(index.grams, "gram").join(rows, keys)
-    found = candidates.where(F.col("_folded").contains(F.col("fragment")) & F.rlike("_text", F.col("pattern"))).select(*keys, "name")
+    # looking for fragments costs far less than a pattern, which is compiled for each row
+    held = F.forall("needs", lambda any_of: F.exists(any_of, lambda f: F.col("_folded").contains(f)))
+    found = candidates.where(F.col("_folded").contains(F.col("fragment")) & held).where(F.rlike("_text", F.col("pattern"))).select(*keys, "name")
     if index.others_count > UNROLLED:
         found = found.unionByName(rows.join(F.broadcast(index.others), F.rlike("_text", F.col("pattern"))).select(*keys, "name"))
     elif index.others_count:

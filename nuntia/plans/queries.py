@@ -123,14 +123,15 @@ def keyword_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH {SQL_LINES}, words AS (SELECT regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+') AS w FROM documents),
-patterns AS (SELECT DISTINCT w[1] AS a, w[2] AS b, w[3] AS c FROM words WHERE len(w) >= 3 AND length(w[1]) >= 3),
+patterns AS (SELECT DISTINCT w[1] AS a, w[2] AS b, w[3] AS c FROM words WHERE len(w) >= 3 AND length(w[1]) >= 6),
 plain AS (SELECT doc_id, para_no, ' ' || regexp_replace(lower(folded), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM kept),
 hits AS (SELECT doc_id, para_no, a || ' ' || b || '|' || c AS name FROM plain JOIN patterns ON contains(t, ' ' || a || ' ' || b || ' ') OR contains(t, ' ' || a || ' ' || c || ' '))
 SELECT doc_id, para_no, count(*) AS n, md5(string_agg(name, ',' ORDER BY name)) AS names FROM hits GROUP BY ALL""")
 def lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines against a lexicon that grows with the documents: the first words of each, as a pattern with an alternative."""
+    """Lines against a lexicon that grows with the documents: the first words of each that begins with a word of six letters or
+    more, as a pattern with an alternative."""
     words = F.regexp_extract_all(F.lower(text.strip_accents("text")), F.lit("[a-z0-9]+"), F.lit(0))
-    first = read(spark, sf_dir, "documents").select(F.slice(words, 1, 3).alias("w")).where((F.size("w") == 3) & (F.length(F.get("w", F.lit(0))) >= 3)).distinct()
+    first = read(spark, sf_dir, "documents").select(F.slice(words, 1, 3).alias("w")).where((F.size("w") == 3) & (F.length(F.get("w", F.lit(0))) >= 6)).distinct()
     a, b, c = (F.get("w", F.lit(i)) for i in range(3))
     patterns = first.select(F.concat(a, F.lit(" "), b, F.lit("|"), c).alias("name"), F.concat(F.lit("(?<![a-z0-9])"), a, F.lit("[^a-z0-9]+(?:"), b, F.lit("|"), c, F.lit(")(?![a-z0-9])")).alias("pattern"))
     lines = document_lines(spark, sf_dir, fold=True).select("doc_id", long("para_no").alias("para_no"), "folded")
