@@ -17,18 +17,21 @@ def stream(spark, tmp_path):
     """land(rows) adds rows to what a stream reads, run() processes them and returns rows out and rows of state."""
     stateful.use_state_store(spark)
 
+    made = []
+
     class Stream:
         def __init__(self, schema, operator):
-            self.schema, self.operator = schema, operator
+            made.append(self)
+            self.schema, self.operator, self.path = schema, operator, tmp_path / str(len(made))
 
         def land(self, *rows):
-            spark.createDataFrame(list(rows), self.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            spark.createDataFrame(list(rows), self.schema).coalesce(1).write.mode("append").parquet(str(self.path / "in"))
 
         def run(self):
             got = []
-            source = spark.readStream.schema(self.schema).parquet(str(tmp_path / "in"))
-            query = stateful.run_once(self.operator(source), lambda df, i: got.extend(df.collect()), str(tmp_path / "check"))
-            assert query.awaitTermination(60)
+            source = spark.readStream.schema(self.schema).parquet(str(self.path / "in"))
+            query = stateful.run_once(self.operator(source), lambda df, i: got.extend(df.collect()), str(self.path / "check"))
+            assert query.awaitTermination(120)
             return got, query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress else None
 
     yield Stream
@@ -77,25 +80,26 @@ def test_values_are_carried_over_batches(stream):
 
 
 def test_what_was_reported_is_not_reported_again_for_a_while(stream):
-    s = stream("url string, n int", lambda rows: stateful.first_seen(rows, ["url"], ["n"], timedelta(seconds=20)))
-    s.land(("u", 2), ("u", 1), ("v", 5))
-    assert sorted(map(tuple, s.run()[0])) == [("u", 1), ("v", 5)]
-    s.land(("u", 0), ("w", None), ("w", 3))
-    assert [tuple(r) for r in s.run()[0]] == [("w", None)]
-    began = time.time()
-    while not (again := (s.land(("u", 7)), s.run()[0])[1]) and time.time() - began < 60:
-        time.sleep(5)
-    assert [tuple(r) for r in again] == [("u", 7)]
+    def reports(ttl):
+        s = stream("url string, n int", lambda rows: stateful.first_seen(rows, ["url"], ["n"], ttl))
+        s.land(("u", 2), ("u", 1), ("v", 5))
+        first = sorted(map(tuple, s.run()[0]))
+        s.land(("u", 0), ("w", None), ("w", 3))
+        return first, sorted(map(tuple, s.run()[0]))
+
+    assert reports(timedelta(hours=1)) == ([("u", 1), ("v", 5)], [("w", None)])
+    assert reports(timedelta(milliseconds=1)) == ([("u", 1), ("v", 5)], [("u", 0), ("w", None)])
 
 
 def test_numbers_go_on_until_state_is_given_up(stream):
-    s = stream("k string, n int", lambda rows: stateful.numbered(rows, ["k"], ["n"], timedelta(seconds=15)))
-    s.land(("a", 5), ("a", 3), ("b", 1))
-    assert {tuple(r) for r in s.run()[0]} == {("a", 3, 1), ("a", 5, 2), ("b", 1, 1)}
-    s.land(("a", 1))
-    assert {tuple(r) for r in s.run()[0]} == {("a", 1, 3)}
-    time.sleep(15)
-    s.land(("c", 1))
-    s.run()
-    s.land(("a", 9))
-    assert {tuple(r) for r in s.run()[0]} == {("a", 9, 1)}
+    def numbers(patience):
+        s = stream("k string, n int", lambda rows: stateful.numbered(rows, ["k"], ["n"], patience))
+        out = []
+        for rows in ([("a", 5), ("a", 3), ("b", 1)], [("c", 1)], [("a", 9)]):
+            s.land(*rows)
+            out.append({tuple(r) for r in s.run()[0]})
+        return out
+
+    first = [{("a", 3, 1), ("a", 5, 2), ("b", 1, 1)}, {("c", 1, 1)}]
+    assert numbers(timedelta(hours=1)) == [*first, {("a", 9, 3)}]
+    assert numbers(timedelta(milliseconds=1)) == [*first, {("a", 9, 1)}]
