@@ -10,8 +10,8 @@ parts of items count too. It must hold `least` tokens, or half of the item if th
 or the whole of an item shorter than that, and at least `percent` of its tokens must agree.
 
 Items of `SHORT` tokens or more are looked for with MASKS, shorter ones with SHORT_MASKS, of four tokens each: of any 5 to
-12 tokens of which a fifth at most is replaced, some window of these has a hit. Items of fewer than 5 tokens say too
-little and are not looked for.
+12 tokens of which a fifth at most is replaced, some window of these has a hit. An item of four tokens is found where all
+four stand together; items of fewer tokens say too little and are not looked for.
 
 A hit that only continues the hit before it, on the same diagonal, is never written out: places of a hash are sorted by the
 hash of the window before them, and those that agree in it with the text are skipped. So a text and an item that repeat a
