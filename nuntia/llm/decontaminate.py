@@ -11,7 +11,8 @@ or the whole of an item shorter than that, and at least `percent` of its tokens
 
 Items of `SHORT` tokens or more are looked for with MASKS, shorter ones with SHORT_MASKS, of four tokens each: of any 5 to
 12 tokens of which a fifth at most is replaced, some window of these has a hit. An item of four tokens is found where all
-four stand together; items of fewer tokens say too little and are not looked for.
+four stand together, and so are items of one to three tokens, each by a mask of its own length. `shortest` (4, if nothing is
+said) is the number of tokens that an item needs to be looked for at all: a few ordinary words are no leak.
 
 A hit that only continues the hit before it, on the same diagonal, is never written out: places of a hash are sorted by the
 hash of the window before them, and those that agree in it with the text are skipped. So a text and an item that repeat a
@@ -20,19 +21,26 @@ token n and m times give n + m diagonals and not n * m hits.
 Equal items (same text but for case) are looked for once, by the smallest id; `equal_items` says how many there are,
 and item_classes() which.
 
-The test table is small next to the texts and is joined where the texts are read: a bit table of its hashes drops
-nearly all windows, the sorted hashes decide about the rest, and nothing is shuffled. It is sent to executors in
-pieces of at most PIECE_HASHES entries, one pass over the texts for each, so any number of items can be checked; items
-longer than a piece are cut into overlapping parts. With several pieces each pass is written before the next one
-begins and its broadcast is released.
+The texts are read once, whatever the benchmark's size:
+
+* If its windows are at most TABLE_HASHES, by the length of its items, the test table is broadcast: a bit table of its hashes
+  drops nearly all windows, the sorted hashes decide about the rest, and nothing is shuffled.
+* Larger benchmarks stay on the executors. Their hashes mark at most MOST_BITS bits, which are broadcast; the one pass over
+  the texts writes the windows that are marked, and the texts that hold any, by the hash of the text, so that copies are
+  one. A shuffle join of these windows with those of the items gives diagonals; text and items are then brought together and
+  compared, an item at a time. The fuller the bits, the more texts are written that hold nothing (10^7 hashes let
+  about two windows in 10,000 through, 10^8 one in ten, and then all texts are written); results stay exact.
+
+Items longer than PART_CHARS are cut into overlapping parts, of which the best overlap is reported.
 
 Defined results: empty tables, and texts or items that are null, empty or without tokens, give no rows; repeated rows give
-repeated results (but where parts of an item fall into several passes, rows of one id share their best overlap); a very long text is read in pieces; the best overlap of a pair is reported, of equally good ones the first;
+repeated results; a very long text is read in pieces; the best overlap of a pair is reported, of equally good ones the first;
 extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -42,15 +50,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nuntia.llm.common import LONG, buffers, lowered, pieces, slices, table, written
+from nuntia.llm.common import LONG, buffers, discard, lowered, pieces, slices, small, table, written
 from nuntia.llm.near_dup import BASE, BYTE, GOLD, MIX2, powers, scrambled
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("11111", "1110111", "1101011", "11001011", "1101100101")
 SHORT_MASKS = ("1111", "10111", "11011", "11101")
+TINY_MASKS = ("1", "11", "111")
+EVERY_MASK = (*MASKS, *SHORT_MASKS, *TINY_MASKS)
 SHORT = 13
-LEAST, FEWEST, PERCENT, SLACK = 13, 8, 80, 20
-PIECE_HASHES = 2_000_000
+LEAST, FEWEST, PERCENT, SLACK, SHORTEST = 13, 8, 80, 20, 4
+#: Windows of a benchmark up to which it is broadcast.
+TABLE_HASHES = 2_000_000
+#: Bits for the hashes of a larger one: so many for each, and at most.
+BITS_EACH, MOST_BITS, PROBES = 32, 1 << 29, 3
+#: Rows of a batch of windows.
+BATCH = 1 << 16
 #: Characters of a part of a very long item, and how many two parts share.
 PART_CHARS, PART_OVERLAP = 400_000, 2_000
 TABLE_BITS = 22
@@ -137,21 +152,26 @@ def continued(at: np.ndarray, keys: np.ndarray, end: int) -> np.ndarray:
     return scrambled(keys * MIX2 ^ scrambled(prior))
 
 
+def item_windows(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, mask, places, hashes, hashes with the window before) for each mask that items of these lengths are looked for with."""
+    size = np.repeat(np.diff(first), np.diff(first))
+    for number, mask in enumerate(EVERY_MASK):
+        at, keys = windows(hashes, first, mask, number)
+        both = continued(at, keys, 1)
+        n = size[at]
+        own = np.flatnonzero(n >= SHORT if mask in MASKS else (n >= len(TINY_MASKS) + 1) & (n < SHORT) if mask in SHORT_MASKS else n == len(mask))
+        if len(own):
+            yield number, mask, at[own], keys[own], both[own]
+
+
 class TestTable:
     """All windows of some items, by hash, with the items' tokens."""
 
     def __init__(self, items: list, texts: list[str | None]):
         self.items = items
         self.tokens, self.first = tokens(*buffers(pa.array(texts, pa.large_string())))
-        short = np.repeat(np.diff(self.first) < SHORT, np.diff(self.first))
         self.masks = []
-        for number, mask in enumerate((*MASKS, *SHORT_MASKS)):
-            at, keys = windows(self.tokens, self.first, mask, number)
-            both = continued(at, keys, 1)
-            own = np.flatnonzero(short[at] == (mask in SHORT_MASKS)) if len(at) else at
-            at, keys, both = at[own], keys[own], both[own]
-            if not len(at):
-                continue
+        for number, mask, at, keys, both in item_windows(self.tokens, self.first):
             order = np.lexsort((at, both, keys))
             bits = np.zeros(1 << TABLE_BITS, bool)
             bits[keys >> np.uint64(64 - TABLE_BITS)] = True
@@ -198,22 +218,29 @@ def overlaps(data: np.ndarray, offsets: np.ndarray, test: TestTable, least: int,
         return
     found = {}
     for r, i, d in np.unique(np.concatenate(diagonals, 1), axis=1).T.tolist():
-        a, b = first[r], test.first[i]
-        n_text, n_item = first[r + 1] - a, test.first[i + 1] - b
-        lo, hi = max(0, -d), min(n_item, n_text - d)  # the item's tokens that lie on a token of the text
-        enough = min(n_item, max(FEWEST, min(least, n_item // 2)))
-        if hi - lo < enough:
-            continue
-        agree = hashes[a + lo + d : a + hi + d] == test.tokens[b + lo : b + hi]
-        # a level below percent bridges more mismatches, which may make the stretch too poor; so both are tried, and the whole
-        for begin, end in (best_stretch(agree, percent - SLACK), best_stretch(agree, percent), (0, hi - lo)):
-            same, n = int(agree[begin:end].sum()), end - begin
-            if n >= enough and 100 * same >= percent * n and same > found.get((r, i), (0,))[-1]:
-                found[r, i] = (int(lo + d + begin), int(lo + begin), n, same)
+        best = compared(hashes[first[r] : first[r + 1]], test.tokens[test.first[i] : test.first[i + 1]], d, least, percent)
+        if best and best[-1] > found.get((r, i), (0,))[-1]:
+            found[r, i] = best
     for (r, i), rest in sorted(found.items()):
         yield (r, i, *rest)
 
 
+def compared(text: np.ndarray, item: np.ndarray, d: int, least: int, percent: int) -> tuple[int, int, int, int] | None:
+    """(first token in the text, first token in the item, tokens compared, tokens that agree) of the best overlap on a diagonal."""
+    lo, hi = max(0, -d), min(len(item), len(text) - d)  # the item's tokens that lie on a token of the text
+    enough = min(len(item), max(FEWEST, min(least, len(item) // 2)))
+    if hi - lo < enough:
+        return None
+    agree = text[lo + d : hi + d] == item[lo:hi]
+    found = None
+    # a level below percent bridges more mismatches, which may make the stretch too poor; so both are tried, and the whole
+    for begin, end in (best_stretch(agree, percent - SLACK), best_stretch(agree, percent), (0, hi - lo)):
+        same, n = int(agree[begin:end].sum()), end - begin
+        if n >= enough and 100 * same >= percent * n and (found is None or same > found[-1]):
+            found = (int(lo + d + begin), int(lo + begin), n, same)
+    return found
+
+
 def item_classes(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """item and class_id (smallest id with the same text but for case) of every item with a text."""
     lower = F.lower(text_column)
@@ -237,68 +264,201 @@ def count_tokens(text: str) -> int:
     return len(tokens(*buffers(pa.array([text], pa.large_string())))[0])
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """id, item, text_start, item_start, compared, agreeing (in tokens), equal_items: the best overlap of each pair that has one."""
-    spark = documents.sparkSession
-    item_kind = benchmark.schema[item_column].dataType.simpleString()
-    item_type = to_arrow_type(benchmark.schema[item_column].dataType)
-    numbers = ["text_start", "item_start", "compared", "agreeing"]
-    names = ["nuntia_id", "nuntia_item", *numbers, "equal_items"]
-    kind = documents.schema[id_column].dataType.simpleString()
-    schema = f"nuntia_id {kind}, nuntia_item {item_kind}, text_start int, item_start int, compared int, agreeing int, equal_items long"
-    rows = documents.select(F.col(f"`{id_column}`"), F.lower(f"`{text_column}`"))
-    passes: list[DataFrame] = []
-
-    def against(items: list, texts: list, last: bool) -> None:
-        """One pass; all but an only one are written at once, so that the table they need can go."""
-        shared = spark.sparkContext.broadcast(TestTable(items, texts))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            test = shared.value
-            for batch in batches:
-                data, offsets = buffers(batch.column(1))
-                for a, b in slices(data, offsets):
-                    part = offsets[a : b + 1]
-                    best: dict = {}
-                    for r, i, at, start, compared, agreeing in overlaps(data[part[0] : part[-1]], part - part[0], test, least, percent):
-                        item, before, equal = test.items[i]
-                        if agreeing > best.get((r, item), (0,) * 4)[3]:  # parts of one item count as one
-                            best[r, item] = (at, start + before, compared, agreeing, equal)
-                    if best:
-                        columns = [pa.array(x, pa.int32()) for x in list(zip(*best.values(), strict=True))[:4]]
-                        equal = pa.array([x[4] for x in best.values()], pa.int64())
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + r for r, _ in best])), pa.array([i for _, i in best], item_type), *columns, equal], names=names)
-
-        out = rows.mapInArrow(run, schema)
-        if last and not passes:
-            passes.append(out)
-        else:
-            passes.append(written(out, "overlaps"))
-            shared.unpersist(blocking=True)
-
-    items, texts, size, cut = [], [], 0, False
-    lower = F.lower(f"`{text_column}`")
+def item_parts(benchmark: DataFrame, shortest: int, item_column: str, text_column: str) -> DataFrame:
+    """item, equal (items with this text), before (tokens before the part), text (of the part, in lower case) of all items
+    of `shortest` tokens or more."""
+    lower = F.lower(F.col(f"`{text_column}`"))
     classes = benchmark.where(F.col(f"`{text_column}`").isNotNull()).groupBy(lower.alias("text")).agg(F.min(f"`{item_column}`").alias("item"), F.count("*").alias("equal"))
-    for r in classes.orderBy("item", "text").toLocalIterator(prefetchPartitions=False):
-        for begin, part in parts(r["text"]):
-            if texts and size + len(part) // 2 * len(MASKS) > PIECE_HASHES:
-                against(items, texts, False)
-                items, texts, size = [], [], 0
-            cut = cut or begin > 0
-            items.append((r["item"], count_tokens(r["text"][:begin]) if begin else 0, r["equal"]))
-            texts.append(part)
-            size += len(part) // 2 * len(MASKS)
-    if texts:
-        against(items, texts, True)
-    if not passes:
-        out = spark.createDataFrame([], schema)
+    kind = benchmark.schema[item_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                before, prior, out = 0, 0, []
+                for begin, part in parts(text):
+                    before += count_tokens(text[prior:begin]) if begin else 0
+                    prior = begin
+                    out.append((before, part))
+                if before >= shortest or count_tokens(text) >= shortest:
+                    own = [batch.column(c).take(pa.array([row] * len(out))) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out])], names=["item", "equal", "before", "text"])
+
+    return classes.select("item", "equal", "text").mapInArrow(run, f"item {kind}, equal long, before int, text string")
+
+
+class Marks:
+    """A set of hashes as bits, PROBES for each; the number of bits is a power of two."""
+
+    def __init__(self, size: int, at: np.ndarray, words: np.ndarray):
+        self.size, self.words = size, np.zeros(size // 64, np.uint64)
+        self.words[at] = words.view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes may be in the set."""
+        at = np.arange(len(hashes))
+        for probe in range(PROBES):
+            bit = (hashes[at] >> np.uint64(17 * probe)) & np.uint64(self.size - 1)
+            at = at[(self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+        return at
+
+
+def marks(found: DataFrame) -> Marks:
+    """The hashes of all windows as bits, put together by the executors; the driver gets at most MOST_BITS / 64 words."""
+    size = 1 << 12
+    while size < min(MOST_BITS, BITS_EACH * found.count()):
+        size *= 2
+    probes = F.array(*[F.shiftrightunsigned("hash", 17 * p).bitwiseAND(F.lit(size - 1)) for p in range(PROBES)])
+    words = found.select(F.explode(probes).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).toArrow()
+    return Marks(size, words.column(0).to_numpy(), words.column(1).to_numpy())
+
+
+def windows_of_items(items: DataFrame) -> DataFrame:
+    """hash, both (the hash with that of the window before), part, place of all windows of the items' parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(1))
+            for a, b in slices(data, offsets):
+                span = offsets[a : b + 1]
+                hashes, first = tokens(data[span[0] : span[-1]], span - span[0])
+                for _, _, at, keys, both in item_windows(hashes, first):
+                    row = np.searchsorted(first, at, "right") - 1
+                    columns = [pa.array(keys.view(np.int64)), pa.array(both.view(np.int64)), batch.column(0).take(pa.array(a + row)), pa.array((at - first[row]).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["hash", "both", "part", "place"])
+
+    return items.select("part", "text").mapInArrow(run, "hash long, both long, part long, place int")
+
+
+def marked_windows(rows: DataFrame, kind: str, own: Marks) -> DataFrame:
+    """One pass over rows of (id, text in lower case): a row with id, key (hash of the text) and text for each text that has a
+    marked window, and a row with key, hash, both and at (its place) for each such window."""
+    shared = rows.sparkSession.sparkContext.broadcast(own)  # at most MOST_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["nuntia_id", "key", "text", "hash", "both", "at"]
+        for batch in batches:
+            data, offsets = buffers(batch.column(1))
+            for a, b in slices(data, offsets):
+                span = offsets[a : b + 1]
+                hashes, first = tokens(data[span[0] : span[-1]], span - span[0])
+                keys: dict[int, bytes] = {}
+                for number, mask in enumerate(EVERY_MASK):
+                    at, found = windows(hashes, first, mask, number)
+                    may = shared.value.has(found)
+                    both = continued(at, found, 0)[may]
+                    row = np.searchsorted(first, at[may], "right") - 1
+                    for r in np.unique(row).tolist():
+                        if r not in keys:
+                            keys[r] = hashlib.blake2b(data[offsets[a + r] : offsets[a + r + 1]].tobytes(), digest_size=16).digest()
+                    for lo in range(0, len(may), BATCH):
+                        n, part = len(row[lo : lo + BATCH]), slice(lo, lo + BATCH)
+                        key = pa.array([keys[r] for r in row[part].tolist()], pa.binary())
+                        columns = [pa.array(x) for x in (found[may][part].view(np.int64), both[part].view(np.int64), (at[may] - first[row])[part].astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays([pa.nulls(n, batch.column(0).type), key, pa.nulls(n, batch.column(1).type), *columns], names=names)
+                if keys:
+                    at_rows = pa.array([a + r for r in keys])
+                    empty = [pa.nulls(len(keys), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), pa.array(list(keys.values()), pa.binary()), batch.column(1).take(at_rows), *empty], names=names)
+
+    return rows.mapInArrow(run, f"nuntia_id {kind}, key binary, text string, hash long, both long, at int")
+
+
+def compared_pairs(texts: DataFrame, pairs: DataFrame, item_kind: str, least: int, percent: int) -> DataFrame:
+    """key, nuntia_item, before, text_start, item_start, compared, agreeing, equal_items: best overlaps of texts (key, text) with
+    parts of items (key, text, item, equal, before, diagonals). Each text is followed by its items, of which one is held at a time."""
+    both = texts.withColumn("diagonals", F.lit(None).cast("array<int>")).unionByName(pairs, allowMissingColumns=True)
+    ordered = both.repartition("key").sortWithinPartitions("key", F.col("diagonals").isNotNull())
+    names = ["key", "nuntia_item", "before", "text_start", "item_start", "compared", "agreeing", "equal_items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = np.zeros(0, np.uint64)
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            diagonals, out = batch.column("diagonals"), []
+            for a, b in slices(data, offsets):
+                span = offsets[a : b + 1]
+                hashes, first = tokens(data[span[0] : span[-1]], span - span[0])
+                for r in range(b - a):
+                    own = hashes[first[r] : first[r + 1]]
+                    if not diagonals[a + r].is_valid:
+                        text = own.copy()
+                        continue
+                    best = None
+                    for d in sorted(diagonals[a + r].as_py()):
+                        found = compared(text, own, d, least, percent)
+                        if found and (best is None or found[-1] > best[-1]):
+                            best = found
+                    if best:
+                        out.append((a + r, *best))
+            if out:
+                at, *numbers = zip(*out, strict=True)
+                key, item, before, equal = (batch.column(c).take(pa.array(at)) for c in ("key", "item", "before", "equal"))
+                yield pa.RecordBatch.from_arrays([key, item, before, *[pa.array(x, pa.int32()) for x in numbers], equal], names=names)
+
+    return ordered.select("key", "text", "item", "equal", "before", "diagonals").mapInArrow(run, f"key binary, nuntia_item {item_kind}, before int, text_start int, item_start int, compared int, agreeing int, equal_items long")
+
+
+def by_join(rows: DataFrame, kind: str, items: DataFrame, item_kind: str, least: int, percent: int) -> DataFrame:
+    """The overlaps with a benchmark of any size; tables in between are deleted once the result is written."""
+    items = written(items.withColumn("part", F.monotonically_increasing_id()), "items")
+    found = written(windows_of_items(items), "windows")
+    seen = written(marked_windows(rows, kind, marks(found.select("hash").distinct())), "marked")
+    # windows that go on from the same window before them are left out, as in TestTable.hits
+    places = found.groupBy("hash", F.col("both").alias("item_both"), "part").agg(F.collect_set("place").alias("places"))
+    hits = seen.where("hash IS NOT NULL").groupBy("key", "hash", "both").agg(F.collect_set("at").alias("ats")).join(places, "hash").where("both != item_both")
+    each = hits.select("key", "part", F.explode("ats").alias("at"), "places").select("key", "part", "at", F.explode("places").alias("place"))
+    pairs = written(each.groupBy("key", "part").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals")), "diagonals")
+    texts = seen.where("text IS NOT NULL")
+    once = texts.select("key", "text").join(small(pairs.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    overlap = compared_pairs(once, pairs.join(small(items), "part").drop("part"), item_kind, least, percent)
+    best = F.max_by(F.struct("text_start", (F.col("item_start") + F.col("before")).alias("item_start"), "compared", "agreeing", "equal_items"), F.struct("agreeing", -F.col("before")))
+    overlap = written(overlap.groupBy("key", "nuntia_item").agg(best.alias("best")).select("key", "nuntia_item", "best.*"), "best")
+    out = written(texts.select("nuntia_id", "key").join(small(overlap), "key").drop("key"), "overlaps")
+    for made in (items, found, seen, pairs, overlap):
+        discard(made)
+    return out
+
+
+def by_broadcast(rows: DataFrame, schema: str, items: DataFrame, item_type: pa.DataType, least: int, percent: int) -> DataFrame:
+    """The overlaps with a benchmark of at most TABLE_HASHES windows: one pass without a shuffle."""
+    own = items.collect()
+    if not own:
+        return rows.sparkSession.createDataFrame([], schema)
+    own.sort(key=lambda r: (r["item"] is not None, r["item"] if r["item"] is not None else 0, r["before"], r["text"]))
+    shared = rows.sparkSession.sparkContext.broadcast(TestTable([(r["item"], r["before"], r["equal"]) for r in own], [r["text"] for r in own]))
+    names = ["nuntia_id", "nuntia_item", "text_start", "item_start", "compared", "agreeing", "equal_items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = shared.value
+        for batch in batches:
+            data, offsets = buffers(batch.column(1))
+            for a, b in slices(data, offsets):
+                part = offsets[a : b + 1]
+                best: dict = {}
+                for r, i, at, start, n, same in overlaps(data[part[0] : part[-1]], part - part[0], test, least, percent):
+                    item, before, equal = test.items[i]
+                    if same > best.get((r, item), (0,) * 4)[3]:  # parts of one item count as one
+                        best[r, item] = (at, start + before, n, same, equal)
+                if best:
+                    columns = [pa.array(x, pa.int32()) for x in list(zip(*best.values(), strict=True))[:4]]
+                    equal = pa.array([x[4] for x in best.values()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + r for r, _ in best])), pa.array([i for _, i in best], item_type), *columns, equal], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", shortest: int = SHORTEST) -> DataFrame:
+    """id, item, text_start, item_start, compared, agreeing (in tokens), equal_items: the best overlap of each pair that has one."""
+    item_type = benchmark.schema[item_column].dataType
+    item_kind, kind = item_type.simpleString(), documents.schema[id_column].dataType.simpleString()
+    rows = documents.select(F.col(f"`{id_column}`").alias("nuntia_id"), F.lower(f"`{text_column}`"))
+    items = item_parts(benchmark, shortest, item_column, text_column)
+    # a token takes two characters at least, but in scripts that don't part words
+    size = benchmark.agg(F.sum(F.length(f"`{text_column}`"))).first()[0] or 0
+    if size // 2 * len(MASKS) <= TABLE_HASHES:
+        out = by_broadcast(rows, f"nuntia_id {kind}, nuntia_item {item_kind}, text_start int, item_start int, compared int, agreeing int, equal_items long", items, to_arrow_type(item_type), least, percent)
     else:
-        out = passes[0]
-        for p in passes[1:]:
-            out = out.unionByName(p)
-    if cut and len(passes) > 1:  # parts of one item in several passes; rows that repeat an id share the best one
-        best = F.max_by(F.struct(*numbers, "equal_items"), "agreeing")
-        out = out.groupBy("nuntia_id", "nuntia_item").agg(best.alias("best")).select("nuntia_id", "nuntia_item", "best.*")
+        out = by_join(rows, kind, items, item_kind, least, percent)
     return out.withColumnsRenamed({"nuntia_id": id_column, "nuntia_item": item_column})
 
 

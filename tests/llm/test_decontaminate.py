@@ -2,6 +2,8 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from nuntia.llm import decontaminate as dec
 
@@ -47,8 +49,8 @@ def test_every_fifth_token_replaced_and_exact_parts_before_poor_ones(spark):
     assert [(r["doc_id"], r["agreeing"]) for r in rows] == [(0, 36), (1, 13)]
 
 
-def test_rows_repeat_and_items_come_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(dec, "PIECE_HASHES", 200)
+def test_rows_repeat_and_large_benchmarks_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(dec, "TABLE_HASHES", 200)
     items = spark.createDataFrame([(i, " ".join(words(20, i))) for i in range(7)], "item_id long, text string")
     docs = spark.createDataFrame([(i, " ".join(words(5, 50 + i) + words(20, i))) for i in range(7)] * 2, "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in dec.contamination(docs, items).collect()) == sorted([(i, i) for i in range(7)] * 2)
@@ -122,7 +124,7 @@ def test_scripts_without_spaces_and_other_cases(spark):
 def test_equal_items_count_once_and_long_items_come_in_parts(spark, monkeypatch):
     monkeypatch.setattr(dec, "PART_CHARS", 300)
     monkeypatch.setattr(dec, "PART_OVERLAP", 100)
-    monkeypatch.setattr(dec, "PIECE_HASHES", 1000)
+    monkeypatch.setattr(dec, "TABLE_HASHES", 1000)
     long, other = words(400, 21), words(20, 22)
     items = spark.createDataFrame([(7, " ".join(other)), (3, " ".join(other).upper()), (5, " ".join(other)), (9, " ".join(long))], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(long[150:170])), (2, " ".join(other)), (3, " ".join(long))], "doc_id long, text string")
@@ -141,3 +143,58 @@ def test_query_against_brute_force(spark, sf_dir):
     assert whole and whole <= got
     for d, i in got - whole:  # whatever else is reported shares most of a passage
         assert len(set(items[i].split()) & set(docs[d].split())) >= 0.6 * min(13, len(set(items[i].split())))
+
+
+@pytest.mark.parametrize("least, bits", [(13, 1 << 29), (8, 1 << 12)])
+def test_a_large_benchmark_gives_what_a_small_one_gives_and_reads_the_texts_once(spark, sf_dir, monkeypatch, least, bits):
+    """Also where the bits are so few that most texts are marked."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rng = random.Random(3)
+    texts = [r["text"].split() for r in items.orderBy("item_id").collect()]
+    changed = [(10_000 + i, " ".join(replaced(w, set(rng.sample(range(len(w)), len(w) // 6)), i))) for i, w in enumerate(texts)]
+    odd = [(20_000, None), (20_001, "")] + [(20_002 + i % 2, " ".join(["la", "le"][: 1 + i % 2] * 300 + texts[0])) for i in range(4)]
+    extra = spark.createDataFrame(changed + odd, "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(extra)
+    songs = spark.createDataFrame([(900, "la " * 200), (901, "LA " * 200), (902, "la le " * 40), (903, "la"), (904, None)], "item_id long, text string")
+    items = items.select(F.col("item_id").cast("long"), "text").unionByName(songs)
+    small = sorted(map(tuple, dec.contamination(docs, items, least).collect()))
+    monkeypatch.setattr(dec, "TABLE_HASHES", dec.TABLE_HASHES // 10_000)
+    monkeypatch.setattr(dec, "MOST_BITS", bits)
+    counted = docs.mapInArrow(counting, docs.schema)
+    assert sorted(map(tuple, dec.contamination(counted, items, least).collect())) == small and len(small) > 50
+    assert read.value == docs.count()
+
+
+@pytest.mark.parametrize("hashes", [2_000_000, 0])
+def test_short_items_are_looked_for_as_far_as_asked(spark, monkeypatch, hashes):
+    monkeypatch.setattr(dec, "TABLE_HASHES", hashes)
+    items = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 10)], "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("some words "), "text", F.lit(" and more")).alias("text"))
+    changed = docs.select("doc_id", F.regexp_replace("text", "x0", "y0").alias("text")).where("doc_id < 5")
+    for shortest in (1, 4, 8):
+        got = dec.contamination(docs.unionByName(changed), items, shortest=shortest).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["agreeing"]) for r in got) == [(n, n, n) for n in range(shortest, 10)]
+
+
+@pytest.mark.parametrize("hashes", [2_000_000, 0])
+def test_parts_of_long_items_with_substitutions(spark, monkeypatch, hashes):
+    """Stretches of 14 to 40 tokens of longer items, a fifth of their tokens replaced."""
+    monkeypatch.setattr(dec, "TABLE_HASHES", hashes)
+    rng = random.Random(5)
+    items, docs = [], []
+    for k in range(200):
+        own, n = words(100, 1000 + k), rng.randrange(14, 41)
+        at = rng.randrange(100 - n)
+        items.append((k, " ".join(own)))
+        docs.append((k, " ".join(words(30, 5000 + k) + replaced(own[at : at + n], set(rng.sample(range(n), n // 5)), k) + words(30, 9000 + k))))
+    got = dec.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]}
+    print("recall", len(found) / len(docs))
+    assert all(r["doc_id"] == r["item_id"] for r in got) and len(found) >= 0.9 * len(docs)
