@@ -204,7 +204,10 @@ def identify(documents: DataFrame, model: LanguageModel, id_column: str = "doc_i
 
 def language_sample(documents: DataFrame, skip: Column, per_language: int = 300, max_chars: int = 20_000, seed: int = 4) -> list[tuple[str, str]]:
     """(text, lang) of up to about per_language documents of every language, chosen by a hash of the id, or of the text
-    where there is no id. Of a text over max_chars characters a stretch of that length, at a place set by the hash."""
+    where there is no id. Of a text over max_chars characters a stretch of that length, at a place set by the hash.
+
+    Rows of one id, or of one text without id, share a hash: one of them serves, the smallest, however many there are, so
+    what comes to the driver is bounded by the languages. Such rows count as they are where a language's share is set."""
     chance = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
     usable = documents.where(F.col("lang").isNotNull() & ~F.coalesce(skip, F.lit(True)) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", chance.alias("chance"))
     counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
@@ -213,7 +216,8 @@ def language_sample(documents: DataFrame, skip: Column, per_language: int = 300,
     # a rare language is taken whole, so that chance leaves none out
     found = usable.join(small(counts), "lang").where((F.col("n") <= 2 * most) | (share < most / F.col("n")))
     start = F.pmod("chance", F.greatest(F.length("text") - max_chars + 1, F.lit(1))) + 1
-    rows = found.select("doc_id", F.substring(F.col("text"), start, F.lit(max_chars)).alias("text"), "lang").collect()
+    found = found.select("chance", F.struct("doc_id", F.substring(F.col("text"), start, F.lit(max_chars)).alias("text"), "lang").alias("row"))
+    rows = found.groupBy("chance").agg(F.min("row").alias("row")).select("row.*").collect()
     discard(counts)
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
 

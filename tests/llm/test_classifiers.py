@@ -106,6 +106,14 @@ def test_every_language_is_learned(spark):
     assert language.fit([r for r in sample if r[1] < "l003" or r[1] == "long"], epochs=1).languages == ("l000", "l001", "l002", "long")
 
 
+def test_rows_of_one_id_serve_once(spark):
+    many = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("same id "), "id").alias("text"), F.lit("aa").alias("lang"))
+    copies = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("no id").alias("text"), F.lit("bb").alias("lang"))
+    others = spark.range(100, 300).select(F.col("id").alias("doc_id"), F.concat(F.lit("other "), "id").alias("text"), F.lit("cc").alias("lang"))
+    sample = language.language_sample(many.union(copies).union(others), F.lit(False), per_language=10_000)
+    assert len(sample) == 202 and {("same id 0", "aa"), ("no id", "bb")} <= set(sample)
+
+
 def test_language_query(spark, sf_dir, docs):
     df = language.op4_language(spark, sf_dir)
     assert df.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]

@@ -69,6 +69,15 @@ def test_decontamination_decides_by_row(spark, few, sf_dir):
     assert got.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, "no id"), (3, "the same id, clean"), (4, None)], key=str)
 
 
+def test_short_items_take_no_documents(spark, few, sf_dir, tmp_path):
+    """Four to seven ordinary words are no leak; eight are one, whole or with one replaced."""
+    items = [(4, "one of the most"), (7, "which of the following is not true"), (8, "name all rivers that reach the northern sea")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"It is {items[0][1]} common", f"{items[1][1]} today", f"Please {items[2][1]}.", "Please name all lakes that reach the northern sea."]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], few.schema)
+    assert sorted(r["doc_id"] for r in pipe.decontaminated(spark, df, str(tmp_path)).collect()) == [0, 1]
+
+
 def test_empty_documents(spark, few, sf_dir):
     for _, stage in pipe.STAGES:
         assert stage(spark, few.where("false"), sf_dir).collect() == []
