@@ -12,6 +12,9 @@ from nuntia.llm.near_dup import near_duplicates
 from nuntia.llm.quality import fitted, score_quality
 from nuntia.llm.secrets import redact
 
+#: Tokens that a benchmark item needs for its documents to go.
+SHORTEST = 8
+
 
 def unused(docs: DataFrame, name: str) -> str:
     """The name, with as many underscores as keep it apart from the columns."""
@@ -57,11 +60,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go: each row by its own text, whether its id is null or repeated or not.
 
-    Null and empty texts hold none and stay; an empty table gives no rows; columns of any name are kept.
+    Items of fewer than SHORTEST tokens are ordinary words that clean documents hold, too, and aren't looked for. Null and empty texts hold none and stay; an empty table gives no rows; columns of any name are kept.
     """
     key = unused(docs, "nuntia_hash")
     own = F.sha2(F.col("text").cast("binary"), 256)
-    found = written(contamination(docs.select(own.alias(key), "text"), table(spark, sf_dir, "benchmark"), id_column=key).select(key).distinct(), "leaks")
+    found = written(contamination(docs.select(own.alias(key), "text"), table(spark, sf_dir, "benchmark"), id_column=key, shortest=SHORTEST).select(key).distinct(), "leaks")
     return docs.withColumn(key, own).join(small(found), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
