@@ -130,8 +130,9 @@ SELECT doc_id, para_no, count(*) AS n, md5(string_agg(name, ',' ORDER BY name))
 def lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines against a lexicon that grows with the documents: the first words of each that begins with a word of six letters or
     more, as a pattern with an alternative."""
-    words = F.regexp_extract_all(F.lower(text.strip_accents("text")), F.lit("[a-z0-9]+"), F.lit(0))
-    first = read(spark, sf_dir, "documents").select(F.slice(words, 1, 3).alias("w")).where((F.size("w") == 3) & (F.length(F.get("w", F.lit(0))) >= 6)).distinct()
+    # the words before the first three are none, so one search finds them
+    head = F.regexp_extract(F.lower(text.strip_accents("text")), "[a-z0-9]+[^a-z0-9]+[a-z0-9]+[^a-z0-9]+[a-z0-9]+", 0)
+    first = read(spark, sf_dir, "documents").select(F.split(head, "[^a-z0-9]+").alias("w")).where((F.size("w") == 3) & (F.length(F.get("w", F.lit(0))) >= 6)).distinct()
     a, b, c = (F.get("w", F.lit(i)) for i in range(3))
     patterns = first.select(F.concat(a, F.lit(" "), b, F.lit("|"), c).alias("name"), F.concat(F.lit("(?<![a-z0-9])"), a, F.lit("[^a-z0-9]+(?:"), b, F.lit("|"), c, F.lit(")(?![a-z0-9])")).alias("pattern"))
     lines = document_lines(spark, sf_dir, fold=True).select("doc_id", long("para_no").alias("para_no"), "folded")

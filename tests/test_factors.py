@@ -80,3 +80,42 @@ def test_ten_thousand_patterns_make_no_larger_plan(spark):
     assert sizes[0] == sizes[1]
     got = {r["i"]: sorted(map(int, r["matched_keywords"])) for r in found.collect()}
     assert len(got) == 2000 and all(set(v) == {i * k % 200 * 37 for k in (1, 7, 11) if i * k % 200 * 37 < 10_000} for i, v in got.items())
+
+
+WORD = "[a-z0-9]"
+
+
+def whole(words):
+    return f"(?<!{WORD}){words}(?!{WORD})"
+
+
+def test_phrases():
+    gap = "[^a-z0-9]+"
+    assert factors.phrases(whole(f"plaza{gap}(?:de|la)")) == ["plaza de", "plaza la"]
+    assert factors.phrases(whole("bases?")) == ["base", "bases"] and factors.phrases(whole("(?:ab|ac|a)d[ef]")) == ["abde", "abdf", "acde", "acdf", "ade", "adf"]
+    for other in (rf"\bplaza{gap}de\b", whole(f"{gap}de"), whole(f"(?:a{gap})?{gap}b"), whole("pla.a"), whole("añ"), whole("ab+"), whole("a de"), whole("(?:a|b)" * 9), whole(""), "(?i)" + whole("ab"), f"(?<!{WORD})ab", whole("a[^a-z]+b"), whole(f"a{gap}b")[4:]):
+        assert factors.phrases(other) is None, other
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BROADCAST_HASHES": 0}])
+def test_phrases_are_joined_with_what_the_patterns_match(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(factors, name, value)
+    rng = random.Random(5)
+    words, gaps = ["abc", "ab", "x9", "kilo", "is", "sin", "7", "a"], [" ", "-", ", ", "\n", "é", "_", "", "ß", "̇", "İ", "ı", "ſ", "K", "Σ"]
+    patterns = [whole("[^a-z0-9]+".join(rng.choice(words) for _ in range(n))) for n in (1, 2, 2, 2, 3, 3) for _ in range(5)]
+    patterns += [whole(f"{a}[^a-z0-9]+(?:{b}|{c})") for a in words for b, c in (("ab", "abc"), ("kilo", "x9"))] + [r"\bkilo", "sin"]
+    texts = [(i, "".join(rng.choice([str.lower, str.upper, str])(rng.choice(words)) + rng.choice(gaps) for _ in range(rng.randrange(9)))) for i in range(500)]
+    df = spark.createDataFrame([*texts, (900, None), (901, "Kilo ıS"), (902, "ſin abc"), (903, "İs, x9")], "i int, t string")
+    assert indexed(df, spark, patterns) == unrolled(df, patterns) != {}
+
+
+def test_patterns_of_whole_words_are_not_run(spark):
+    """A common word in the lexicon's patterns costs no candidates: they are found by their words, side by side."""
+    patterns = [whole(f"common[^a-z0-9]+(?:w{i}|v{i})") for i in range(300)]
+    index = factors.indexed(table(spark, patterns))
+    assert (index.phrase_rows, index.rows, index.others_count) == (600, 0, 0)
+    texts = spark.range(50).select(F.col("id").alias("i"), F.concat(F.lit("Common, W"), F.col("id"), F.lit(" common")).alias("t"))
+    found = factors.match_indexed(texts, ["i"], index, "t")
+    assert "rlike" not in found._jdf.queryExecution().optimizedPlan().treeString().lower()
+    assert {r["i"]: r["matched_keywords"] for r in found.collect()} == {i: [f"p{i}"] for i in range(50)}
