@@ -559,8 +559,12 @@ def vacancy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts, of which the sources below are made: id, name, brand, kind (id modulo 4)."""
-    rows = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    """Parts, of which the sources below are made: id, name, brand, kind (id modulo 4).
+
+    They are dealt over as many tasks as shuffles have: a part takes a few bytes in its file, but becomes a document whose
+    parsing takes most of a millisecond, so the few tasks that read the file would hold all the work.
+    """
+    rows = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     return rows.select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), (F.col("p_partkey") % 4).alias("kind"))
 
 

@@ -234,3 +234,15 @@ def test_feeds_are_read_by_source_and_day(spark):
     rows = df.collect()
     assert [(r["day"], bytes(r["content"])) for r in rows if r["source"] == "BOE"] == [(date(2026, 5, 22), b"friday")]
     assert {r["error"] for r in rows if r["source"] == "EPSO"} == {"OSError: no route"}
+
+
+def test_agency_pages_are_parsed_once(spark):
+    """Rows and links of a page come from one parse; links that rows have, repeat or are noise go, whatever their address."""
+    page = '<a href="/jobs/1">Later one</a><a href="http://[contact">Contact</a><table><tr><td><a href="/jobs/1">Row</a></td></tr><tr><td><a href="/jobs/1">Row again</a></td></tr></table><li><a href="/jobs/2">Second</a></li><a href="/jobs/2">Second again</a>'
+    docs = spark.createDataFrame([("a", page), ("b", '<a href="/jobs/1">Of another page</a>')], "doc_id string, text string")
+    pages = eulisa.pages(eulisa.entries(docs), F.lit("2026-08-01").cast("date"))
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PythonUDTF") == 1 and "ArrowEvalPython" not in plan
+    got = [(r["doc_id"], r["page_number"], r["text"].split("\n")[0], r["url"]) for r in pages.orderBy("doc_id", "page_number").collect()]
+    site = "https://www.eulisa.europa.eu/jobs/"
+    assert got == [("a", 1, "Title: Row", f"{site}1"), ("a", 2, "Title: Row again", f"{site}1"), ("a", 3, "Title: Second", f"{site}2"), ("b", 1, "Title: Of another page", f"{site}1")]
