@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nuntia.functions.text import clean_text, filled, sanitize_ampersands, strip
 from nuntia.operators.match import rejects_words
 from nuntia.operators.windows import numbered, sticky
-from nuntia.sources.common import FAIL, as_pages, documents, kept_if_sound
+from nuntia.sources.common import FAIL, as_pages, computed, documents, kept_if_sound
 
 ITEM = "identificador string, titulo string, url_pdf string, url_html string"
 # The section that is read, its label, and the name of a department without one.
@@ -54,17 +54,20 @@ def candidates(docs: DataFrame, broken: str = FAIL) -> DataFrame:
     ordinal, title, ident, pdf_url, url, department, section. Summaries that are no XML raise an error, or give nothing
     with `broken` DROP.
     """
-    whole = sanitize_ampersands("text")
-    checked = docs.select("doc_id", whole.alias("_xml"), F.from_xml(whole, "_corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("_check"))
+    checked = computed(docs.select("doc_id", "text"), _xml=sanitize_ampersands("text"))
+    checked = computed(checked, _check=F.from_xml("_xml", "_corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     checked = kept_if_sound(checked, F.col("_check._corrupt_record").isNull() & F.col("_xml").contains("<"), "_xml", "summary", broken)
-    blocks = checked.select("doc_id", F.regexp_extract("_xml", BLOCK, 0).alias("_xml")).where("_xml != ''")
-    departments = blocks.select("doc_id", F.posexplode(F.regexp_extract_all("_xml", F.lit(DEPARTMENT), F.lit(0))).alias("_d", "_xml"))
+    blocks = computed(checked, _block=F.regexp_extract("_xml", BLOCK, 0)).where("_block != ''").select("doc_id", "_block")
+    # all that follows goes by document, so one shuffle serves
+    blocks = blocks.repartition("doc_id")
+    departments = blocks.select("doc_id", F.posexplode(F.regexp_extract_all("_block", F.lit(DEPARTMENT), F.lit(0))).alias("_d", "_xml"))
     head = F.regexp_extract("_xml", r"^<departamento\b[^>]*>", 0)
     items = items_of(departments.select("doc_id", "_d", filled(named(head), F.lit(NO_DEPARTMENT)).alias("department"), "_xml"))
-    rows = items.withColumn("i", F.from_xml("item", ITEM))
+    rows = computed(items, i=F.from_xml("item", ITEM))
     text = lambda name: F.coalesce(strip(f"i.{name}"), F.lit(""))
+    rows = computed(rows, title=text("titulo"))
     rows = rows.select(
-        "doc_id", "_d", "_i", "department", text("titulo").alias("title"), text("identificador").alias("ident"), text("url_pdf").alias("pdf_url"), filled(text("url_html"), text("url_pdf")).alias("url"),
+        "doc_id", "_d", "_i", "department", "title", text("identificador").alias("ident"), text("url_pdf").alias("pdf_url"), filled(text("url_html"), text("url_pdf")).alias("url"),
         F.concat_ws(" -> ", F.lit(LABEL), F.nullif("epigraph", F.lit(""))).alias("section"),
     )
     rows = rows.where((F.col("title") != "") & ~rejects_words("title"))
@@ -79,13 +82,16 @@ def pages(found: DataFrame, pdf_pages: DataFrame | None = None) -> DataFrame:
     """Pages of notices: of their PDF pages (pdf_url, page_number, raw_text) where there are any with text, else of
     their titles; numbered through in each document."""
     tag = F.when(F.col("ident") != "", F.concat(F.lit("["), "ident", F.lit("] "))).otherwise("")
-    rows = found.withColumn("_title", clean_text(F.concat(tag, "title")))
+    title = clean_text(F.concat(tag, "title"))
+    # numbers first: below the Python function in clean_text the rows are already together by document
+    number = numbered(["doc_id"], ["ordinal"] if pdf_pages is None else ["ordinal", "_page"])
+    rows = found
     if pdf_pages is None:
-        rows = rows.withColumn("_page", F.lit(1)).withColumn("_text", F.col("_title"))
+        rows = rows.withColumn("_number", number).withColumn("_text", title)
     else:
         texts = pdf_pages.select("pdf_url", F.col("page_number").alias("_page"), clean_text("raw_text").alias("_body"))
         body = F.when(F.col("ident") != "", F.concat(tag, F.lit("(PDF Pag "), F.col("_page").cast("string"), F.lit(") "), "_body")).otherwise(F.col("_body"))
-        rows = rows.join(texts, "pdf_url", "left").withColumn("_text", F.coalesce(F.nullif(body, F.lit("")), "_title"))
+        rows = rows.join(texts, "pdf_url", "left").withColumn("_number", number).withColumn("_text", F.coalesce(F.nullif(body, F.lit("")), title))
     return as_pages(
-        rows, "BOE", ordinal=F.col("ordinal"), page_number=numbered(["doc_id"], ["ordinal", "_page"]), text=F.col("_text"), section=F.col("section"), detected_organism=F.col("department"), url=F.coalesce("url", F.lit("")),
+        rows, "BOE", ordinal=F.col("ordinal"), page_number=F.col("_number"), text=F.col("_text"), section=F.col("section"), detected_organism=F.col("department"), url=F.coalesce("url", F.lit("")),
     )

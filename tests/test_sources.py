@@ -246,3 +246,13 @@ def test_agency_pages_are_parsed_once(spark):
     got = [(r["doc_id"], r["page_number"], r["text"].split("\n")[0], r["url"]) for r in pages.orderBy("doc_id", "page_number").collect()]
     site = "https://www.eulisa.europa.eu/jobs/"
     assert got == [("a", 1, "Title: Row", f"{site}1"), ("a", 2, "Title: Row again", f"{site}1"), ("a", 3, "Title: Second", f"{site}2"), ("b", 1, "Title: Of another page", f"{site}1")]
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summaries_and_their_items_are_parsed_once_and_shuffled_once(spark):
+    docs = spark.createDataFrame([("a", "<s/>")], "doc_id string, text string")
+    plan = planned(boe.pages(boe.candidates(docs)))
+    assert plan.count("from_xml(StructField(_corrupt_record") == plan.count("from_xml(StructField(identificador") == plan.count("Exchange hashpartitioning") == 1
