@@ -726,8 +726,7 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sagulpa.listings(docs, F.lit("2026-07-08").cast("date"))
     body = filled_in('<body>menu<div class="margen_menu_lateral_columna"><p>Se ofrece</p><p>{brand}.</p></div></body>', brand="brand")
     details = made.select(F.concat(F.lit("https://www.sagulpa.com/ofertas-empleo/"), "doc_id").alias("url"), body.alias("text"))
-    pages = sagulpa.pages(found, details).select("doc_id", "ordinal", "text")
-    rows = found.join(pages, ["doc_id", "ordinal"])
+    rows = sagulpa.pages(found, details, also=["title", "published", "closing_date"])
     return rows.select(long("doc_id").alias("id"), long("ordinal").alias("place"), "title", "url", "published", F.col("closing_date").alias("closing"), "text")
 
 

@@ -9,7 +9,7 @@ from nuntia.functions.dates import open_on, spanish_date
 from nuntia.functions.markup import Node, html_rows
 from nuntia.functions.text import clean_text, resolve_url, squeezed
 from nuntia.operators.windows import numbered
-from nuntia.sources.common import as_pages, documents
+from nuntia.sources.common import as_pages, computed, documents
 
 # The site, titles of closed processes, labels of dates, and names.
 SITE = "https://www.sagulpa.com/"
@@ -36,14 +36,16 @@ def listings(docs: DataFrame, as_of: Column | None = None, only_open: bool = Tru
     entry without a publication date counts as published on as_of. only_open: without entries closed on as_of.
     Without as_of nothing is closed, and unknown publication dates stay unknown.
     """
-    rows = docs.select("doc_id", F.explode(html_rows(F.col("text"), _listed, "ordinal:int,title:string,around:string,hrefs:array<string>")).alias("e")).select("doc_id", "e.*")
+    # outer, as for the plain form Spark takes every list apart a second time
+    rows = docs.select("doc_id", F.inline_outer(html_rows(F.col("text"), _listed, "ordinal:int,title:string,around:string,hrefs:array<string>")))
     rows = rows.where(~F.lower("title").rlike(CLOSED))
     inside = F.filter("hrefs", lambda h: h.contains("/ofertas-empleo/"))
     other = F.filter("hrefs", lambda h: (h != "") & ~h.startswith("javascript:") & ~h.contains("politica-privacidad"))
     rows = rows.withColumn("href", F.coalesce(F.get(inside, F.lit(0)), F.get(other, F.lit(0))))
     published = F.try_to_date(F.nullif(F.regexp_extract("around", PUBLISHED, 1), F.lit("")), "dd/MM/yyyy")
-    closing = spanish_date(F.nullif(F.regexp_extract(squeezed("around"), CLOSING, 1), F.lit("")))
-    rows = rows.select("doc_id", "ordinal", "title", F.coalesce(resolve_url(F.lit(site), F.col("href")), F.lit("")).alias("url"), (published if as_of is None else F.coalesce(published, as_of)).alias("published"), closing.alias("closing_date"))
+    rows = computed(rows, _closing=F.nullif(F.regexp_extract(squeezed("around"), CLOSING, 1), F.lit("")))
+    rows = computed(rows, url=F.coalesce(resolve_url(F.lit(site), F.col("href")), F.lit("")), published=published if as_of is None else F.coalesce(published, as_of), closing_date=spanish_date("_closing"))
+    rows = rows.select("doc_id", "ordinal", "title", "url", "published", "closing_date")
     return rows.where(open_on("closing_date", as_of)) if only_open and as_of is not None else rows
 
 
@@ -61,12 +63,13 @@ def detail_text(html: Column) -> Column:
     return F.get(html_rows(html, _described, "text:string"), F.lit(0))["text"]
 
 
-def pages(found: DataFrame, details: DataFrame | None = None) -> DataFrame:
-    """Pages of entries: the listing, and below it the description where details (url, text) has the entry's page."""
+def pages(found: DataFrame, details: DataFrame | None = None, also: list[str] | None = None) -> DataFrame:
+    """Pages of entries, and the columns of found in also: the listing, and below it the description where details (url, text) has
+    the entry's page."""
     brief = F.concat("title", F.lit("\nFecha de publicación: "), F.coalesce(F.date_format("published", "dd/MM/yyyy"), F.lit("")))
     if details is None:
         rows = found.withColumn("_text", clean_text(brief))
     else:
-        texts = details.select("url", clean_text(detail_text(F.col("text"))).alias("_body"))
+        texts = computed(details, _detail=detail_text(F.col("text"))).select("url", clean_text("_detail").alias("_body"))
         rows = found.join(texts, "url", "left").withColumn("_text", F.when(F.col("_body").isNull(), clean_text(brief)).otherwise(F.concat(brief, F.lit("\n\n"), "_body")))
-    return as_pages(rows, "SAGULPA", ordinal=F.col("ordinal"), page_number=numbered(["doc_id"], ["ordinal"]), text=F.col("_text"), section=F.lit(LABEL), detected_organism=F.lit(ORGANISM), url=F.col("url"))
+    return as_pages(rows, "SAGULPA", also, ordinal=F.col("ordinal"), page_number=numbered(["doc_id"], ["ordinal"]), text=F.col("_text"), section=F.lit(LABEL), detected_organism=F.lit(ORGANISM), url=F.col("url"))

@@ -256,3 +256,13 @@ def test_summaries_and_their_items_are_parsed_once_and_shuffled_once(spark):
     docs = spark.createDataFrame([("a", "<s/>")], "doc_id string, text string")
     plan = planned(boe.pages(boe.candidates(docs)))
     assert plan.count("from_xml(StructField(_corrupt_record") == plan.count("from_xml(StructField(identificador") == plan.count("Exchange hashpartitioning") == 1
+
+
+def test_listings_of_the_company_board_are_parsed_once(spark):
+    item = '<li><h2>{0}</h2> Fecha de publicación: 01/07/2026 <a href="/ofertas-empleo/{0}">Ver</a></li>'
+    docs = spark.createDataFrame([("a", f'<ul class="fa-ul">{item.format("x")}{item.format("y")}</ul>'), ("b", "<p>no list</p>"), ("c", None)], "doc_id string, text string")
+    details = spark.createDataFrame([("https://www.sagulpa.com/ofertas-empleo/x", "<body>Se ofrece</body>")], "url string, text string")
+    pages = sagulpa.pages(sagulpa.listings(docs, F.lit("2026-07-08").cast("date")), details, also=["title", "published", "closing_date"])
+    plan = planned(pages)
+    assert plan.count("ArrowEvalPython [extracted(") == 2 and plan.count("ArrowEvalPython [resolve_url(") == 1  # listings and details
+    assert [(r["title"], str(r["published"]), r["closing_date"], "Se ofrece" in r["text"]) for r in ordered(pages)] == [("x", "2026-07-01", None, True), ("y", "2026-07-01", None, False)]
