@@ -9,7 +9,7 @@ from nuntia.functions.dates import rfc_date
 from nuntia.functions.text import clean_text, filled, html_unescape, sanitize_ampersands, strip, strip_tags, tag_block, tag_blocks
 from nuntia.operators.select import latest
 from nuntia.operators.windows import numbered
-from nuntia.sources.common import FAIL, as_pages, documents, kept_if_sound
+from nuntia.sources.common import FAIL, as_pages, computed, documents, kept_if_sound
 
 ITEM = "struct<title:string,link:string,description:string,pubDate:string>"
 FEED = f"channel struct<item:array<{ITEM}>>, item array<{ITEM}>, _corrupt_record string"
@@ -19,7 +19,7 @@ def items(docs: DataFrame, broken: str = FAIL) -> DataFrame:
     """Items of feeds (doc_id, text): doc_id, ordinal, title, link, description, published. Feeds that are no XML raise
     an error, or give nothing with `broken` DROP."""
     feed = F.from_xml(sanitize_ampersands("text"), FEED, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    parsed = docs.select("doc_id", "text", feed.alias("f"))
+    parsed = computed(docs.select("doc_id", "text"), f=feed)
     parsed = kept_if_sound(parsed, F.col("f").isNotNull() & F.col("f._corrupt_record").isNull() & F.col("text").contains("<"), "text", "feed", broken).select("doc_id", F.coalesce("f.channel.item", "f.item").alias("items"))
     rows = parsed.select("doc_id", F.posexplode("items").alias("ordinal", "i")).select("doc_id", "ordinal", "i.*")
     return rows.select("doc_id", "ordinal", "title", strip("link").alias("link"), "description", rfc_date("pubDate").alias("published"))
@@ -51,14 +51,16 @@ def is_target(section: Column, subsection: Column) -> Column:
 
 def pages(rows: DataFrame) -> DataFrame:
     """Pages of items (see items); kept ones are numbered anew in each document."""
-    marked = rows.where(F.col("description") != "").withColumn("_html", html_unescape("description"))
+    marked = computed(rows.where(F.col("description") != ""), _html=html_unescape("description"))
     path = F.transform(F.split(strip_tags(tag_block("_html", "h5")), " - "), strip)
-    marked = marked.withColumn("_path", path).where("_path IS NOT NULL")
+    marked = computed(marked, _path=path).where("_path IS NOT NULL")
     marked = marked.withColumn("_section", F.get("_path", F.lit(0))).withColumn("_sub", F.coalesce(F.get("_path", F.lit(1)), F.lit("")))
     marked = marked.where(is_target(F.col("_section"), F.col("_sub")))
-    title = F.coalesce(filled(strip_tags(tag_block("_html", "h3")), "title"), F.lit(""))
+    marked = computed(marked, _head=strip_tags(tag_block("_html", "h3")))
+    title = F.coalesce(filled("_head", "title"), F.lit(""))
     paragraphs = F.filter(F.transform(tag_blocks("_html", "p"), strip_tags), lambda p: (p != "") & ~p.startswith("CVE:"))
-    marked = marked.withColumn("_text", clean_text(F.array_join(F.concat(F.array(title), paragraphs), "\n\n"))).where(F.col("_text") != "")
+    marked = computed(marked, _raw=F.array_join(F.concat(F.array(title), paragraphs), "\n\n"))
+    marked = computed(marked, _text=clean_text("_raw")).where(F.col("_text") != "")
     return as_pages(
         marked,
         "BOC",

@@ -258,6 +258,12 @@ def test_summaries_and_their_items_are_parsed_once_and_shuffled_once(spark):
     assert plan.count("from_xml(StructField(_corrupt_record") == plan.count("from_xml(StructField(identificador") == plan.count("Exchange hashpartitioning") == 1
 
 
+def test_feeds_are_parsed_and_their_descriptions_decoded_once(spark):
+    docs = spark.createDataFrame([("a", "<rss/>")], "doc_id string, text string")
+    plan = planned(boc.pages(boc.items(docs)))
+    assert plan.count("from_xml(") == plan.count("ArrowEvalPython [html_unescape(") == plan.count("ArrowEvalPython [_nfc(") == 1
+
+
 def test_listings_of_the_company_board_are_parsed_once(spark):
     item = '<li><h2>{0}</h2> Fecha de publicación: 01/07/2026 <a href="/ofertas-empleo/{0}">Ver</a></li>'
     docs = spark.createDataFrame([("a", f'<ul class="fa-ul">{item.format("x")}{item.format("y")}</ul>'), ("b", "<p>no list</p>"), ("c", None)], "doc_id string, text string")
