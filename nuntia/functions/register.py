@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nuntia.functions import text
-from nuntia.functions.markup import tree
+from nuntia.functions.markup import text_function
 
 
 def register_functions(spark: SparkSession) -> list[str]:
@@ -23,11 +23,7 @@ def register_functions(spark: SparkSession) -> list[str]:
     def fold_accents(s: pd.Series) -> pd.Series:
         return s.map(plain, na_action="ignore")
 
-    @F.pandas_udf(T.StringType())
-    def html_text(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: tree(t).text("\n"), na_action="ignore")
-
-    functions = {"normalize_unicode": text._nfc, "fold_accents": fold_accents, "html_unescape": text.html_unescape, "html_text": html_text, "resolve_url": text.resolve_url}
+    functions = {"normalize_unicode": text._nfc, "fold_accents": fold_accents, "html_unescape": text.html_unescape, "html_text": text_function(), "resolve_url": text.resolve_url}
     for name, function in functions.items():
         spark.udf.register(name, function)
     return list(functions)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from nuntia.functions.markup import Node, tree
+from nuntia.functions.markup import Node, parsed
 
 
 class CsvRows:
@@ -86,7 +86,8 @@ def node_rows(docs: DataFrame, text: str, extract: Callable[[Node], Iterator[tup
     class Rows:
         def eval(self, text: str) -> Iterator[tuple]:
             if text is not None:
-                yield from extract(tree(text))
+                with parsed(text) as root:
+                    yield from extract(root)
 
     return docs.lateralJoin(udtf(Rows, returnType=schema)(F.col(text).outer()))
 
@@ -113,8 +114,9 @@ def register_tables(spark: SparkSession, extract_pdf: Callable[[bytes], Iterator
 
     class Links:
         def eval(self, text: str) -> Iterator[tuple]:
-            for i, link in enumerate(tree(text or "").find_all("a")):
-                yield i, link.get("href"), link.text().strip()
+            with parsed(text or "") as root:
+                for i, link in enumerate(root.find_all("a")):
+                    yield i, link.get("href"), link.text().strip()
 
     found = {"csv_rows": udtf(CsvRows), "html_links": udtf(Links, returnType="ordinal int, href string, title string")}
     if extract_pdf is not None:

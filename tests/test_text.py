@@ -1,10 +1,13 @@
+import gc
 import unicodedata
+import weakref
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nuntia.functions import dates, text
+from nuntia.functions import dates, markup, text
 
 
 def value(spark, column, given=None):
@@ -77,3 +80,22 @@ def test_cell_date_takes_the_first_cell_with_three_parts(spark):
 def test_bulletin_urls(spark):
     row = spark.sql("SELECT DATE '2026-05-20' AS d, DATE '2001-12-01' AS e").select(dates.bulletin_url("http://x/b/", F.col("d")).alias("a"), dates.bulletin_url("http://x/b", F.col("e")).alias("b"), dates.compact_url("http://y/", F.col("d")).alias("c")).first()
     assert tuple(row) == ("http://x/b/2026/20-5-26/20-5-26.pdf", "http://x/b/2001/1-12-01/1-12-01.pdf", "http://y/20260520")
+
+
+def test_html_trees_are_freed_without_the_collector():
+    """Elements and their parents hold each other: a tree must go with its document, not when Python looks for such rings."""
+    gc.collect()
+    gc.disable()
+    try:
+        with markup.parsed("<ul><li>a</li></ul>") as root:
+            item = weakref.ref(root.find("li"))
+            assert item().above("ul") is not None
+        del root
+        assert item() is None
+        pages = pa.array(["<p>a</p><script>x</script>b", None, "", *["<b>c</b>"] * 200])
+        nodes = lambda: sum(isinstance(x, markup.Node) for x in gc.get_objects())
+        before = nodes()
+        assert markup.text_function("|").func(pages).to_pylist() == ["a|b", None, "", *["c"] * 200] and nodes() == before
+        assert markup.text_function().func(pages.slice(0, 0)).to_pylist() == []
+    finally:
+        gc.enable()
